@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, sharding
+from . import bpe, language, line_dedup, mixing, sharding
 from .common import table
 
 
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -16,12 +20,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op3_stratified_shards, op7_line_dedup, op9_bpe_round_trip]
+    found = [op2_cross_parsing, op3_stratified_shards, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
