@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, mixing, sharding
+from . import bpe, language, line_dedup, mixing, ngram_join, sharding
 from .common import table
 
 
@@ -28,10 +28,14 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op2_cross_parsing, op3_stratified_shards, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip]
+    found = [op2_cross_parsing, op3_stratified_shards, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op7_line_dedup": line_dedup.ORACLE, "op10_ngram_jaccard": ngram_join.ORACLE}
