@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, mixing, ngram_join, sharding
+from . import bpe, language, line_dedup, mixing, ngram_join, sharding, topk
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op4_block_pruned_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_cross_parsing, op3_stratified_shards, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
+    found = [op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE, "op10_ngram_jaccard": ngram_join.ORACLE}
+    return {"op4_block_pruned_top20": topk.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_ngram_jaccard": ngram_join.ORACLE}
