@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, mix64, stored
+from .common import batch, mix64, stored, utf8
 from .graph import components
 
 WORDS = 3
@@ -40,14 +40,6 @@ BLOCK = 256
 U = np.uint64
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a string column, null as empty."""
-    column = column.fill_null("").cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return ends, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-
-
 def _places(n: int, start: int = 1) -> np.ndarray:
     return mix64(np.arange(start, start + n, dtype=U)) | U(1)
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, line_dedup, mixing, ngram_join, sharding, topk
+from . import bpe, fingerprint, language, line_dedup, mixing, ngram_join, sharding, topk
 from .common import table
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
+    found = [op1_improbable_features, op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
