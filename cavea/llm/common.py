@@ -95,3 +95,40 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     ``limit + 1`` rows ever reach the driver."""
     got = df.limit(limit + 1).collect()
     return got if len(got) <= limit else None
+
+
+def odd_weights(n: int, start: int = 1) -> np.ndarray:
+    return mix64(np.arange(start, start + n, dtype=np.uint64)) | np.uint64(1)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_ROW = [odd_weights(1 << 12)]
+
+
+def hashed_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and byte length of every word of a chunk of texts (stretches between
+    ASCII white space, A-Z in lower case), and each text's end among them."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    n = len(offsets) - 1
+    raw = np.empty(hi - lo + n, np.uint8)  # a space ends each text
+    at = np.arange(hi - lo) + np.repeat(np.arange(n), np.diff(offsets))
+    raw[at] = data[lo:hi]
+    ends = offsets[1:] - lo + np.arange(n)
+    raw[ends] = 32
+    space = _SPACE[raw]
+    edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
+    first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(first):
+        return np.zeros(0, np.uint64), stop - first, np.zeros(n, np.int64)
+    length = stop - first
+    if int(length.max()) > len(_ROW[0]):
+        _ROW[0] = odd_weights(int(length.max()))
+    held = ~space
+    place = np.arange(len(raw))[held] - np.repeat(first, length)
+    terms = (_FOLD[raw[held]].astype(np.uint64) + np.uint64(1)) * _ROW[0][place]
+    word = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(np.uint64))
+    cut = np.searchsorted(first, ends)
+    return word, length, cut

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, mix64, stored, utf8
+from .common import batch, hashed_words, mix64, odd_weights, stored, utf8
 from .graph import components
 
 WORDS = 3
@@ -40,41 +40,11 @@ BLOCK = 256
 U = np.uint64
 
 
-def _places(n: int, start: int = 1) -> np.ndarray:
-    return mix64(np.arange(start, start + n, dtype=U)) | U(1)
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_ROW = [_places(1 << 12)]
-
-
 def shingles(offsets: np.ndarray, data: np.ndarray, words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a chunk."""
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    n = len(offsets) - 1
-    raw = np.empty(hi - lo + n, np.uint8)  # a space ends each text
-    at = np.arange(hi - lo) + np.repeat(np.arange(n), np.diff(offsets))
-    raw[at] = data[lo:hi]
-    ends = offsets[1:] - lo + np.arange(n)
-    raw[ends] = 32
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
-    first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(first):
-        return [np.zeros(0, U)] * n
-    length = stop - first
-    if int(length.max()) > len(_ROW[0]):
-        _ROW[0] = _places(int(length.max()))
-    held = ~space
-    place = np.arange(len(raw))[held] - np.repeat(first, length)
-    terms = (_FOLD[raw[held]].astype(U) + U(1)) * _ROW[0][place]
-    word = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(U))
-    cut = np.searchsorted(first, ends)
+    word, _, cut = hashed_words(offsets, data)
     out, before = [], 0
-    weight = _places(words, 77)
+    weight = odd_weights(words, 77)
     for end in cut.tolist():
         own = word[before:end]
         before = end

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, line_dedup, mixing, ngram_join, sharding, topk
+from . import bpe, fingerprint, language, line_dedup, mixing, ngram_join, quality, sharding, site_tree, topk
 from .common import table
 
 
@@ -24,6 +24,15 @@ def op4_block_pruned_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_improbable_features, op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
+    found = [op1_improbable_features, op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op5_additive_quality, op6_site_style_tree, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
     return {f.__name__: f for f in found}
 
 
