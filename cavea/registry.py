@@ -2,12 +2,463 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
+from . import views
+from .config import VoidConfig
+from .functions import sequences, text
+from .functions.geometry import fib_sphere
+from .operators import catalog, metrics, reports, runs, selection, topology, voxels
+from .operators.steps import settled, shared_dir
+from .plans import annotate
+from .sources import sinks
+from .streaming import events as streams
+
 FLAGSHIP = "p02_annotate_volumes"
+SIZE = 0.04
+CFG = VoidConfig(voxel_size=SIZE, shells=False, slice_width=SIZE)
+SID = "structure_id"
+_QUERIES, _ORACLES = {}, {}
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _r(c: str, digits: int = 6) -> F.Column:
+    return F.round(c, digits).alias(c)
+
+
+# voxels
+
+POINTS = """WITH RECURSIVE p AS (
+  SELECT label::BIGINT AS structure_id, embedding[3*k+1]::DOUBLE AS x, embedding[3*k+2]::DOUBLE AS y, embedding[3*k+3]::DOUBLE AS z
+  FROM embeddings, range(21) t(k)),
+e AS (SELECT structure_id, min(x) ax, max(x) bx, min(y) ay, max(y) by_, min(z) az, max(z) bz FROM p GROUP BY 1),
+g AS (SELECT structure_id, (floor((bx-ax)/0.04)+1)::BIGINT nx, (floor((by_-ay)/0.04)+1)::BIGINT ny, (floor((bz-az)/0.04)+1)::BIGINT nz, ax, bx, ay, by_, az, bz FROM e),
+gr AS (SELECT structure_id, nx, ny, nz, ax-(nx*0.04::DOUBLE-(bx-ax))/2 lx, ay-(ny*0.04::DOUBLE-(by_-ay))/2 ly, az-(nz*0.04::DOUBLE-(bz-az))/2 lz FROM g)"""
+OCC = POINTS + """,
+o AS (SELECT DISTINCT structure_id, least(greatest(floor((x-lx)/0.04),0),nx-1)::BIGINT vx, least(greatest(floor((y-ly)/0.04),0),ny-1)::BIGINT vy, least(greatest(floor((z-lz)/0.04),0),nz-1)::BIGINT vz
+  FROM p JOIN gr USING (structure_id))"""
+BURIED = OCC + """,
+d AS (SELECT structure_id, nx, ny, nz, i // (ny*nz) vx, (i // nz) % ny vy, i % nz vz, i flat FROM (SELECT *, unnest(range(nx*ny*nz)) i FROM gr)),
+s AS (SELECT d.* FROM d ANTI JOIN o USING (structure_id, vx, vy, vz)),
+xl AS (SELECT structure_id, vy, vz, min(vx) lo, max(vx) hi FROM o GROUP BY ALL), yl AS (SELECT structure_id, vx, vz, min(vy) lo, max(vy) hi FROM o GROUP BY ALL), zl AS (SELECT structure_id, vx, vy, min(vz) lo, max(vz) hi FROM o GROUP BY ALL),
+f AS (SELECT s.structure_id, s.vx, s.vy, s.vz, s.flat, s.nx, s.ny, s.nz, coalesce(xl.lo<s.vx,false)::INT a, coalesce(xl.hi>s.vx,false)::INT b, coalesce(yl.lo<s.vy,false)::INT c, coalesce(yl.hi>s.vy,false)::INT d, coalesce(zl.lo<s.vz,false)::INT e, coalesce(zl.hi>s.vz,false)::INT f
+  FROM s LEFT JOIN xl USING (structure_id,vy,vz) LEFT JOIN yl USING (structure_id,vx,vz) LEFT JOIN zl USING (structure_id,vx,vy)),
+bur AS (SELECT structure_id, vx, vy, vz, flat, nx, ny, nz FROM f WHERE a+b+c+d+e+f > 4 OR (a+b+c+d+e+f = 4 AND (a+b=0 OR c+d=0 OR e+f=0)))"""
+STEPS = "(VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) st(dx,dy,dz)"
+EXPOSED = BURIED + f""",
+nb AS (SELECT structure_id, flat, vx, vy, vz, vx+dx ux, vy+dy uy, vz+dz uz, nx, ny, nz FROM bur, {STEPS}),
+ex AS (SELECT nb.* FROM nb WHERE ux>=0 AND ux<nx AND uy>=0 AND uy<ny AND uz>=0 AND uz<nz
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.structure_id=nb.structure_id AND o.vx=ux AND o.vy=uy AND o.vz=uz)
+  AND NOT EXISTS (SELECT 1 FROM bur b WHERE b.structure_id=nb.structure_id AND b.vx=ux AND b.vy=uy AND b.vz=uz))"""
+COMPS = """,
+lk AS (SELECT nb.structure_id, nb.flat a, b.flat b FROM nb JOIN bur b ON b.structure_id=nb.structure_id AND b.vx=ux AND b.vy=uy AND b.vz=uz),
+rc(structure_id, flat, other) AS (SELECT structure_id, flat, flat FROM bur UNION SELECT rc.structure_id, rc.flat, lk.b FROM rc JOIN lk ON lk.structure_id=rc.structure_id AND lk.a=rc.other),
+cc AS (SELECT structure_id, flat, min(other) comp FROM rc GROUP BY ALL)"""
+
+
+@query(POINTS + " SELECT structure_id, nx, ny, nz, round(lx,6) AS x, round(ly,6) AS y, round(lz,6) AS z FROM gr")
+def a01_grid_bounds(spark, d):
+    return voxels.grid_bounds(views.v_points(spark, d), SIZE).select(SID, "nx", "ny", "nz", *[F.round(f"lo.{c}", 6).alias(c) for c in "xyz"])
+
+
+def _occupied(spark, d):
+    points = views.v_points(spark, d)
+    grids = voxels.grid_bounds(points, SIZE)
+    return grids, voxels.occupied_voxels(points, grids)
+
+
+@query(OCC + " SELECT structure_id, vx, vy, vz, (vx*ny+vy)*nz+vz AS flat FROM o JOIN gr USING (structure_id)")
+def a02_occupied_voxels(spark, d):
+    return _occupied(spark, d)[1]
+
+
+@query(OCC + " SELECT structure_id, vx, vy, min(vz) AS low, max(vz) AS high FROM o GROUP BY ALL")
+def a03_axis_extents(spark, d):
+    return voxels.axis_extents(_occupied(spark, d)[1])["z"]
+
+
+@query(OCC + " SELECT structure_id, nx*ny*nz - (SELECT count(*) FROM o WHERE o.structure_id=gr.structure_id) AS solvent FROM gr")
+def j04_solvent_voxels(spark, d):
+    grids, occupied = _occupied(spark, d)
+    return voxels.solvent_voxels(grids, occupied).groupBy(SID).agg(F.count(F.lit(1)).alias("solvent"))
+
+
+@query(BURIED + " SELECT structure_id, vx, vy, vz, flat FROM bur")
+def f09_buried_voxels(spark, d):
+    grids, occupied = _occupied(spark, d)
+    return voxels.buried_voxels(occupied, grids)
+
+
+@query(EXPOSED + " SELECT DISTINCT structure_id, ux AS vx, uy AS vy, uz AS vz FROM ex")
+def j06_first_shell(spark, d):
+    grids, occupied, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
+    return voxels.first_shell(buried, occupied, grids)
+
+
+@query(EXPOSED + COMPS + " SELECT structure_id, flat, comp FROM cc")
+def g01_voxel_components(spark, d):
+    _, _, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
+    return topology.voxel_components(buried).select(SID, "flat", "comp")
+
+
+@query(EXPOSED + COMPS + """ SELECT structure_id, comp, count(*) AS num_voxels, round(count(*)*0.04::DOUBLE*0.04*0.04,9) AS volume,
+  round(avg(lx+(vx+0.5)*0.04),6) AS x, round(avg(ly+(vy+0.5)*0.04),6) AS y, round(avg(lz+(vz+0.5)*0.04),6) AS z
+  FROM cc JOIN bur USING (structure_id, flat) JOIN gr USING (structure_id) GROUP BY ALL""")
+def a04_component_size(spark, d):
+    grids, _, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
+    sizes = metrics.component_size(metrics.component_centers(topology.voxel_components(buried), grids), SIZE)
+    return sizes.select(SID, "comp", "num_voxels", F.round("volume", 9).alias("volume"), *[F.round(f"center.{c}", 6).alias(c) for c in "xyz"])
+
+
+@query(EXPOSED + COMPS + """ SELECT structure_id, comp, flat FROM cc JOIN bur USING (structure_id, flat)
+  WHERE vx=0 OR vy=0 OR vz=0 OR vx=nx-1 OR vy=ny-1 OR vz=nz-1 OR EXISTS (SELECT 1 FROM ex WHERE ex.structure_id=cc.structure_id AND ex.flat=cc.flat)""")
+def j07_direct_surface(spark, d):
+    grids, occupied, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
+    parts = settled(topology.voxel_components(buried))
+    return topology.direct_surface(parts, voxels.exposed_contacts(buried, occupied, grids), grids).select(SID, "comp", "flat")
+
+
+@query()
+def g05_typed_components(spark, d):
+    grids, occupied, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
+    types, _ = topology.typed_components(topology.voxel_components(buried), occupied, grids, CFG, voxels.exposed_contacts(buried, occupied, grids))
+    return types.select(SID, "comp", "num_voxels", "num_direct", "num_mouths", "type", "final_type")
+
+
+@query()
+def p02_annotate_volumes(spark, d):
+    return annotate.annotate_volumes(views.v_points(spark, d), CFG)[0].select(*annotate.ROW)
+
+
+@query()
+def a12_annotation_rollup(spark, d):
+    return metrics.annotation_rollup(annotate.annotate_volumes(views.v_points(spark, d), CFG)[0])
+
+
+@query()
+def s14_annotation_payload(spark, d):
+    return sinks.annotation_payload(annotate.annotate_volumes(views.v_points(spark, d), CFG)[0])
+
+
+@query("""SELECT vec_id, i::INT AS i, round(cos(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5)/8)),9) AS dx, round(sin(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5)/8)),9) AS dy, round(cos(acos(1-2*(i+0.5)/8)),9) AS dz
+  FROM embeddings, range(8) t(i)""")
+def x14_fib_sphere(spark, d):
+    points = views.table(spark, d, "embeddings").select("vec_id", F.posexplode(fib_sphere(F.lit(1.0), F.lit(8))).alias("i", "p"))
+    return points.select("vec_id", "i", *[F.round(f"p.{c}", 9).alias(c) for c in ("dx", "dy", "dz")])
+
+
+# catalog
+
+VOL = """WITH v AS (SELECT l_orderkey AS structure_id, CASE l_returnflag WHEN 'N' THEN 'pore' WHEN 'R' THEN 'pocket' ELSE 'cavity' END AS kind, l_extendedprice AS volume_a3,
+  list_reverse_sort([l_quantity, l_discount*100, l_tax*100]) AS l, l_discount AS circularity, l_tax AS uniformity,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ord FROM lineitem),
+r AS (SELECT structure_id, kind, volume_a3, l[1] AS length_a, l[3] AS min_diameter_a, l[2] AS max_diameter_a, circularity, uniformity, row_number() OVER (PARTITION BY structure_id, kind ORDER BY volume_a3 DESC, ord)::INT AS rank_in_kind FROM v)"""
+STR = """, st AS (SELECT o_orderkey AS structure_id, o_orderpriority AS run_id, 'o' || o_orderkey AS source_label, printf('%04X', o_orderkey % 65536) AS pdb_id, o_custkey % 7 AS num_chains, o_custkey AS num_residues,
+  o_custkey % 4 AS num_sequence_unique_chains, (o_orderkey % 100) / 100 AS frac_alpha, (o_orderkey % 50) / 50 AS frac_beta, (o_orderkey % 20) / 20 AS frac_coil FROM orders)"""
+AGG = ", ag AS (SELECT st.structure_id, " + ", ".join(
+    f"count(*) FILTER (WHERE kind='{k}') AS num_{catalog.PLURAL[k]}, " + ", ".join(f"max({m}) FILTER (WHERE kind='{k}' AND rank_in_kind=1) AS largest_{k}_{m}" for m in catalog.METRICS) for k in catalog.KINDS
+) + " FROM st LEFT JOIN r USING (structure_id) GROUP BY 1)"
+
+
+def _tables(spark, d) -> dict[str, DataFrame]:
+    structures = views.v_structures(spark, d)
+    volumes = catalog.rank_in_kind(catalog.indexable(views.v_volumes(spark, d)))
+    return {"structures": structures, "volumes": volumes, "structure_aggregates": catalog.kind_aggregates(structures, volumes), "renders": views.v_renders(spark, d), "structure_pdb_aliases": views.v_aliases(spark, d)}
+
+
+@query(VOL + " SELECT structure_id, kind, rank_in_kind, volume_a3, length_a, min_diameter_a, max_diameter_a, circularity, uniformity FROM r")
+def w02_rank_in_kind(spark, d):
+    return _tables(spark, d)["volumes"].drop("ord")
+
+
+@query(VOL + STR + AGG + " SELECT * FROM ag")
+def a14_kind_aggregates(spark, d):
+    return _tables(spark, d)["structure_aggregates"].drop("num_hubs", *[f"largest_hub_{m}" for m in catalog.METRICS])
+
+
+PAGE = ["structure_id", "run_id", "source_label", "num_chains", "largest_pore_volume_a3", "num_pores", "render_status"]
+STATUS = ", rn AS (SELECT o_orderkey AS structure_id, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'failed' ELSE 'done' END AS render_status FROM orders)"
+
+
+@query(VOL + STR + AGG + STATUS + """ SELECT structure_id, run_id, source_label, num_chains, largest_pore_volume_a3, num_pores, render_status FROM st JOIN ag USING (structure_id) LEFT JOIN rn USING (structure_id)
+  WHERE num_chains >= 2 AND frac_coil <= 0.6 ORDER BY largest_pore_volume_a3 DESC NULLS LAST, structure_id LIMIT 50 OFFSET 20""")
+def i02_catalog_page(spark, d):
+    return catalog.query_catalog(_tables(spark, d), limit=50, offset=20, chains_min=2, frac_coil_max=0.6)[0].select(*PAGE)
+
+
+@query(VOL + STR + AGG + " SELECT count(*) AS total FROM st JOIN ag USING (structure_id) WHERE num_pores >= 1 AND num_cavities <= 1 AND largest_pore_volume_a3 >= 10000")
+def a21_total_count(spark, d):
+    return catalog.query_catalog(_tables(spark, d), num_pores_min=1, num_cavities_max=1, pore_volume_min=10000, hub_volume_min=5)[1]
+
+
+@query(VOL + STR + AGG + " SELECT structure_id, num_residues, largest_pocket_volume_a3 FROM st JOIN ag USING (structure_id) WHERE largest_pocket_length_a >= 20 AND largest_pocket_min_diameter_a <= 5 AND largest_pocket_max_diameter_a >= 3 AND largest_pocket_circularity >= 0.02 AND frac_alpha <= 0.5")
+def f14_pocket_ranges(spark, d):
+    t = _tables(spark, d)
+    rows = catalog.filtered(t["structures"].join(t["structure_aggregates"], SID), pocket_length_min=20, pocket_dmin_max=5, pocket_dmax_min=3, pocket_circularity_min=0.02, frac_alpha_max=0.5)
+    return rows.select(SID, "num_residues", "largest_pocket_volume_a3")
+
+
+ALIAS = "(SELECT DISTINCT l_orderkey AS structure_id, printf('%04X', (l_partkey*37) % 65536) AS alias_pdb_id FROM lineitem)"
+
+
+@query("WITH x AS (SELECT 1)" + STR + f" SELECT structure_id, pdb_id FROM st WHERE contains(pdb_id, '0A') OR EXISTS (SELECT 1 FROM {ALIAS} a WHERE a.structure_id = st.structure_id AND contains(alias_pdb_id, '0A'))")
+def f20_id_contains(spark, d):
+    return catalog.id_contains(views.v_structures(spark, d), views.v_aliases(spark, d), " 0a ").select(SID, "pdb_id")
+
+
+@query("WITH q AS (SELECT DISTINCT o_orderpriority AS run_id FROM orders UNION ALL SELECT 'none') SELECT run_id, count(o_orderkey) AS num_structures FROM q LEFT JOIN orders ON o_orderpriority = run_id GROUP BY 1")
+def a22_list_runs(spark, d):
+    s = views.v_structures(spark, d)
+    known = s.select("run_id").distinct().unionByName(spark.createDataFrame([("none",)], "run_id string")).withColumn("created_at", F.lit("2024"))
+    return catalog.list_runs(known, s).select("run_id", "num_structures")
+
+
+@query(VOL + f""" SELECT o_orderkey AS structure_id, coalesce((SELECT count(*) FROM r WHERE r.structure_id = o_orderkey), 0) AS num_volumes,
+  (SELECT string_agg(kind || ':' || rank_in_kind, ',' ORDER BY kind, rank_in_kind) FROM r WHERE r.structure_id = o_orderkey) AS listed, coalesce((SELECT count(*) FROM {ALIAS} a WHERE a.structure_id = o_orderkey), 0) AS num_aliases FROM orders""")
+def i03_hit_detail(spark, d):
+    detail = catalog.hit_detail(_tables(spark, d))
+    listed = F.when(F.col("volumes").isNotNull(), F.array_join(F.transform("volumes", lambda v: F.concat(v["kind"], F.lit(":"), v["rank_in_kind"].cast("string"))), ","))
+    return detail.select(SID, F.coalesce(F.size("volumes"), F.lit(0)).cast("long").alias("num_volumes"), listed.alias("listed"), F.coalesce(F.size("aliases"), F.lit(0)).cast("long").alias("num_aliases"))
+
+
+@query("""SELECT o_orderkey AS structure_id, CASE WHEN o_orderkey % 10 <> 0 AND (o_orderstatus = 'P' OR o_orderstatus = 'F' OR (o_orderstatus = 'O' AND (o_orderkey % 5 = 0 OR o_orderkey % 3 <> 1))) THEN 'render' ELSE 'skip' END AS action
+  FROM orders WHERE o_orderkey % 10 <> 0""")
+def i04_plan_renders(spark, d):
+    return catalog.plan_renders(views.v_structures(spark, d), views.v_renders(spark, d), "h1", include_failed=True).select(SID, "action")
+
+
+@query("""SELECT o_orderkey AS structure_id, CASE WHEN o_orderkey IN (1, 6, 7) THEN 'pending' ELSE CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'failed' ELSE 'done' END END AS render_status,
+  CASE WHEN o_orderkey IN (1, 6, 7) THEN NULL ELSE 'h' || (o_orderkey % 3) END AS render_style_hash FROM orders""")
+def i05_rerender_targets(spark, d):
+    none = views.v_aliases(spark, d).filter("false")
+    return catalog.rerender_targets(views.v_structures(spark, d), none, views.v_renders(spark, d), ["O1", "o6", "0007"]).select(SID, "render_status", "render_style_hash")
+
+
+@query(f"""WITH a AS (SELECT structure_id, upper(alias_pdb_id) AS alias_pdb_id FROM {ALIAS}), own AS (SELECT o_orderkey AS structure_id, printf('%04X', o_orderkey % 65536) AS alias_pdb_id FROM orders)
+  SELECT structure_id, alias_pdb_id, CASE WHEN max(p) = 1 THEN 'canonical' ELSE 'cluster_member' END AS alias_source FROM (SELECT *, 1 AS p FROM own UNION ALL SELECT a.*, 0 FROM a JOIN own USING (structure_id)) GROUP BY 1, 2""")
+def e10_alias_union(spark, d):
+    members = views.v_aliases(spark, d).groupBy(SID).agg(F.array_union(F.sort_array(F.collect_list(F.lower("alias_pdb_id"))), F.array(F.lit("bad"), F.lit("no id"))).alias("cluster_member_pdb_ids"))
+    return catalog.aliases_of(views.v_structures(spark, d).select(SID, "pdb_id").join(members, SID, "left"))
+
+
+# selection
+
+LINES = """WITH RECURSIVE tk AS (SELECT p_partkey // 8 AS line, p_partkey AS k, CASE WHEN p_partkey % 9 = 0 THEN 'AF' ELSE printf('%04X', (p_partkey % 97 * 211) % 65536) END AS entry FROM part),
+ok AS (SELECT * FROM tk WHERE length(entry) = 4),
+rp AS (SELECT *, first(entry) OVER (PARTITION BY line ORDER BY k) AS rep_id FROM ok),
+fs AS (SELECT rep_id, entry AS member_id, min(k) AS k FROM rp GROUP BY ALL),
+hd AS (SELECT rep_id, row_number() OVER (ORDER BY min(k)) - 1 AS rep_ord FROM fs GROUP BY 1),
+mb AS (SELECT rep_id, rep_ord, member_id, row_number() OVER (PARTITION BY rep_id ORDER BY k) - 1 AS member_ord FROM fs JOIN hd USING (rep_id))"""
+
+
+@query(LINES + " SELECT * FROM mb")
+def x04_parse_members(spark, d):
+    return selection.parse_members(views.v_lines(spark, d)).select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"), "member_id", F.col("member_ord").cast("long").alias("member_ord"))
+
+
+@query(LINES + ", h AS (SELECT line, entry FROM tk QUALIFY row_number() OVER (PARTITION BY line ORDER BY k) = 1), s AS (SELECT entry AS rep_id, min(line) AS line FROM h WHERE length(entry) = 4 GROUP BY 1) SELECT rep_id, row_number() OVER (ORDER BY line) - 1 AS rep_ord FROM s")
+def x05_parse_reps(spark, d):
+    return selection.parse_reps(views.v_lines(spark, d)).select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"))
+
+
+@query(LINES + " SELECT DISTINCT rep_id, rep_ord FROM mb WHERE rep_ord % 3 = 1")
+def f35_shard_filter(spark, d):
+    reps = selection.parse_members(views.v_lines(spark, d)).select("rep_id", "rep_ord").distinct()
+    return selection.shard_filter(reps, 3, 1).select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"))
+
+
+META = """WITH m AS (SELECT event_id AS entry, event_type IN ('purchase', 'click') AS fits, CASE WHEN event_id % 11 <> 0 THEN (props->>'$.k')::INT / 10 END AS res, floor(value)::INT AS n FROM events),
+w AS (SELECT *, CASE WHEN NOT fits THEN 'experimental_method' WHEN res IS NULL THEN 'missing_resolution' WHEN res > 6.5 THEN 'resolution' WHEN n > 30 THEN 'residue_count' END AS reason FROM m)"""
+
+
+@query(META + " SELECT entry, reason FROM w")
+def f24_entry_filter(spark, d):
+    return selection.entry_filter(views.v_entry_meta(spark, d), None, 6.5, 30).select("entry", "reason")
+
+
+@query(META + ", c AS (SELECT *, sum((reason IS NULL)::INT) OVER (ORDER BY entry) AS s FROM w) SELECT entry, reason FROM c WHERE s - (reason IS NULL)::INT < 100")
+def w08_take_until_target(spark, d):
+    rows = selection.entry_filter(views.v_entry_meta(spark, d), None, 6.5, 30).withColumn("passed", F.col("reason").isNull())
+    return selection.take_until_target(rows, 100, "entry").select("entry", "reason")
+
+
+STORE = LINES + ", " + META.removeprefix("WITH ") + ", sr AS (SELECT printf('%04X', (entry % 97 * 211) % 65536) AS rep_id, entry % 13 = 0 AS neg, reason FROM w WHERE entry < 80), dc AS (SELECT DISTINCT hd.rep_id, hd.rep_ord, CASE WHEN neg IS NULL THEN 'metadata_missing' WHEN neg THEN 'metadata_negative' ELSE reason END AS reason FROM hd LEFT JOIN sr USING (rep_id))"
+
+
+@query(STORE + " SELECT rep_id, rep_ord, (SELECT string_agg(member_id, ',' ORDER BY member_ord) FROM mb WHERE mb.rep_id = dc.rep_id) AS members FROM dc WHERE reason IS NULL")
+def p06_select_representatives(spark, d):
+    meta = views.v_entry_meta(spark, d).filter("entry < 80")
+    store = meta.select(views.code4(F.col("entry") % 97 * 211).alias("pdb_id"), F.when(F.col("entry") % 13 == 0, "negative").otherwise("entry").alias("kind"), "exptl", "rcsb_entry_info")
+    selected, _, _ = selection.select_representatives(views.v_lines(spark, d), store, None, 6.5, 30)
+    return selected.select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"), F.array_join("cluster_member_pdb_ids", ",").alias("members"))
+
+
+# runs
+
+EV = "WITH v AS (SELECT user_id::VARCHAR AS source, ['planned','errors','skipped','results'][event_id % 4 + 1] AS section, event_id AS seq, event_type AS event, ts, '/in/' || (event_id % 7) AS input_path FROM events)"
+
+
+@query(EV + " SELECT source, section, seq FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY (section = 'planned')::INT, seq DESC) = 1")
+def w10_latest_state(spark, d):
+    return runs.latest_state(views.v_events(spark, d)).select("source", "section", "seq")
+
+
+@query(EV + " SELECT count(*) FILTER (WHERE section='results') AS num_processed, count(*) FILTER (WHERE section='errors') AS num_failed, count(*) FILTER (WHERE section='skipped') AS num_skipped, count(*) FILTER (WHERE section='planned') AS num_planned FROM v")
+def a24_run_counts(spark, d):
+    return runs.run_counts(views.v_events(spark, d))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (WHERE event_type IN ('view','error')) AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS s FROM events)
+  SELECT completed, failed, round(completed / s, 6) AS rate, round(completed * 100.0 / 100000, 1) AS percent FROM c""")
+def a33_progress(spark, d):
+    return runs.progress(views.v_events(spark, d), 100_000, ["view"], ["error"]).select("completed", "failed", _r("rate"), F.col("percent").cast("double").alias("percent"))
+
+
+@query("SELECT event_type AS event, count(*) AS events FROM events GROUP BY 1")
+def a34_event_outcomes(spark, d):
+    return runs.event_outcome_counts(views.v_events(spark, d))
+
+
+@query(EV + " SELECT source, input_path, section FROM v QUALIFY row_number() OVER (PARTITION BY source, input_path ORDER BY list_position(['errors','skipped','planned','results'], section), seq) = 1")
+def e05_replay(spark, d):
+    return runs.replay(views.v_events(spark, d).withColumn("ord", F.col("seq")), "all").select("source", "input_path", "section")
+
+
+@query("""SELECT 'o' || o_orderkey AS source, CASE o_orderkey % 8 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' WHEN 4 THEN 'invalid' WHEN 5 THEN 'invalid' WHEN 6 THEN 'terminal_skip' ELSE 'valid' END AS reason_kind,
+  CASE o_orderkey % 8 WHEN 6 THEN 'skip' WHEN 7 THEN 'skip' ELSE 'analyze' END AS action, o_orderkey % 8 IN (2,3,4,5) AS overwrite FROM orders""")
+def p07_resume_plan(spark, d):
+    k = F.col("o_orderkey")
+    base = views.table(spark, d, "orders").select(k.alias("k"), F.concat(F.lit("o"), k.cast("string")).alias("source"), F.concat(F.lit("/in/o"), k.cast("string")).alias("input_path"), text.output_paths(F.concat(F.lit("o"), k.cast("string")), "/out").alias("p"))
+    inputs = base.select("source", "input_path", "p.*")
+    case = F.col("k") % 8
+    named = F.when(case == 3, "other").otherwise(F.col("source"))
+    payload = F.concat(F.lit('{"source":"'), named, F.lit('","input_path":"x","output_structure_cif":"'), F.when(case == 4, "/elsewhere").otherwise(F.col("p.structure_output")), F.lit('","num_volumes":'), F.when(case == 5, "2").otherwise("1"), F.lit(',"volumes":[{}]}'))
+    payload = F.when(case == 2, "{oops").otherwise(payload)
+    made = base.filter("k % 8 not in (0, 6)")
+    files = made.select(F.col("p.structure_output").alias("path"), F.lit(9).alias("bytes"), F.lit(True).alias("is_file"), F.lit(None).cast("string").alias("payload"))
+    files = files.unionByName(made.filter("k % 8 <> 1").select(F.col("p.annotation_output").alias("path"), F.lit(9).alias("bytes"), F.lit(True).alias("is_file"), payload.alias("payload")))
+    record = F.struct(F.lit("terminal_skip").alias("kind"), F.lit("post_assembly_residue_limit").alias("reason"), "source", F.lit("biological").alias("assembly_policy"), "input_path", "p.structure_output", "p.annotation_output", F.lit(500).alias("actual_residues"))
+    records = base.filter("k % 8 = 6").select("source", record.alias("record"))
+    return runs.resume_plan(inputs, files, records, "biological", 300).select("source", "reason_kind", "action", "overwrite")
+
+
+# chains
+
+CHAIN = """WITH t AS (SELECT conv_id // 4 AS structure_id, conv_id::VARCHAR AS chain_id, turn, turn // 2 AS res, substr(role, 1, 3) AS res_name FROM conversations),
+f AS (SELECT *, lag(res) OVER (PARTITION BY structure_id, chain_id ORDER BY turn) AS was FROM t), b AS (SELECT * FROM f WHERE was IS NULL OR was <> res)"""
+
+
+@query(CHAIN + " SELECT structure_id, chain_id, string_agg(res_name, '-' ORDER BY turn) AS sequence FROM b GROUP BY 1, 2")
+def a18_chain_sequences(spark, d):
+    return sequences.chain_sequences(views.v_chains(spark, d)).select(SID, "chain_id", F.array_join("sequence", "-").alias("sequence"))
+
+
+@query(CHAIN + " SELECT structure_id, count(DISTINCT chain_id) AS num_chains, count(*) AS num_residues FROM b GROUP BY 1")
+def a17_structure_metrics(spark, d):
+    return sequences.structure_metrics(views.v_chains(spark, d)).select(SID, "num_chains", "num_residues")
+
+
+@query()
+def a19_unique_chains(spark, d):
+    return sequences.structure_metrics(views.v_chains(spark, d)).select(SID, F.col("num_sequence_unique_chains").alias("unique_chains"))
+
+
+# scalars and reports
+
+
+@query(r"""SELECT p_partkey, coalesce(nullif(lower(trim(regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9_\-]+', '_', 'g'), '_')), ''), 'structure') AS label,
+  CASE WHEN p_size < 1 THEN 'unknown' WHEN p_retailprice::BIGINT // 3600 > 0 THEN printf('%d:%02d:%02d', p_retailprice::BIGINT // 3600, p_retailprice::BIGINT % 3600 // 60, p_retailprice::BIGINT % 60) ELSE printf('%02d:%02d', p_retailprice::BIGINT // 60, p_retailprice::BIGINT % 60) END AS eta,
+  CASE WHEN regexp_matches(p_brand || p_size, '^[A-Za-z0-9]{4}$') THEN upper(p_brand || p_size) END AS entry FROM part""")
+def x10_scalars(spark, d):
+    p = views.table(spark, d, "part")
+    return p.select(
+        "p_partkey", text.sanitize_label(F.concat_ws("/", "p_name", "p_brand")).alias("label"), text.eta_text(F.when(F.col("p_size") >= 1, F.bround("p_retailprice"))).alias("eta"),
+        text.normalize_id(F.concat("p_brand", F.col("p_size").cast("string"))).alias("entry"),
+    )
+
+
+@query("SELECT page_id::VARCHAR AS source, CASE WHEN page_id % 17 = 0 THEN 'contains control byte 0x01' WHEN page_id % 13 = 0 OR coalesce(html, '') = '' THEN 'empty file' END AS reason FROM pages")
+def i06_scan_corruption(spark, d):
+    return reports.scan_corruption(views.v_bytes(spark, d))
+
+
+@query("SELECT event_type AS case_name, count(*) AS runs, round(avg(value),6) AS mean_seconds, round(min(value),6) AS min_seconds, round(max(value),6) AS max_seconds, round(max(user_id)::DOUBLE,3) AS max_rss_mb, 't' || (arg_max(event_id, event_id) % 5) AS largest_type FROM events GROUP BY 1")
+def a30_bench_summary(spark, d):
+    return reports.bench_summary(views.v_bench(spark, d))
+
+
+@query("""WITH e AS (SELECT event_type AS case_name, 's' || ((props->>'$.k')::INT % 5) AS stage, value / 2 AS s, value FROM events), w AS (SELECT case_name, count(*) AS n, avg(value) AS m FROM e GROUP BY 1),
+  a AS (SELECT case_name, stage, sum(s) AS s FROM (SELECT case_name, stage, s FROM e UNION ALL SELECT case_name, 'untracked', value - s FROM e) GROUP BY 1, 2)
+  SELECT case_name, stage, round(a.s / n, 4) AS mean, row_number() OVER (PARTITION BY case_name ORDER BY round(a.s / n, 6) DESC, stage)::INT AS rank FROM a JOIN w USING (case_name) QUALIFY rank <= 3""")
+def w16_stage_top_n(spark, d):
+    return reports.stage_top_n(reports.stage_means(views.v_bench(spark, d)), 3).select("case_name", "stage", F.round("mean", 4).alias("mean"), "rank")
+
+
+@query("WITH a AS (SELECT event_type AS case_name, round(avg(value),6) AS reference FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS case_name, round(avg(value),6) AS nw FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT case_name, round(nw / reference, 6) AS ratio, nw / reference <= 1.1 AS passed FROM a JOIN b USING (case_name)")
+def j22_perf_compare(spark, d):
+    b = views.v_bench(spark, d)
+    halves = [reports.bench_summary(b.filter(F.col("seq") % 2 == k)) for k in (0, 1)]
+    return reports.perf_compare(*halves).select("case_name", _r("ratio"), "passed")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS structure_id, l_returnflag AS type, l_extendedprice AS volume, l_quantity AS x, l_discount AS y, l_tax AS z, l_partkey AS id FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY type, volume DESC, x DESC, y DESC, z DESC, id)::INT AS row FROM x)
+  SELECT structure_id, row, structure_id % 5 <> 0 AS matches FROM n""")
+def j23_compare_annotations(spark, d):
+    li = views.table(spark, d, "lineitem")
+    one = li.select(F.col("l_orderkey").alias(SID), F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("volume"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), F.col("l_partkey").alias("id"))
+    other = one.withColumn("volume", F.col("volume") + F.when(F.col(SID) % 5 == 0, 1.0).otherwise(0.001))
+    return reports.compare_annotations(other, one).select(SID, "row", "matches")
+
+
+# streams
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, count(*) AS events FROM events GROUP BY 1, 2")
+def t02_stream_progress(spark, d):
+    feed = streams.event_stream(spark, d, EVENTS, "parquet", "events.parquet").select("ts", F.col("event_type").alias("event"))
+    return _ran(spark, streams.stream_progress(feed), "complete")
+
+
+def _ran(spark, stream: DataFrame, mode: str) -> DataFrame:
+    """A stream run over all there is; its last output written to the shared folder."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    job = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query(EV + " SELECT source, section, seq FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY (section = 'planned')::INT, seq DESC) = 1")
+def t01_stream_run_state(spark, d):
+    import uuid
+
+    at = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    feed = streams.event_stream(spark, d, EVENTS, "parquet", "events.parquet")
+    section = F.element_at(F.array(*map(F.lit, ["planned", "errors", "skipped", "results"])), (F.col("event_id") % 4 + 1).cast("int"))
+    states = feed.select(F.col("user_id").cast("string").alias("source"), section.alias("section"), F.col("event_id").alias("seq"))
+    streams.stream_run_state(states, f"{at}/state", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return streams.run_state(spark, f"{at}/state").select("source", "section", "seq")
