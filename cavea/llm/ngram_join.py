@@ -8,8 +8,9 @@ k up to 3 there is one part of k + 3 subparts, and each choice of 3 is one.) Lin
 sets thus share a signature; whatever shares one is compared exactly.
 
 Equal sets are one class from the start, so groups of copies are never compared
-within. Classes that share signatures form families; a family larger than ``BLOCK``
-is cut into blocks, and each task compares two blocks, so no task holds a large
+within. In a bucket of one signature, counts of elements by cell of the domain bound
+the difference from below; what can't link by that bound is not joined there. The
+rest forms families; a family larger than ``BLOCK`` is cut into blocks, and each task compares two blocks, so no task holds a large
 family. A task sends on a spanning forest of its links and the number of links of
 each class, never all pairs.
 
@@ -36,6 +37,9 @@ WORDS = 3
 PERCENT = 90
 #: Classes of a family that one task holds from each side.
 BLOCK = 256
+#: Cells by which candidates are held against the bound, and the widest bucket for that.
+CELLS = 128
+WIDE = 2048
 
 U = np.uint64
 
@@ -112,17 +116,23 @@ def _runs(column: pa.Array, words: int, limit: int = 1 << 20) -> Iterator[tuple[
         lo = hi
 
 
+def cells(s: np.ndarray) -> bytes:
+    """Elements of a set by ``CELLS`` cells of the domain, 255 at most. Two sets differ
+    in at least as many elements as their counts do in sum."""
+    return np.minimum(np.bincount(((s >> U(20)) % U(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and the 128 bits (h1, h2) of its set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """doc_id, n_shingles, the 128 bits (h1, h2) of its set and its cells."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, sets in _runs(b.column(1), words):
                 marks = [digest(s) for s in sets]
-                yield batch(schema, b.column(0).slice(lo, len(sets)), [len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks])
+                yield batch(schema, b.column(0).slice(lo, len(sets)), [len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], [cells(s) for s in sets])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, cells binary")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -153,12 +163,60 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, member long")
 
 
-def families(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) of the graph whose edges join each set to the least set with
-    which it shares a signature."""
-    least = F.min("member").over(W.partitionBy("sig").orderBy("member"))
-    edges = _signed(docs, words, percent).select("member", least.alias("least")).filter("member <> least")
-    return components(edges.select(F.col("member").alias("a"), F.col("least").alias("b")))
+def near(size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may link, by their sizes and cells: a matrix."""
+    m = len(size)
+    apart = np.empty((m, m), np.int64)
+    for i in range(m):
+        apart[i] = np.abs(counts - counts[i]).sum(1, dtype=np.int64)
+    return apart * (100 + percent) <= (size[:, None] + size[None, :]) * (100 - percent)
+
+
+def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges that span, in each bucket of a signature, the classes that may
+    link by their cells. In a bucket of over ``WIDE`` all hang on the least one."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def edges(rows: list[tuple]) -> tuple[list, list]:
+        rows = sorted({r[0]: r for r in rows}.values())
+        ids = [r[0] for r in rows]
+        if len(ids) > WIDE:
+            return ids[1:], [ids[0]] * (len(ids) - 1)
+        counts = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), CELLS).astype(np.int16)
+        label = _forest(near(np.array([r[1] for r in rows]), counts, percent))
+        moved = np.flatnonzero(label != np.arange(len(rows))).tolist()
+        return [ids[i] for i in moved], [ids[label[i]] for i in moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, rows, done = None, [], set()
+        for batch_ in batches:
+            a, b = [], []
+            for s, *row in zip(*(c.to_pylist() for c in batch_.columns)):
+                if s != sig:
+                    if len(rows) > 1:
+                        x, y = edges(rows)
+                        a, b = a + x, b + y
+                    sig, rows = s, []
+                rows.append(tuple(row))
+            new = set(zip(a, b)) - done
+            done = new if len(done) > 1_000_000 else done | new
+            if new:
+                yield batch(schema, *zip(*sorted(new)))
+        if len(rows) > 1:
+            yield batch(schema, *edges(rows))
+
+    return shared.select("sig", "member", "n_shingles", "cells").mapInArrow(run, "a long, b long")
+
+
+def families(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of classes joined by a shared signature and by cells that allow
+    a link. ``kinds``: h1, n_shingles, cells."""
+    bucket = W.partitionBy("sig")
+    signed = _signed(docs, words, percent).withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket)})
+    shared = signed.filter("_low <> _high").select("sig", "member")
+    held = shared.join(kinds.select(F.col("h1").alias("member"), "n_shingles", "cells"), "member")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return components(_bucket_edges(held.repartition(parts, "sig").sortWithinPartitions("sig", "member"), percent))
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -166,7 +224,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     label = np.arange(len(linked))
     far = len(linked)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], far).min(1))
+        low = np.concatenate([np.minimum(label[i : i + 256], np.where(linked[i : i + 256], label[None, :], far).min(1)) for i in range(0, far, 256)])
         low = low[low]
         if (low == label).all():
             return label
@@ -240,11 +298,11 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """Per document: n_shingles, component_id (the least doc_id reachable by links)
     and n_links (documents that it links with)."""
     info = stored(described(docs, words), "sets")
-    kinds = info.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    kinds = info.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"))
     kinds = stored(kinds, "classes")
-    grouped = families(docs, words, percent)
+    grouped = families(docs, kinds, words, percent)
     roots = grouped.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
-    owned = kinds.join(grouped.unionByName(roots).withColumnsRenamed({"node": "h1", "root": "family"}), "h1")
+    owned = kinds.select("h1", "rep", "copies").join(grouped.unionByName(roots).withColumnsRenamed({"node": "h1", "root": "family"}), "h1")
     sizes = owned.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     members = owned.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
@@ -258,7 +316,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     degree = found.groupBy("a").agg(F.sum("links").alias("links"))
     named = kinds.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
     named = named.select("h1", "h2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = info.join(named, ["h1", "h2"], "left")
+    out = info.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     apart = F.col("n_shingles") == 0
     return out.select(
         "doc_id", "n_shingles", F.when(apart, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
