@@ -105,3 +105,21 @@ def pseudo_atoms(annotations: DataFrame, component_voxels: DataFrame, grids: Dat
         SID, F.lit(1).alias("model"), F.lit("ATOM").alias("group_pdb"), pick(config.ELEMENTS).alias("atom_name"), pick(config.ELEMENTS).alias("element"), "res_name",
         F.col("id").alias("res_id"), F.lit("").alias("ins_code"), pick(config.CHAINS).alias("chain_id"), "x", "y", "z", F.when(F.col("is_surface"), 50.0).otherwise(0.0).alias("b_factor"), "flat",
     )
+
+
+def volumize_and_save(spark, paths: list[str], folder: str, cfg: VoidConfig = VoidConfig(), assembly: str = "auto") -> DataFrame:
+    """Reads structures, writes atoms with volumes as PDB lines and annotations as JSON
+    columns under ``folder``, and returns the annotations."""
+    from ..sources import sinks
+    from ..sources.structures import load_structures
+
+    atoms = settled(prep.prepare(load_structures(spark, paths, assembly), cfg))
+    points = prep.project_coords(atoms)
+    annotations, shown = annotate_volumes(points, cfg)
+    grids = voxels.grid_bounds(prep.expand_shells(points, cfg.voxel_size) if cfg.shells else points, cfg.voxel_size)
+    extra = pseudo_atoms(annotations, shown, grids).withColumnRenamed("flat", "atom_seq").withColumn("part", F.lit(1))
+    chains = prep.volume_chain_ids(atoms).withColumnsRenamed({"code": "res_name", "chain_id": "_chain"})
+    extra = extra.join(chains, [SID, "res_name"]).withColumn("chain_id", F.col("_chain")).drop("_chain")
+    sinks.write_annotated_pdb(atoms.withColumn("part", F.lit(0)).unionByName(extra), f"{folder}/pdb")
+    sinks.write_annotation_columnar(annotations, f"{folder}/annotations")
+    return annotations

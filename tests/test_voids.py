@@ -169,3 +169,11 @@ def test_errors():
     with pytest.raises(ValueError):
         VoidConfig(connectivity="7")
     assert math.isclose(VoidConfig().voxel_size, 3.0)
+
+
+def test_saved_structures(spark, tmp_path):
+    found = annotate.volumize_and_save(spark, [f"{PDBS}/cavity.pdb"], str(tmp_path), VoidConfig(voxel_size=2.0))
+    text = spark.read.text(f"{tmp_path}/pdb", wholetext=True).first().value
+    codes = {line[17:20] for line in text.splitlines() if line.startswith("ATOM")}
+    assert "CAV" in codes and "ALA" in codes and text.count("END") == 2
+    assert spark.read.text(f"{tmp_path}/annotations").count() == 1 and found.count() >= 1
