@@ -180,10 +180,14 @@ class Vocabulary:
 
 
 class Codec:
-    """Encodes and decodes whole texts; keeps the ids of at most ``keep`` words."""
+    """Encodes and decodes whole texts. The ids of recent words are kept in two
+    generations of at most ``keep`` words each: what is met again moves to the new
+    one, and the old one goes when the new is full."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 600_000):
-        self.v, self.keep, self.seen = vocabulary, keep, {s: (1, str(i), s) for s, i in vocabulary.special.items()}
+    def __init__(self, vocabulary: Vocabulary, keep: int = 120_000):
+        self.v, self.keep = vocabulary, keep
+        self.special = {s: (1, str(i), s) for s, i in vocabulary.special.items()}
+        self.seen, self.old = dict(self.special), {}
 
     def _words(self, text: str) -> list[str]:
         v = self.v
@@ -203,17 +207,18 @@ class Codec:
             least = size
             for lo in range(0, len(some), LANES):
                 lanes = some[lo : lo + LANES]
-                for i, entry in zip(lanes, map(self._entry, v.many_ids([raw[i] for i in lanes], size))):
-                    seen[words[i]] = entry
+                for i, ids in zip(lanes, v.many_ids([raw[i] for i in lanes], size)):
+                    seen[words[i]] = self._entry(ids, words[i])
         for i in order[length[order] > least].tolist():
-            longer[words[i]] = self._entry(v.word_ids(raw[i]))
+            longer[words[i]] = self._entry(v.word_ids(raw[i]), words[i])
         return longer
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str | bytes]:
+    def _entry(self, ids: list[int], word: str) -> tuple[int, str, str | bytes]:
         back = b"".join([self.v.bytes_of[i] for i in ids])
         named = ",".join([self.v.name_of[i] for i in ids])
         try:
-            return len(ids), named, back.decode()
+            text = back.decode()
+            return len(ids), named, word if text == word else text  # one string in memory, not two
         except UnicodeDecodeError:
             return len(ids), named, back
 
@@ -221,11 +226,13 @@ class Codec:
         """Per text: number of ids, ids as decimals joined by commas, and the text
         decoded from those ids."""
         words = [self._words(t) for t in texts]
-        fresh = set().union(*words)
-        if len(self.seen) + len(fresh - self.seen.keys()) > self.keep:
-            self.seen = {w: e for w, e in self.seen.items() if w in self.v.special}
-        fresh.difference_update(self.seen)
-        longer, seen = self._learn(fresh), self.seen
+        fresh = set().union(*words).difference(self.seen)
+        if len(self.seen) > self.keep:
+            self.old, self.seen = self.seen, dict(self.special)
+            fresh = set().union(*words).difference(self.seen)
+        known = fresh.intersection(self.old)
+        self.seen.update((w, self.old[w]) for w in known)
+        longer, seen = self._learn(fresh - known), self.seen
         if longer:
             seen = ChainMap(seen, longer)
         out = []
@@ -304,7 +311,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         c, sha = codec(path), hashlib.sha256
         for b in batches:
             texts = strings(b.column(1))
-            for lo, hi in chunks(texts, 1 << 22):
+            for lo, hi in chunks(texts):
                 done = c.round_trips(texts[lo:hi])
                 yield batch(
                     DIGEST, b.column(0).slice(lo, hi - lo), [n for n, _, _ in done],

@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Python workers take so many UTF-8 bytes of text at a time; bounds their memory.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Python workers get fewer rows at a time than by default, as rows are texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,8 +54,21 @@ def parts_for(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that columns added beside it can't clash."""
+    return F.struct(*own_columns(df)).alias("_row")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def chunks(texts: list, limit: int = CHUNK_BYTES):

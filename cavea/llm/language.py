@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch, chunks, strings
+from .common import batch, chunks, fresh, strings
 
 UNKNOWN = "und"
 #: The sample: so many pieces of so many characters for each language, from
@@ -207,4 +207,5 @@ def with_language(docs: DataFrame, sample: dict[str, list[str]], text: str = "te
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents that have a language: those without letters go."""
-    return with_language(docs, train(docs), out="_lang_pred").filter(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred")
+    name = fresh(docs, "_lang_pred")
+    return with_language(docs, train(docs), out=name).filter(F.col(name) != UNKNOWN).drop(name)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, mix64, small_rows, stored, strings
+from .common import batch, mix64, small_rows, stored, strings, whole_row
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -204,20 +204,21 @@ def _index(shared) -> LineIndex:
 
 
 def _marked(docs: DataFrame, min_chars: int, min_docs: int, limit: int) -> tuple[DataFrame, object]:
-    """(documents with the hashes to drop where these were joined, broadcast or None)."""
+    """(_row, _doc, _text and, where hashes to drop were joined, _gone; broadcast or None)."""
+    rows_of = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"))
     table = stored(frequent(count_lines(docs, min_chars), min_docs), "frequent-lines")
     rows = small_rows(table.select("hash", "last_doc"), limit)
     if rows is not None:
         rows.sort()
         packed = b"".join(bytes(r[0]) for r in rows), np.array([r[1] for r in rows], np.int64).tobytes()
-        return docs, docs.sparkSession.sparkContext.broadcast((hashlib.md5(packed[0] + packed[1]).hexdigest(), *packed))
+        return rows_of, docs.sparkSession.sparkContext.broadcast((hashlib.md5(packed[0] + packed[1]).hexdigest(), *packed))
     # Too many to hold in a task: lines meet the table by shuffle, on the line's hash.
     gone = (
         _hash_rows(docs, min_chars).join(table.select("hash", "last_doc"), "hash")
         .filter(F.col("doc_id") != F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("hash").alias("_gone"))
         .withColumnRenamed("doc_id", "_doc")
     )
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc"), None
+    return rows_of.join(gone, "_doc", "left"), None
 
 
 def _decide(text: str, doc, gone, shared, min_chars: int) -> np.ndarray | list[bool]:
@@ -243,7 +244,7 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                 out.append((doc, len(dropped), int(sum(dropped)), hashlib.sha256(kept).hexdigest()))
             yield batch(schema, *(zip(*out) if out else ([],) * 4))
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(["_gone"] if shared is None else [])]
+    columns = ["_doc", "_text", *(["_gone"] if shared is None else [])]
     return marked.select(*columns).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -257,7 +258,8 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         return pd.Series([None if t is None else kept_text(t, _decide(t, d, g, shared, min_chars)) for d, t, g in zip(ids, texts, gone)], dtype=object)
 
     own = F.col("_gone") if shared is None else F.lit(None).cast("array<binary>")
-    return marked.withColumn("text", without(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text"), own)).select(*docs.columns)
+    made = marked.withColumn("_kept", without(F.coalesce("_doc", F.lit(NO_ID)), F.col("_text"), own))
+    return made.select(F.col("_row").withField("text", F.col("_kept")).alias("_row")).select("_row.*")
 
 
 ORACLE = """

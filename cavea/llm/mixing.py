@@ -22,10 +22,13 @@ from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import whole_row
 from .sharding import SLICES, ranked, shuffle_key
 
 PERIOD = 1000
 BLOCK_ROWS = 16
+#: The schedule is broadcast up to so many rows (64 bytes each); beyond it is joined.
+BROADCAST_ROWS = 200_000
 
 
 def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -92,12 +95,10 @@ def natural_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = 0, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``docs`` (narrow columns best) with ``mix_slot``, the slot of the row's block,
-    and ``mix_pos``, which orders all rows; the target weights default to the square
-    root of each source's rows."""
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = 0, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+    """(_row, mix_slot, mix_pos) of each row."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    ready = docs.withColumns({"_key": shuffle_key(seed, key), "_source": name})
+    ready = docs.select(whole_row(docs), shuffle_key(seed, key).alias("_key"), name.alias("_source"), F.col(key).alias("_id"))
     counts = {r[0]: r[1] for r in ready.groupBy("_source").count().collect()}  # one row a source
     if weights is None:
         target = natural_weights(counts)
@@ -105,18 +106,27 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
         given = {"null" if s is None else "=" + s: w for s, w in weights.items()}
         mean = sum(given.values()) / max(1, len(given)) or 1.0
         target = {s: max(given.get(s, mean), 1e-9) for s in counts}
-    table = docs.sparkSession.createDataFrame(phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period), SCHEDULE)
-    own = ranked(ready, ["_source"], F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") * SLICES / F.lit(256), [F.col("_key"), F.col(key)], "_rank")
+    rows = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period)
+    table = docs.sparkSession.createDataFrame(rows, SCHEDULE)
+    sent = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda df: df
+    own = ranked(ready, ["_source"], F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") * SLICES / F.lit(256), [F.col("_key"), F.col("_id")], "_rank")
     own = own.withColumn("_block", F.floor((F.col("_rank") - 1) / block_rows))
     # the phase of a block: its source's spans are few, and sorted
     spans = table.groupBy("_source").agg(F.sort_array(F.collect_set(F.struct("_from", "_to", "_a", "_start", "_length"))).alias("_spans"))
-    placed = own.join(F.broadcast(spans), "_source")  # sources x phases, from the driver's own table
+    placed = own.join(sent(spans), "_source")
     placed = placed.withColumn("_span", F.element_at(F.filter("_spans", lambda x: (x["_from"] <= F.col("_block")) & (F.col("_block") < x["_to"])), 1))
     since = F.col("_block") - F.col("_span._from")
     placed = placed.withColumns({"_from": F.col("_span._from"), "_j": since % F.col("_span._a"), "_round": F.floor(since / F.col("_span._a"))})
-    placed = placed.join(F.broadcast(table.select("_source", "_from", "_j", "_t")), ["_source", "_from", "_j"])
+    placed = placed.join(sent(table.select("_source", "_from", "_j", "_t")), ["_source", "_from", "_j"])
     slot = F.col("_span._start") + F.col("_round") * F.col("_span._length") + F.col("_t")
-    return placed.withColumn("mix_slot", slot).withColumn("mix_pos", F.col("mix_slot") * block_rows + (F.col("_rank") - 1) % block_rows).select(*docs.columns, "mix_slot", "mix_pos")
+    return placed.select("_row", slot.alias("mix_slot"), (slot * block_rows + (F.col("_rank") - 1) % block_rows).alias("mix_pos"))
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, **settings) -> DataFrame:
+    """``docs`` (narrow columns best) with ``mix_slot``, the slot of the row's block,
+    and ``mix_pos``, which orders all rows; the target weights default to the square
+    root of each source's rows."""
+    return _placed(docs, weights, **settings).select("_row.*", "mix_slot", "mix_pos")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -127,5 +137,4 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def in_mix_order(docs: DataFrame) -> DataFrame:
     """``docs`` sorted by their place in the mixture; all rows and columns stay."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = mixed(docs)
-    return placed.repartitionByRange(parts, "mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
+    return _placed(docs).repartitionByRange(parts, "mix_pos").sortWithinPartitions("mix_pos").select("_row.*")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, hashed_words, mix64, odd_weights, stored, utf8
+from .common import batch, fresh, hashed_words, mix64, odd_weights, stored, utf8
 from .graph import components
 
 WORDS = 3
@@ -326,8 +326,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component left, that of the least id."""
-    gone = classes(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = classes(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 ORACLE = r"""

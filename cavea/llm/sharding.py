@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import whole_row
+
 #: Slices of the shuffle key for one source, and of the global order.
 SLICES = 256
 CUTS = 4096
@@ -51,21 +53,21 @@ def interleaved(df: DataFrame, source: str = "source", key: str = "doc_id", seed
     """``df`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (from 0, gapless
     in each shard). ``df`` should hold narrow columns only; wide ones are better
     joined afterwards."""
-    ready = df.withColumns({"_key": shuffle_key(seed, key), "_source": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))})
+    named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+    ready = df.select(whole_row(df), shuffle_key(seed, key).alias("_key"), named.alias("_source"), F.col(key).alias("_id"))
     first_byte = F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")
-    own = ranked(ready, ["_source"], first_byte * SLICES / F.lit(256), [F.col("_key"), F.col(key)], "_rank")
+    own = ranked(ready, ["_source"], first_byte * SLICES / F.lit(256), [F.col("_key"), F.col("_id")], "_rank")
     own = own.withColumn("_part", (2 * F.col("_rank") - 1) / (2 * F.col("_rank_of")))
-    tie = [F.col("_part"), F.col("_key"), F.col(key), F.col("_source"), F.col("_rank")]
+    tie = [F.col("_part"), F.col("_key"), F.col("_id"), F.col("_source"), F.col("_rank")]
     placed = ranked(own, [], F.floor(F.col("_part") * CUTS), tie, "_place")
     # the first (rows mod n_shards) shards hold one row more than the others
     at, short = F.col("_place") - 1, F.floor(F.col("_place_of") / n_shards)
     more = F.col("_place_of") % n_shards
     edge = more * (short + 1)
     early = at < edge
-    return placed.withColumns({
-        "shard": F.when(early, F.floor(at / (short + 1))).otherwise(more + F.floor((at - edge) / F.greatest(short, F.lit(1)))).cast("int"),
-        "slot": F.when(early, at % (short + 1)).otherwise((at - edge) % F.greatest(short, F.lit(1))).cast("long"),
-    }).drop("_key", "_source", "_rank", "_rank_of", "_part", "_place", "_place_of")
+    shard = F.when(early, F.floor(at / (short + 1))).otherwise(more + F.floor((at - edge) / F.greatest(short, F.lit(1))))
+    slot = F.when(early, at % (short + 1)).otherwise((at - edge) % F.greatest(short, F.lit(1)))
+    return placed.select("_row.*", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def shard_report(docs: DataFrame, n_shards: int = 40, seed: int = 0) -> DataFrame:
