@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import reachable
+
 #: Python workers take so many UTF-8 bytes of text at a time; bounds their memory.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch.
@@ -16,7 +18,9 @@ BATCH_ROWS = 1000
 
 
 def bounded(spark: SparkSession) -> None:
-    """Python workers get fewer rows at a time than by default, as rows are texts."""
+    """Python workers get fewer rows at a time than by default, as rows are texts, and
+    find this package."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
