@@ -36,7 +36,7 @@ from .graph import components
 WORDS = 3
 PERCENT = 90
 #: Classes of a family that one task holds from each side.
-BLOCK = 256
+BLOCK = 1024
 #: Cells by which candidates are held against the bound, and the widest bucket for that.
 CELLS = 128
 WIDE = 2048
@@ -199,7 +199,7 @@ def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
                     sig, rows = s, []
                 rows.append(tuple(row))
             new = set(zip(a, b)) - done
-            done = new if len(done) > 1_000_000 else done | new
+            done = new if len(done) > 200_000 else done | new
             if new:
                 yield batch(schema, *zip(*sorted(new)))
         if len(rows) > 1:
@@ -245,9 +245,9 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     common = np.zeros((len(left), len(right)))
     if len(code):
         code = np.cumsum(np.concatenate(([True], code[1:] != code[:-1]))) - 1
-        for start in range(0, int(code[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(code, [start, start + 4096])
-            held = np.zeros((len(sets), 4096), np.float32)
+        for start in range(0, int(code[-1]) + 1, 2048):
+            lo, hi = np.searchsorted(code, [start, start + 2048])
+            held = np.zeros((len(sets), 2048), np.float32)
             held[owner[lo:hi], code[lo:hi] - start] = 1
             common += held[left] @ held[right].T
     union = size[left][:, None] + size[right][None, :] - common
