@@ -3,12 +3,15 @@
 The DOMs of a host's pages are merged by style path (tags and classes from the root).
 For each node of the merged tree the entropy, over the pages, of its child styles
 (presentation) and of its text (content) is normalised by the number of pages: a menu
-that repeats has none, an article that differs each time has all. The importance of
-a node also leans on what its style names: an article is main text, a footer isn't.
-Branches of low importance are cut from each page.
+that repeats has none, an article that differs each time has all. Pages that repeat
+as a whole say nothing of their parts: entropy is taken relative to the host's whole
+pages. The importance of a node also leans on what its style names. Entropy overrules
+a class or id word that sets a node apart, and an article that repeats; it doesn't
+overrule elements such as nav and footer. Branches of low importance are cut from
+each page; where an article stays, so is what is outside it.
 
 Node counts are summed over (host, path, digest) rows with partial sums, so a large
-host is no large task. Only paths of low importance go back to the pages.
+host is no large task. Only paths whose names are overruled go back to the pages.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as
 browsers do in the main (open elements end with their parent); text outside every
@@ -29,10 +32,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch, small_rows, stored, strings
 
 #: Weight of a style's name against entropy, and the importance that stays.
-LEAN, KEEP = 0.6, 0.45
+LEAN, KEEP = 0.4, 0.45
+#: What names say: an element apart (never overruled), a word apart, nothing, main text.
+NEVER, APART_LEAN, OPEN, TEXT = -1.0, 0.0, 0.5, 1.0
 #: Pages of a host from which entropy counts.
 PAGES = 4
-#: Low paths up to this number travel to the tasks; beyond it pages are joined by host.
+#: Overruled paths up to this number travel to the tasks; beyond it pages are joined by host.
 BROADCAST_PATHS = 100_000
 
 # Elements and class words by their part in a page.
@@ -50,6 +55,8 @@ APART_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social comment comments disqus replies reply discussion related recommended recommendations "
     "widget pagination pager paging login search copyright legal skip toolbar masthead topbar".split()
 )
+#: Elements that hold the whole page: words in their class say nothing.
+WHOLE = frozenset("html body".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("html body div section article main aside nav header footer form ul ol dl table td th blockquote fieldset figure details".split())
 
@@ -75,9 +82,10 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int]] = []
-        self.label, self.parent, self.path, self.lean = ["#"], [-1], [0], [0.5]
+        self.label, self.parent, self.path, self.lean = ["#"], [-1], [0], [OPEN]
         self.children: list[list[str]] = [[]]
-        self.has_main = False
+        # by node: within an article; within something apart; an outermost article
+        self.inside, self.under, self.root = [False], [False], [False]
         self._read(source)
 
     def _open(self, stack: list[tuple[str, int]], tag: str, label: str, apart: bool) -> int:
@@ -88,17 +96,33 @@ class Page:
         self.label.append(label)
         self.parent.append(above)
         self.path.append(_digest(f"{self.path[above]}/{label}"))
-        inside = self.lean[above]
-        if inside == 0 or apart or tag in APART or (tag == "header" and inside < 1):
-            lean = 0.0
+        apart = apart and tag not in WHOLE
+        inside, under = self.inside[above], self.under[above]
+        if tag in APART or (tag == "header" and not inside):
+            lean = NEVER
+        elif apart:
+            lean = OPEN if tag in MAIN and not inside else APART_LEAN
         elif tag in MAIN:
-            lean, self.has_main = 1.0, True
+            lean = OPEN if under else TEXT
         else:
-            lean = inside
+            lean = max(self.lean[above], OPEN)
+        under = under or apart or lean == NEVER
+        self.root.append(tag in MAIN and not inside and not self._shut_off(above))
+        self.inside.append(inside or lean == TEXT)
+        self.under.append(under)
         self.lean.append(lean)
         stack.append((tag, node))
         return node
 
+    def _shut_off(self, node: int) -> bool:
+        """Whether an article there is no main text: in a menu, footer or the like,
+        though not in a form, as whole pages may stand in one."""
+        while node >= 0:
+            if self.lean[node] == NEVER and self.label[node].split(".")[0] != "form":
+                return True
+            node = self.parent[node]
+        return False
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
         words: list[str] = []
@@ -164,12 +188,6 @@ class Page:
             if stack[i][0] in HOLDS:
                 return
 
-    def leaning(self, node: int) -> float:
-        """0 apart, 1 main text, else undecided: on a page with an article, what is
-        outside it is apart."""
-        lean = self.lean[node]
-        return 0.0 if self.has_main and lean < 1 else lean
-
     def merged(self) -> list[tuple[int, float, int, int]]:
         """(path, leaning, presentation digest, content digest) of each path."""
         texts: list[list[str]] = [[] for _ in self.label]
@@ -179,34 +197,23 @@ class Page:
                 node = self.parent[node]
         out: dict[int, list] = {}
         for node, path in enumerate(self.path):
-            own = out.setdefault(path, [self.leaning(node), [], []])
-            own[0] = max(own[0], self.leaning(node))
+            own = out.setdefault(path, [self.lean[node], [], []])
             own[1] += self.children[node]
             own[2] += texts[node]
         return [(path, lean, _digest(">".join(shape)), _digest("\n".join(words))) for path, (lean, shape, words) in out.items()]
 
-    def text(self, low: set[tuple[int, float]]) -> str:
+    def text(self, overruled: set[int]) -> str:
         """The blocks none of whose nodes is of low importance, one a line."""
-        cut = [False] * len(self.label)
-        for node in range(len(self.label)):
-            above = self.parent[node]
-            cut[node] = (above >= 0 and cut[above]) or (self.path[node], self.leaning(node)) in low
-            if not cut[node] and self.leaning(node) == 0 and node and not self._leads_to_main(node):
-                cut[node] = importance(0.0, 1.0) < KEEP
-        loose = self.has_main  # bare text beside an article
-        return "\n".join(t for t, node in self.blocks if not cut[node] and not (loose and self.lean[node] < 1))
-
-    def _leads_to_main(self, node: int) -> bool:
-        if not hasattr(self, "_lead"):
-            self._lead = set()
-            for k, lean in enumerate(self.lean):
-                while lean == 1 and k >= 0 and k not in self._lead:
-                    self._lead.add(k)
-                    k = self.parent[k]
-        return node in self._lead
-
-
-def importance(lean: float, entropy: float) -> float:
+        low = [(lean <= APART_LEAN) != (path in overruled) for lean, path in zip(self.lean, self.path)]
+        main = any(root and inside and not cut for root, inside, cut in zip(self.root, self.inside, low))
+        for node in range(1, len(low)):
+            # an article stays in what is apart, unless the page has another
+            stays = self.root[node] and (self.inside[node] or not main)
+            low[node] = low[node] or (low[self.parent[node]] and not stays)
+        return "\n".join(t for t, node in self.blocks if not low[node] and (self.inside[node] or not main))
+
+
+def importance(lean, entropy):
     return LEAN * lean + (1 - LEAN) * entropy
 
 
@@ -217,9 +224,9 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
 
 
-def low_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, lean) of the merged trees' nodes of low importance that may
-    stand above main text; the others are low by their style alone."""
+def overruled_paths(pages: DataFrame) -> DataFrame:
+    """(host, path) of the merged trees' nodes where entropy overrules the name: open
+    or main ones of low importance, and ones set apart by a word of high importance."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("lean", pa.float64()), ("shape", pa.int64()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,26 +240,29 @@ def low_paths(pages: DataFrame) -> DataFrame:
     both = nodes.select("host", "path", "lean", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("side"), F.col("words").alias("value")))).alias("d"))
     counts = both.groupBy("host", "path", "lean", "d.side", "d.value").agg(F.count(F.lit(1)).alias("c"))
     spread = counts.groupBy("host", "path", "lean", "side").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    entropy = F.when(F.col("m") < PAGES, 1.0).otherwise(1 - F.col("s") / (F.col("m") * F.log2("m")))
+    entropy = spread.filter(F.col("m") >= PAGES).withColumn("e", 1 - F.col("s") / (F.col("m") * F.log2("m")))
     # a node matters if either its presentation or its content does
-    node = spread.withColumn("e", entropy).groupBy("host", "path", "lean").agg(F.max("e").alias("e"))
-    return node.filter((LEAN * F.col("lean") + (1 - LEAN) * F.col("e") < KEEP) & (F.col("lean") > 0)).select("host", "path", "lean")
+    node = entropy.groupBy("host", "path", "lean").agg(F.max("e").alias("e"))
+    whole = entropy.filter("path = 0 and side = 1 and e > 1e-9").select("host", F.col("e").alias("whole"))
+    weight = importance(F.col("lean"), F.least(F.col("e") / F.col("whole"), F.lit(1.0)))
+    turned = F.when(F.col("lean") > APART_LEAN, weight < KEEP).otherwise(weight >= KEEP)
+    return node.filter("path <> 0").join(whole, "host").filter(turned).select("host", "path")
 
 
 def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = stored(low_paths(pages), "low-paths")
+    low = stored(overruled_paths(pages), "overruled-paths")
     ready = _with_host(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host")
     rows = small_rows(low, limit)
     shared = None
     if rows is not None:
         by_host: dict[str, set] = {}
         for r in rows:
-            by_host.setdefault(r.host, set()).add((r.path, r.lean))
+            by_host.setdefault(r.host, set()).add(r.path)
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
-        ready = ready.withColumn("low", F.lit(None).cast("array<struct<path:bigint,lean:double>>"))
+        ready = ready.withColumn("low", F.lit(None).cast("array<bigint>"))
     else:
-        packed = low.groupBy("host").agg(F.collect_set(F.struct("path", "lean")).alias("low"))
+        packed = low.groupBy("host").agg(F.collect_set("path").alias("low"))
         ready = ready.join(packed, "host", "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -260,7 +270,7 @@ def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
         for b in batches:
             texts = []
             for source, host, own in zip(strings(b.column(2)), strings(b.column(3)), b.column(4).to_pylist()):
-                known = shared.value.get(host, frozenset()) if shared is not None else {(x["path"], x["lean"]) for x in own or ()}
+                known = shared.value.get(host, frozenset()) if shared is not None else set(own or ())
                 texts.append(Page(source).text(known))
             yield batch(schema, b.column(0), b.column(1), texts, [len(t) for t in texts])
 

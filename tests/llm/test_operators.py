@@ -261,6 +261,29 @@ def test_low_entropy_branches_go(spark):
     assert {r.text for r in site_tree.main_text(df).collect()} == {f"Story {i} of {i}\nand {i}" for i in range(12)}
 
 
+def site_texts(spark, page, n=12):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i)) for i in range(n)], "page_id long, url string, html string")
+    return [r.text for r in site_tree.main_text(df).orderBy("page_id").collect()]
+
+
+def test_entropy_overrules_names(spark):
+    story = "<p>Story {0} of {0}</p>"
+    want = [f"Story {i} of {i}" for i in range(12)]
+    for page in (
+        f"<body class='has-sidebar'><nav>Menu</nav><div>{story}</div><footer>Us</footer></body>",
+        f"<div class='no-comments'><div class='x'>Same old line</div>{story}</div>",
+        f"<main class='legal'>{story}</main><footer>Page {{0}}</footer>",
+        f"<div id='side'><article>{story}</article></div>",
+        f"<form>Find<main>{story}</main></form>",
+        f"<article><p>Join our club</p></article><section>{story}</section>",
+        f"<article>{story}<p class='x'>Join our club</p></article><nav>Menu {{0}}</nav>",
+    ):
+        assert site_texts(spark, page) == want
+    # few pages, or one page over and over: names alone
+    assert site_texts(spark, f"<body class='has-sidebar'><article>{story}</article><div class='ad'>Buy</div></body>", 2) == want[:2]
+    assert site_texts(spark, "<article>The one page</article><footer>Us</footer>") == ["The one page"] * 12
+
+
 def test_articles_of_the_table(spark, data):
     df = spark.read.parquet(f"{data}/pages.parquet")
     got = rows(site_tree.main_text(df), "page_id")
