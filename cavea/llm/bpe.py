@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import batch, chunks, strings
 
@@ -302,21 +302,24 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, extra: tuple[Column, ...] = ()) -> DataFrame:
     """Per document the number of ids and digests of ids and of the text decoded
-    from them; one pass, no exchange."""
+    from them, and ``extra`` columns; one pass, no exchange."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path), hashlib.sha256
         for b in batches:
             texts = strings(b.column(1))
+            schema = pa.schema([*DIGEST, *list(b.schema)[2:]])
             for lo, hi in chunks(texts):
                 done = c.round_trips(texts[lo:hi])
                 yield batch(
-                    DIGEST, b.column(0).slice(lo, hi - lo), [n for n, _, _ in done],
+                    schema, b.column(0).slice(lo, hi - lo), [n for n, _, _ in done],
                     [sha(i.encode()).hexdigest() for _, i, _ in done], [sha(t.encode("utf-8", "surrogatepass")).hexdigest() for _, _, t in done],
+                    *[x.slice(lo, hi - lo) for x in b.columns[2:]],
                 )
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *extra)
+    out = T.StructType.fromDDL("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return kept.mapInArrow(run, T.StructType([*out.fields, *kept.schema.fields[2:]]))

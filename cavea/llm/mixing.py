@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in a seeded shuffle, form blocks. Block j of a source with
-weight w is released at floor(j / w) and due at ceil((j + 1) / w); slots go to the
-released block with the earliest deadline. Then, at every slot, a source's blocks
-differ from weight * slots by less than one.
-
-Weights are rounded to a / period, so one period of slots is the whole schedule:
-its table (sources x period at most) is made on the driver and repeated. When a
-source runs out, the rest share its weight in a new phase. Every row gets a place;
-none is dropped or repeated.
+Each source's rows, in a seeded shuffle, form blocks. Served without steps, source s
+has min(w * V, n) of its n blocks done at virtual time V, and t(V), their sum over all
+sources, is the time in slots: while all sources last, each goes on at its exact
+weight; when one runs out, the rest share its weight. Block j is released at
+floor(t(j / w)) and due at ceil(t((j + 1) / w)) (floor(j / w) and ceil((j + 1) / w)
+at weights that sum to one); slots go to the released block with the earliest
+deadline. Then, at every slot, a source's blocks differ from its exact share by less
+than one, to the end of the input.
+
+Weights are exact whole numbers, never rounded to a period. The walk over slots holds
+one block a source and streams in one task, a step for each block of rows. Every row
+gets a place; none is dropped or repeated.
 
 Defined cases: a null source is a source of its own; sources without a given
 weight get the mean weight; an empty table gives no rows; repeated rows keep a
@@ -17,18 +20,22 @@ place each; extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heappop, heappush
+from math import lcm
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_row
+from .common import batch, stored, whole_row
 from .sharding import SLICES, ranked, shuffle_key
 
-PERIOD = 1000
 BLOCK_ROWS = 16
-#: The schedule is broadcast up to so many rows (64 bytes each); beyond it is joined.
-BROADCAST_ROWS = 200_000
+#: Slots of so many blocks of a source are one row of the schedule.
+CHUNK = 256
+#: The schedule is broadcast up to so many blocks (8 bytes each); beyond it is joined.
+BROADCAST_BLOCKS = 1_600_000
 
 
 def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -48,46 +55,77 @@ def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     return slots
 
 
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in exactly the same proportions."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*[x.denominator for x in parts.values()]) if parts else 1
+    return {s: int(x * unit) for s, x in parts.items()}
+
+
+def walk(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of all blocks, slot by slot, by earliest deadline among
+    the released; ``weights`` are positive whole numbers."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    n, w = [blocks[s] for s in names], [weights[s] for s in names]
+    order = sorted(range(len(names)), key=lambda i: Fraction(n[i], w[i]))
+    # before the k-th source runs out: blocks of those that did, weight of the rest
+    gone, rest = [0], [sum(w)]
+    for i in order:
+        gone.append(gone[-1] + n[i])
+        rest.append(rest[-1] - w[i])
+
+    def times(i: int, j: int) -> tuple[int, int]:
+        """Floor and ceiling of the time when j blocks of source i are due."""
+        low, high = 0, len(order)
+        while low < high:
+            mid = (low + high) // 2
+            if n[order[mid]] * w[i] < j * w[order[mid]]:
+                low = mid + 1
+            else:
+                high = mid
+        whole = gone[low] * w[i] + rest[low] * j
+        return whole // w[i], -(-whole // w[i])
+
+    waiting, ready = [], []
+    for i in range(len(names)):
+        heappush(waiting, (0, times(i, 1), i, 0))
+    for slot in range(sum(n)):
+        while waiting and waiting[0][0] <= slot:
+            _, (after, due), i, j = heappop(waiting)
+            heappush(ready, (due, i, j, after))
+        _, i, j, after = heappop(ready)
+        yield names[i], j, slot
+        if j + 1 < n[i]:
+            heappush(waiting, (after, times(i, j + 2), i, j + 1))
+
+
 def pfair(slots: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block in the period, slot) by earliest deadline among the released."""
-    period = sum(slots.values())
-    waiting: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, a in slots.items():
-        w = Fraction(a, period)
-        for j in range(a):
-            waiting[int(j / w)].append((-int(-(j + 1) / w), s, j))
-    ready, out = [], []
-    for t in range(period):
-        for block in waiting[t]:
-            heappush(ready, block)
-        deadline, s, j = heappop(ready)
-        out.append((s, j, t))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """Rows (source, phase's first block, block in the period, blocks a period, first
-    slot of the phase, slots a period, slot in the period, blocks before the end)."""
-    left, used, start, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left:
-        slots = whole_weights({s: weights[s] for s in left}, period)
-        length = sum(slots.values())
-        rounds = min(-(-n // slots[s]) for s, n in left.items())
-        for s, j, t in pfair(slots):
-            rows.append((s, used[s], j, slots[s], start, length, t, used[s] + rounds * slots[s]))
-        for s in list(left):
-            used[s] += rounds * slots[s]
-            left[s] -= rounds * slots[s]
-            if left[s] <= 0:
-                del left[s]
-        start += rounds * length
-    return rows
-
-
-SCHEDULE = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("_from", T.LongType()), T.StructField("_j", T.LongType()), T.StructField("_a", T.LongType()),
-    T.StructField("_start", T.LongType()), T.StructField("_length", T.LongType()), T.StructField("_t", T.LongType()), T.StructField("_to", T.LongType()),
-])
+    """(source, block in the period, slot) of one period of whole slots."""
+    return list(walk(slots, slots))
+
+
+def schedule(docs: DataFrame, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(_source, _chunk, _slots): slots of ``CHUNK`` blocks of a source in order."""
+    schema = pa.schema([("_source", pa.string()), ("_chunk", pa.int64()), ("_slots", pa.list_(pa.int64()))])
+    whole = exact(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            if not one.num_rows:
+                continue
+            open_, out = {s: [] for s in blocks}, []
+            for s, j, slot in walk(blocks, whole):
+                open_[s].append(slot)
+                if len(open_[s]) == CHUNK or j + 1 == blocks[s]:
+                    out.append((s, j // CHUNK, open_[s]))
+                    open_[s] = []
+                if len(out) == 1000:
+                    yield batch(schema, *zip(*out))
+                    out = []
+            if out:
+                yield batch(schema, *zip(*out))
+
+    return docs.sparkSession.range(1, numPartitions=1).mapInArrow(run, "_source string, _chunk long, _slots array<long>")
 
 
 def natural_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -95,7 +133,7 @@ def natural_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, flo
     return {s: float(n) ** power for s, n in counts.items()}
 
 
-def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = 0, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(_row, mix_slot, mix_pos) of each row."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
     ready = docs.select(whole_row(docs), shuffle_key(seed, key).alias("_key"), name.alias("_source"), F.col(key).alias("_id"))
@@ -106,19 +144,14 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, sou
         given = {"null" if s is None else "=" + s: w for s, w in weights.items()}
         mean = sum(given.values()) / max(1, len(given)) or 1.0
         target = {s: max(given.get(s, mean), 1e-9) for s in counts}
-    rows = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period)
-    table = docs.sparkSession.createDataFrame(rows, SCHEDULE)
-    sent = F.broadcast if len(rows) <= BROADCAST_ROWS else lambda df: df
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    table = stored(schedule(docs, blocks, target), "schedule")
+    sent = F.broadcast if sum(blocks.values()) <= BROADCAST_BLOCKS else lambda df: df
     own = ranked(ready, ["_source"], F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") * SLICES / F.lit(256), [F.col("_key"), F.col("_id")], "_rank")
     own = own.withColumn("_block", F.floor((F.col("_rank") - 1) / block_rows))
-    # the phase of a block: its source's spans are few, and sorted
-    spans = table.groupBy("_source").agg(F.sort_array(F.collect_set(F.struct("_from", "_to", "_a", "_start", "_length"))).alias("_spans"))
-    placed = own.join(sent(spans), "_source")
-    placed = placed.withColumn("_span", F.element_at(F.filter("_spans", lambda x: (x["_from"] <= F.col("_block")) & (F.col("_block") < x["_to"])), 1))
-    since = F.col("_block") - F.col("_span._from")
-    placed = placed.withColumns({"_from": F.col("_span._from"), "_j": since % F.col("_span._a"), "_round": F.floor(since / F.col("_span._a"))})
-    placed = placed.join(sent(table.select("_source", "_from", "_j", "_t")), ["_source", "_from", "_j"])
-    slot = F.col("_span._start") + F.col("_round") * F.col("_span._length") + F.col("_t")
+    own = own.withColumns({"_chunk": F.floor(F.col("_block") / CHUNK), "_j": (F.col("_block") % CHUNK + 1).cast("int")})
+    placed = own.join(sent(table), ["_source", "_chunk"])
+    slot = F.element_at("_slots", F.col("_j"))
     return placed.select("_row", slot.alias("mix_slot"), (slot * block_rows + (F.col("_rank") - 1) % block_rows).alias("mix_pos"))
 
 

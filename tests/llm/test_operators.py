@@ -182,6 +182,34 @@ def test_mixing_places_every_row(spark, empty):
     assert [r.doc_id for r in ordered] == want and mixing.in_mix_order(d).columns == d.columns
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_mixture_keeps_exact_weights_to_the_end(n):
+    rng = random.Random(n)
+    weights = {f"s{i}": rng.random() ** 4 + 1e-5 for i in range(n)}
+    blocks = {s: rng.randint(1, 9) if n > 9 else rng.randint(9000, 30000) for s in weights}
+    whole, total = mixing.exact(weights), sum(weights.values())
+    got = list(mixing.walk(blocks, whole))
+    assert [t for *_, t in got] == list(range(sum(blocks.values())))
+    assert {(s, j) for s, j, _ in got} == {(s, j) for s, b in blocks.items() for j in range(b)}
+    # until the first source runs out, unrounded shares hold within a block
+    end = min(b * total / weights[s] for s, b in blocks.items())
+    done = Counter()
+    for t, (s, j, _) in enumerate(got[: int(end)]):
+        assert -1 < weights[s] / total * t - done[s] and weights[s] / total * (t + 1) - done[s] - 1 > -1 - 1e-6
+        done[s] += 1
+    assert all(abs(weights[s] / total * int(end) - done[s]) < 1 for s in weights)
+    # afterwards the others share what is left: no source differs from its share
+    at, v = Counter(), 0.0
+    for t, (s, j, _) in enumerate(got, 1):
+        at[s] += 1
+        if t % (len(got) // 7) == 0:
+            low, high = 0.0, max(b / weights[x] for x, b in blocks.items())
+            for _ in range(100):
+                v = (low + high) / 2
+                low, high = (v, high) if sum(min(weights[x] * v, blocks[x]) for x in blocks) < t else (low, v)
+            assert all(abs(min(weights[x] * v, blocks[x]) - at[x]) < 1 + 1e-6 for x in blocks)
+
+
 # search
 
 

@@ -55,6 +55,13 @@ def test_stages_keep_columns_and_decide(spark, odd):
     assert corpus_pipeline.encode(spark, mixed, "").count() == 9
 
 
+def test_the_place_in_the_mixture_reaches_the_end(spark, odd, tmp_path):
+    mixed = corpus_pipeline.mix_sources(spark, odd.filter("doc_id < 20"), "")
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").orderBy("mix_file", "mix_row")
+    assert [r.doc_id for r in got.collect()] == [r.doc_id for r in mixed.collect()]
+
+
 def test_stages_take_an_empty_table(spark, odd):
     empty = odd.filter("false")
     for _, stage in corpus_pipeline.STAGES:
