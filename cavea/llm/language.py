@@ -3,8 +3,9 @@
 For each language a suffix automaton is built over a bounded sample of labelled
 text. A text is parsed greedily into the longest stretches that occur in the
 sample; the language that needs the fewest phrases, each weighted by the bits that
-name a place in its sample, wins. The automata are flat tables, and blocks of all
-texts of a batch walk through them side by side.
+name a place in its sample, wins. Every letter of the samples is a symbol, however
+many there are. The automata are flat tables, sparse ones where an alphabet is large,
+and blocks of all texts of a batch walk through them side by side.
 
 Defined cases: a null text, an empty one or one without letters is ``und`` with
 score 0; case and the kind of non-letters don't matter; ties go to the language
@@ -32,9 +33,10 @@ UNKNOWN = "und"
 #: distinct texts with the smallest hashes.
 PIECES = 160
 PIECE_CHARS = 300
-#: Symbols: padding, non-letter, the commonest letters, any other letter.
-SYMBOLS = 64
-PAD, SPACE, OTHER = 0, 1, 63
+#: Symbols: padding, non-letter, a letter that no sample has, then each letter of the
+#: samples. Tables are full up to so many entries; beyond it, transitions are sparse.
+PAD, SPACE, OTHER = 0, 1, 2
+FULL = 1 << 23
 BLOCK = 256
 
 
@@ -92,37 +94,75 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return goto
 
 
+@dataclass
+class Table:
+    """A suffix automaton over the symbols of its own language."""
+
+    own: np.ndarray  # own symbol of each symbol
+    first: np.ndarray  # by own symbol: where a new phrase begins
+    full: np.ndarray | None  # next state * width, or its complement where a phrase ends
+    keys: np.ndarray  # state * width + symbol of each transition, sorted, and its next
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: list[int], n_symbols: int, full: int) -> Table:
+        used = sorted({s for s in symbols if s > OTHER})
+        own = np.full(n_symbols, OTHER, np.int32)
+        own[[PAD, SPACE]] = PAD, SPACE
+        own[used] = np.arange(len(used)) + OTHER + 1
+        width = len(used) + OTHER + 1
+        goto = automaton([int(own[s]) if s != OTHER else -1 for s in symbols])
+        kind = np.int32 if len(goto) * width < 1 << 31 else np.int64
+        edges = sorted((state * width + c, s * width) for state, out in enumerate(goto) for c, s in out.items() if c > 0)
+        keys, to = np.array(edges, kind).reshape(-1, 2).T.copy()
+        first = np.zeros(width, kind)
+        root = keys < width
+        first[keys[root]] = to[root]
+        if len(goto) * width > full:
+            return cls(own, first, None, keys, to)
+        table = np.tile(~first, (len(goto), 1))
+        table.ravel()[keys] = to
+        table[:, PAD] = 0
+        return cls(own, first, table.ravel(), keys[:0], to[:0])
+
+    def phrases(self, lanes: np.ndarray) -> np.ndarray:
+        """Phrases that end in each lane (a column of symbols)."""
+        width, kind = lanes.shape[1], self.first.dtype
+        state, ended = np.zeros(width, kind), np.zeros(width, np.int32)
+        at, sign = np.empty(width, kind), np.empty(width, kind)
+        for row in self.own[lanes]:
+            np.add(state, row, out=at)
+            if self.full is not None:
+                np.take(self.full, at, out=state, mode="clip")
+            else:
+                i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+                state = np.where(row == PAD, 0, np.where(self.keys[i] == at, self.to[i], ~self.first[row]))
+            np.right_shift(state, 8 * kind.itemsize - 1, out=sign)
+            np.subtract(ended, sign, out=ended, casting="unsafe")
+            np.bitwise_xor(state, sign, out=state)
+        return ended
+
+
 @dataclass
 class Parser:
     langs: list[str]
     code: np.ndarray  # symbol of each code point
-    tables: list[np.ndarray]  # per language: next state * SYMBOLS, or its complement where a phrase ends
+    tables: list[Table]  # per language
     bits: np.ndarray  # bits of a phrase
 
     @classmethod
-    def of(cls, sample: dict[str, list[str]]) -> Parser:
+    def of(cls, sample: dict[str, list[str]], full: int = FULL) -> Parser:
         langs = sorted(sample, key=lambda x: (-sum(map(len, sample[x])), x))
-        letters = Counter(c for own in sample.values() for t in own for c in t.lower() if c.isalpha())
-        code = np.where(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), OTHER, SPACE).astype(np.uint8)
-        for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: OTHER - 2]):
+        letters = sorted({c for own in sample.values() for t in own for c in t.lower() if c.isalpha()})
+        code = np.where(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), OTHER, SPACE).astype(np.int32)
+        for k, c in enumerate(letters, OTHER + 1):
             for form in {c, c.upper(), c.title()}:
                 if len(form) == 1:
-                    code[ord(form)] = k + 2
+                    code[ord(form)] = k
         tables, bits = [], []
         for lang in langs:
             symbols = [int(x) for t in sample[lang] for x in [SPACE, *code[codepoints(t)]]]
-            goto = automaton([s if s != OTHER else -1 for s in symbols])
-            first = np.zeros(SYMBOLS, np.int32)
-            for c, s in goto[0].items():
-                if c > 0:
-                    first[c] = s * SYMBOLS
-            table = np.tile(~first, (len(goto), 1))
-            for state, out in enumerate(goto):
-                for c, s in out.items():
-                    if c > 0:
-                        table[state, c] = s * SYMBOLS
-            table[:, PAD] = 0
-            tables.append(np.ascontiguousarray(table, np.int32).ravel())
+            tables.append(Table.of(symbols, OTHER + 1 + len(letters), full))
             bits.append(math.log2(len(symbols) + 2))
         return cls(langs, code, tables, np.array(bits))
 
@@ -136,21 +176,12 @@ class Parser:
         blocks = np.maximum(1, -(-n // BLOCK))
         first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
         start = np.concatenate(([0], np.cumsum(n)[:-1]))
-        padded = np.zeros(int(blocks.sum()) * BLOCK, np.uint8)
+        padded = np.zeros(int(blocks.sum()) * BLOCK, np.int32)
         padded[np.arange(len(symbols)) + np.repeat(first * BLOCK - start, n)] = symbols
-        lanes = np.ascontiguousarray(padded.reshape(-1, BLOCK).T).astype(np.int32)
-        width = lanes.shape[1]
+        lanes = np.ascontiguousarray(padded.reshape(-1, BLOCK).T)
         cost = np.zeros((len(self.langs), len(texts)))
         for k, table in enumerate(self.tables):
-            state, ended = np.zeros(width, np.int32), np.zeros(width, np.int32)
-            at, sign = np.empty(width, np.int32), np.empty(width, np.int32)
-            for row in lanes:
-                np.add(state, row, out=at)
-                np.take(table, at, out=state, mode="clip")
-                np.right_shift(state, 31, out=sign)
-                np.subtract(ended, sign, out=ended)
-                np.bitwise_xor(state, sign, out=state)
-            cost[k] = np.add.reduceat(ended, first) * self.bits[k] / np.maximum(n, 1)
+            cost[k] = np.add.reduceat(table.phrases(lanes), first) * self.bits[k] / np.maximum(n, 1)
         best = cost.argmin(0)
         share = np.exp2(4 * (cost.min(0) - cost)).sum(0)
         held = np.concatenate(([0], np.cumsum(symbols > SPACE)))

@@ -110,6 +110,22 @@ def test_phrases_are_longest_matches():
     assert p.predict([text])[0] == [min(costs, key=costs.get)] == ["x"]
 
 
+def test_every_learned_letter_matches():
+    # three languages of 400 letters each in one block, far past a byte of symbols
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(1200)]
+    words = {f"l{k}": ["".join(rng.choices(letters[k * 400 : k * 400 + 400], k=3)) for _ in range(90)] for k in range(3)}
+    words["en"] = ["the", "cat", "sat", "on", "mat", "and", "rat"]
+    text = lambda k, n: "  ".join(rng.choices(words[k], k=n))
+    sample = {k: [text(k, 60) for _ in range(4 + 3 * i)] for i, k in enumerate(words)}
+    asked = [k for k in words for _ in range(5)]
+    texts = [text(k, 40) for k in asked] + ["", "7 !"]
+    p, sparse = language.Parser.of(sample), language.Parser.of(sample, full=0)
+    assert p.predict(texts)[0] == [*asked, "und", "und"]
+    assert all(t.full is None for t in sparse.tables) and sparse.predict(texts)[0] == p.predict(texts)[0]
+    assert np.array_equal(sparse.predict(texts)[1], p.predict(texts)[1])
+
+
 def test_language_of_odd_texts(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     sample = language.train(docs, ~language.held_out(5, 0))
