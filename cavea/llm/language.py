@@ -236,7 +236,21 @@ def with_language(docs: DataFrame, sample: dict[str, list[str]], text: str = "te
     return docs.withColumn(out, language(F.col(text)))
 
 
+def lettered(text: str = "text") -> Column:
+    """Whether a text has a letter, as the parser sees letters."""
+
+    @F.pandas_udf("boolean")
+    def has_letter(texts: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+
+    return has_letter(F.col(text))
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those without letters go."""
+    """The documents that have a language: those without letters go. Where no row
+    has a label to learn from, all documents with letters stay."""
+    sample = train(docs, F.col("lang") != UNKNOWN)
+    if not sample:
+        return docs.filter(lettered())
     name = fresh(docs, "_lang_pred")
-    return with_language(docs, train(docs), out=name).filter(F.col(name) != UNKNOWN).drop(name)
+    return with_language(docs, sample, out=name).filter(F.col(name) != UNKNOWN).drop(name)

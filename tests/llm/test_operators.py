@@ -146,6 +146,13 @@ def test_language_without_labels(spark, docs, empty):
     assert language.accepted(docs).columns == docs.columns
 
 
+def test_lettered_documents_stay_without_labels(spark):
+    texts = ["One text", None, "", "12 !", "é", "\u4e00"]
+    for d in (corpus(spark, texts, langs=[None] * 6), corpus(spark, texts, langs=[None, "en", "en", None, None, None])):
+        got = language.accepted(d)
+        assert {r.doc_id for r in got.collect()} == {0, 4, 5} and got.columns == d.columns
+
+
 # sharding and mixing
 
 
