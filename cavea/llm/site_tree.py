@@ -1,22 +1,29 @@
 """Main text of web pages by site style trees.
 
-The DOMs of a host's pages are merged by style path (tags and classes from the root).
-For each node of the merged tree the entropy, over the pages, of its child styles
-(presentation) and of its text (content) is normalised by the number of pages: a menu
-that repeats has none, an article that differs each time has all. Pages that repeat
-as a whole say nothing of their parts: entropy is taken relative to the host's whole
-pages. The importance of a node also leans on what its style names. Entropy overrules
-a class or id word that sets a node apart, and an article that repeats; it doesn't
-overrule elements such as nav and footer. Branches of low importance are cut from
-each page; where an article stays, so is what is outside it.
+The DOMs of a host's pages are merged by style path: tags and classes from the root,
+containers also by their place among siblings of one style. For each node of the
+merged tree the entropy, over the pages, of its presentation (the shape of its
+subtree, where a list's length is no shape) and of its content (the texts below it)
+is normalised by the number of pages, relative to the host's whole pages. A menu that
+repeats has neither; a footer with a new text each time has content alone; an article
+has both.
+
+The tree decides first. A node whose presentation and content repeat is cut. From the
+root, each page is followed into the one container that has both entropies and most
+of the text; containers beside it that lack one are cut. What a style names breaks
+ties: it decides where pages are too few to judge or all alike, where an article is
+marked as such, and for elements whose meaning is fixed (nav, footer, form). A class
+word that sets a node apart yields to entropy.
 
 Node counts are summed over (host, path, digest) rows with partial sums, so a large
-host is no large task. Only paths whose names are overruled go back to the pages.
+host is no large task. Only paths that the tree judges go back to the pages. Reading a
+page takes time in proportion to its length, however deep or broken it is.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as
 browsers do in the main (open elements end with their parent); text outside every
 element counts; a host with fewer than ``PAGES`` pages has only its styles' names to
-go by; repeated rows count as pages; extra columns are not read.
+go by; repeated rows count as pages; ties of entropy keep a node; texts of any length
+are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +44,12 @@ LEAN, KEEP = 0.4, 0.45
 NEVER, APART_LEAN, OPEN, TEXT = -1.0, 0.0, 0.5, 1.0
 #: Pages of a host from which entropy counts.
 PAGES = 4
-#: Overruled paths up to this number travel to the tasks; beyond it pages are joined by host.
+#: Mean of both entropies from which a container is rich.
+RICH = 0.8
+#: Judged paths up to this number travel to the tasks; beyond it pages are joined by host.
 BROADCAST_PATHS = 100_000
+#: What the tree says of a path: its name is overruled, its container is rich or poor.
+TURNED, IS_RICH, IS_POOR = 1, 2, 4
 
 # Elements and class words by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,9 +69,14 @@ APART_WORDS = frozenset(
 #: Elements that hold the whole page: words in their class say nothing.
 WHOLE = frozenset("html body".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that the way down from the root may enter, and ones whose number is no shape.
+CONTAINERS = frozenset("# html body div section article main center nav header footer aside form td".split())
+LISTED = frozenset("li tr td th dt dd option a".split())
 HOLDS = frozenset("html body div section article main aside nav header footer form ul ol dl table td th blockquote fieldset figure details".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^>"'])*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -77,25 +93,37 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+#: Texts of a stretch of blocks are told apart by a polynomial modulo a prime.
+PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A6C8E24
+
+
 class Page:
-    """Blocks of a page in order, each with the chain of its nodes, and the nodes."""
+    """Blocks of a page in order, each with its node, and the nodes in order."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int]] = []
-        self.label, self.parent, self.path, self.lean = ["#"], [-1], [0], [OPEN]
-        self.children: list[list[str]] = [[]]
-        # by node: within an article; within something apart; an outermost article
-        self.inside, self.under, self.root = [False], [False], [False]
+        self.tag, self.label, self.parent, self.path, self.lean = ["#"], ["#"], [-1], [0], [OPEN]
+        self.kinds: list[dict[str, int]] = [{}]  # containers below, by style
+        # by node: in an article; in something apart; an outermost article; in a menu,
+        # footer or the like, where an article is no main text (a form may hold a page)
+        self.inside, self.under, self.root, self.shut = [False], [False], [False], [False]
+        self._stack: list[tuple[str, int]] = [("", 0)]
+        self._at: dict[str, list[int]] = {}  # places in the stack, by tag
+        self._holds = [0]
         self._read(source)
 
-    def _open(self, stack: list[tuple[str, int]], tag: str, label: str, apart: bool) -> int:
-        above = stack[-1][1]
+    def _open(self, tag: str, label: str, apart: bool) -> None:
+        above = self._stack[-1][1]
         node = len(self.label)
-        self.children[above].append(label)
-        self.children.append([])
+        place = ""
+        if tag in CONTAINERS:
+            count = self.kinds[above][label] = self.kinds[above].get(label, 0) + 1
+            place = f"#{count}"
+        self.kinds.append({})
+        self.tag.append(tag)
         self.label.append(label)
         self.parent.append(above)
-        self.path.append(_digest(f"{self.path[above]}/{label}"))
+        self.path.append(_digest(f"{self.path[above]}/{label}{place}"))
         apart = apart and tag not in WHOLE
         inside, under = self.inside[above], self.under[above]
         if tag in APART or (tag == "header" and not inside):
@@ -106,52 +134,76 @@ class Page:
             lean = OPEN if under else TEXT
         else:
             lean = max(self.lean[above], OPEN)
-        under = under or apart or lean == NEVER
-        self.root.append(tag in MAIN and not inside and not self._shut_off(above))
+        self.root.append(tag in MAIN and not inside and not self.shut[above])
+        self.shut.append(self.shut[above] or (lean == NEVER and tag != "form"))
         self.inside.append(inside or lean == TEXT)
-        self.under.append(under)
+        self.under.append(under or apart or lean == NEVER)
         self.lean.append(lean)
-        stack.append((tag, node))
-        return node
-
-    def _shut_off(self, node: int) -> bool:
-        """Whether an article there is no main text: in a menu, footer or the like,
-        though not in a form, as whole pages may stand in one."""
-        while node >= 0:
-            if self.lean[node] == NEVER and self.label[node].split(".")[0] != "form":
-                return True
-            node = self.parent[node]
-        return False
+        self._at.setdefault(tag, []).append(len(self._stack))
+        if tag in HOLDS:
+            self._holds.append(len(self._stack))
+        self._stack.append((tag, node))
+
+    def _end(self, at: int) -> None:
+        """Ends the open elements from a place in the stack on."""
+        while len(self._stack) > at:
+            tag, _ = self._stack.pop()
+            self._at[tag].pop()
+            if tag in HOLDS:
+                self._holds.pop()
+
+    def _end_before(self, tags: set[str]) -> None:
+        """Ends the innermost open element of ``tags``, if nothing that holds others
+        stands between."""
+        at = max((places[-1] for t in tags if (places := self._at.get(t))), default=0)
+        if at and at >= self._holds[-1]:
+            self._end(at)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]
         words: list[str] = []
-        end, size = 0, len(source)
+        at, size, last = 0, len(source), source.rfind(">")
+        tag_at = _TAG
 
         def close() -> None:
             text = " ".join("".join(words).split())
             if text:
-                self.blocks.append((text, stack[-1][1]))
+                self.blocks.append((text, self._stack[-1][1]))
             words.clear()
 
         def say(piece: str) -> None:
             words.append(entities.unescape(piece) if "&" in piece else piece)
 
-        tags = _TAG.finditer(source)
-        for m in tags:
-            if m.start() < end:
+        while at < size:
+            start = source.find("<", at)
+            if start < 0:
+                break
+            if source.startswith("<!--", start):
+                say(source[at:start])
+                stop = source.find("-->", start + 4)
+                at = stop + 3 if stop >= 0 else size
                 continue
-            if m.start() > end:
-                say(source[end : m.start()])
-            end = m.end()
-            if m[2] is None:
+            if start > last:
+                break
+            if source.startswith(("<!", "<?"), start):
+                say(source[at:start])
+                at = source.index(">", start) + 1
                 continue
+            m = tag_at.match(source, start)
+            if m is None and source[start + 1 : start + 2].isascii() and source[start + 1 : start + 3].lstrip("/")[:1].isalpha() and tag_at is _TAG:
+                # a quote never ends: from here on tags end with the first ">"
+                tag_at = _PLAIN
+                m = tag_at.match(source, start)
+            if m is None:
+                say(source[at : start + 1])
+                at = start + 1
+                continue
+            say(source[at:start])
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if at:
+                if open_ := self._at.get(tag):
                     close()
-                    del stack[at:]
+                    self._end(open_[-1])
                 elif tag not in INLINE and tag != "br":
                     close()
                 continue
@@ -162,49 +214,70 @@ class Page:
                 continue
             label, apart = _style(tag, m[3])
             if tag in RAW:
-                stop = re.compile(f"</{tag}[^>]*>", re.I).search(source, end)
-                end = stop.end() if stop else size
+                stop = _RAW_END[tag].search(source, at)
+                stop = source.find(">", stop.end()) if stop else -1
+                at = stop + 1 if stop >= 0 else size
                 continue
             if tag in INLINE and not apart:
                 continue
             close()
             if tag in ENDS:
-                self._shut(stack, ENDS[tag])
+                self._end_before(ENDS[tag])
             elif tag not in INLINE:
-                self._shut(stack, {"p"})
-            self._open(stack, tag, label, apart)
-        if end < size:
-            say(source[end:])
+                self._end_before({"p"})
+            self._open(tag, label, apart)
+        if at < size:
+            say(source[at:])
         close()
-
-    @staticmethod
-    def _shut(stack: list[tuple[str, int]], tags: set[str]) -> None:
-        """Ends the innermost open element of ``tags``, if nothing that holds others
-        stands between."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in HOLDS:
-                return
-
-    def merged(self) -> list[tuple[int, float, int, int]]:
-        """(path, leaning, presentation digest, content digest) of each path."""
-        texts: list[list[str]] = [[] for _ in self.label]
-        for text, node in self.blocks:
-            while node >= 0:
-                texts[node].append(text)
-                node = self.parent[node]
+        self._end(1)
+
+    def _stretches(self) -> tuple[list[int], list[int]]:
+        """By node, the first block below it and the one after the last."""
+        first, last = [len(self.blocks)] * len(self.label), [0] * len(self.label)
+        for i, (_, node) in enumerate(self.blocks):
+            first[node], last[node] = min(first[node], i), i + 1
+        for node in range(len(self.label) - 1, 0, -1):
+            above = self.parent[node]
+            first[above], last[above] = min(first[above], first[node]), max(last[above], last[node])
+        return first, last
+
+    def _shapes(self) -> list[int]:
+        """Digest of the styles below each node; equal items of a list count once."""
+        below: list[list[int]] = [[] for _ in self.label]
+        out = [0] * len(self.label)
+        for node in range(len(self.label) - 1, -1, -1):
+            out[node] = _digest(self.label[node] + str(below[node][::-1]))
+            above = self.parent[node]
+            if above >= 0 and not (self.tag[node] in LISTED and below[above] and below[above][-1] == out[node]):
+                below[above].append(out[node])
+        return out
+
+    def merged(self) -> list[tuple[int, float, bool, int, int]]:
+        """(path, lean, whether a container, presentation digest, content digest) of
+        each path."""
+        prefix, power = [0], [1]
+        for text, _ in self.blocks:
+            prefix.append((prefix[-1] * BASE + _digest(text)) % PRIME)
+            power.append(power[-1] * BASE % PRIME)
+        first, last = self._stretches()
+        shape = self._shapes()
         out: dict[int, list] = {}
         for node, path in enumerate(self.path):
-            own = out.setdefault(path, [self.lean[node], [], []])
-            own[1] += self.children[node]
-            own[2] += texts[node]
-        return [(path, lean, _digest(">".join(shape)), _digest("\n".join(words))) for path, (lean, shape, words) in out.items()]
-
-    def text(self, overruled: set[int]) -> str:
+            lo, hi = first[node], last[node]
+            words = (prefix[hi] - prefix[lo] * power[hi - lo]) % PRIME if hi > lo else 0
+            own = out.get(path)
+            if own is None:
+                out[path] = [self.lean[node], self.tag[node] in CONTAINERS, shape[node], words]
+            else:
+                own[2] = mixed(own[2], shape[node])
+                own[3] = mixed(own[3], words)
+        return [(path, *own) for path, own in out.items()]
+
+    def text(self, judged: dict[int, int]) -> str:
         """The blocks none of whose nodes is of low importance, one a line."""
-        low = [(lean <= APART_LEAN) != (path in overruled) for lean, path in zip(self.lean, self.path)]
+        say = [judged.get(path, 0) for path in self.path]
+        low = [(lean <= APART_LEAN) != bool(said & TURNED) for lean, said in zip(self.lean, say)]
+        self._cut_beside(low, say)
         main = any(root and inside and not cut for root, inside, cut in zip(self.root, self.inside, low))
         for node in range(1, len(low)):
             # an article stays in what is apart, unless the page has another
@@ -212,6 +285,33 @@ class Page:
             low[node] = low[node] or (low[self.parent[node]] and not stays)
         return "\n".join(t for t, node in self.blocks if not low[node] and (self.inside[node] or not main))
 
+    def _cut_beside(self, low: list[bool], say: list[int]) -> None:
+        """From the root into the one rich container with most of the text, level by
+        level; poor containers beside a rich one are marked low."""
+        size = [0] * len(low)
+        for text, node in self.blocks:
+            size[node] += len(text)
+        below: list[list[int]] = [[] for _ in low]
+        for node in range(len(low) - 1, 0, -1):
+            size[self.parent[node]] += size[node]
+            if self.tag[node] in CONTAINERS:
+                below[self.parent[node]].append(node)
+        node = 0
+        while rich := [c for c in below[node] if say[c] & IS_RICH and not low[c]]:
+            if 2 * sum(size[c] for c in rich) < size[node]:
+                break
+            for c in below[node]:
+                if say[c] & IS_POOR and self.lean[c] != TEXT:
+                    low[c] = True
+            if len(rich) > 1:
+                break
+            node = rich[0]
+
+
+def mixed(a: int, b: int) -> int:
+    """One digest of two, in order."""
+    return (a * BASE + b) % PRIME
+
 
 def importance(lean, entropy):
     return LEAN * lean + (1 - LEAN) * entropy
@@ -224,45 +324,60 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
 
 
-def overruled_paths(pages: DataFrame) -> DataFrame:
-    """(host, path) of the merged trees' nodes where entropy overrules the name: open
-    or main ones of low importance, and ones set apart by a word of high importance."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("lean", pa.float64()), ("shape", pa.int64()), ("words", pa.int64())])
+def tree_nodes(pages: DataFrame) -> DataFrame:
+    """(host, path, lean, container, m, shape, words) of the merged trees' nodes: the
+    pages that have the node and its entropies of presentation and content, 0 to 1."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("lean", pa.float64()), ("container", pa.bool_()), ("shape", pa.int64()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for host, source in zip(strings(b.column(0)), strings(b.column(1))):
                 rows += [(host, *node) for node in Page(source).merged()]
-            yield batch(schema, *(zip(*rows) if rows else ([],) * 5))
+            yield batch(schema, *(zip(*rows) if rows else ([],) * 6))
 
-    nodes = _with_host(pages).select("host", "html").mapInArrow(run, "host string, path long, lean double, shape long, words long")
-    both = nodes.select("host", "path", "lean", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("side"), F.col("words").alias("value")))).alias("d"))
-    counts = both.groupBy("host", "path", "lean", "d.side", "d.value").agg(F.count(F.lit(1)).alias("c"))
-    spread = counts.groupBy("host", "path", "lean", "side").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    nodes = _with_host(pages).select("host", "html").mapInArrow(run, "host string, path long, lean double, container boolean, shape long, words long")
+    key = ["host", "path", "lean", "container"]
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("side"), F.col("words").alias("value")))
+    counts = nodes.select(*key, F.explode(sides).alias("d")).groupBy(*key, "d.side", "d.value").agg(F.count(F.lit(1)).alias("c"))
+    spread = counts.groupBy(*key, "side").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     entropy = spread.filter(F.col("m") >= PAGES).withColumn("e", 1 - F.col("s") / (F.col("m") * F.log2("m")))
-    # a node matters if either its presentation or its content does
-    node = entropy.groupBy("host", "path", "lean").agg(F.max("e").alias("e"))
-    whole = entropy.filter("path = 0 and side = 1 and e > 1e-9").select("host", F.col("e").alias("whole"))
-    weight = importance(F.col("lean"), F.least(F.col("e") / F.col("whole"), F.lit(1.0)))
-    turned = F.when(F.col("lean") > APART_LEAN, weight < KEEP).otherwise(weight >= KEEP)
-    return node.filter("path <> 0").join(whole, "host").filter(turned).select("host", "path")
-
-
-def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    low = stored(overruled_paths(pages), "overruled-paths")
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("e")))
+    return entropy.groupBy(*key).agg(F.max("m").alias("m"), side(0).alias("shape"), side(1).alias("words"))
+
+
+def judged_paths(pages: DataFrame) -> DataFrame:
+    """(host, path, said) of the nodes of which the merged trees say something: the
+    name is overruled, or a container is rich or poor."""
+    node = stored(tree_nodes(pages), "style-tree")
+    whole = node.filter("path = 0 and words > 1e-9").select("host", F.col("shape").alias("all_shape"), F.col("words").alias("all_words"))
+    part = lambda own, all_: F.when(F.col(all_) > 1e-9, F.least(F.col(own) / F.col(all_), F.lit(1.0)))
+    ready = node.filter("path <> 0").join(whole, "host").withColumns({"rs": part("shape", "all_shape"), "rw": part("words", "all_words")})
+    # where all pages of the host have one shape, content alone tells
+    both = (F.coalesce("rs", "rw") + F.col("rw")) / 2
+    some = F.greatest("rs", "rw")
+    open_ = F.col("lean") > APART_LEAN
+    turned = F.when(open_, importance(F.col("lean"), some) < KEEP).otherwise(importance(F.col("lean"), both) >= KEEP)
+    rank = F.when(~F.col("container") | F.col("rs").isNull(), 0).when(both >= RICH, IS_RICH).otherwise(IS_POOR)
+    return ready.select("host", "path", (F.when(turned, TURNED).otherwise(0) + rank).cast("int").alias("said")).filter("said > 0")
+
+
+def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS, judged: DataFrame | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page. ``judged`` may hold what earlier
+    pages of the hosts have told (see ``judged_paths``)."""
+    said = stored(judged_paths(pages), "judged-paths") if judged is None else judged
     ready = _with_host(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host")
-    rows = small_rows(low, limit)
+    rows = small_rows(said, limit)
     shared = None
     if rows is not None:
-        by_host: dict[str, set] = {}
+        by_host: dict[str, dict] = {}
         for r in rows:
-            by_host.setdefault(r.host, set()).add(r.path)
+            by_host.setdefault(r.host, {})[r.path] = r.said
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
-        ready = ready.withColumn("low", F.lit(None).cast("array<bigint>"))
+        ready = ready.withColumn("said", F.lit(None).cast("array<struct<path:bigint,said:int>>"))
     else:
-        packed = low.groupBy("host").agg(F.collect_set("path").alias("low"))
+        # adaptive execution splits a large host: only its pages are many
+        packed = said.groupBy("host").agg(F.collect_list(F.struct("path", "said")).alias("said"))
         ready = ready.join(packed, "host", "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -270,8 +385,8 @@ def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS) -> DataFrame:
         for b in batches:
             texts = []
             for source, host, own in zip(strings(b.column(2)), strings(b.column(3)), b.column(4).to_pylist()):
-                known = shared.value.get(host, frozenset()) if shared is not None else set(own or ())
+                known = shared.value.get(host, {}) if shared is not None else {x["path"]: x["said"] for x in own or ()}
                 texts.append(Page(source).text(known))
             yield batch(schema, b.column(0), b.column(1), texts, [len(t) for t in texts])
 
-    return ready.select("page_id", "url", "html", "host", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return ready.select("page_id", "url", "html", "host", "said").mapInArrow(run, "page_id long, url string, text string, n_chars long")

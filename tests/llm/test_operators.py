@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -335,6 +336,74 @@ def test_entropy_overrules_names(spark):
     assert site_texts(spark, "<article>The one page</article><footer>Us</footer>") == ["The one page"] * 12
 
 
+def bare(page):
+    """A page without the names that mark its parts."""
+    return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page.replace(' class="ad"', ""))
+
+
+def test_the_tree_tells_parts_without_names(spark, data):
+    big = spark.read.parquet(f"{data.replace('0.001', '0.01')}/pages.parquet")
+    many = site_tree._with_host(big).groupBy("host").count().filter("count >= 8").select("host")
+    df = site_tree._with_host(big).join(many, "host", "left_semi")
+    want = rows(site_tree.main_text(df), "page_id")
+    plain = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in df.collect()], "page_id long, url string, html string")
+    got = rows(site_tree.main_text(plain), "page_id")
+    assert len(got) > 50 and all(got[k].text == want[k].text for k in want)
+    # without what the tree says, menus and footers stay
+    silent = rows(site_tree.main_text(plain, judged=site_tree.judged_paths(plain).filter("false")), "page_id")
+    assert all(silent[k].text != want[k].text for k in want)
+
+
+def test_merged_trees_match_their_definition(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["<p>a</p>", "<div><p>b</p></div>", f"<p>{rng.random()}</p>", "<ul><li>x<li>x</ul>", "<div class=k>same</div>"])
+    pages = [(i, f"http://h{i % 2}/x", "<body>" + "".join(part() for _ in range(rng.randint(0, 4)))) for i in range(30)]
+    got = {(r.host, r.path): (r.m, r.shape, r.words) for r in site_tree.tree_nodes(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    shapes, words, name = defaultdict(list), defaultdict(list), {}
+    for _, url, source in pages:
+        p = site_tree.Page(source)
+        below = defaultdict(set)
+        for k in range(len(p.label)):
+            at = k
+            while at >= 0:
+                below[at].add(k)
+                at = p.parent[at]
+
+        def shape(k):
+            out = []
+            for c in [c for c in range(len(p.label)) if p.parent[c] == k]:
+                if not (p.tag[c] in site_tree.LISTED and out and out[-1] == shape(c)):
+                    out.append(shape(c))
+            return (p.label[k], *out)
+
+        own = defaultdict(lambda: ([], []))
+        for k, path in enumerate(p.path):
+            own[path][0].append(shape(k))
+            own[path][1].append(tuple(t for t, node in p.blocks if node in below[k]))
+        for path, (s, w) in own.items():
+            key = url[7:9], path
+            shapes[key].append(tuple(s))
+            words[key].append(tuple(w))
+    entropy = lambda v: sum(-c / len(v) * math.log(c / len(v), len(v)) for c in Counter(v).values())
+    want = {k: (len(v), entropy(v), entropy(words[k])) for k, v in shapes.items() if len(v) >= site_tree.PAGES}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 60_000 + "deep", "<a href='x" * 60_000, '<b "' * 60_000 + "end>", "<h1>" * 60_000 + "</p>" * 60_000, "<main>" * 60_000 + "t", "<!-- " * 60_000,
+        "<p>x</b>" * 60_000, "<script>" * 60_000, "</script" * 60_000, "<div><p>" * 30_000 + "y", "word " * 400_000, "<" * 200_000, "<p>" + "<li>z" * 60_000,
+    ],
+)
+def test_reading_takes_time_in_proportion(page):
+    start = time.perf_counter()
+    p = site_tree.Page(page)
+    p.merged()
+    p.text({})
+    assert time.perf_counter() - start < 6
+
+
 def test_articles_of_the_table(spark, data):
     df = spark.read.parquet(f"{data}/pages.parquet")
     got = rows(site_tree.main_text(df), "page_id")
