@@ -122,6 +122,24 @@ def small_rows(df: DataFrame, limit: int) -> list | None:
     return got if len(got) <= limit else None
 
 
+#: Rows of one key from which it is hot, and hot keys that may be broadcast.
+HOT_ROWS, HOT_KEYS = 512, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key; null where it has none).
+    ``weight`` in ``right`` tells how many rows of ``left`` have the key: hot keys are
+    broadcast, so that none of them lands in one task. Where over ``HOT_KEYS`` keys
+    are hot, each is a small share, and all are joined by shuffle. Keys aren't null.
+    """
+    hot = small_rows(right.filter(F.col(weight) > HOT_ROWS), HOT_KEYS)
+    if not hot:
+        return left.join(right, on, "left")
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, right.schema))
+    rest = left.join(table.select(*on), on, "left_anti").join(right.filter(F.col(weight) <= HOT_ROWS), on, "left")
+    return left.join(table, on).unionByName(rest)
+
+
 def odd_weights(n: int, start: int = 1) -> np.ndarray:
     return mix64(np.arange(start, start + n, dtype=np.uint64)) | np.uint64(1)
 

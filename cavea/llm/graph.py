@@ -8,15 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 MAX_ROUNDS = 60
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -30,12 +26,13 @@ def components(edges: DataFrame) -> DataFrame:
     if not seen[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MAX_ROUNDS):
-        # large star: a node's larger neighbours move to its least neighbour
-        both = _both_ways(edges)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # large star: a node's larger neighbours move to its least neighbour; a hub of
+        # many edges is broadcast with its least neighbour
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        degree = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        targets = stored(degree.join(least.withColumnRenamed("a", "b"), "b", "left").select("b", F.coalesce("m", "b").alias("m"), "n"), "targets")
+        edges = spread_join(edges, targets, ["b"], "n").select("a", F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours move to the least of these
-        edges = large.filter("a <> b").distinct()
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         small = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         edges = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")

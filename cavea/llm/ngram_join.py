@@ -9,16 +9,21 @@ sets thus share a signature; whatever shares one is compared exactly.
 
 Equal sets are one class from the start, so groups of copies are never compared
 within. In a bucket of one signature, counts of elements by cell of the domain bound
-the difference from below; what can't link by that bound is not joined there. The
-rest forms families; a family larger than ``BLOCK`` is cut into blocks, and each task compares two blocks, so no task holds a large
-family. A task sends on a spanning forest of its links and the number of links of
-each class, never all pairs.
+the difference from below; what can't link by that bound is not joined there. A
+bucket of over ``WIDE`` classes is dealt to several tasks, which bin their classes by
+sums of cells; linked sets lie in one bin or in neighbours. The rest forms families.
+A large family is cut into blocks by number and bytes, and each task compares two
+blocks, tile by tile, so no task holds a large family. A task sends on a spanning
+forest of its links and the number of links of each class, never all pairs. Classes,
+families and hubs with many rows are broadcast where they meet their rows.
 
 Defined cases: words are stretches between ASCII white space, A-Z in lower case; a
 text with fewer words than a shingle is one shingle; a null text or one without
-words is the empty set, linked with nothing; rows with one doc_id are one document
-each, with the id in common; an empty table gives no rows; extra columns are not
-read by ``classes`` and pass through ``one_of_each``.
+words is the empty set, linked with nothing; every row is a document, so repeated
+rows link with each other, and rows of one doc_id with different texts are told
+apart; a null doc_id is never a component's id unless no member has another; texts
+are read whole, however long; ties can't arise; an empty table gives no rows; extra
+columns are not read by ``classes`` and pass through ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -30,16 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, fresh, hashed_words, mix64, odd_weights, stored, utf8
+from .common import batch, fresh, hashed_words, mix64, odd_weights, spread_join, stored, utf8, whole_row
 from .graph import components
 
 WORDS = 3
 PERCENT = 90
-#: Classes of a family that one task holds from each side.
+#: Classes that are compared at a time from each side.
 BLOCK = 1024
+#: Blocks of a family by number; beyond that blocks have so many bytes of text.
+BLOCKS, BLOCK_BYTES = 16, 32 << 20
 #: Cells by which candidates are held against the bound, and the widest bucket for that.
 CELLS = 128
-WIDE = 2048
+WIDE = 1024
 
 U = np.uint64
 
@@ -89,8 +96,8 @@ def scheme(k: int) -> tuple[int, int, list[tuple[int, ...]], int]:
 
 
 def signatures(s: np.ndarray, band: int, k: int) -> np.ndarray:
-    """Signatures of one set in one band. Those of empty choices are left out unless
-    so many parts have one that agreement elsewhere is not certain."""
+    """Signatures of one set in one band, which is their low byte. Those of empty choices
+    are left out unless so many parts have one that agreement elsewhere is not certain."""
     parts, subs, choices, agree = scheme(k)
     cell = ((s >> U(4)) % U(parts)).astype(np.int64) * subs + ((s >> U(36)) % U(subs)).astype(np.int64)
     m = mix64(s ^ U(0x2545F4914F6CDD1D))
@@ -101,7 +108,7 @@ def signatures(s: np.ndarray, band: int, k: int) -> np.ndarray:
     picked = np.stack([total[:, list(c)].sum(1, dtype=U) for c in choices], 1)
     size = np.stack([count[:, list(c)].sum(1) for c in choices], 1)
     salt = mix64(np.arange(picked.size, dtype=U).reshape(picked.shape) + (U(band) << U(40)))
-    out = mix64(picked + salt)
+    out = (mix64(picked + salt) & ~U(255)) | U(band & 255)
     bad = (size == 0).any(1).sum()
     return out.ravel() if bad >= agree else out[size > 0]
 
@@ -123,16 +130,21 @@ def cells(s: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, the 128 bits (h1, h2) of its set and its cells."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cells", pa.binary())])
+    """doc_id, n_shingles, the 128 bits (h1, h2) of its set, its cells, and the
+    bytes and hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cells", pa.binary()), ("bytes", pa.int64()), ("mark", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, sets in _runs(b.column(1), words):
                 marks = [digest(s) for s in sets]
-                yield batch(schema, b.column(0).slice(lo, len(sets)), [len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], [cells(s) for s in sets])
+                yield batch(
+                    schema, b.column(0).slice(lo, len(sets)), [len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], [cells(s) for s in sets],
+                    b.column(2).slice(lo, len(sets)), b.column(3).slice(lo, len(sets)),
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, cells binary")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.xxhash64("text").alias("mark"))
+    return ready.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, cells binary, bytes long, mark long")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,51 +184,72 @@ def near(size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return apart * (100 + percent) <= (size[:, None] + size[None, :]) * (100 - percent)
 
 
+#: Signs by which cells are summed: differences of such sums never exceed those of sets.
+SIGNS = np.stack([1 - 2 * ((mix64(np.arange(CELLS, dtype=U) + U(1)) >> U(j)) & U(1)).astype(np.int64) for j in range(2)], 1)
+
+
 def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b) edges that span, in each bucket of a signature, the classes that may
-    link by their cells. In a bucket of over ``WIDE`` all hang on the least one."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    link by their cells. ``shared``: sig, salt, salts, member, n_shingles, cells,
+    sorted by bucket and salt. A bucket dealt to several tasks sends bins besides:
+    (sig, x, y, a), where a stands for the bin's classes."""
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "sig", "x", "y")])
+    table = bands(percent, 1 << 40)
 
-    def edges(rows: list[tuple]) -> tuple[list, list]:
+    def edges(sig: int, rows: list[tuple], split: bool) -> list[tuple]:
         rows = sorted({r[0]: r for r in rows}.values())
         ids = [r[0] for r in rows]
-        if len(ids) > WIDE:
-            return ids[1:], [ids[0]] * (len(ids) - 1)
         counts = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), CELLS).astype(np.int16)
-        label = _forest(near(np.array([r[1] for r in rows]), counts, percent))
-        moved = np.flatnonzero(label != np.arange(len(rows))).tolist()
-        return [ids[i] for i in moved], [ids[label[i]] for i in moved]
+        if not split:
+            label = _forest(near(np.array([r[1] for r in rows]), counts, percent))
+            return [(ids[i], ids[label[i]], None, None, None) for i in np.flatnonzero(label != np.arange(len(rows))).tolist()]
+        apart = 2 * table[sig & 255][1] * (100 - percent) // (100 + percent) + 1
+        bins = (counts.astype(np.int64) @ SIGNS) // apart
+        first: dict[tuple, int] = {}
+        out = []
+        for i, place in zip(ids, map(tuple, bins.tolist())):
+            if (least := first.setdefault(place, i)) != i:
+                out.append((i, least, None, None, None))
+        return out + [(i, None, sig, x, y) for (x, y), i in first.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, rows, done = None, [], set()
+        bucket, rows, done = None, [], set()
         for batch_ in batches:
-            a, b = [], []
-            for s, *row in zip(*(c.to_pylist() for c in batch_.columns)):
-                if s != sig:
-                    if len(rows) > 1:
-                        x, y = edges(rows)
-                        a, b = a + x, b + y
-                    sig, rows = s, []
+            found = []
+            for s, salt, salts, *row in zip(*(c.to_pylist() for c in batch_.columns)):
+                if (s, salt) != bucket:
+                    if rows and (len(rows) > 1 or split):
+                        found += edges(bucket[0], rows, split)
+                    bucket, rows, split = (s, salt), [], salts > 1
                 rows.append(tuple(row))
-            new = set(zip(a, b)) - done
-            done = new if len(done) > 200_000 else done | new
+            new = [e for e in dict.fromkeys(found) if e not in done]
+            # edges met again in the task are sent once, as far as memory allows
+            done = set(new) if len(done) > 200_000 else done.union(new)
             if new:
-                yield batch(schema, *zip(*sorted(new)))
-        if len(rows) > 1:
-            yield batch(schema, *edges(rows))
+                yield batch(schema, *zip(*new))
+        if rows and (last := edges(bucket[0], rows, split)):
+            yield batch(schema, *zip(*last))
 
-    return shared.select("sig", "member", "n_shingles", "cells").mapInArrow(run, "a long, b long")
+    return shared.select("sig", "salt", "salts", "member", "n_shingles", "cells").mapInArrow(run, "a long, b long, sig long, x long, y long")
 
 
 def families(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of classes joined by a shared signature and by cells that allow
     a link. ``kinds``: h1, n_shingles, cells."""
     bucket = W.partitionBy("sig")
-    signed = _signed(docs, words, percent).withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket)})
-    shared = signed.filter("_low <> _high").select("sig", "member")
+    signed = _signed(docs, words, percent).withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket), "_n": F.count("member").over(bucket)})
+    shared = signed.filter("_low <> _high").select("sig", "member", F.ceil(F.col("_n") / WIDE).cast("int").alias("salts"))
     held = shared.join(kinds.select(F.col("h1").alias("member"), "n_shingles", "cells"), "member")
+    held = held.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return components(_bucket_edges(held.repartition(parts, "sig").sortWithinPartitions("sig", "member"), percent))
+    found = stored(_bucket_edges(held.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member"), percent), "candidates")
+    # bins of wide buckets: one class stands for each, and hangs on those of neighbours
+    bins = stored(found.filter("b is null").groupBy("sig", "x", "y").agg(F.min("a").alias("least"), F.collect_set("a").alias("all")), "bins")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    ahead = bins.select("sig", F.explode(steps).alias("d"), "x", "y", F.col("least").alias("a")).select("sig", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), "a")
+    beside = ahead.join(bins.select("sig", "x", "y", F.col("least").alias("b")), ["sig", "x", "y"]).select("a", "b")
+    within = bins.select(F.explode("all").alias("a"), F.col("least").alias("b"))
+    return components(found.filter("b is not null").select("a", "b").unionByName(within).unionByName(beside))
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -262,19 +295,38 @@ def _compared(members: DataFrame, words: int, percent: int) -> DataFrame:
     def compare(rows: list) -> pa.RecordBatch:
         ids, copies, block, x, y = (np.array([r[i] for r in rows], np.int64) for i in range(5))
         sets = [r[5] for r in rows]
-        left, right = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
-        link = linked_pairs(sets, left, right, percent) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
-        if x[0] == y[0]:
-            np.fill_diagonal(link, False)
-        degree = np.zeros(len(rows), np.int64)
-        degree[left] += link.astype(np.int64) @ copies[right]
-        if x[0] != y[0]:
-            degree[right] += link.T.astype(np.int64) @ copies[left]
-        whole = np.zeros((len(rows), len(rows)), bool)
-        whole[np.ix_(left, right)] = link
-        label = _forest(whole | whole.T)
-        moved, found = np.flatnonzero(label != np.arange(len(rows))), np.flatnonzero(degree)
-        return batch(schema, np.concatenate((ids[moved], ids[found])), pa.array([*ids[label[moved]].tolist(), *[None] * len(found)], pa.int64()), np.concatenate((np.zeros(len(moved), np.int64), degree[found])))
+        degree, parent = np.zeros(len(rows), np.int64), list(range(len(rows)))
+        edges: list[tuple[int, int]] = []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        same = x[0] == y[0]
+        sides = [[side[i : i + BLOCK] for i in range(0, len(side), BLOCK)] for side in (np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0]))]
+        for i, left in enumerate(sides[0]):
+            for right in sides[1][i if same else 0 :]:
+                one = same and left[0] == right[0]
+                both = left if one else np.concatenate((left, right))
+                a, b = np.arange(len(left)), np.arange(len(both) - len(right), len(both))
+                link = linked_pairs([sets[k] for k in both.tolist()], a, b, percent)
+                if one:
+                    np.fill_diagonal(link, False)
+                degree[left] += link.astype(np.int64) @ copies[right]
+                if not one:
+                    degree[right] += link.T.astype(np.int64) @ copies[left]
+                whole = np.zeros((len(both), len(both)), bool)
+                whole[np.ix_(a, b)] = link
+                label = _forest(whole | whole.T)
+                for k in np.flatnonzero(label != np.arange(len(both))).tolist():
+                    p, q = find(both[k]), find(both[label[k]])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        edges.append((int(ids[both[k]]), int(ids[both[label[k]]])))
+        found = np.flatnonzero(degree)
+        a = [e[0] for e in edges] + ids[found].tolist()
+        return batch(schema, a, [e[1] for e in edges] + [None] * len(found), [0] * len(edges) + degree[found].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
@@ -287,48 +339,96 @@ def _compared(members: DataFrame, words: int, percent: int) -> DataFrame:
                         if len(rows) > 1:
                             yield compare(rows)
                         group, rows = key, []
-                    rows.append((fixed[1][i], fixed[2][i], fixed[3][i], fixed[4][i], fixed[5][i], s))
+                    # rows of one id may hold other texts, or the class once more
+                    if digest(s)[0] == fixed[1][i] and not (rows and rows[-1][0] == fixed[1][i]):
+                        rows.append((fixed[1][i], fixed[2][i], fixed[3][i], fixed[4][i], fixed[5][i], s))
         if len(rows) > 1:
             yield compare(rows)
 
-    return members.select("family", "doc_id", "copies", "block", "x", "y", "text").mapInArrow(run, "a long, b long, links long")
+    return members.select("family", "h1", "copies", "block", "x", "y", "text").mapInArrow(run, "a long, b long, links long")
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: n_shingles, component_id (the least doc_id reachable by links)
-    and n_links (documents that it links with)."""
+def _solved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, n_shingles, h1, h2; classes: h1, h2, rep, copies, root, n_links),
+    where rep is a class's least doc_id and root names its component."""
     info = stored(described(docs, words), "sets")
-    kinds = info.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"))
-    kinds = stored(kinds, "classes")
+    some = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bytes", "mark")).alias("rep")
+    kinds = info.filter("n_shingles > 0").groupBy("h1", "h2").agg(some, F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"))
+    kinds = stored(kinds.select("h1", "h2", "rep.doc_id", "rep.bytes", "rep.mark", "copies", "n_shingles", "cells"), "classes")
     grouped = families(docs, kinds, words, percent)
     roots = grouped.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
-    owned = kinds.select("h1", "rep", "copies").join(grouped.unionByName(roots).withColumnsRenamed({"node": "h1", "root": "family"}), "h1")
-    sizes = owned.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    members = owned.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    owned = stored(kinds.select("h1", "doc_id", "mark", "copies", "bytes").join(grouped.unionByName(roots).withColumnsRenamed({"node": "h1", "root": "family"}), "h1"), "members")
+    # large families alone have several blocks
+    sizes = owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    by_count, by_bytes = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)
+    large = sizes.select("family", "n", F.greatest(F.least(by_count, F.lit(BLOCKS)), by_bytes).alias("blocks")).filter("blocks > 1")
+    members = spread_join(owned.select("family", "h1", "doc_id", "mark", "copies"), stored(large, "large-families"), ["family"], "n")
+    members = members.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")))
     tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    wide = members.withColumnRenamed("rep", "doc_id").join(texts, "doc_id").select("family", "doc_id", "copies", "block", F.explode(tasks).alias("task"), "text")
-    wide = wide.select("family", "doc_id", "copies", "block", "task.x", "task.y", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_mark"), "text")
+    wide = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("family", "h1", "copies", "block", F.explode(tasks).alias("task"), "text")
+    wide = wide.select("family", "h1", "copies", "block", "task.x", "task.y", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["family", "x", "y", "doc_id"]
+    order = ["family", "x", "y", "h1"]
     found = stored(_compared(wide.repartition(parts, *order[:3]).sortWithinPartitions(*order), words, percent), "links")
     linked = components(found.filter("b is not null").select("a", "b"))
-    degree = found.groupBy("a").agg(F.sum("links").alias("links"))
-    named = kinds.join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = info.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    degree = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    named = kinds.join(linked.withColumnRenamed("node", "h1"), "h1", "left").join(degree.withColumnRenamed("a", "h1"), "h1", "left")
+    named = named.select("h1", "h2", F.col("doc_id").alias("rep"), "copies", F.coalesce("root", "h1").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return info.select("doc_id", "n_shingles", "h1", "h2"), stored(named, "named")
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document: n_shingles, component_id (the least doc_id reachable by links)
+    and n_links (other rows that it links with)."""
+    info, named = _solved(docs, words, percent)
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    known = stored(spread_join(named, least, ["root"], "n").select("h1", "h2", "copies", "component_id", "n_links"), "known")
+    out = spread_join(info, known, ["h1", "h2"], "copies")
     apart = F.col("n_shingles") == 0
     return out.select(
-        "doc_id", "n_shingles", F.when(apart, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
+        "doc_id", "n_shingles", F.when(apart, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(apart, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component left, that of the least id."""
-    name = fresh(docs, "_gone")
-    gone = classes(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """``docs`` with one row of each component left: that of the least doc_id, and of
+    rows with that id one of its class. Rows without words are in no component; all
+    stay."""
+    info, named = _solved(docs, words, percent)
+    # the class that stays for each component
+    pick = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h1", "h2")).alias("p")
+    stays = named.groupBy("root").agg(pick).select("p.h1", "p.h2", F.col("p.rep").alias("keeper"), F.lit(True).alias("stays"))
+    judged = stored(named.join(stays, ["h1", "h2"], "left").select("h1", "h2", "copies", "keeper", F.coalesce("stays", F.lit(False)).alias("stays")), "stays")
+    rows = spread_join(info, judged, ["h1", "h2"], "copies")
+    kept = (F.col("n_shingles") == 0) | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("keeper")))
+    marked = stored(rows.select("doc_id", "h1", "h2", "n_shingles", kept.alias("kept")), "marked")
+    # ids of several rows (or none) are told apart by their sets, all others by the id
+    name = fresh(docs, "_id")
+    several = stored(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)), "repeated-ids")
+    own = F.col("doc_id").cast("long")
+    gone = marked.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).unionByName(several.filter(F.col(name).isNotNull())).distinct()
+    plain = docs.filter(own.isNotNull()).join(gone, own == F.col(name), "left_anti")
+    if several.isEmpty():
+        return plain
+    odd = docs.select(whole_row(docs), own.alias("_doc"), "text").join(several, F.col("_doc").eqNullSafe(F.col(name)), "left_semi")
+
+    @F.pandas_udf("array<bigint>")
+    def marks(texts):
+        import pandas as pd
+
+        out = []
+        for _, sets in _runs(pa.array(texts, pa.string()), words):
+            out += [[*digest(s), len(s)] for s in sets]
+        return pd.Series(out, dtype=object)
+
+    odd = odd.withColumn("_m", marks("text")).select("_row", "_doc", F.col("_m")[0].alias("h1"), F.col("_m")[1].alias("h2"), F.col("_m")[2].alias("n"))
+    keys = marked.filter("kept and n_shingles > 0").select(F.col("doc_id").alias("_kept_doc"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2")).distinct()
+    match = (F.col("h1") == F.col("_k1")) & (F.col("h2") == F.col("_k2")) & F.col("_doc").eqNullSafe(F.col("_kept_doc"))
+    # a row of least hash stays of rows with one id and class
+    one = odd.filter("n > 0").join(keys, match, "left_semi").groupBy("_doc", "h1", "h2").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return plain.unionByName(one.select("_row.*")).unionByName(odd.filter("n = 0").select("_row.*"))
 
 
 ORACLE = r"""

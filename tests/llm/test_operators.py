@@ -545,6 +545,44 @@ def test_ngram_classes_match_brute_force(spark, empty, monkeypatch, words, perce
     assert ngram_join.classes(empty, words, percent).count() == 0
 
 
+def naive_rows(table, words, percent):
+    """Per row of a table of any ids: its id, component's least id, and links."""
+    whole = naive_classes([(k, t) for k, (_, t) in enumerate(table)], words, percent)
+    ids = [i for i, _ in table]
+    groups = defaultdict(list)
+    for k, (_, c, _) in whole.items():
+        groups[c].append(ids[k])
+    least = {c: min((i for i in g if i is not None), default=None) for c, g in groups.items()}
+    return [(ids[k], n, least[c], links) for k, (n, c, links) in whole.items()]
+
+
+def clashing_table():
+    base = " ".join(f"w{k}" for k in range(40))
+    near, far = base.replace("w20", "x"), " ".join(f"z{k}" for k in range(30))
+    return [(5, base), (5, base), (6, near), (7, base), (9, near), (9, far), (None, base), (None, far + " q"), (None, None), (3, ""), (3, ""), (11, " ".join(f"v{k}" for k in range(20000)))]
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    table = clashing_table()
+    d = corpus(spark, table)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.classes(d, 3, 80).collect()]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(naive_rows(table, 3, 80))
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(d, 3, 80).collect()]
+    assert order(kept) == order([table[0], table[5], *table[8:]])
+
+
+def test_wide_buckets_and_large_families(spark, monkeypatch):
+    for name, value in (("WIDE", 6), ("BLOCK", 8), ("BLOCKS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr("cavea.llm.common.HOT_ROWS", 4)
+    table = near_table(11, 3, 30) + [(1000 + i, "same text in many copies again and again") for i in range(20)]
+    d = corpus(spark, table)
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.classes(d, words, percent).collect()}
+        assert got == naive_classes(table, words, percent)
+
+
 def test_one_of_each_group_stays(spark):
     table = near_table(8, 3)
     d = corpus(spark, table)
