@@ -10,7 +10,8 @@ and blocks of all texts of a batch walk through them side by side.
 Defined cases: a null text, an empty one or one without letters is ``und`` with
 score 0; case and the kind of non-letters don't matter; ties go to the language
 with more sample text, then by name; without any labelled text all is ``und``;
-whole texts are read, however long; extra columns pass through.
+whole texts are read, however long; a row without an id is held out; repeated rows are
+predicted each; extra columns aren't read by ``predictions`` and pass through elsewhere.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch, chunks, fresh, strings
+from .common import batch, chunks, strings
 
 UNKNOWN = "und"
 #: The sample: so many pieces of so many characters for each language, from
@@ -40,19 +41,27 @@ FULL = 1 << 23
 BLOCK = 256
 
 
+#: What a document must show to be accepted: times the even share of languages for its
+#: score, from so many letters on; and the most letters that no sample has.
+FLOOR, FLOOR_LETTERS, FOREIGN = 1.2, 50, 0.5
+
+
 def held_out(mod: int, rest: int, doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest
+    """Rows without an id are held out: nothing is learned from them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == rest, F.lit(True))
 
 
 def train(docs: DataFrame, usable: Column | None = None, pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> dict[str, list[str]]:
     """The sample by language. At most about twice ``pieces`` pieces a language
-    reach the driver, whatever the number of rows."""
+    reach the driver, whatever the number of rows. Copies of a text count once, and a
+    language of few distinct texts gives them all."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows.filter(usable) if usable is not None else rows
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(distinct).collect()}  # one row a language
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * pieces / n))])
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * pieces / max(n, 1)))])
     h = F.xxhash64("text")
     chosen = rows.select("lang", h.alias("h"), "text").filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(rate, F.col("lang")) * (1 << 20))
     start = 1 + F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - piece_chars, F.lit(1)))
@@ -166,6 +175,13 @@ class Parser:
             bits.append(math.log2(len(symbols) + 2))
         return cls(langs, code, tables, np.array(bits))
 
+    def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The letters of each text, and those of them that no sample has."""
+        symbols = self.code[codepoints("".join(texts))]
+        ends = np.cumsum([0, *map(len, texts)])
+        some, other = (np.concatenate(([0], np.cumsum(x)))[ends] for x in (symbols > SPACE, symbols == OTHER))
+        return np.diff(some), np.diff(other)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
         if not texts or not self.langs:
@@ -246,11 +262,25 @@ def lettered(text: str = "text") -> Column:
     return has_letter(F.col(text))
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that have a language: those without letters go. Where no row
-    has a label to learn from, all documents with letters stay."""
+def accepted(docs: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """The documents predicted to be in one of ``languages`` (all that are learned by
+    default). Rejected are texts without letters, with mostly letters that no sample
+    has, or that fit all languages alike (score under ``FLOOR`` times the even share,
+    from ``FLOOR_LETTERS`` letters on). Where no row has a label to learn from, all
+    documents with letters stay."""
     sample = train(docs, F.col("lang") != UNKNOWN)
     if not sample:
         return docs.filter(lettered())
-    name = fresh(docs, "_lang_pred")
-    return with_language(docs, sample, out=name).filter(F.col(name) != UNKNOWN).drop(name)
+    wanted = set(sample if languages is None else languages)
+
+    @F.pandas_udf("boolean")
+    def fits(texts: pd.Series) -> pd.Series:
+        p, whole, out = parser(sample), ["" if t is None else t for t in texts], []
+        for lo, hi in chunks(whole):
+            langs, score = p.predict(whole[lo:hi])
+            some, other = p.letters(whole[lo:hi])
+            clear = (some < FLOOR_LETTERS) | (score * len(p.langs) >= FLOOR) | (len(p.langs) == 1)
+            out += (np.array([lang in wanted for lang in langs], bool) & clear & (other <= FOREIGN * some)).tolist()
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(fits("text"))

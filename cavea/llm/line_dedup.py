@@ -1,17 +1,23 @@
-"""Reversible line deduplication: exact reference counts behind cuckoo filters.
+"""Reversible line deduplication: sharded cuckoo filters backed by exact reference counts.
 
 ``count_lines`` makes the exact table (line hash, reference count, largest document
 id). It is a sum over documents, so ``insert`` and ``delete`` of documents are
-additions and subtractions of counts. Cuckoo filters, one a shard of the hash space,
-hold the frequent lines; they take insertions and deletions too. A scan asks the
-filters first and the exact table only on a hit, so a filter's false positives
-never change a result.
+additions and subtractions of counts. ``filters_of`` builds a cuckoo filter for each
+shard of the hash space in tasks, holding the shard's frequent lines; ``followed``
+inserts and deletes lines as the counts change. Counts and filters are tables that can
+be kept and handed to ``drop_lines`` again.
+
+The lines of all documents ask the filters first; hits alone meet the exact table, so
+a filter's false positives never change a result. Filters travel to the tasks in
+rounds of ``FILTER_BYTES``, so that their number may grow. Lines in many documents
+are broadcast where they meet their hits.
 
 Defined cases: a null or empty text is one empty line; a row counts as a document,
 so repeated rows count each; all rows with the largest id keep their lines; a row
-without an id counts but keeps its lines; lines
-under ``min_chars`` code points are never dropped; an empty table gives no rows;
-other columns are not read by ``line_digests`` and pass through ``drop_lines``.
+without an id counts but keeps its lines; rows of one id lose the same lines; lines
+under ``min_chars`` code points are never dropped; texts are read whole, however
+long; an empty table gives no rows; other columns are not read by ``line_digests``
+and pass through ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -25,17 +31,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, mix64, small_rows, stored, strings, whole_row
+from .common import batch, fresh, mix64, spread_join, stored, strings
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
-#: Frequent lines up to this number travel to the tasks as filters with their
-#: exact table (24 bytes a line: 5 MB at most); beyond it lines are joined by shuffle.
-BROADCAST_LINES = 200_000
-
-#: Stands for a null id; such a row counts, but keeps all its lines.
-NO_ID = -(1 << 62)
+#: Shards of the hash space, at least; their number grows with the frequent lines.
+SHARDS, SHARD_LINES = 64, 500_000
+#: Filters that travel to the tasks at a time.
+FILTER_BYTES = 64 << 20
 
 SPACE = " \t\n\v\f\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -67,6 +70,20 @@ class CuckooFilter:
         self.overflow: list[int] = []
         self._turn = 0
 
+    @classmethod
+    def of(cls, slots: bytes, overflow: list[int]) -> CuckooFilter:
+        """A filter from its stored form."""
+        made = cls(0)
+        made.slots = np.frombuffer(slots, np.uint16).reshape(-1, 4).copy()
+        made.mask = np.uint64(len(made.slots) - 1)
+        made.overflow = [x & 0xFFFFFFFFFFFFFFFF for x in overflow]
+        return made
+
+    def row(self, shard: int) -> dict:
+        """The stored form."""
+        signed = np.array(self.overflow, np.uint64).view(np.int64).tolist()
+        return {"shard": [shard], "slots": [self.slots.tobytes()], "overflow": [signed]}
+
     def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix64(np.asarray(keys, np.uint64))
         mark = ((h >> np.uint64(48)).astype(np.uint64) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
@@ -117,7 +134,7 @@ class CuckooFilter:
 
 
 def _hash_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(hash, doc_id), once for each document and distinct long line."""
+    """(hash, doc_id), once for each row and distinct long line."""
     schema = pa.schema([("hash", pa.binary()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +149,13 @@ def _hash_rows(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "hash binary, doc_id long")
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("hash").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last_doc"))
+
+
 def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The reference-count table: hash, refs, last_doc."""
-    return _hash_rows(docs, min_chars).groupBy("hash").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last_doc"))
+    return _counted(_hash_rows(docs, min_chars))
 
 
 def insert(counts: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -159,107 +180,146 @@ def frequent(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return counts.filter(F.col("refs") >= min_docs)
 
 
-class LineIndex:
-    """Sharded cuckoo filters with the exact table of the lines they hold."""
-
-    def __init__(self, hashes: list[bytes], last_docs: list[int], shards: int = SHARDS):
-        self.last = dict(zip(hashes, last_docs))
-        keys = np.frombuffer(b"".join(hashes), np.uint64)[::2] if hashes else np.zeros(0, np.uint64)
-        self.shards = []
-        for s in range(shards):
-            own = keys[keys % np.uint64(shards) == s]
-            self.shards.append(CuckooFilter(len(own)))
-            self.shards[-1].insert(own)
-
-    def dropped(self, hashes: list[bytes | None], doc: int) -> np.ndarray:
-        """Which lines go: a filter hit that the exact table confirms."""
-        out = np.zeros(len(hashes), bool)
-        at = [i for i, h in enumerate(hashes) if h is not None]
-        if not at:
-            return out
-        keys = np.frombuffer(b"".join(hashes[i] for i in at), np.uint64)[::2]
-        shard = keys % np.uint64(len(self.shards))
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            for j in own[self.shards[int(s)].contains(keys[own])]:
-                last = self.last.get(hashes[at[j]])
-                out[at[j]] = last is not None and doc not in (last, None, NO_ID)
-        return out
-
-
-def kept_text(text: str, dropped: np.ndarray | list[bool]) -> str:
-    return "\n".join(line for line, gone in zip(text.split("\n"), dropped) if not gone)
-
-
-_indexes: dict = {}
-
-
-def _index(shared) -> LineIndex:
-    """The index of a broadcast, built once a worker."""
-    if shared.value[0] not in _indexes:
-        _indexes.clear()
-        name, hashes, last = shared.value
-        _indexes[name] = LineIndex([hashes[i : i + 16] for i in range(0, len(hashes), 16)], np.frombuffer(last, np.int64).tolist())
-    return _indexes[shared.value[0]]
-
-
-def _marked(docs: DataFrame, min_chars: int, min_docs: int, limit: int) -> tuple[DataFrame, object]:
-    """(_row, _doc, _text and, where hashes to drop were joined, _gone; broadcast or None)."""
-    rows_of = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"))
-    table = stored(frequent(count_lines(docs, min_chars), min_docs), "frequent-lines")
-    rows = small_rows(table.select("hash", "last_doc"), limit)
-    if rows is not None:
-        rows.sort()
-        packed = b"".join(bytes(r[0]) for r in rows), np.array([r[1] for r in rows], np.int64).tobytes()
-        return rows_of, docs.sparkSession.sparkContext.broadcast((hashlib.md5(packed[0] + packed[1]).hexdigest(), *packed))
-    # Too many to hold in a task: lines meet the table by shuffle, on the line's hash.
-    gone = (
-        _hash_rows(docs, min_chars).join(table.select("hash", "last_doc"), "hash")
-        .filter(F.col("doc_id") != F.col("last_doc")).groupBy("doc_id").agg(F.collect_set("hash").alias("_gone"))
-        .withColumnRenamed("doc_id", "_doc")
-    )
-    return rows_of.join(gone, "_doc", "left"), None
-
-
-def _decide(text: str, doc, gone, shared, min_chars: int) -> np.ndarray | list[bool]:
-    hashes = [line_hash(line, min_chars) if len(line) >= min_chars else None for line in text.split("\n")]
-    if shared is not None:
-        return _index(shared).dropped(hashes, doc)
-    gone = {bytes(h) for h in gone} if gone is not None else ()
-    return [h in gone for h in hashes]
-
-
-def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, limit: int = BROADCAST_LINES) -> DataFrame:
-    """Per document the lines before dropping, those dropped, and a digest of the rest."""
-    marked, shared = _marked(docs.select("doc_id", "text"), min_chars, min_docs, limit)
+FILTER = "shard int, slots binary, overflow array<long>"
+
+
+def _keys(hashes) -> np.ndarray:
+    """The filters' keys: the first half of each hash."""
+    return np.frombuffer(b"".join(bytes(h) for h in hashes), np.uint64)[::2]
+
+
+def _shard(shards: int):
+    """Shard of a hash, as a column."""
+    return F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
+
+
+def filters_of(often: DataFrame, shards: int | None = None) -> DataFrame:
+    """(shard, slots, overflow): the cuckoo filter of each shard's frequent lines."""
+    shards = shards or max(SHARDS, -(-often.count() // SHARD_LINES))
+
+    def build(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+        made = CuckooFilter(max(2 * len(lines), 64))  # room to insert as many again
+        made.insert(_keys(lines["hash"]))
+        return pd.DataFrame(made.row(key[0]))
+
+    every = often.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    built = often.select("hash", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, FILTER)
+    none = F.lit(CuckooFilter(64).slots.tobytes())
+    return every.join(built, "shard", "left").select("shard", F.coalesce("slots", none).alias("slots"), F.coalesce("overflow", F.array().cast("array<bigint>")).alias("overflow"))
+
+
+def followed(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``filters`` after the counts ``before`` became ``after``: lines that became
+    frequent are inserted, those no longer frequent deleted."""
+    shards = filters.count()
+    old, new = (frequent(c, min_docs).select("hash", F.lit(True).alias(n)) for c, n in ((before, "was"), (after, "now")))
+    changed = old.join(new, "hash", "full").filter("was is null or now is null").select("hash", F.col("now").isNotNull().alias("now"), _shard(shards).alias("shard"))
+
+    def update(key: tuple, held: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        own = CuckooFilter.of(held["slots"][0], list(held["overflow"][0]))
+        own.delete(_keys(lines.loc[~lines["now"], "hash"]))
+        own.insert(_keys(lines.loc[lines["now"], "hash"]))
+        return pd.DataFrame(own.row(key[0]))
+
+    return filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(update, FILTER)
+
+
+def _hits(lines: DataFrame, filters: DataFrame) -> DataFrame:
+    """The (hash, doc_id) whose hash a filter holds, round by round of filters."""
+    spark = lines.sparkSession
+    sizes = {r[0]: r[1] for r in filters.select("shard", F.length("slots") + 8 * F.size("overflow")).collect()}  # one number a shard
+    shards, schema = len(sizes), pa.schema([("hash", pa.binary()), ("doc_id", pa.int64())])
+    rounds, size = [[]], 0
+    for s in sorted(sizes):
+        if rounds[-1] and size + sizes[s] > FILTER_BYTES:
+            rounds.append([])
+            size = 0
+        rounds[-1].append(s)
+        size += sizes[s]
+    out = None
+    for turn in rounds:
+        low, high = turn[0], turn[-1]
+        table = spark.sparkContext.broadcast([(r.shard, bytes(r.slots), list(r.overflow)) for r in filters.filter(F.col("shard").between(low, high)).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            held = {s: CuckooFilter.of(slots, overflow) for s, slots, overflow in table.value}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                keys, shard = _keys(b.column(0).to_pylist()), b.column(2).to_numpy()
+                hit = np.zeros(len(keys), bool)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    own = order[lo:hi]
+                    hit[own] = held[int(shard[own[0]])].contains(keys[own])
+                some = b.filter(pa.array(hit))
+                yield batch(schema, some.column(0), some.column(1))
+
+        asked = lines.withColumn("shard", _shard(shards)).filter(F.col("shard").between(low, high))
+        found = asked.select("hash", "doc_id", "shard").mapInArrow(run, "hash binary, doc_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _gone(docs: DataFrame, min_chars: int, min_docs: int, counts: DataFrame | None, filters: DataFrame | None) -> DataFrame:
+    """(doc, gone): the hashes of the lines that each document loses."""
+    lines = stored(_hash_rows(docs, min_chars), "lines")
+    often = stored(frequent(_counted(lines) if counts is None else counts, min_docs), "frequent-lines")
+    filters = stored(filters_of(often) if filters is None else filters, "filters")
+    # rows without an id lose nothing
+    hits = _hits(lines.filter("doc_id is not null"), filters)
+    sure = spread_join(hits, often, ["hash"], "refs").filter("last_doc is not null and doc_id <> last_doc")
+    return stored(sure.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("hash").alias("gone")), "dropped-lines")
+
+
+def kept_lines(text: str, gone, min_chars: int) -> list[bool]:
+    """Which lines of a text stay. ``gone``: hashes of lines that don't, or None."""
+    lines = text.split("\n")
+    if gone is None:
+        return [True] * len(lines)
+    out = {bytes(h) for h in gone}
+    return [len(line) < min_chars or line_hash(line, min_chars) not in out for line in lines]
+
+
+def kept_text(text: str, stays: list[bool]) -> str:
+    return text if all(stays) else "\n".join(line for line, stay in zip(text.split("\n"), stays) if stay)
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str, str]:
+    doc, out = fresh(docs, "_doc"), fresh(docs, "_gone")
+    return docs.join(gone.select(F.col("doc").alias(doc), F.col("gone").alias(out)), F.col("doc_id").cast("long") == F.col(doc), "left"), doc, out
+
+
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
+    """Per document the lines before dropping, those dropped, and a digest of the rest.
+    ``counts`` and ``filters`` may hold what was made before, of these documents too."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked, _, gone = _with_gone(narrow, _gone(narrow, min_chars, min_docs, counts, filters))
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            gone = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
-            for doc, text, own in zip(b.column(0).to_pylist(), strings(b.column(1)), gone):
-                dropped = _decide(text, doc, own, shared, min_chars)
-                kept = kept_text(text, dropped).encode("utf-8", "surrogatepass")
-                out.append((doc, len(dropped), int(sum(dropped)), hashlib.sha256(kept).hexdigest()))
+            for doc, text, own in zip(b.column(0).to_pylist(), strings(b.column(1)), b.column(2).to_pylist()):
+                stays = kept_lines(text, own, min_chars)
+                kept = kept_text(text, stays).encode("utf-8", "surrogatepass")
+                out.append((doc, len(stays), len(stays) - sum(stays), hashlib.sha256(kept).hexdigest()))
             yield batch(schema, *(zip(*out) if out else ([],) * 4))
 
-    columns = ["_doc", "_text", *(["_gone"] if shared is None else [])]
-    return marked.select(*columns).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("doc_id", "text", gone).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, limit: int = BROADCAST_LINES) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """``docs`` whose texts have lost their repeated lines; all columns and rows stay,
-    a null text stays null."""
-    marked, shared = _marked(docs, min_chars, min_docs, limit)
+    a null text stays null. ``counts`` and ``filters`` as for ``line_digests``."""
+    marked, doc, gone = _with_gone(docs, _gone(docs, min_chars, min_docs, counts, filters))
 
     @F.pandas_udf("string")
-    def without(ids: pd.Series, texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else kept_text(t, _decide(t, d, g, shared, min_chars)) for d, t, g in zip(ids, texts, gone)], dtype=object)
+    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else kept_text(t, kept_lines(t, g, min_chars)) for t, g in zip(texts, gone)], dtype=object)
 
-    own = F.col("_gone") if shared is None else F.lit(None).cast("array<binary>")
-    made = marked.withColumn("_kept", without(F.coalesce("_doc", F.lit(NO_ID)), F.col("_text"), own))
-    return made.select(F.col("_row").withField("text", F.col("_kept")).alias("_row")).select("_row.*")
+    return marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(without("text", gone))).drop(doc, gone)
 
 
 ORACLE = """

@@ -147,6 +147,51 @@ def test_language_without_labels(spark, docs, empty):
     assert language.accepted(docs).columns == docs.columns
 
 
+def test_copies_of_a_text_teach_their_language_once(spark):
+    texts = ["the cat sat on the mat and ate the rat"] * 3000 + ["el gato come la rata en la mesa verde"] * 3
+    d = corpus(spark, texts, langs=["en"] * 3000 + ["es"] * 3)
+    assert {k: len(v) for k, v in language.train(d).items()} == {"en": 1, "es": 1}
+    got = language.predictions(corpus(spark, [(None, "x"), (None, "y")]))
+    assert [r.held_out for r in got.collect()] == [True, True]
+
+
+def test_documents_in_no_learned_language_go(spark):
+    en, es = "the cat sat on the mat and ate the rat " * 3, "el gato come la rata en la mesa verde y la casa " * 3
+    texts = [en, es, "\u4e00\u4e01\u4e02" * 30, "42 !", None, "cat", en + "\u4e00", "qzx" * 40]
+    d = corpus(spark, texts, langs=["en", "es", None, None, None, None, None, None])
+    kept = lambda **by: {r.doc_id for r in language.accepted(d, **by).collect()}
+    assert kept() - {7} == {0, 1, 5, 6} and kept(languages=["en"]) - {7} == {0, 5, 6}
+
+
+def naive_prediction(sample, text):
+    """Language of a text by greedy longest matches in the joined samples."""
+    clean = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    whole = {k: "".join(" " + clean(t) for t in v) for k, v in sample.items()}
+    cost = {}
+    for lang, source in whole.items():
+        n = 0
+        for at in range(0, max(1, len(text)), language.BLOCK):
+            held = ""
+            for c in clean(text[at : at + language.BLOCK]):
+                if held + c in source:
+                    held += c
+                else:
+                    n, held = n + 1, c if c in source else ""
+        cost[lang] = n * math.log2(len(source) + 2)
+    return cost
+
+
+def test_predictions_match_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("length(text) between 30 and 900 and crc32(cast(doc_id as string)) % 5 <> 1")
+    sample = language.train(docs, ~language.held_out(5, 0), 12, 80)
+    p = language.Parser.of(sample)
+    texts = [r.text for r in docs.limit(25).collect()]
+    langs, _ = p.predict(texts)
+    for text, lang in zip(texts, langs):
+        cost = naive_prediction(sample, text)
+        assert cost[lang] == min(cost.values())
+
+
 def test_lettered_documents_stay_without_labels(spark):
     texts = ["One text", None, "", "12 !", "é", "\u4e00"]
     for d in (corpus(spark, texts, langs=[None] * 6), corpus(spark, texts, langs=[None, "en", "en", None, None, None])):
@@ -434,27 +479,48 @@ def line_table():
     return list(enumerate([None, "", "\n\n", "x" * 5000, *texts]))
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_line_dedup_matches_brute_force(spark, empty, limit):
+@pytest.mark.parametrize("size", [1 << 26, 64])
+def test_line_dedup_matches_brute_force(spark, empty, monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", size)  # the small size takes a round a shard
+    monkeypatch.setattr(line_dedup, "SHARDS", 5)
+    monkeypatch.setattr("cavea.llm.common.HOT_ROWS", 7)
     table = line_table()
     d = corpus(spark, table)
     want = naive_lines(table)
-    got = rows(line_dedup.line_digests(d, limit=limit))
-    kept = rows(line_dedup.drop_lines(d, limit=limit))
+    got = rows(line_dedup.line_digests(d))
+    kept = rows(line_dedup.drop_lines(d))
     for i, t in table:
         assert got[i].n_lines == len((t or "").split("\n")) and got[i].n_dropped == got[i].n_lines - len(want[i])
         assert got[i].kept_sha256 == hashlib.sha256("\n".join(want[i]).encode()).hexdigest()
         assert kept[i].text == (None if t is None else "\n".join(want[i]))
-    assert line_dedup.drop_lines(d, limit=limit).columns == d.columns and line_dedup.line_digests(empty, limit=limit).count() == 0
+    assert line_dedup.drop_lines(d).columns == d.columns and line_dedup.line_digests(empty).count() == 0 and line_dedup.drop_lines(empty).count() == 0
+
+
+def test_lines_of_rows_without_ids_and_of_repeated_rows(spark):
+    line = "This very line stands in every one of the documents here"
+    lone = spark.createDataFrame([(None, f"{line}\n{i}") for i in range(9)], "doc_id long, text string")
+    assert {r.text.count(line) for r in line_dedup.drop_lines(lone).collect()} == {1} and {r.n_dropped for r in line_dedup.line_digests(lone).collect()} == {0}
+    mixed_ = spark.createDataFrame([(None, line), *[(3, line)] * 3, (4, line + "\nx"), (4, line + "\nx")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.drop_lines(mixed_).collect()) == ["", "", "", line, line + "\nx", line + "\nx"]
 
 
-def test_counts_are_reversible(spark):
-    d = corpus(spark, line_table())
+def test_counts_and_filters_are_reversible(spark):
+    d = corpus(spark, line_table()).select("doc_id", "text")
     gone, left = d.filter("doc_id % 3 = 0"), d.filter("doc_id % 3 <> 0")
     state = lambda df: {(bytes(r.hash), r.refs, r.last_doc) for r in df.collect()}
-    whole = line_dedup.count_lines(d)
-    assert state(line_dedup.insert(line_dedup.count_lines(left), gone)) == state(whole)
-    assert state(line_dedup.delete(whole, gone, left)) == state(line_dedup.count_lines(left))
+    whole, part = line_dedup.count_lines(d), line_dedup.count_lines(left)
+    assert state(line_dedup.insert(part, gone)) == state(whole)
+    fewer = line_dedup.delete(whole, gone, left)
+    assert state(fewer) == state(part)
+    # filters follow the counts both ways, and drop the same lines as fresh ones
+    filters = line_dedup.filters_of(line_dedup.frequent(whole))
+    after = line_dedup.followed(filters, whole, fewer)
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    assert texts(line_dedup.drop_lines(left, counts=fewer, filters=after)) == texts(line_dedup.drop_lines(left))
+    again = line_dedup.followed(after, fewer, whole)
+    assert texts(line_dedup.drop_lines(d, counts=whole, filters=again)) == texts(line_dedup.drop_lines(d))
+    held = lambda df: {r.shard: sorted(x for x in np.frombuffer(r.slots, np.uint16).tolist() if x) for r in df.collect()}
+    assert held(again) == held(filters) != held(after)
 
 
 def test_cuckoo_filter_keeps_and_forgets():
