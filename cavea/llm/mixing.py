@@ -15,7 +15,10 @@ gets a place; none is dropped or repeated.
 
 Defined cases: a null source is a source of its own; sources without a given
 weight get the mean weight; an empty table gives no rows; repeated rows keep a
-place each; extra columns pass through.
+place each; rows of one key are ordered by all their columns, so a task that runs
+again places them alike; equal deadlines go by the source's name; texts aren't read;
+extra columns pass through, also those named as the new ones are (which then have
+longer names).
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from math import lcm
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, stored, whole_row
-from .sharding import SLICES, ranked, shuffle_key
+from .common import batch, fresh, stored, whole_row
+from .sharding import SLICES, key_slice, ranked, shuffle_key, slices_for
 
 BLOCK_ROWS = 16
 #: Slots of so many blocks of a source are one row of the schedule.
@@ -134,7 +137,7 @@ def natural_weights(counts: dict[str, int], power: float = 0.5) -> dict[str, flo
 
 
 def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(_row, mix_slot, mix_pos) of each row."""
+    """(_row, _slot, _pos) of each row."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
     ready = docs.select(whole_row(docs), shuffle_key(seed, key).alias("_key"), name.alias("_source"), F.col(key).alias("_id"))
     counts = {r[0]: r[1] for r in ready.groupBy("_source").count().collect()}  # one row a source
@@ -147,19 +150,20 @@ def _placed(docs: DataFrame, weights: dict[str | None, float] | None = None, sou
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     table = stored(schedule(docs, blocks, target), "schedule")
     sent = F.broadcast if sum(blocks.values()) <= BROADCAST_BLOCKS else lambda df: df
-    own = ranked(ready, ["_source"], F.conv(F.substring("_key", 1, 2), 16, 10).cast("int") * SLICES / F.lit(256), [F.col("_key"), F.col("_id")], "_rank")
+    order = [F.col("_key"), F.col("_id"), F.xxhash64("_row"), F.hash("_row")]
+    own = ranked(ready, ["_source"], key_slice(slices_for(sum(counts.values()), SLICES)), order, "_rank")
     own = own.withColumn("_block", F.floor((F.col("_rank") - 1) / block_rows))
     own = own.withColumns({"_chunk": F.floor(F.col("_block") / CHUNK), "_j": (F.col("_block") % CHUNK + 1).cast("int")})
     placed = own.join(sent(table), ["_source", "_chunk"])
     slot = F.element_at("_slots", F.col("_j"))
-    return placed.select("_row", slot.alias("mix_slot"), (slot * block_rows + (F.col("_rank") - 1) % block_rows).alias("mix_pos"))
+    return placed.select("_row", slot.alias("_slot"), (slot * block_rows + (F.col("_rank") - 1) % block_rows).alias("_pos"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, **settings) -> DataFrame:
     """``docs`` (narrow columns best) with ``mix_slot``, the slot of the row's block,
     and ``mix_pos``, which orders all rows; the target weights default to the square
     root of each source's rows."""
-    return _placed(docs, weights, **settings).select("_row.*", "mix_slot", "mix_pos")
+    return _placed(docs, weights, **settings).select("_row.*", F.col("_slot").alias(fresh(docs, "mix_slot")), F.col("_pos").alias(fresh(docs, "mix_pos")))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -170,4 +174,4 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def in_mix_order(docs: DataFrame) -> DataFrame:
     """``docs`` sorted by their place in the mixture; all rows and columns stay."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return _placed(docs).repartitionByRange(parts, "mix_pos").sortWithinPartitions("mix_pos").select("_row.*")
+    return _placed(docs).repartitionByRange(parts, "_pos").sortWithinPartitions("_pos").select("_row.*")

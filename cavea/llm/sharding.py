@@ -9,21 +9,26 @@ No ranking needs a source in one task: rows are counted by (source, slice of the
 shuffle key), the slices are ranked apart, and running sums of the counts give each
 slice its offset. The same is done for the global order.
 
+The number of slices follows the rows, so that each holds ``SLICE_ROWS`` or so.
+
 Defined cases: a null source is a source of its own; a null text has no bytes and
-the checksum of nothing; rows repeated in every column are told apart by a running
-number, so each keeps its own slot; an empty table gives no rows; other columns
-are not read.
+the checksum of nothing; rows of one key are ordered by all their columns, so that a
+task that runs again ranks alike; rows equal in every column are told apart by a
+running number, so each keeps its own slot; texts of any length count by their bytes;
+an empty table gives no rows; other columns pass through, also those named as the new
+ones are (the new ones then have longer names). Equal texts need not share a shard
+under law ``rows``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import whole_row
+from .common import fresh, whole_row
 
-#: Slices of the shuffle key for one source, and of the global order.
-SLICES = 256
-CUTS = 4096
+#: Slices of the shuffle key for one source, and cuts of the global order, at least;
+#: rows of a slice from which there are more.
+SLICES, CUTS, SLICE_ROWS = 256, 4096, 100_000
 
 
 def shuffle_key(seed: int, *columns: str) -> Column:
@@ -31,6 +36,19 @@ def shuffle_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]))
 
 
+def slices_for(rows: int, at_least: int) -> int:
+    """Slices of a power of two of ``at_least``, so that each has ``SLICE_ROWS`` at most
+    or so, however many rows there are."""
+    while at_least * SLICE_ROWS < rows:
+        at_least *= 2
+    return at_least
+
+
+def key_slice(slices: int) -> Column:
+    """Slice of ``_key`` (hex digits), rising with it."""
+    return F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * slices / F.lit(float(1 << 32)))
+
+
 def ranked(df: DataFrame, within: list[str], slice_of: Column, order: list[Column], out: str) -> DataFrame:
     """``df`` with the 1-based rank ``out`` of each row within ``within`` by
     (slice, order), and ``out``_of, the rows there. ``slice_of`` must rise with the
@@ -51,15 +69,16 @@ def ranked(df: DataFrame, within: list[str], slice_of: Column, order: list[Colum
 
 def interleaved(df: DataFrame, source: str = "source", key: str = "doc_id", seed: int = 0, n_shards: int = 40) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (from 0, gapless
-    in each shard). ``df`` should hold narrow columns only; wide ones are better
+    in each shard), named with a further ``_`` where ``df`` has such a column. ``df`` should hold narrow columns only; wide ones are better
     joined afterwards."""
     named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
     ready = df.select(whole_row(df), shuffle_key(seed, key).alias("_key"), named.alias("_source"), F.col(key).alias("_id"))
-    first_byte = F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")
-    own = ranked(ready, ["_source"], first_byte * SLICES / F.lit(256), [F.col("_key"), F.col("_id")], "_rank")
+    rows = df.count()
+    order = [F.col("_key"), F.col("_id"), F.xxhash64("_row"), F.hash("_row")]
+    own = ranked(ready, ["_source"], key_slice(slices_for(rows, SLICES)), order, "_rank")
     own = own.withColumn("_part", (2 * F.col("_rank") - 1) / (2 * F.col("_rank_of")))
     tie = [F.col("_part"), F.col("_key"), F.col("_id"), F.col("_source"), F.col("_rank")]
-    placed = ranked(own, [], F.floor(F.col("_part") * CUTS), tie, "_place")
+    placed = ranked(own, [], F.floor(F.col("_part") * slices_for(rows, CUTS)), tie, "_place")
     # the first (rows mod n_shards) shards hold one row more than the others
     at, short = F.col("_place") - 1, F.floor(F.col("_place_of") / n_shards)
     more = F.col("_place_of") % n_shards
@@ -67,7 +86,7 @@ def interleaved(df: DataFrame, source: str = "source", key: str = "doc_id", seed
     early = at < edge
     shard = F.when(early, F.floor(at / (short + 1))).otherwise(more + F.floor((at - edge) / F.greatest(short, F.lit(1))))
     slot = F.when(early, at % (short + 1)).otherwise((at - edge) % F.greatest(short, F.lit(1)))
-    return placed.select("_row.*", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.select("_row.*", shard.cast("int").alias(fresh(df, "shard")), slot.cast("long").alias(fresh(df, "slot")))
 
 
 def shard_report(docs: DataFrame, n_shards: int = 40, seed: int = 0) -> DataFrame:

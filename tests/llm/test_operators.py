@@ -9,9 +9,11 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cavea.llm import bpe, fingerprint, graph, language, line_dedup, mixing, ngram_join, quality, sharding, site_tree, topk
 
@@ -223,6 +225,51 @@ def test_shards_match_brute_force(spark):
     assert sorted((x[2], s) for x, s in zip(order, want)) == sorted((r.doc_id, r.shard) for r in got)
 
 
+def test_clashing_columns_and_rows_of_one_id(spark):
+    rows_ = [(5, "a", f"t{i}", 1, 2, 3, 4) for i in range(40)] + [(5, "a", "t0", 1, 2, 3, 4)] * 3 + [(None, None, None, 1, 2, 3, 4)] * 2
+    d = spark.createDataFrame(rows_, "doc_id long, source string, text string, shard int, slot int, mix_slot int, mix_pos int")
+    cut = sharding.interleaved(d, n_shards=4)
+    assert cut.columns == [*d.columns, "shard_", "slot_"] and len({(r.shard_, r.slot_) for r in cut.collect()}) == 45
+    mix = mixing.mixed(d, block_rows=4)
+    assert mix.columns == [*d.columns, "mix_slot_", "mix_pos_"] and len({r.mix_pos_ for r in mix.collect()}) == 45
+    # however the rows arrive, those of one id get the same places
+    places = lambda df: sorted((r.text or "", r.shard_, r.slot_) for r in sharding.interleaved(df, n_shards=4).collect())
+    assert places(d) == places(d.repartition(7, "text").sortWithinPartitions(F.desc("text")))
+
+
+def naive_mix(sources, weights, block_rows):
+    """Slot of every row by the plain rule: of the released blocks, the earliest due."""
+    names = sorted({"null" if s is None else "=" + s for s in sources})
+    blocks = {n: -(-sum(("null" if s is None else "=" + s) == n for s in sources) // block_rows) for n in names}
+    w = {n: Fraction(weights[None if n == "null" else n[1:]]) for n in names}
+
+    def when(name, j):
+        """Time when j blocks of a source are done, served without steps."""
+        v = j / w[name]
+        return sum(min(w[n] * v, blocks[n]) for n in names)
+
+    done, out = dict.fromkeys(names, 0), []
+    for t in range(sum(blocks.values())):
+        free = [n for n in names if done[n] < blocks[n] and math.floor(when(n, done[n])) <= t]
+        best = min(free, key=lambda n: (math.ceil(when(n, done[n] + 1)), names.index(n)))
+        out.append((best, done[best]))
+        done[best] += 1
+    return out
+
+
+def test_mixture_matches_the_plain_rule(spark):
+    sources, weights = ["a"] * 90 + ["b"] * 41 + [None] * 23 + ["c"] * 7, {"a": 0.37, "b": 0.33, None: 0.2, "c": 0.1}
+    got = mixing.mixed(corpus(spark, ["t"] * len(sources), sources), weights, block_rows=5).collect()
+    want = naive_mix(sources, weights, 5)
+    slots = {r.mix_slot: "null" if r.source is None else "=" + r.source for r in got}
+    assert [slots[t] for t in range(len(want))] == [s for s, _ in want]
+    # within a source rows follow the seeded shuffle
+    key = lambda i: (hashlib.md5(f"0|{i}".encode()).hexdigest(), i)
+    for s in weights:
+        own = sorted((r for r in got if r.source == s), key=lambda r: r.mix_pos)
+        assert [r.doc_id for r in own] == sorted((r.doc_id for r in own), key=key)
+
+
 def test_pfair_stays_within_a_block():
     slots = mixing.whole_weights({"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}, 100)
     done = Counter()
@@ -300,6 +347,37 @@ def test_top_products_are_exact(spark):
     assert topk.top_products(df.filter("vec_id = 401")).count() == 0 and topk.top_products(df.filter("vec_id = 20")).count() == 0
 
 
+def test_pruning_over_groups_skips_blocks(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 32)) * 3
+    vectors = [(i, (centres[i % 12] + rng.normal(size=32) * 0.2).tolist()) for i in range(6000)]
+    ready = topk.integers(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    asked = ready.filter("vec_id % 20 = 0")
+    told = topk.block_counts(ready, asked, group=1000, batch_of=100).first()
+    assert 0 < told.scored < 0.3 * told.blocks
+    whole = {i: np.floor(64 * np.array(v)).astype(int) for i, v in vectors}
+    m = np.array([whole[i] for i in range(6000)])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(ready, asked, group=1000, batch_of=100).collect()}
+    for q in range(0, 6000, 700):
+        if q % 20 == 0:
+            s = m @ m[q]
+            s[q] = -(10**9)
+            order = sorted(range(6000), key=lambda i: (-s[i], i))[:20]
+            assert [got[q, k] for k in range(1, 21)] == [(i, s[i]) for i in order]
+
+
+def test_large_components_saturate(spark):
+    vectors = [(0, [1e9, 1.0]), (20, [1e9, 2.0]), (21, [-1e300, 0.0]), (22, [1.0, 1.0])]
+    got = topk.top_products(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    want = (64 * 10**9) ** 2 + 64 * 128
+    assert {(r.query_id, r.vec_id): r.score for r in got.collect()} == {
+        (a, b): max(min(s, 2**63 - 1), -(2**63)) for a, b, s in ((0, 20, want), (20, 0, want), (0, 21, -(10**40)), (20, 21, -(10**40)), (0, 22, 64**2 * (10**9 + 1)), (20, 22, 64**2 * (10**9 + 2)))
+    }
+    twice = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])]
+    got = topk.top_products(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 3, 4096), (2, 3, 4096)]
+
+
 def test_blocks_below_the_kth_are_skipped():
     docs = np.repeat(np.arange(0, 4000, 100), 100)[:, None] * np.ones((1, 4), np.int64)
     _, ids, _, scored = topk.best_in_group(np.array([-1]), np.ones((1, 4), np.int64), np.arange(4000), docs, 5, 100)
