@@ -287,8 +287,9 @@ def kept_text(text: str, stays: list[bool]) -> str:
 
 
 def _with_gone(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str, str]:
+    # what is dropped grows with the documents: never broadcast, at no size
     doc, out = fresh(docs, "_doc"), fresh(docs, "_gone")
-    return docs.join(gone.select(F.col("doc").alias(doc), F.col("gone").alias(out)), F.col("doc_id").cast("long") == F.col(doc), "left"), doc, out
+    return docs.join(gone.select(F.col("doc").alias(doc), F.col("gone").alias(out)).hint("merge"), F.col("doc_id").cast("long") == F.col(doc), "left"), doc, out
 
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ from .common import stored
 K = 20
 #: Vectors of a block, of a group of blocks (one task's share), and queries that travel together.
 BLOCK = 64
-GROUP = 8192
+GROUP = 4096
 QUERIES = 8192
 #: Vectors of the sample that name the cells.
 PIVOTS = 64
