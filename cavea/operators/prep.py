@@ -22,6 +22,11 @@ def drop_hydrogens(atoms: DataFrame) -> DataFrame:
     return atoms.filter(~F.upper(F.coalesce("element", F.lit(""))).isin("H"))
 
 
+def drop_hub_atoms(atoms: DataFrame, include_hubs: bool = False) -> DataFrame:
+    """Atoms without the pseudo-atoms of hubs."""
+    return atoms if include_hubs else atoms.filter(F.col("res_name") != "HUB")
+
+
 def select_models(atoms: DataFrame, keep_all: bool = True) -> DataFrame:
     """The first model, or all with atoms renumbered over models."""
     if keep_all:
@@ -77,7 +82,7 @@ def identity_assembly(gen: DataFrame, oper: DataFrame, atoms: DataFrame) -> Data
     chain_id; ``oper``: structure_id, oper_id, matrix (nine numbers), shift."""
     unit = F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)])
     same = F.forall(F.zip_with("matrix", unit, lambda a, b: F.abs(a - b) <= 1e-6), lambda x: x) & F.forall("shift", lambda v: F.abs(v) <= 1e-6)
-    first = gen.withColumn("_first", F.min("assembly_id").over(W.partitionBy(SID))).filter("assembly_id = _first")
+    first = first_assembly(gen)
     used = first.join(oper.select(SID, "oper_id", same.alias("same")), [SID, "oper_id"], "left").groupBy(SID).agg(
         F.bool_and(F.coalesce("same", F.lit(False))).alias("same"), F.count_distinct("oper_id").alias("opers"), F.array_sort(F.collect_set("chain_id")).alias("chains")
     )
@@ -85,12 +90,20 @@ def identity_assembly(gen: DataFrame, oper: DataFrame, atoms: DataFrame) -> Data
     return whole.join(used, SID, "left").select(SID, F.coalesce(F.col("same") & (F.col("opers") == 1) & (F.col("chains") == F.col("all")), F.lit(False)).alias("identity"))
 
 
+def first_assembly(gen: DataFrame) -> DataFrame:
+    """The rows of each structure's first assembly: by its place in the file (``place``)
+    where ``gen`` has it, else by id."""
+    first = F.min_by("assembly_id", "place") if "place" in gen.columns else F.min("assembly_id")
+    return gen.withColumn("_first", first.over(W.partitionBy(SID))).filter("assembly_id = _first").drop("_first")
+
+
 def expand_assembly(atoms: DataFrame, gen: DataFrame, oper: DataFrame) -> DataFrame:
     """Each chain once for each operator of the first assembly, moved by it, with
-    ``copy`` counted in operator order."""
-    first = gen.withColumn("_first", F.min("assembly_id").over(W.partitionBy(SID))).filter("assembly_id = _first")
-    turns = first.select(SID, "chain_id", "oper_id").distinct().join(oper.select(SID, "oper_id", "matrix", "shift"), [SID, "oper_id"])
-    turns = turns.withColumn("copy", F.row_number().over(W.partitionBy(SID, "chain_id").orderBy("oper_id")) - 1)
+    ``copy`` counted in the order of operators in the file."""
+    first = first_assembly(gen)
+    place = F.min("place") if "place" in gen.columns else F.lit(0)
+    turns = first.groupBy(SID, "chain_id", "oper_id").agg(place.alias("_place")).join(oper.select(SID, "oper_id", "matrix", "shift"), [SID, "oper_id"])
+    turns = turns.withColumn("copy", F.row_number().over(W.partitionBy(SID, "chain_id").orderBy("_place", "oper_id")) - 1).drop("_place")
     moved = atoms.join(turns, [SID, "chain_id"])
     at = lambda k: sum((F.element_at("matrix", 3 * k + i + 2) * F.col(c) for i, c in enumerate("yz")), F.element_at("matrix", 3 * k + 1) * F.col("x")) + F.element_at("shift", k + 1)
     return moved.withColumns({f"_{c}": at(k) for k, c in enumerate("xyz")}).withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*atoms.columns, "copy")
@@ -130,25 +143,24 @@ def residue_reset_split(atoms: DataFrame, drop: int = 10) -> DataFrame:
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def id_pool(structures: DataFrame, width: int) -> DataFrame:
-    """(structure_id, chain_id, rank): every id of up to ``width`` letters in order."""
+def id_pool(width: int) -> F.Column:
+    """Every id of up to ``width`` letters in order, as an array."""
     letters = F.array(*[F.lit(c) for c in LETTERS])
-    pool, made = None, structures.select(SID).distinct().select(SID, F.lit("").alias("chain_id"), F.lit(0).cast("long").alias("rank"))
-    for _ in range(width):
-        made = made.select(SID, "chain_id", "rank", F.posexplode(letters).alias("k", "c")).select(SID, F.concat("chain_id", "c").alias("chain_id"), (F.col("rank") * len(LETTERS) + F.col("k") + 1).alias("rank"))
-        pool = made if pool is None else pool.unionByName(made)
-    return pool
+    longest, out = letters, letters
+    for _ in range(width - 1):
+        longest = F.flatten(F.transform(longest, lambda a: F.transform(letters, lambda c: F.concat(a, c))))
+        out = F.concat(out, longest)
+    return out
 
 
 def assign_chain_ids(atoms: DataFrame, width: int = 2) -> DataFrame:
     """``atoms`` (with copy) whose later copies have fresh ids: copy 0 keeps its ids,
     the others take the next unused in order of first atom."""
     pairs = atoms.groupBy(SID, "copy", "chain_id").agg(F.min("atom_seq").alias("at"))
-    used = pairs.filter("copy = 0").select(SID, "chain_id").distinct()
-    free = id_pool(atoms, width).join(used, [SID, "chain_id"], "left_anti")
-    free = free.select(SID, F.col("chain_id").alias("fresh"), F.row_number().over(W.partitionBy(SID).orderBy("rank")).alias("k"))
+    used = pairs.groupBy(SID).agg(F.collect_set(F.when(F.col("copy") == 0, F.col("chain_id"))).alias("used"))
     later = pairs.filter("copy > 0").withColumn("k", F.row_number().over(W.partitionBy(SID).orderBy("copy", "at")))
-    renamed = later.join(free, [SID, "k"], "left").select(SID, "copy", "chain_id", F.coalesce("fresh", F.raise_error(F.lit("chain ids ran out"))).alias("fresh"))
+    nth = F.try_element_at(F.array_except(id_pool(width), F.col("used")), F.col("k"))
+    renamed = later.join(used, SID).select(SID, "copy", "chain_id", F.coalesce(nth, F.raise_error(F.lit("chain ids ran out"))).alias("fresh"))
     return atoms.join(renamed, [SID, "copy", "chain_id"], "left").withColumn("chain_id", F.coalesce("fresh", "chain_id")).select(*atoms.columns)
 
 
@@ -161,7 +173,7 @@ def volume_chain_ids(atoms: DataFrame) -> DataFrame:
     taken = used.select(SID, F.col("chain_id").alias("wish"), F.lit(True).alias("_taken"))
     wanted = wanted.join(taken, [SID, "wish"], "left")
     kept = wanted.filter("_taken is null").select(SID, "code", F.col("wish").alias("chain_id"))
-    free = id_pool(atoms, 2).join(used, [SID, "chain_id"], "left_anti").join(kept.select(SID, "chain_id"), [SID, "chain_id"], "left_anti")
-    free = free.select(SID, "chain_id", F.row_number().over(W.partitionBy(SID).orderBy("rank")).alias("n"))
-    moved = wanted.filter("_taken").withColumn("n", F.row_number().over(W.partitionBy(SID).orderBy("k"))).join(free, [SID, "n"]).select(SID, "code", "chain_id")
+    held = used.unionByName(kept.select(SID, "chain_id")).groupBy(SID).agg(F.collect_set("chain_id").alias("held"))
+    moved = wanted.filter("_taken").withColumn("n", F.row_number().over(W.partitionBy(SID).orderBy("k"))).join(held, SID)
+    moved = moved.select(SID, "code", F.element_at(F.array_except(id_pool(2), F.col("held")), F.col("n")).alias("chain_id"))
     return kept.unionByName(moved)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text
+from .steps import running
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -26,15 +27,14 @@ def parse_members(lines: DataFrame) -> DataFrame:
     rep = F.first("entry").over(W.partitionBy("line").orderBy("pos"))
     rows = first_seen(good.withColumn("rep_id", rep).withColumnRenamed("entry", "member_id"), ["rep_id", "member_id"], ["line", "pos"])
     at = rows.groupBy("rep_id").agg(F.min(F.struct("line", "pos")).alias("at"))
-    heads = at.withColumn("rep_ord", ordinal("at"))
+    heads = numbered(at, "at")
     w = W.partitionBy("rep_id").orderBy("line", "pos")
     return rows.withColumn("member_ord", F.row_number().over(w) - 1).join(heads.select("rep_id", "rep_ord"), "rep_id").select("rep_id", "rep_ord", "member_id", "member_ord")
 
 
-def ordinal(order: str) -> Column:
-    """Index from 0 in file order. Representatives are a list of at most as many rows
-    as the cluster file has lines."""
-    return F.row_number().over(W.orderBy(order)) - 1
+def numbered(reps: DataFrame, order: str) -> DataFrame:
+    """``reps`` with ``rep_ord``, their index from 0 in file order."""
+    return running(reps, [order], F.lit(1), "_nth").withColumn("rep_ord", (F.col("_nth") - 1).cast("int")).drop("_nth")
 
 
 def parse_reps(lines: DataFrame, include_non_entries: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def parse_reps(lines: DataFrame, include_non_entries: bool = False) -> DataFrame
     heads = tokens(lines).filter("pos = 0")
     heads = heads if include_non_entries else heads.filter("valid")
     seen = heads.groupBy(F.col("entry").alias("rep_id")).agg(F.min("line").alias("line"))
-    return seen.withColumn("rep_ord", ordinal("line")).drop("line")
+    return numbered(seen, "line").drop("line")
 
 
 def cap_representatives(reps: DataFrame, most: int | None) -> DataFrame:
@@ -91,8 +91,7 @@ def take_until_target(decided: DataFrame, target: int | None, order: str = "rep_
     """The rows looked at until ``target`` have passed."""
     if target is None:
         return decided
-    so_far = F.sum(F.col(passed).cast("int")).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return decided.withColumn("_s", so_far).filter(F.col("_s") - F.col(passed).cast("int") < target).drop("_s")
+    return running(decided, [order], F.col(passed).cast("int"), "_s").filter(F.col("_s") - F.col(passed).cast("int") < target).drop("_s")
 
 
 def attach_members(selected: DataFrame, members: DataFrame) -> DataFrame:

@@ -70,6 +70,14 @@ def mouths(direct: DataFrame, support: DataFrame, mode: str = "custom18") -> Dat
     return components(direct, surface_edges(direct, support, mode), KEYS, out="mouth")
 
 
+def by_size(patches: DataFrame) -> DataFrame:
+    """Each component's mouths in falling order of size: KEYS, mouth, size, place."""
+    from pyspark.sql import Window as W
+
+    sizes = patches.groupBy(*KEYS, "mouth").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.withColumn("place", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("size"), "mouth")))
+
+
 def mouth_shells(patches: DataFrame, voxels: DataFrame) -> DataFrame:
     """Each mouth and one layer inside its component: KEYS, mouth, flat, vx, vy, vz."""
     return grown(patches, voxels, [*KEYS, "mouth"])

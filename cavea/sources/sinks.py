@@ -66,7 +66,9 @@ CIF_COLUMNS = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id
 
 def cif_lines(atoms: DataFrame) -> DataFrame:
     """(structure_id, part, idx, value): data block, entity loop and atom_site loop."""
-    entity = F.dense_rank().over(W.partitionBy(SID).orderBy("chain_id"))
+    # entities in the order of numbers, then of texts
+    number_of = F.col("chain_id").try_cast("int")
+    entity = F.dense_rank().over(W.partitionBy(SID).orderBy(number_of.isNull(), number_of, "chain_id"))
     rows = atoms.withColumns({"entity_id": entity, "idx": F.row_number().over(W.partitionBy(SID).orderBy("part", "atom_seq"))})
     number = lambda c: F.format_string("%.3f", c)
     values = ["group_pdb", "idx", "element", "atom_name", "res_name", "chain_id", "entity_id", "res_id"]

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.voxels import SID
 
@@ -96,19 +96,40 @@ def atoms_of_cif(rows: DataFrame) -> DataFrame:
 
 
 def assembly_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gen, oper) as prep.expand_assembly takes them. Operator lists such as
-    1,2 and (1-60) are read; products of lists are not."""
+    """(gen, oper) as prep.expand_assembly takes them, gen with ``place`` in the file.
+    Operator lists such as 1,2 and (1-60) are read, and products of two lists such as
+    (1,2)(3): the right one moves first. Longer products are an error."""
     gen = cif_table(rows, "_pdbx_struct_assembly_gen", ["assembly_id", "oper_expression", "asym_id_list"])
-    pieces = F.split(F.regexp_replace("oper_expression", r"[()\s]", ""), ",")
-    each = gen.select(SID, "assembly_id", F.explode(pieces).alias("p"), "asym_id_list")
-    span = F.regexp_extract("p", r"^(\d+)-(\d+)$", 1), F.regexp_extract("p", r"^(\d+)-(\d+)$", 2)
-    ids = F.when(span[0] != "", F.transform(F.sequence(span[0].try_cast("int"), span[1].try_cast("int")), lambda i: i.cast("string"))).otherwise(F.array("p"))
-    each = each.withColumn("oper_id", F.explode(ids)).select(SID, "assembly_id", "oper_id", F.explode(F.split(F.regexp_replace("asym_id_list", r"\s", ""), ",")).alias("chain_id"))
+    bare = F.regexp_replace("oper_expression", r"\s", "")
+    factors = F.filter(F.split(bare, r"[()]+"), lambda f: ~f.isin("", ","))
+    # a list of lists, (1,2),(3), is a sum; brackets side by side are a product
+    product = bare.contains(")(")
+
+    def listed(part):
+        first, last = F.regexp_extract(part, r"^(\d+)-(\d+)$", 1), F.regexp_extract(part, r"^(\d+)-(\d+)$", 2)
+        return F.when(first != "", F.transform(F.sequence(first.try_cast("int"), last.try_cast("int")), lambda i: i.cast("string"))).otherwise(F.array(part))
+
+    def ids(factor):
+        return F.flatten(F.transform(F.filter(F.split(factor, ","), lambda p: p != ""), listed))
+
+    left, right = ids(F.get(factors, F.lit(0))), ids(F.get(factors, F.lit(1)))
+    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("*"), b))))
+    wrong = F.raise_error(F.concat(F.lit("unsupported assembly operators: "), F.col("oper_expression")))
+    opers = F.when(~product, F.flatten(F.transform(factors, ids))).when(F.size(factors) == 2, pairs).otherwise(wrong)
+    each = gen.select(SID, "assembly_id", "row", F.posexplode(opers).alias("nth", "oper_id"), "asym_id_list").withColumn("place", F.struct("row", "nth"))
+    each = each.select(SID, "assembly_id", "oper_id", "place", F.explode(F.split(F.regexp_replace("asym_id_list", r"\s", ""), ",")).alias("chain_id"))
     cells = [f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)]
     moves = [f"vector[{i}]" for i in (1, 2, 3)]
     oper = cif_table(rows, "_pdbx_struct_oper_list", ["id", *cells, *moves])
     number = lambda names: F.array(*[F.col(f"`{n}`").try_cast("double") for n in names])
-    return each, oper.select(SID, F.col("id").alias("oper_id"), number(cells).alias("matrix"), number(moves).alias("shift"))
+    single = oper.select(SID, F.col("id").alias("oper_id"), number(cells).alias("matrix"), number(moves).alias("shift"))
+    both = each.filter(F.col("oper_id").contains("*")).select(SID, "oper_id").distinct().withColumn("p", F.split("oper_id", r"\*"))
+    side = lambda n: single.select(SID, F.col("oper_id").alias(f"_{n}"), F.col("matrix").alias(f"m{n}"), F.col("shift").alias(f"s{n}"))
+    both = both.withColumns({"_a": F.col("p")[0], "_b": F.col("p")[1]}).join(side("a"), [SID, "_a"]).join(side("b"), [SID, "_b"])
+    at = lambda c, i: F.get(c, F.lit(i))
+    matrix = F.array(*[sum((at("ma", 3 * i + k) * at("mb", 3 * k + j) for k in (1, 2)), at("ma", 3 * i) * at("mb", j)) for i in range(3) for j in range(3)])
+    shift = F.array(*[sum((at("ma", 3 * i + k) * at("sb", k) for k in range(3)), at("sa", i)) for i in range(3)])
+    return each, single.unionByName(both.select(SID, "oper_id", matrix.alias("matrix"), shift.alias("shift")))
 
 
 def load_structures(spark: SparkSession, paths: list[str], assembly: str = "auto") -> DataFrame:
@@ -131,8 +152,11 @@ def load_structures(spark: SparkSession, paths: list[str], assembly: str = "auto
             gen, oper = assembly_tables(rows)
             plain = prep.identity_assembly(gen, oper, atoms).join(gen.select(SID).distinct().withColumn("_has", F.lit(True)), SID, "left").filter("identity or _has is null").select(SID)
             moved = prep.expand_assembly(atoms.join(plain, SID, "left_anti"), gen, oper)
-            atoms = atoms.join(plain, SID, "left_semi").withColumn("copy", F.lit(0)).unionByName(moved)
-            atoms = atoms.drop("copy")
+            # copies have chains of their own and follow each other
+            moved = prep.assign_chain_ids(moved)
+            nth = F.row_number().over(W.partitionBy(SID).orderBy("copy", "atom_seq")) - 1
+            moved = moved.withColumn("atom_seq", nth.cast("long")).drop("copy")
+            atoms = atoms.join(plain, SID, "left_semi").unionByName(moved)
         parts.append(atoms)
     out = parts[0]
     for p in parts[1:]:
