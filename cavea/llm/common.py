@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -53,6 +54,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(key: object, build) -> object:
+    """``build()``, made once for ``key`` in a Python worker. A worker keeps one such
+    object, whichever operator made it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def release() -> None:
+    """Frees what an earlier operator has left in a reused worker, and hands the freed
+    memory back to the system."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def lean(run):
+    """``run`` (of batches) in a worker that starts and ends with little memory."""
+
+    def lighter(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lighter
+
+
 def parts_for(spark: SparkSession, at_least: int = 1) -> int:
     """Partitions for an explicit exchange: the session's setting."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import batch, chunks, strings
+from .common import batch, chunks, kept, strings
 
 UNKNOWN = "und"
 #: The sample: so many pieces of so many characters for each language, from
@@ -209,16 +209,10 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(sample: dict[str, list[str]]) -> Parser:
     """The sample's parser, built once a worker."""
     name = hashlib.md5(repr(sorted(sample.items())).encode()).hexdigest()
-    if name not in _parsers:
-        _parsers.clear()
-        _parsers[name] = Parser.of(sample)
-    return _parsers[name]
+    return kept(("parser", name), lambda: Parser.of(sample))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

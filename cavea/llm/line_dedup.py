@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, fresh, mix64, spread_join, stored, strings
+from .common import batch, fresh, lean, mix64, spread_join, stored, strings
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -146,7 +146,7 @@ def _hash_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 ids += [doc] * len(own)
             yield batch(schema, hashes, ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "hash binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "hash binary, doc_id long")
 
 
 def _counted(lines: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _hits(lines: DataFrame, filters: DataFrame) -> DataFrame:
                 yield batch(schema, some.column(0), some.column(1))
 
         asked = lines.withColumn("shard", _shard(shards)).filter(F.col("shard").between(low, high))
-        found = asked.select("hash", "doc_id", "shard").mapInArrow(run, "hash binary, doc_id long")
+        found = asked.select("hash", "doc_id", "shard").mapInArrow(lean(run), "hash binary, doc_id long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -35,15 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, fresh, hashed_words, mix64, odd_weights, spread_join, stored, utf8, whole_row
+from .common import batch, fresh, hashed_words, lean, mix64, odd_weights, spread_join, stored, utf8, whole_row
 from .graph import components
 
 WORDS = 3
 PERCENT = 90
 #: Classes that are compared at a time from each side.
 BLOCK = 1024
+#: and the elements of their sets in sum, if it isn't one set alone.
+TILE = 1 << 18
 #: Blocks of a family by number; beyond that blocks have so many bytes of text.
-BLOCKS, BLOCK_BYTES = 16, 32 << 20
+BLOCKS, BLOCK_BYTES = 16, 16 << 20
 #: Cells by which candidates are held against the bound, and the widest bucket for that.
 CELLS = 128
 WIDE = 1024
@@ -113,7 +115,7 @@ def signatures(s: np.ndarray, band: int, k: int) -> np.ndarray:
     return out.ravel() if bad >= agree else out[size > 0]
 
 
-def _runs(column: pa.Array, words: int, limit: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _runs(column: pa.Array, words: int, limit: int = 1 << 19) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, shingle sets) for stretches of about ``limit`` bytes."""
     offsets, data = utf8(column)
     lo = 0
@@ -144,7 +146,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 )
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.xxhash64("text").alias("mark"))
-    return ready.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, cells binary, bytes long, mark long")
+    return ready.mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long, cells binary, bytes long, mark long")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,7 +174,7 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if sigs:
                     yield batch(schema, np.concatenate(sigs).view(np.int64), np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))
 
-    return docs.select("text").mapInArrow(run, "sig long, member long")
+    return docs.select("text").mapInArrow(lean(run), "sig long, member long")
 
 
 def near(size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -224,13 +226,13 @@ def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
                 rows.append(tuple(row))
             new = [e for e in dict.fromkeys(found) if e not in done]
             # edges met again in the task are sent once, as far as memory allows
-            done = set(new) if len(done) > 200_000 else done.union(new)
+            done = set(new) if len(done) > 50_000 else done.union(new)
             if new:
                 yield batch(schema, *zip(*new))
         if rows and (last := edges(bucket[0], rows, split)):
             yield batch(schema, *zip(*last))
 
-    return shared.select("sig", "salt", "salts", "member", "n_shingles", "cells").mapInArrow(run, "a long, b long, sig long, x long, y long")
+    return shared.select("sig", "salt", "salts", "member", "n_shingles", "cells").mapInArrow(lean(run), "a long, b long, sig long, x long, y long")
 
 
 def families(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> DataFrame:
@@ -287,6 +289,18 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     return 100 * common >= percent * union
 
 
+def tiles(side: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Stretches of ``side`` (indexes of sets) of at most ``BLOCK`` sets and ``TILE``
+    elements; a larger set is alone."""
+    out, start, size = [], 0, 0
+    for i, k in enumerate(side.tolist()):
+        if i > start and (i - start == BLOCK or size + len(sets[k]) > TILE):
+            out.append(side[start:i])
+            start, size = i, 0
+        size += len(sets[k])
+    return out + [side[start:]] if start < len(side) else out
+
+
 def _compared(members: DataFrame, words: int, percent: int) -> DataFrame:
     """Rows (a, b, links): an edge of a spanning forest where b is given, else the
     number of a's links found in one task."""
@@ -304,7 +318,7 @@ def _compared(members: DataFrame, words: int, percent: int) -> DataFrame:
             return i
 
         same = x[0] == y[0]
-        sides = [[side[i : i + BLOCK] for i in range(0, len(side), BLOCK)] for side in (np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0]))]
+        sides = [tiles(np.flatnonzero(block == which), sets) for which in (x[0], y[0])]
         for i, left in enumerate(sides[0]):
             for right in sides[1][i if same else 0 :]:
                 one = same and left[0] == right[0]
@@ -345,7 +359,7 @@ def _compared(members: DataFrame, words: int, percent: int) -> DataFrame:
         if len(rows) > 1:
             yield compare(rows)
 
-    return members.select("family", "h1", "copies", "block", "x", "y", "text").mapInArrow(run, "a long, b long, links long")
+    return members.select("family", "h1", "copies", "block", "x", "y", "text").mapInArrow(lean(run), "a long, b long, links long")
 
 
 def _solved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
