@@ -299,13 +299,14 @@ def w08_take_until_target(spark, d):
     return selection.take_until_target(rows, 100, "entry").select("entry", "reason")
 
 
-STORE = LINES + ", " + META.removeprefix("WITH ") + ", sr AS (SELECT printf('%04X', (entry % 97 * 211) % 65536) AS rep_id, entry % 13 = 0 AS neg, reason FROM w WHERE entry < 80), dc AS (SELECT DISTINCT hd.rep_id, hd.rep_ord, CASE WHEN neg IS NULL THEN 'metadata_missing' WHEN neg THEN 'metadata_negative' ELSE reason END AS reason FROM hd LEFT JOIN sr USING (rep_id))"
+STORE = LINES + ", " + META.removeprefix("WITH ") + ", sr AS (SELECT printf('%04X', (entry % 97 * 211) % 65536) AS rep_id, entry % 13 = 0 AS neg, reason FROM w QUALIFY row_number() OVER (PARTITION BY entry % 97 ORDER BY entry DESC) = 1), dc AS (SELECT DISTINCT hd.rep_id, hd.rep_ord, CASE WHEN neg IS NULL THEN 'metadata_missing' WHEN neg THEN 'metadata_negative' ELSE reason END AS reason FROM hd LEFT JOIN sr USING (rep_id))"
 
 
 @query(STORE + " SELECT rep_id, rep_ord, (SELECT string_agg(member_id, ',' ORDER BY member_ord) FROM mb WHERE mb.rep_id = dc.rep_id) AS members FROM dc WHERE reason IS NULL")
 def p06_select_representatives(spark, d):
-    meta = views.v_entry_meta(spark, d).filter("entry < 80")
-    store = meta.select(views.code4(F.col("entry") % 97 * 211).alias("pdb_id"), F.when(F.col("entry") % 13 == 0, "negative").otherwise("entry").alias("kind"), "exptl", "rcsb_entry_info")
+    # many events have one id: the newest is its record
+    meta = views.v_entry_meta(spark, d).groupBy(views.code4(F.col("entry") % 97 * 211).alias("pdb_id")).agg(F.max_by(F.struct("entry", "exptl", "rcsb_entry_info"), "entry").alias("e"))
+    store = meta.select("pdb_id", F.when(F.col("e.entry") % 13 == 0, "negative").otherwise("entry").alias("kind"), "e.exptl", "e.rcsb_entry_info")
     selected, _, _ = selection.select_representatives(views.v_lines(spark, d), store, None, 6.5, 30)
     return selected.select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"), F.array_join("cluster_member_pdb_ids", ",").alias("members"))
 

@@ -37,9 +37,10 @@ def scan_metadata_store(spark: SparkSession, folder: str) -> DataFrame:
     return read.filter(F.col("name").rlike("^[A-Z0-9]{4}$") & F.col("r.kind").isNotNull()).select(F.col("name").alias("pdb_id"), "r.kind", "r.entry_metadata.exptl", "r.entry_metadata.rcsb_entry_info", "r.negative_entry")
 
 
-def scan_annotations(spark: SparkSession, paths) -> DataFrame:
-    """One row a volume with the payload's own columns; ``ord`` is its place."""
-    read = spark.read.schema(PAYLOAD).option("multiLine", True).json(paths)
+def scan_annotations(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
+    """One row a volume with the payload's own columns; ``ord`` is its place. A file is
+    one object, or with ``lines`` one object a line."""
+    read = spark.read.schema(PAYLOAD).option("multiLine", not lines).json(paths)
     flat = read.select(F.coalesce("source", F.lit("structure")).alias("source"), "input_path", *[f"frac_{f}" for f in ("alpha", "beta", "coil")], F.posexplode_outer("volumes").alias("ord", "v"))
     return flat.select("source", "input_path", "frac_alpha", "frac_beta", "frac_coil", "ord", "v.id", "v.type", "v.volume", "v.x", "v.y", "v.z", F.col("v.cross_section_circularity").alias("circularity"), F.col("v.cross_section_uniformity").alias("uniformity"))
 
