@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .steps import settled
+from .steps import settled, written
 
 MAX_ROUNDS = 100
 
@@ -40,15 +40,18 @@ def layers(starts: DataFrame, links: DataFrame, keys: list[str], most: int = 10_
     hold so many nodes.
     """
     kept = [*keys, until] if until else keys
-    reached = settled(starts.select(*kept, "n", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("pred")))
-    frontier = reached
+    first = starts.select(*kept, "n", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("pred"))
+    read = starts.sparkSession.read.schema(first.schema)
+    folders = [written(first)]  # a layer each, so no layer is written twice
+    frontier = reached = read.parquet(*folders)
     for depth in range(1, most + 1):
         ahead = frontier.join(links.withColumnRenamed("a", "n"), [*keys, "n"]).groupBy(*kept, "b").agg(F.min("n").alias("pred")).withColumnRenamed("b", "n")
         new = ahead.join(reached, [*keys, "n"], "left_anti").select(*kept, "n", F.lit(depth).alias("depth"), "pred")
-        new = settled(new)
+        folders.append(written(new))
+        new = read.parquet(folders[-1])
         if new.isEmpty():
             break
-        reached = settled(reached.unionByName(new))
+        reached = read.parquet(*folders)
         frontier = new
         if until:
             open_ = reached.filter("depth > 0").groupBy(*kept).count().filter(F.col("count") < F.col(until)).select(*keys)

@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: the plan starts anew there, lost executors
     cost nothing before it, and its true size guides later joins."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+def written(df: DataFrame) -> str:
+    """The new folder in which ``df`` is written."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def running(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
