@@ -22,22 +22,23 @@ def stream_progress(events: DataFrame, interval: str = "1 hour", late: str = "1
 def stream_run_state(events: DataFrame, state: str, checkpoint: str):
     """Keeps the latest section of each source in the table folder ``state``: each
     micro-batch is reduced, merged with the state, and written as a new version. A
-    batch that runs again writes the same version."""
+    batch that runs again writes the same version. A later batch whose previous version
+    is gone is an error, as the state can't be told without it."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.select("source", "section", "seq")
-        if number and (old := _version(spark, state, number - 1)) is not None:
-            new = new.unionByName(old)
+        if number:
+            new = new.unionByName(_version(spark, state, number - 1))
         latest_state(new).write.mode("overwrite").parquet(f"{state}/version={number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def _version(spark: SparkSession, state: str, number: int) -> DataFrame | None:
+def _version(spark: SparkSession, state: str, number: int) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/version={number}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
+        raise FileNotFoundError(f"version {number} of the state is not in {state}")
     return spark.read.parquet(f"{state}/version={number}")
 
 
