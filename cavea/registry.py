@@ -302,13 +302,16 @@ def w08_take_until_target(spark, d):
 STORE = LINES + ", " + META.removeprefix("WITH ") + ", sr AS (SELECT printf('%04X', (entry % 97 * 211) % 65536) AS rep_id, entry % 13 = 0 AS neg, reason FROM w QUALIFY row_number() OVER (PARTITION BY entry % 97 ORDER BY entry DESC) = 1), dc AS (SELECT DISTINCT hd.rep_id, hd.rep_ord, CASE WHEN neg IS NULL THEN 'metadata_missing' WHEN neg THEN 'metadata_negative' ELSE reason END AS reason FROM hd LEFT JOIN sr USING (rep_id))"
 
 
-@query(STORE + " SELECT rep_id, rep_ord, (SELECT string_agg(member_id, ',' ORDER BY member_ord) FROM mb WHERE mb.rep_id = dc.rep_id) AS members FROM dc WHERE reason IS NULL")
-def p06_select_representatives(spark, d):
+def _chosen(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     # many events have one id: the newest is its record
     meta = views.v_entry_meta(spark, d).groupBy(views.code4(F.col("entry") % 97 * 211).alias("pdb_id")).agg(F.max_by(F.struct("entry", "exptl", "rcsb_entry_info"), "entry").alias("e"))
     store = meta.select("pdb_id", F.when(F.col("e.entry") % 13 == 0, "negative").otherwise("entry").alias("kind"), "e.exptl", "e.rcsb_entry_info")
-    selected, _, _ = selection.select_representatives(views.v_lines(spark, d), store, None, 6.5, 30)
-    return selected.select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"), F.array_join("cluster_member_pdb_ids", ",").alias("members"))
+    return selection.select_representatives(views.v_lines(spark, d), store, None, 6.5, 30)
+
+
+@query(STORE + " SELECT rep_id, rep_ord, (SELECT string_agg(member_id, ',' ORDER BY member_ord) FROM mb WHERE mb.rep_id = dc.rep_id) AS members FROM dc WHERE reason IS NULL")
+def p06_select_representatives(spark, d):
+    return _chosen(spark, d)[0].select("rep_id", F.col("rep_ord").cast("long").alias("rep_ord"), F.array_join("cluster_member_pdb_ids", ",").alias("members"))
 
 
 # runs
@@ -342,9 +345,7 @@ def e05_replay(spark, d):
     return runs.replay(views.v_events(spark, d).withColumn("ord", F.col("seq")), "all").select("source", "input_path", "section")
 
 
-@query("""SELECT 'o' || o_orderkey AS source, CASE o_orderkey % 8 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' WHEN 4 THEN 'invalid' WHEN 5 THEN 'invalid' WHEN 6 THEN 'terminal_skip' ELSE 'valid' END AS reason_kind,
-  CASE o_orderkey % 8 WHEN 6 THEN 'skip' WHEN 7 THEN 'skip' ELSE 'analyze' END AS action, o_orderkey % 8 IN (2,3,4,5) AS overwrite FROM orders""")
-def p07_resume_plan(spark, d):
+def _plan(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     base = views.table(spark, d, "orders").select(k.alias("k"), F.concat(F.lit("o"), k.cast("string")).alias("source"), F.concat(F.lit("/in/o"), k.cast("string")).alias("input_path"), text.output_paths(F.concat(F.lit("o"), k.cast("string")), "/out").alias("p"))
     inputs = base.select("source", "input_path", "p.*")
@@ -357,7 +358,13 @@ def p07_resume_plan(spark, d):
     files = files.unionByName(made.filter("k % 8 <> 1").select(F.col("p.annotation_output").alias("path"), F.lit(9).alias("bytes"), F.lit(True).alias("is_file"), payload.alias("payload")))
     record = F.struct(F.lit("terminal_skip").alias("kind"), F.lit("post_assembly_residue_limit").alias("reason"), "source", F.lit("biological").alias("assembly_policy"), "input_path", "p.structure_output", "p.annotation_output", F.lit(500).alias("actual_residues"))
     records = base.filter("k % 8 = 6").select("source", record.alias("record"))
-    return runs.resume_plan(inputs, files, records, "biological", 300).select("source", "reason_kind", "action", "overwrite")
+    return runs.resume_plan(inputs, files, records, "biological", 300)
+
+
+@query("""SELECT 'o' || o_orderkey AS source, CASE o_orderkey % 8 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' WHEN 4 THEN 'invalid' WHEN 5 THEN 'invalid' WHEN 6 THEN 'terminal_skip' ELSE 'valid' END AS reason_kind,
+  CASE o_orderkey % 8 WHEN 6 THEN 'skip' WHEN 7 THEN 'skip' ELSE 'analyze' END AS action, o_orderkey % 8 IN (2,3,4,5) AS overwrite FROM orders""")
+def p07_resume_plan(spark, d):
+    return _plan(spark, d).select("source", "reason_kind", "action", "overwrite")
 
 
 # chains
