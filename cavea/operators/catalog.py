@@ -231,8 +231,11 @@ def build_catalog(sections: DataFrame, annotations: DataFrame, metrics: DataFram
 
 
 def index_counters(tables: dict[str, DataFrame], entries: DataFrame) -> DataFrame:
-    counts = tables["structures"].agg(F.count(F.lit(1)).alias("indexed_structures")).join(tables["volumes"].agg(F.count(F.lit(1)).alias("indexed_volumes")))
-    return counts.join(entries.agg(F.count(F.lit(1)).alias("n"))).withColumn("skipped", F.col("n") - F.col("indexed_structures")).drop("n")
+    sources = {"indexed_structures": tables["structures"], "indexed_volumes": tables["volumes"], "n": entries}
+    rows = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in sources.items()]
+    total = lambda name: F.sum(F.when(F.col("name") == name, F.col("rows")))
+    counts = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return counts.agg(total("indexed_structures").alias("indexed_structures"), total("indexed_volumes").alias("indexed_volumes"), (total("n") - total("indexed_structures")).alias("skipped"))
 
 
 # render work

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import config
 from ..functions.geometry import along, fib_sphere, principal_axes, shell_table
@@ -143,23 +143,49 @@ def residue_reset_split(atoms: DataFrame, drop: int = 10) -> DataFrame:
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def id_pool(width: int) -> F.Column:
-    """Every id of up to ``width`` letters in order, as an array."""
-    letters = F.array(*[F.lit(c) for c in LETTERS])
-    longest, out = letters, letters
-    for _ in range(width - 1):
-        longest = F.flatten(F.transform(longest, lambda a: F.transform(letters, lambda c: F.concat(a, c))))
-        out = F.concat(out, longest)
+WIDEST = 4
+
+
+def _ids_below(width: int) -> int:
+    """How many ids are shorter than ``width`` letters."""
+    return sum(len(LETTERS) ** w for w in range(1, width))
+
+
+def id_place(name: Column) -> Column:
+    """The place from 0 of an id in the order of all ids: shorter first, then by letters
+    as in LETTERS; null for other texts."""
+    digit = lambda i: F.nullif(F.position(F.substring(name, i, 1), F.lit(LETTERS)), F.lit(0)).cast("long") - 1
+    out = F.lit(None).cast("long")
+    for width in range(1, WIDEST + 1):
+        place = sum((digit(i + 1) * len(LETTERS) ** (width - 1 - i) for i in range(width)), F.lit(_ids_below(width)))
+        out = F.when(F.length(name) == width, place).otherwise(out)
     return out
 
 
-def assign_chain_ids(atoms: DataFrame, width: int = 2) -> DataFrame:
+def id_at(place: Column, width: int) -> Column:
+    """The id at a place, null beyond ``width`` letters."""
+    out = F.lit(None).cast("string")
+    for w in range(width, 0, -1):
+        rest = place - _ids_below(w)
+        letter = lambda i: F.substring(F.lit(LETTERS), (F.floor(rest / len(LETTERS) ** i) % len(LETTERS) + 1).cast("int"), F.lit(1))  # noqa: E731,B023
+        out = F.when(place < _ids_below(w + 1), F.concat(*[letter(i) for i in reversed(range(w))])).otherwise(out)
+    return out
+
+
+def nth_free_id(used: Column, n: Column, width: int) -> Column:
+    """The n-th id from 1 that the set ``used`` lacks: each used place at or before it
+    moves it on by one, so no list of ids is made."""
+    taken = F.array_sort(F.array_compact(F.transform(used, id_place)))
+    return id_at(F.aggregate(taken, n.cast("long") - 1, lambda at, u: F.when(u <= at, at + 1).otherwise(at)), width)
+
+
+def assign_chain_ids(atoms: DataFrame, width: int = WIDEST) -> DataFrame:
     """``atoms`` (with copy) whose later copies have fresh ids: copy 0 keeps its ids,
     the others take the next unused in order of first atom."""
     pairs = atoms.groupBy(SID, "copy", "chain_id").agg(F.min("atom_seq").alias("at"))
     used = pairs.groupBy(SID).agg(F.collect_set(F.when(F.col("copy") == 0, F.col("chain_id"))).alias("used"))
     later = pairs.filter("copy > 0").withColumn("k", F.row_number().over(W.partitionBy(SID).orderBy("copy", "at")))
-    nth = F.try_element_at(F.array_except(id_pool(width), F.col("used")), F.col("k"))
+    nth = nth_free_id(F.col("used"), F.col("k"), width)
     renamed = later.join(used, SID).select(SID, "copy", "chain_id", F.coalesce(nth, F.raise_error(F.lit("chain ids ran out"))).alias("fresh"))
     return atoms.join(renamed, [SID, "copy", "chain_id"], "left").withColumn("chain_id", F.coalesce("fresh", "chain_id")).select(*atoms.columns)
 
@@ -175,5 +201,5 @@ def volume_chain_ids(atoms: DataFrame) -> DataFrame:
     kept = wanted.filter("_taken is null").select(SID, "code", F.col("wish").alias("chain_id"))
     held = used.unionByName(kept.select(SID, "chain_id")).groupBy(SID).agg(F.collect_set("chain_id").alias("held"))
     moved = wanted.filter("_taken").withColumn("n", F.row_number().over(W.partitionBy(SID).orderBy("k"))).join(held, SID)
-    moved = moved.select(SID, "code", F.element_at(F.array_except(id_pool(2), F.col("held")), F.col("n")).alias("chain_id"))
+    moved = moved.select(SID, "code", nth_free_id(F.col("held"), F.col("n"), WIDEST).alias("chain_id"))
     return kept.unionByName(moved)

@@ -120,7 +120,8 @@ def resume_counts(plan: DataFrame, samples: int = 3) -> DataFrame:
     counts = plan.agg(*[F.count_if(F.col("reason_kind") == k).alias(n) for k, n in kinds.items()])
     top = plan.withColumn("_n", F.row_number().over(W.partitionBy("reason_kind").orderBy("source"))).filter(F.col("_n") <= samples)
     shown = top.agg(*[F.sort_array(F.collect_list(F.when(F.col("reason_kind") == k, F.col("source")))).alias(f"{n}_samples") for k, n in kinds.items() if k != "valid"])
-    return counts.join(shown)
+    both = counts.unionByName(shown, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def plan_dry_run(plan: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ files, aligned points and an index that grows with a stream."""
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window as W, functions as F
 
 from . import views
-from .functions import geometry, text
-from .operators import catalog, metrics, prep, runs, selection
+from .functions import geometry, sequences, text
+from .operators import catalog, metrics, prep, runs, selection, topology, voxels
 from .operators.steps import shared_dir
 from .plans import annotate
-from .registry import AGG, CHAIN, EV, EVENTS, LINES, SID, STORE, STR, VOL, _chosen, _plan, _tables, query
-from .registry_more import ATOM_SQL, _atoms
+from .registry import AGG, CFG, CHAIN, EV, EVENTS, LINES, SID, STORE, STR, VOL, _chosen, _plan, _tables, query
+from .registry_more import ATOM_SQL, MOUTHS, _atoms
 from .sources import corpus, sinks
 from .sources.structures import scan_pdb
 from .streaming import events as streams
@@ -189,3 +190,42 @@ def g07_aligned_spread(spark, d):
     s = geometry.scatter_matrix(prep.align(_atoms(spark, d)), [SID])
     apart = F.abs("xy") + F.abs("xz") + F.abs("yz")
     return s.select(SID, "n", F.round(F.col("xx") + F.col("yy") + F.col("zz"), 5).alias("spread"), ((F.col("xx") >= F.col("yy") - 1e-9) & (F.col("yy") >= F.col("zz") - 1e-9)).alias("falling"), (apart < 1e-6).alias("principal"))
+
+
+PAIRS = CHAIN + """, q AS (SELECT chain_id::BIGINT AS c, list(res_name ORDER BY turn) AS s FROM b GROUP BY 1), pr AS (SELECT x.c, CASE WHEN len(x.s) >= len(y.s) THEN x.s ELSE y.s END AS l, CASE WHEN len(x.s) >= len(y.s) THEN y.s ELSE x.s END AS t FROM q x JOIN q y ON y.c = x.c + 1 WHERE x.c % 2 = 0),
+o AS (SELECT *, unnest(range(len(l) - len(t) + 1)) AS k FROM pr), m AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM o), n AS (SELECT c, k, len(l) AS size, count(*) FILTER (WHERE l[k + i] = t[i]) AS same FROM m GROUP BY ALL)"""
+
+
+@query(PAIRS + " SELECT c AS pair, round(max(same) / max(size), 9) AS overlap FROM n GROUP BY 1")
+def x20_sequence_overlap(spark, d):
+    chains = sequences.chain_sequences(views.v_chains(spark, d)).withColumn("c", F.col("chain_id").cast("long"))
+    even = chains.filter("c % 2 = 0").select(F.col("c").alias("pair"), F.col("sequence").alias("a"))
+    odd = chains.filter("c % 2 = 1").select((F.col("c") - 1).alias("pair"), F.col("sequence").alias("b"))
+    return even.join(odd, "pair").select("pair", F.round(sequences.sequence_overlap(F.col("a"), F.col("b")), 9).alias("overlap"))
+
+
+#: Types of components by mouths and directions alone: no bridges, no necks.
+TYPES = MOUTHS + """, nm AS (SELECT structure_id, comp, count(DISTINCT mouth) AS m, count(*) AS nd FROM mo JOIN ds USING (structure_id, flat) GROUP BY ALL),
+al AS (SELECT structure_id, comp, count(*) AS n, avg(vx) AS cx, avg(vy) AS cy, avg(vz) AS cz FROM cc JOIN bur USING (structure_id, flat) GROUP BY ALL),
+dd AS (SELECT structure_id, comp, vx - cx AS dx, vy - cy AS dy, vz - cz AS dz, greatest(abs(vx - cx), abs(vy - cy), abs(vz - cz)) AS far FROM ds JOIN al USING (structure_id, comp)),
+bk AS (SELECT structure_id, comp, CASE WHEN abs(dx) = far THEN (dx >= 0)::INT WHEN abs(dy) = far THEN 2 + (dy >= 0)::INT ELSE 4 + (dz >= 0)::INT END AS side, count(*) AS c FROM dd GROUP BY ALL),
+bs AS (SELECT structure_id, comp, list_reverse_sort(list(c)) AS l FROM bk GROUP BY 1, 2)"""
+
+
+@query(TYPES + """ SELECT structure_id, comp, n AS num_voxels, coalesce(nd, 0) AS num_direct, coalesce(m, 0) AS num_mouths, CASE WHEN n <= 4 THEN 'occluded' WHEN nd IS NULL THEN 'cavity' WHEN m >= 3 THEN 'hub'
+  WHEN m = 2 AND coalesce(l[5], 0) >= l[1] * 0.4::DOUBLE THEN 'hub' WHEN m = 2 THEN 'pore' WHEN nd < 24 THEN 'pocket' WHEN coalesce(l[3], 0) >= l[1] * 0.4::DOUBLE THEN 'hub' WHEN coalesce(l[2], 0) >= l[1] * 0.7::DOUBLE THEN 'pore' ELSE 'pocket' END AS type
+  FROM al LEFT JOIN nm USING (structure_id, comp) LEFT JOIN bs USING (structure_id, comp)""")
+def a10_types_by_direction(spark, d):
+    plain = replace(CFG, merge_gap=-1, neck=False)
+    grids, occupied, buried = annotate.occupied_and_buried(views.v_points(spark, d), plain)
+    types, _ = topology.typed_components(topology.voxel_components(buried), occupied, grids, plain, voxels.exposed_contacts(buried, occupied, grids))
+    return types.select(SID, "comp", "num_voxels", "num_direct", "num_mouths", "type")
+
+
+@query(TYPES + """, ty AS (SELECT structure_id, comp, n, CASE WHEN n <= 4 THEN 'occluded' WHEN nd IS NULL THEN 'cavity' WHEN m >= 3 THEN 'hub'
+  WHEN m = 2 AND coalesce(l[5], 0) >= l[1] * 0.4::DOUBLE THEN 'hub' WHEN m = 2 THEN 'pore' WHEN nd < 24 THEN 'pocket' WHEN coalesce(l[3], 0) >= l[1] * 0.4::DOUBLE THEN 'hub' WHEN coalesce(l[2], 0) >= l[1] * 0.7::DOUBLE THEN 'pore' ELSE 'pocket' END AS type
+  FROM al LEFT JOIN nm USING (structure_id, comp) LEFT JOIN bs USING (structure_id, comp))
+  SELECT structure_id, (row_number() OVER (PARTITION BY structure_id, type ORDER BY n DESC, comp) - 1)::INT AS id, type, round(n * 0.04::DOUBLE * 0.04 * 0.04, 9) AS volume FROM ty WHERE n >= 4 AND type <> 'occluded'""")
+def p02_ranked_volumes(spark, d):
+    plain = replace(CFG, merge_gap=-1, neck=False)
+    return annotate.annotate_volumes(views.v_points(spark, d), plain)[0].select(SID, "id", "type", F.round("volume", 9).alias("volume"))

@@ -1,6 +1,7 @@
 """Voxels, typing, refinement, shape and end-to-end volumes."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,18 @@ def test_chain_ids(spark):
     assert prep.assign_chain_ids(prep.residue_reset_split(single), 1).select("chain_id").distinct().count() == 6
 
 
+def test_free_ids(spark):
+    """Against the list of all ids: places, ids of places, and the n-th unused."""
+    letters = prep.LETTERS
+    pool = [*letters, *[a + b for a in letters for b in letters], *["A" + a + b for a in letters for b in letters]]
+    rows = spark.createDataFrame(list(enumerate(pool)), "i long, s string").select("i", "s", prep.id_place(F.col("s")).alias("p"), prep.id_at(F.col("i"), 4).alias("t"), prep.id_at(F.col("i"), 1).alias("one")).collect()
+    assert all(r.p == r.i and r.t == r.s and r.one == (r.s if r.i < len(letters) else None) for r in rows)
+    rng = random.Random(1)
+    cases = [(rng.sample(pool[:300], rng.randint(0, 120)) + ["??", "abcde"], rng.randint(1, 200)) for _ in range(60)]
+    got = spark.createDataFrame(cases, "used array<string>, n int").select("used", "n", prep.nth_free_id(F.col("used"), F.col("n"), 4).alias("free")).collect()
+    assert all(r.free == [p for p in pool if p not in r.used][r.n - 1] for r in got)
+
+
 def test_assembly(spark):
     atoms = spark.createDataFrame([("s", i, c, float(i), 0.0, 1.0) for i, c in enumerate("AB")], f"{SID} string, atom_seq long, chain_id string, x double, y double, z double")
     one, turn = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [-1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0]
