@@ -233,3 +233,10 @@ def test_bench_and_comparison(spark):
 def test_registered_queries_and_oracles():
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_status_records(spark, tmp_path):
+    for name, body in {"a.status.json": '{"kind": "terminal_skip", "source": "a", "actual_residues": 7}', "b.status.json": "", "c.status.json": "{oops", "d.json": '{"source": "d"}'}.items():
+        (tmp_path / name).write_text(body)
+    rows = corpus.scan_status_records(spark, str(tmp_path)).collect()
+    assert [(r.source, r.record.kind, r.record.actual_residues) for r in rows] == [("a", "terminal_skip", 7)]
