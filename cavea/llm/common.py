@@ -187,9 +187,9 @@ _FOLD[65:91] += 32
 _ROW = [odd_weights(1 << 12)]
 
 
-def hashed_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(offsets: np.ndarray, data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and byte length of every word of a chunk of texts (stretches between
-    ASCII white space, A-Z in lower case), and each text's end among them."""
+    ASCII white space, A-Z in lower case if ``fold``), and each text's end among them."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     n = len(offsets) - 1
     raw = np.empty(hi - lo + n, np.uint8)  # a space ends each text
@@ -207,7 +207,7 @@ def hashed_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
         _ROW[0] = odd_weights(int(length.max()))
     held = ~space
     place = np.arange(len(raw))[held] - np.repeat(first, length)
-    terms = (_FOLD[raw[held]].astype(np.uint64) + np.uint64(1)) * _ROW[0][place]
+    terms = ((_FOLD[raw[held]] if fold else raw[held]).astype(np.uint64) + np.uint64(1)) * _ROW[0][place]
     word = mix64(np.add.reduceat(terms, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(np.uint64))
     cut = np.searchsorted(first, ends)
     return word, length, cut

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, language, line_dedup, mixing, ngram_join, quality, sharding, site_tree, topk
+from . import bpe, fingerprint, language, line_dedup, mixing, ngram_join, periodic_runs, quality, resampling, sharding, site_tree, substring_dedup, topk
 from .common import table
 
 
@@ -49,10 +49,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = [op1_improbable_features, op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op5_additive_quality, op6_site_style_tree, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard]
+    found = [op1_improbable_features, op2_cross_parsing, op3_stratified_shards, op4_block_pruned_top20, op5_additive_quality, op6_site_style_tree, op7_line_dedup, op8_pfair_mix, op9_bpe_round_trip, op10_ngram_jaccard, op11_periodic_runs, op12_substring_dedup, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_pruned_top20": topk.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_ngram_jaccard": ngram_join.ORACLE}
+    return {"op4_block_pruned_top20": topk.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_ngram_jaccard": ngram_join.ORACLE, "op12_substring_dedup": substring_dedup.ORACLE}
