@@ -65,21 +65,52 @@ POINTS = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("d
 VECTORS = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("vectors", T.ArrayType(T.DoubleType()))])
 
 
-@F.pandas_udf(VECTORS)
-def eigh3(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-    """Eigenvalues in falling order and their vectors, one after another. Signs: the
-    first vector's largest component is negative, the second's positive, the third is
-    their cross product."""
-    a = np.empty((len(xx), 3, 3))
-    for (i, j), v in zip(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), (xx, xy, xz, yy, yz, zz)):
-        a[:, i, j] = a[:, j, i] = np.nan_to_num(v.to_numpy(float))
+#: Eigenvalues within this share of the largest are equal, and components of a unit vector
+#: within ``TIE``.
+EQUAL, TIE = 1e-6, 1e-9
+
+
+def _across(u: np.ndarray) -> np.ndarray:
+    """A unit vector across each row of ``u``: the coordinate axis that ``u`` has least of
+    (the first of equals), without its part along ``u``."""
+    size = np.abs(u)
+    k = (size <= size.min(1, keepdims=True) + TIE).argmax(1)
+    out = np.eye(3)[k] - u * u[np.arange(len(u)), k][:, None]
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def axes3(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues in falling order, their vectors as rows) of symmetric 3x3 matrices.
+
+    Where eigenvalues are equal, vectors follow the coordinate axes. Signs: the first
+    vector's largest component (the first of equals) is negative, the second's positive,
+    the third is their cross product."""
     w, v = np.linalg.eigh(a)
     w, v = w[:, ::-1], v[:, :, ::-1].transpose(0, 2, 1).copy()
+    near = EQUAL * np.abs(w[:, :1])
+    first, last = w[:, 0] - w[:, 1] <= near[:, 0], w[:, 1] - w[:, 2] <= near[:, 0]
+    only = last & ~first
+    v[only, 1] = _across(v[only, 0])
+    only = first & ~last
+    v[only, 0] = _across(v[only, 2])
+    v[only, 1] = np.cross(v[only, 2], v[only, 0])
+    v[first & last] = np.eye(3)
     row = np.arange(len(v))
     for k, sign in ((0, -1), (1, 1)):
-        lead = v[row, k, np.abs(v[:, k]).argmax(1)]
+        size = np.abs(v[:, k])
+        lead = v[row, k, (size >= size.max(1, keepdims=True) - TIE).argmax(1)]
         v[:, k] *= np.where(np.sign(lead) == 0, 1, np.sign(lead) * sign)[:, None]
     v[:, 2] = np.cross(v[:, 0], v[:, 1])
+    return w, v
+
+
+@F.pandas_udf(VECTORS)
+def eigh3(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+    """``axes3`` as a column: eigenvalues and their vectors, one after another."""
+    a = np.empty((len(xx), 3, 3))
+    for (i, j), v in zip(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)), (xx, xy, xz, yy, yz, zz)):
+        a[:, i, j] = a[:, j, i] = np.nan_to_num(v.to_numpy(float))
+    w, v = axes3(a)
     return pd.DataFrame({"values": list(w), "vectors": list(v.reshape(len(v), 9))})
 
 
@@ -93,9 +124,10 @@ def scatter_matrix(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def principal_axes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the mean, the number of points and ``axes`` (nine numbers)."""
-    m = scatter_matrix(points, keys)
-    return m.withColumn("axes", eigh3("xx", "xy", "xz", "yy", "yz", "zz")["vectors"]).select(*keys, "mx", "my", "mz", "n", "axes")
+    """Per key the mean, the number of points, ``axes`` (nine numbers) and ``spread``, the
+    sums of squares along them."""
+    found = scatter_matrix(points, keys).withColumn("e", eigh3("xx", "xy", "xz", "yy", "yz", "zz"))
+    return found.select(*keys, "mx", "my", "mz", "n", F.col("e.vectors").alias("axes"), F.col("e.values").alias("spread"))
 
 
 def along(axis: int) -> Column:

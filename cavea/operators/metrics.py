@@ -23,25 +23,46 @@ def component_size(voxels: DataFrame, size: float) -> DataFrame:
     )
 
 
-def slice_id(value: Column, low: Column, high: Column, width: Column) -> Column:
-    """Bin of a value; the right edge belongs to the last of max(3, range / width) bins."""
-    bins = F.greatest(F.lit(3), F.bround((high - low) / width)).cast("int")
-    return F.least(bins - 1, F.floor((value - low) / (high - low) * bins)).cast("int")
+def slice_count(low: Column, high: Column, width: Column) -> Column:
+    return F.greatest(F.lit(3), F.bround((high - low) / width)).cast("int")
 
 
-def shape_metrics(voxels: DataFrame, grids: DataFrame, slice_width: float | None = None) -> DataFrame:
-    """KEYS, axial_lengths (falling, three decimals), circularity, uniformity.
+def slice_id(value: Column, low: Column, high: Column, bins: Column) -> Column:
+    """Bin of a value; the right edge belongs to the last bin. A value within a billionth
+    of a bin below an edge is on it, so that rounding in the last digit can't part equal
+    values."""
+    return F.least(bins - 1, F.floor((value - low) / (high - low) * bins + 1e-9)).cast("int")
 
-    Under three voxels the lengths are 0 and the others null. ``voxels`` need x, y, z.
-    """
+
+def _spans(voxels: DataFrame, grids: DataFrame, slice_width: float | None) -> tuple[DataFrame, DataFrame]:
+    """(voxels along their component's axes in a0 to a2, per component the ends of a0, the
+    lengths and the width of slices)."""
     axes = principal_axes(voxels, KEYS)
     placed = voxels.join(axes, KEYS).withColumns({f"a{k}": along(k) for k in range(3)})
     placed = settled(placed.select(*KEYS, "n", "a0", "a1", "a2"))
     ends = placed.groupBy(*KEYS, "n").agg(F.min("a0").alias("low"), F.max("a0").alias("high"), *[F.bround(F.max(f"a{k}") - F.min(f"a{k}"), 3).alias(f"l{k}") for k in range(3)])
     width = F.lit(float(slice_width)) if slice_width else F.col("nx").cast("double")
-    spans = ends.join(grids.select(SID, "nx"), SID).withColumn("width", width).drop("nx")
-    real = spans.filter("n >= 3 and high - low >= 1e-9").select(*KEYS, "low", "high", "width")
-    sliced = placed.select(*KEYS, "a0", "a1", "a2").join(real, KEYS).withColumn("slice", slice_id(F.col("a0"), F.col("low"), F.col("high"), F.col("width")))
+    return placed, ends.join(grids.select(SID, "nx"), SID).withColumn("width", width).drop("nx")
+
+
+def _sliced(placed: DataFrame, spans: DataFrame) -> DataFrame:
+    real = spans.filter("n >= 3 and high - low >= 1e-9").select(*KEYS, "low", "high", slice_count(F.col("low"), F.col("high"), F.col("width")).alias("bins"))
+    return placed.select(*KEYS, "a0", "a1", "a2").join(real, KEYS).withColumn("slice", slice_id(F.col("a0"), F.col("low"), F.col("high"), F.col("bins")))
+
+
+def slices(voxels: DataFrame, grids: DataFrame, slice_width: float | None = None) -> DataFrame:
+    """Voxels (x, y, z) of components of three or more, with their place along the axes (a0
+    to a2), ``slice`` and the component's number of slices, ``bins``."""
+    return _sliced(*_spans(voxels, grids, slice_width))
+
+
+def shape_metrics(voxels: DataFrame, grids: DataFrame, slice_width: float | None = None) -> DataFrame:
+    """KEYS, axial_lengths (falling, three decimals), circularity, uniformity.
+
+    Under three voxels the lengths are 0 and the others null. ``voxels`` need x, y, z.
+    """
+    placed, spans = _spans(voxels, grids, slice_width)
+    sliced = _sliced(placed, spans)
     per = sliced.groupBy(*KEYS, "slice").agg(F.count(F.lit(1)).alias("c"), F.var_pop("a1").alias("p"), F.var_pop("a2").alias("q"), F.covar_pop("a1", "a2").alias("r"))
     root = F.sqrt(F.pow((F.col("p") - F.col("q")) / 2, 2) + F.pow("r", F.lit(2.0)))
     mid = (F.col("p") + F.col("q")) / 2

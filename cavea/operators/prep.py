@@ -39,11 +39,15 @@ def project_coords(atoms: DataFrame) -> DataFrame:
 
 
 def align(atoms: DataFrame) -> DataFrame:
-    """Centred and turned to right-handed principal axes; a structure of fewer than
-    three atoms is an error."""
+    """Centred and turned to right-handed principal axes. The first and the third point
+    to their longer tails (the sum of cubes along them isn't negative), whatever the order
+    of atoms. A structure of fewer than three atoms is an error."""
     axes = principal_axes(atoms, [SID])
     axes = axes.withColumn("axes", F.when(F.col("n") >= 3, F.col("axes")).otherwise(F.raise_error(F.concat(F.lit("fewer than 3 atoms in "), F.col(SID).cast("string")))))
-    placed = atoms.join(axes, SID).withColumns({f"_{c}": along(k) for k, c in enumerate("xyz")})
+    tails = atoms.join(axes, SID).groupBy(SID).agg(*[F.sum(F.pow(along(k), F.lit(3.0))).alias(f"_t{k}") for k in (0, 2)])
+    side = {k: F.when(F.col(f"_t{k}") < 0, -1.0).otherwise(1.0) for k in (0, 2)}
+    side[1] = side[0] * side[2]
+    placed = atoms.join(axes.join(tails, SID), SID).withColumns({f"_{c}": side[k] * along(k) for k, c in enumerate("xyz")})
     return placed.withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*atoms.columns)
 
 

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..config import VoidConfig
-from .graph import components, layers
+from .graph import components, contracted, layers, least_labels
 from .steps import settled
-from .voxels import SID, exposed_contacts, face_links, is_edge_voxel, shifted
+from .voxels import BRICK, SID, brick, exposed_contacts, face_links, is_edge_voxel, shifted
 
 KEYS = [SID, "comp"]
 CELLS = [(d, sum(map(abs, d))) for d in product((-1, 0, 1), repeat=3)]
@@ -45,24 +47,25 @@ def neighbor_surface(direct: DataFrame, voxels: DataFrame) -> DataFrame:
 
 
 def surface_edges(direct: DataFrame, support: DataFrame, mode: str) -> DataFrame:
-    """Adjacent direct voxels (keys, a, b) by mode. In custom18 an edge-diagonal
-    needs one of its two intermediate voxels in ``support``."""
-    here = direct.select(*KEYS, F.col("flat").alias("a"), "vx", "vy", "vz")
-    near = shifted(here, offsets(mode))
-    there = direct.select(*KEYS, F.col("flat").alias("b"), *[F.col(f"v{c}").alias(f"u{c}") for c in "xyz"])
-    pairs = near.join(there, [*KEYS, "ux", "uy", "uz"]).filter("a < b")
+    """Adjacent direct voxels (keys, a, b) by mode, with the brick that both lie in (null
+    if there are two). In custom18 an edge-diagonal needs one of its two intermediate
+    voxels in ``support``."""
+    near = shifted(direct.select(*KEYS, F.col("flat").alias("a"), "vx", "vy", "vz"), offsets(mode))
+    here, there = brick("vx", "vy", "vz"), brick("ux", "uy", "uz")
+    met = direct.select(*KEYS, F.col("flat").alias("b"), *[F.col(f"v{c}").alias(f"u{c}") for c in "xyz"])
+    pairs = near.join(met, [*KEYS, "ux", "uy", "uz"]).filter("a < b").withColumn("brick", F.when(here == there, here))
     if mode != "custom18":
-        return pairs.select(*KEYS, "a", "b")
+        return pairs.select(*KEYS, "a", "b", "brick")
     # each intermediate keeps one of the two moved coordinates
     moved = [F.col(f"u{c}") != F.col(f"v{c}") for c in "xyz"]
     steps = F.filter(
         F.array(*[F.struct(moved[i].alias("on"), *[F.col(f"{'u' if c == k else 'v'}{c}").alias(f"s{c}") for c in "xyz"]) for i, k in enumerate("xyz")]), lambda s: s["on"]
     )
     mids = pairs.withColumn("_steps", steps)
-    straight = mids.filter(F.size("_steps") == 1).select(*KEYS, "a", "b")
-    asked = mids.filter(F.size("_steps") == 2).select(*KEYS, "a", "b", F.explode("_steps").alias("s")).select(*KEYS, "a", "b", "s.sx", "s.sy", "s.sz")
+    straight = mids.filter(F.size("_steps") == 1).select(*KEYS, "a", "b", "brick")
+    asked = mids.filter(F.size("_steps") == 2).select(*KEYS, "a", "b", "brick", F.explode("_steps").alias("s")).select(*KEYS, "a", "b", "brick", "s.sx", "s.sy", "s.sz")
     held = support.select(*KEYS, *[F.col(f"v{c}").alias(f"s{c}") for c in "xyz"]).distinct()
-    return straight.unionByName(asked.join(held, [*KEYS, "sx", "sy", "sz"], "left_semi").select(*KEYS, "a", "b").distinct())
+    return straight.unionByName(asked.join(held, [*KEYS, "sx", "sy", "sz"], "left_semi").select(*KEYS, "a", "b", "brick").distinct())
 
 
 def mouths(direct: DataFrame, support: DataFrame, mode: str = "custom18") -> DataFrame:
@@ -96,19 +99,99 @@ def direction_buckets(direct: DataFrame, voxels: DataFrame) -> DataFrame:
     return away.groupBy(*KEYS).agg(F.reverse(F.array_sort(F.array(*counts))).alias("buckets"))
 
 
-def mouth_bridge(shells: DataFrame, voxels: DataFrame, gap: int) -> DataFrame:
+#: Voxels up to which a component's layers are walked in one task.
+WALKED_VOXELS = 1 << 20
+
+
+class Walk:
+    """One component's voxels, sorted, so that face neighbours are found by number."""
+
+    def __init__(self, own: pd.DataFrame):
+        place = own[["vx", "vy", "vz"]].to_numpy(np.int64)
+        wide = place.max(0) - place.min(0) + 3  # a voxel of margin on every side
+        code = np.ravel_multi_index((place - place.min(0) + 1).T, wide)
+        order = np.argsort(code)  # also the order of flat indices
+        self.code, self.flat = code[order], own["flat"].to_numpy()[order]
+        step = np.array([wide[1] * wide[2], wide[2], 1])
+        self.steps = np.concatenate((step, -step))
+
+    def at(self, flat) -> np.ndarray:
+        return np.searchsorted(self.flat, np.asarray(flat))
+
+    def neighbors(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(from, to) of all face neighbours of ``at``."""
+        near = (self.code[at][:, None] + self.steps).ravel()
+        to = np.minimum(np.searchsorted(self.code, near), len(self.code) - 1)
+        held = self.code[to] == near
+        return np.repeat(at, 6)[held], to[held]
+
+    def ahead(self, now: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The next layer after ``now``, which is marked in ``seen``."""
+        to = np.unique(self.neighbors(now)[1])
+        to = to[~seen[to]]
+        seen[to] = True
+        return to
+
+
+def _bridges_walked(shells: DataFrame, voxels: DataFrame, gap: int) -> DataFrame:
+    """(KEYS, bridge) of components with two mouths, each walked in one task."""
+    shape = ", ".join(f"`{c}` {t}" for c, t in voxels.select(*KEYS).dtypes)
+
+    def walk(ends: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(ends) and len(own):
+            w, one = Walk(own), ends["mouth"].min()
+            other = w.at(np.sort(ends.loc[ends["mouth"] != one, "n"].to_numpy()))
+            now = w.at(ends.loc[ends["mouth"] == one, "n"].to_numpy())
+            seen = np.zeros(len(w.code), bool)
+            seen[now] = True
+            before = [now]
+            while True:
+                met = np.intersect1d(now, other)
+                if len(met):
+                    path, at = [], met[:1]
+                    for layer in before[-2:0:-1]:  # the least voxel of each layer before
+                        at = np.intersect1d(layer, w.neighbors(at)[1])[:1]
+                        path.append(int(w.flat[at[0]]))
+                    out.append((*own.iloc[0][KEYS], path))
+                    break
+                if len(before) > gap + 1:
+                    break
+                now = w.ahead(now, seen)
+                before.append(now)
+                if not len(now):
+                    break
+        return pd.DataFrame(out, columns=[*KEYS, "bridge"])
+
+    return shells.select(*KEYS, "mouth", F.col("flat").alias("n")).groupBy(*KEYS).cogroup(voxels.select(*KEYS, "flat", "vx", "vy", "vz").groupBy(*KEYS)).applyInPandas(walk, f"{shape}, bridge array<long>")
+
+
+def mouth_bridge(shells: DataFrame, voxels: DataFrame, gap: int, walked: int | None = None) -> DataFrame:
     """KEYS of components whose two mouths are one within ``gap`` voxels, with the
-    intermediate voxels in ``bridge`` (an array, empty if the shells touch)."""
+    intermediate voxels in ``bridge`` (an array, empty if the shells touch). Of several
+    shortest ways, the least voxel of the second mouth ends it, and the least before it is
+    taken at every step. Components of up to ``walked`` voxels take a task each."""
     two = shells.groupBy(*KEYS).agg(F.min("mouth").alias("m1"), F.max("mouth").alias("m2"), F.count_distinct("mouth").alias("m")).filter("m = 2").drop("m")
-    empty = F.array().cast("array<long>")
     if gap < 0:
-        return two.select(*KEYS).filter("false").withColumn("bridge", empty)
-    one = settled(shells.join(two, KEYS).filter(F.col("mouth") == F.col("m1")).select(*KEYS, F.col("flat").alias("n")))
-    other = settled(shells.join(two, KEYS).filter(F.col("mouth") == F.col("m2")).select(*KEYS, F.col("flat").alias("n")))
-    links = face_links(voxels.join(two.select(*KEYS), KEYS, "left_semi"), KEYS)
+        return two.select(*KEYS).filter("false").withColumn("bridge", F.array().cast("array<long>"))
+    own = voxels.join(two.select(*KEYS), KEYS, "left_semi")
+    ends = shells.join(two, KEYS)
+    large = settled(own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (WALKED_VOXELS if walked is None else walked)).select(*KEYS))
+    if large.isEmpty():
+        return settled(_bridges_walked(ends, own, gap))
+    small = _bridges_walked(ends.join(large, KEYS, "left_anti"), own.join(large, KEYS, "left_anti"), gap)
+    return settled(small.unionByName(_bridges_by_layers(ends.join(large, KEYS, "left_semi"), own.join(large, KEYS, "left_semi"), gap)))
+
+
+def _bridges_by_layers(ends: DataFrame, voxels: DataFrame, gap: int) -> DataFrame:
+    """(KEYS, bridge) layer by layer over the whole table."""
+    one = settled(ends.filter(F.col("mouth") == F.col("m1")).select(*KEYS, F.col("flat").alias("n")))
+    other = settled(ends.filter(F.col("mouth") == F.col("m2")).select(*KEYS, F.col("flat").alias("n")))
+    links = face_links(voxels, KEYS)
     links = settled(links.unionByName(links.select(*KEYS, F.col("b").alias("a"), F.col("a").alias("b"))))
     reached = layers(one, links, KEYS, most=gap + 1)
     hits = reached.join(other, [*KEYS, "n"]).groupBy(*KEYS).agg(F.min(F.struct("depth", "n", "pred")).alias("hit"))
+    empty = F.array().cast("array<long>")
     path = settled(hits.select(*KEYS, F.col("hit.pred").alias("at"), (F.col("hit.depth") - 1).alias("left"), empty.alias("bridge")))
     for _ in range(gap):
         back = reached.select(*KEYS, F.col("n").alias("at"), "pred")
@@ -116,7 +199,7 @@ def mouth_bridge(shells: DataFrame, voxels: DataFrame, gap: int) -> DataFrame:
             *KEYS, F.when(F.col("left") > 0, F.array_append("bridge", F.col("at"))).otherwise(F.col("bridge")).alias("bridge"),
             F.when(F.col("left") > 0, F.col("pred")).alias("at"), (F.col("left") - 1).alias("left"),
         )
-    return settled(path.select(*KEYS, "bridge"))
+    return path.select(*KEYS, "bridge")
 
 
 def topology_type(stats: DataFrame) -> DataFrame:
@@ -138,19 +221,56 @@ def topology_type(stats: DataFrame) -> DataFrame:
     )
 
 
-def neck_widths(shells: DataFrame, voxels: DataFrame) -> DataFrame:
-    """KEYS, mouth, shell, neck: the narrowest of the first interior layers, up to the
-    one by which they hold as many voxels as the shell; null without interior."""
+def _walked(shells: DataFrame, voxels: DataFrame) -> DataFrame:
+    """(KEYS, mouth, shell, depth, c): voxels of each layer inward of each mouth's shell, up
+    to the one by which they hold as many as the shell. A component is walked in one task."""
+    shape = ", ".join(f"`{c}` {t}" for c, t in voxels.select(*KEYS).dtypes)
+
+    def walk(starts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(starts) and len(own):
+            w = Walk(own)
+            for mouth, group in starts.groupby("mouth"):
+                seen = np.zeros(len(w.code), bool)
+                now = w.at(group["n"].to_numpy())
+                seen[now] = True
+                total, depth = 0, 0
+                while total < len(group) and len(now := w.ahead(now, seen)):
+                    total, depth = total + len(now), depth + 1
+                    out.append((*own.iloc[0][KEYS], mouth, len(group), depth, len(now)))
+        return pd.DataFrame(out, columns=[*KEYS, "mouth", "shell", "depth", "c"])
+
+    starts = shells.select(*KEYS, "mouth", F.col("flat").alias("n"))
+    return starts.groupBy(*KEYS).cogroup(voxels.select(*KEYS, "flat", "vx", "vy", "vz").groupBy(*KEYS)).applyInPandas(walk, f"{shape}, mouth long, shell long, depth int, c long")
+
+
+def layer_widths(shells: DataFrame, voxels: DataFrame, walked: int | None = None) -> DataFrame:
+    """(KEYS, mouth, shell, depth, c): voxels of the layers inward of each mouth's shell, up
+    to the one by which they hold as many as the shell.
+
+    Components of up to ``walked`` voxels are walked in a task each; larger ones layer by
+    layer over the whole table."""
     keys = [*KEYS, "mouth"]
-    width = shells.groupBy(*keys).agg(F.count(F.lit(1)).alias("shell"))
-    own = voxels.join(shells.select(*KEYS).distinct(), KEYS, "left_semi")
-    links = face_links(own, KEYS)
+    own = voxels.join(shells.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, "flat", "vx", "vy", "vz")
+    large = settled(own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (WALKED_VOXELS if walked is None else walked)).select(*KEYS))
+    if large.isEmpty():
+        return _walked(shells, own)
+    small = _walked(shells.join(large, KEYS, "left_anti"), own.join(large, KEYS, "left_anti"))
+    width = shells.join(large, KEYS, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("shell"))
+    links = face_links(own.join(large, KEYS, "left_semi"), KEYS)
     links = links.unionByName(links.select(*KEYS, F.col("b").alias("a"), F.col("a").alias("b")))
     links = settled(links.join(width.select(*keys), KEYS))
     starts = shells.join(width, keys).select(*keys, "shell", F.col("flat").alias("n"))
-    depths = layers(starts, links, keys, until="shell")
-    counts = depths.filter("depth > 0").groupBy(*keys, "shell", "depth").agg(F.count(F.lit(1)).alias("c"))
-    necks = layers_until_shell(counts, keys).groupBy(*keys).agg(F.min("c").alias("neck"))
+    depths = layers(starts, links, keys, until="shell").filter("depth > 0")
+    return small.unionByName(depths.groupBy(*keys, "shell", "depth").agg(F.count(F.lit(1)).alias("c")))
+
+
+def neck_widths(shells: DataFrame, voxels: DataFrame, walked: int | None = None) -> DataFrame:
+    """KEYS, mouth, shell, neck: the narrowest of the first interior layers, up to the
+    one by which they hold as many voxels as the shell; null without interior."""
+    keys = [*KEYS, "mouth"]
+    width = shells.groupBy(*keys).agg(F.count(F.lit(1)).alias("shell"))
+    necks = layers_until_shell(layer_widths(shells, voxels, walked), keys).groupBy(*keys).agg(F.min("c").alias("neck"))
     return width.join(necks, keys, "left")
 
 
@@ -206,16 +326,49 @@ def _per_component():
     return W.partitionBy(*KEYS)
 
 
+def _in_brick(own: pd.DataFrame) -> pd.DataFrame:
+    """``own`` (voxels of one brick) with l, the least flat index of the voxel's component
+    in the brick. Runs along z are joined where they touch."""
+    local = own[["vx", "vy", "vz"]].to_numpy(np.int64) % BRICK
+    code = (local[:, 0] * BRICK + local[:, 1]) * BRICK + local[:, 2]
+    order = np.argsort(code)  # also the order of flat indices
+    code = code[order]
+    head = np.ones(len(code), bool)
+    head[1:] = (np.diff(code) != 1) | (code[1:] % BRICK == 0)
+    run = np.cumsum(head) - 1
+    ends = []
+    for step, inner in ((BRICK, code // BRICK % BRICK < BRICK - 1), (BRICK * BRICK, np.ones(len(code), bool))):
+        at = np.minimum(np.searchsorted(code, code + step), len(code) - 1)
+        touch = inner & (code[at] == code + step)
+        ends.append(np.stack((run[touch], run[at[touch]]), 1))
+    a, b = np.unique(np.concatenate(ends), axis=0).T
+    flat = own["flat"].to_numpy()[order]
+    label = np.empty(len(code), np.int64)
+    label[order] = flat[head][least_labels(int(run[-1]) + 1, a, b)][run]
+    return own[[SID, "flat", "vx", "vy", "vz"]].assign(l=label)
+
+
 def voxel_components(buried: DataFrame) -> DataFrame:
-    """``buried`` with ``comp``, the least flat index of its 6-connected component."""
-    return components(buried, face_links(buried, [SID]), [SID])
+    """``buried`` with ``comp``, the least flat index of its 6-connected component.
+
+    Bricks of the grid are joined by tasks; only voxels on the faces of bricks meet over
+    the whole table, as one node a component of a brick."""
+    columns = buried.columns
+    cells = buried.select(SID, "flat", "vx", "vy", "vz").withColumn("_brick", brick())
+    shape = ", ".join(f"`{c}` {t}" for c, t in cells.drop("_brick").dtypes)
+    labels = settled(cells.groupBy(SID, "_brick").applyInPandas(lambda own: _in_brick(own), f"{shape}, l long"))
+    faces = F.filter(F.array(*[F.struct((F.col(f"v{c}") % BRICK == BRICK - 1).alias("last"), *[(F.col(f"v{k}") + int(k == c)).alias(f"u{k}") for k in "xyz"]) for c in "xyz"]), lambda s: s["last"])
+    ahead = labels.select(SID, F.col("l").alias("a"), F.explode(faces).alias("s")).select(SID, "a", "s.ux", "s.uy", "s.uz")
+    behind = labels.filter(" or ".join(f"v{c} % {BRICK} = 0" for c in "xyz")).select(SID, F.col("l").alias("b"), *[F.col(f"v{c}").alias(f"u{c}") for c in "xyz"])
+    whole = contracted(labels, ahead.join(behind, [SID, "ux", "uy", "uz"]).select(SID, "a", "b"), [SID])
+    found = (whole if whole is labels else settled(whole)).withColumnRenamed("l", "comp")
+    return found.select(*columns, "comp") if set(columns) <= set(found.columns) else buried.join(found.select(SID, "flat", "comp"), [SID, "flat"])
 
 
 def typed_components(voxels: DataFrame, occupied: DataFrame, grids: DataFrame, cfg: VoidConfig, contacts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(components with topology ``type`` and ``final_type``, final surface voxels) of
     ``voxels`` (structure_id, comp, flat, vx, vy, vz). ``contacts`` may replace the
     exposed neighbours found from ``occupied``."""
-    voxels = settled(voxels)
     if contacts is None:
         contacts = exposed_contacts(voxels, occupied, grids)
     sizes = voxels.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("num_voxels"))
@@ -224,7 +377,7 @@ def typed_components(voxels: DataFrame, occupied: DataFrame, grids: DataFrame, c
     support = direct.unionByName(neighbor_surface(direct, typed).select(*direct.columns))
     patches = settled(mouths(direct, support, cfg.connectivity))
     shells = settled(mouth_shells(patches, typed))
-    bridges = mouth_bridge(shells, typed, cfg.merge_gap)
+    bridges = mouth_bridge(shells, typed, cfg.merge_gap)  # few rows: components of two mouths
     per = patches.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("num_direct"), F.count_distinct("mouth").alias("num_mouths"))
     stats = (
         sizes.join(per, KEYS, "left").join(direction_buckets(direct, typed), KEYS, "left")

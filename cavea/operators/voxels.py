@@ -92,6 +92,15 @@ def buried_voxels(occupied: DataFrame, grids: DataFrame) -> DataFrame:
     return flat.join(occupied.select(SID, "flat"), [SID, "flat"], "left_anti").select(SID, "vx", "vy", "vz", "flat")
 
 
+#: Side of a brick, a part of the grid that one task takes whole.
+BRICK = 64
+
+
+def brick(*axes: str | Column) -> Column:
+    """The brick of a voxel, as text."""
+    return F.concat_ws("/", *[F.floor((F.col(c) if isinstance(c, str) else c) / BRICK).cast("string") for c in axes or ("vx", "vy", "vz")])
+
+
 def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]] = STEPS) -> DataFrame:
     """Each row for each offset, with the neighbour's place in ux, uy, uz. Neighbours
     then meet by equality."""

@@ -28,7 +28,7 @@ def annotate_volumes(points: DataFrame, cfg: VoidConfig = VoidConfig()) -> tuple
     if cfg.shells:
         points = prep.expand_shells(points, cfg.voxel_size)
     grids, occupied, buried = occupied_and_buried(points, cfg)
-    parts = settled(topology.voxel_components(buried))
+    parts = topology.voxel_components(buried)
     contacts = settled(voxels.exposed_contacts(buried, occupied, grids))
     types, surface = topology.typed_components(parts, occupied, grids, cfg, contacts)
     placed = metrics.component_centers(parts, grids)

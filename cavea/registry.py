@@ -135,23 +135,6 @@ def j07_direct_surface(spark, d):
     return topology.direct_surface(parts, voxels.exposed_contacts(buried, occupied, grids), grids).select(SID, "comp", "flat")
 
 
-@query()
-def g05_typed_components(spark, d):
-    grids, occupied, buried = annotate.occupied_and_buried(views.v_points(spark, d), CFG)
-    types, _ = topology.typed_components(topology.voxel_components(buried), occupied, grids, CFG, voxels.exposed_contacts(buried, occupied, grids))
-    return types.select(SID, "comp", "num_voxels", "num_direct", "num_mouths", "type", "final_type")
-
-
-@query()
-def p02_annotate_volumes(spark, d):
-    return annotate.annotate_volumes(views.v_points(spark, d), CFG)[0].select(*annotate.ROW)
-
-
-@query()
-def a12_annotation_rollup(spark, d):
-    return metrics.annotation_rollup(annotate.annotate_volumes(views.v_points(spark, d), CFG)[0])
-
-
 @query()
 def s14_annotation_payload(spark, d):
     return sinks.annotation_payload(annotate.annotate_volumes(views.v_points(spark, d), CFG)[0])
