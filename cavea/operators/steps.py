@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     only a session without one gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cavea.steps.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cavea-")
         spark.conf.set("cavea.steps.dir", found)
     return found.rstrip("/")
