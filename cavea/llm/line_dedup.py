@@ -12,9 +12,9 @@ a filter's false positives never change a result. Filters travel to the tasks in
 rounds of ``FILTER_BYTES``, so that their number may grow. Lines in many documents
 are broadcast where they meet their hits.
 
-Defined cases: a null or empty text is one empty line; a row counts as a document,
-so repeated rows count each; all rows with the largest id keep their lines; a row
-without an id counts but keeps its lines; rows of one id lose the same lines; lines
+Defined cases: a null or empty text is one empty line; a document is an id, so rows of
+one id count once, lose the same lines, and all keep them where the id is the largest; a
+row without an id doesn't count and keeps its lines; the result has a row a row; lines
 under ``min_chars`` code points are never dropped; texts are read whole, however
 long; an empty table gives no rows; other columns are not read by ``line_digests``
 and pass through ``drop_lines``.
@@ -150,7 +150,7 @@ def _hash_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _counted(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("hash").agg(F.count(F.lit(1)).alias("refs"), F.max("doc_id").alias("last_doc"))
+    return lines.groupBy("hash").agg(F.count_distinct("doc_id").alias("refs"), F.max("doc_id").alias("last_doc"))
 
 
 def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -159,7 +159,8 @@ def count_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def insert(counts: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``counts`` after ``docs`` have been added."""
+    """``counts`` after the documents ``docs`` have been added, whole: none of their ids is
+    counted yet."""
     return counts.unionByName(count_lines(docs, min_chars)).groupBy("hash").agg(F.sum("refs").alias("refs"), F.max("last_doc").alias("last_doc"))
 
 
@@ -324,19 +325,20 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 ORACLE = """
-WITH lines AS (
-  SELECT doc_id, pos, line, trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS bare
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
+WITH rows_ AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+lines AS (
+  SELECT row_id, doc_id, pos, line, trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS bare
+  FROM (SELECT row_id, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM rows_)),
 keyed AS (
-  SELECT doc_id, pos, line, length(bare) AS n,
+  SELECT row_id, doc_id, pos, line, length(bare) AS n,
          translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
 often AS (
   SELECT k, max(doc_id) AS last_doc FROM keyed WHERE n >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
 marked AS (
-  SELECT keyed.doc_id, pos, line, (last_doc IS NOT NULL AND last_doc <> keyed.doc_id) AS gone
+  SELECT row_id, keyed.doc_id, pos, line, (last_doc IS NOT NULL AND keyed.doc_id IS NOT NULL AND last_doc <> keyed.doc_id) AS gone
   FROM keyed LEFT JOIN often ON keyed.k = often.k AND n >= 40)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row_id, doc_id
 """

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cavea.llm import bpe, mixing
@@ -62,6 +63,17 @@ def test_the_place_in_the_mixture_reaches_the_end(spark, odd, tmp_path):
     assert [r.doc_id for r in got.collect()] == [r.doc_id for r in mixed.collect()]
 
 
+def test_stages_take_columns_of_their_own_names(spark, odd, tmp_path):
+    names = ["mix_file", "mix_row", "mix_slot", "mix_pos", "_row", "_key", "_source", "_slot", "_pos", "_gone", "_doc", "hash", "gone", "shard", "n_tokens", "ids_sha256", "sig", "words"]
+    docs = odd.select("doc_id", "text", "source", "lang", *[F.lit(7).alias(n) for n in names])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, "")
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == ["doc_id", "text", "source", "lang", *names]
+    assert docs.filter("mix_file is not null and mix_row is not null").count() == docs.count() > 8
+
+
 def test_stages_take_an_empty_table(spark, odd):
     empty = odd.filter("false")
     for _, stage in corpus_pipeline.STAGES:
