@@ -366,7 +366,18 @@ def a17_structure_metrics(spark, d):
     return sequences.structure_metrics(views.v_chains(spark, d)).select(SID, "num_chains", "num_residues")
 
 
-@query()
+#: Overlaps of all pairs of a structure's chains, then a fold over its chains in order.
+UNIQUE = CHAIN.replace("WITH t", "WITH RECURSIVE t") + """, q AS (SELECT structure_id, row_number() OVER (PARTITION BY structure_id ORDER BY chain_id) AS k, list(res_name ORDER BY turn) AS s FROM b GROUP BY structure_id, chain_id),
+pr AS (SELECT x.structure_id, x.k AS i, y.k AS j, CASE WHEN len(x.s) >= len(y.s) THEN x.s ELSE y.s END AS l, CASE WHEN len(x.s) >= len(y.s) THEN y.s ELSE x.s END AS t FROM q x JOIN q y ON x.structure_id = y.structure_id AND x.k < y.k),
+o AS (SELECT *, unnest(range(len(l) - len(t) + 1)) AS k FROM pr), m AS (SELECT *, unnest(range(1, len(t) + 1)) AS e FROM o),
+n AS (SELECT structure_id, i, j, k, len(l) AS size, count(*) FILTER (WHERE l[k + e] = t[e]) AS same FROM m GROUP BY ALL),
+near AS (SELECT structure_id, i, j FROM n GROUP BY ALL HAVING max(same / size) >= 0.95),
+alike AS (SELECT q.structure_id, q.k, coalesce(list(i) FILTER (WHERE i IS NOT NULL), []) AS same_as FROM q LEFT JOIN near ON near.structure_id = q.structure_id AND near.j = q.k GROUP BY ALL),
+g(structure_id, k, reps) AS (SELECT structure_id, 1::BIGINT, [1::BIGINT] FROM q WHERE k = 1
+  UNION ALL SELECT g.structure_id, g.k + 1, CASE WHEN list_has_any(reps, same_as) THEN reps ELSE list_append(reps, g.k + 1) END FROM g JOIN alike a ON a.structure_id = g.structure_id AND a.k = g.k + 1)"""
+
+
+@query(UNIQUE + " SELECT structure_id, max(len(reps))::INT AS unique_chains FROM g GROUP BY 1")
 def a19_unique_chains(spark, d):
     return sequences.structure_metrics(views.v_chains(spark, d)).select(SID, F.col("num_sequence_unique_chains").alias("unique_chains"))
 

@@ -190,11 +190,53 @@ def w11_cross_sections(spark, d):
     return sliced.groupBy(*KEYS, "slice", "bins").agg(F.count(F.lit(1)).alias("num_voxels")).withColumnRenamed("bins", "num_slices")
 
 
-@query(ATOM_SQL + """, me AS (SELECT structure_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM a GROUP BY 1),
-sc AS (SELECT structure_id, mx, my, mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(y-my)) AS yy, sum((y-my)*(z-mz)) AS yz, sum((z-mz)*(z-mz)) AS zz FROM a JOIN me USING (structure_id) GROUP BY ALL)""" + axes_sql("sc", "ax") + """,
-pj AS (SELECT structure_id, atom_seq, list_inner_product(v1, [x-mx, y-my, z-mz]) AS a0, list_inner_product(v2, [x-mx, y-my, z-mz]) AS a1, list_inner_product(v3, [x-mx, y-my, z-mz]) AS a2 FROM a JOIN ax USING (structure_id)),
-sg AS (SELECT structure_id, CASE WHEN sum(a0*a0*a0) < 0 THEN -1 ELSE 1 END AS s0, CASE WHEN sum(a2*a2*a2) < 0 THEN -1 ELSE 1 END AS s2 FROM pj GROUP BY 1)
-SELECT structure_id, atom_seq, round(s0*a0, 5)+0.0 AS x, round(s0*s2*a1, 5)+0.0 AS y, round(s2*a2, 5)+0.0 AS z FROM pj JOIN sg USING (structure_id)""")
+def aligned_sql(src: str) -> str:
+    """CTEs that end in ``al3``: the rows of ``src`` (structure_id, atom_seq, element, x, y, z)
+    along the signed principal axes of their structures."""
+    return f""",
+me AS (SELECT structure_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM {src} GROUP BY 1),
+sc AS (SELECT structure_id, mx, my, mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(y-my)) AS yy, sum((y-my)*(z-mz)) AS yz, sum((z-mz)*(z-mz)) AS zz FROM {src} JOIN me USING (structure_id) GROUP BY ALL)""" + axes_sql("sc", "ax") + f""",
+pj AS (SELECT structure_id, atom_seq, element, list_inner_product(v1, [x-mx, y-my, z-mz]) AS a0, list_inner_product(v2, [x-mx, y-my, z-mz]) AS a1, list_inner_product(v3, [x-mx, y-my, z-mz]) AS a2 FROM {src} JOIN ax USING (structure_id)),
+sg AS (SELECT structure_id, CASE WHEN sum(a0*a0*a0) < 0 THEN -1 ELSE 1 END AS s0, CASE WHEN sum(a2*a2*a2) < 0 THEN -1 ELSE 1 END AS s2 FROM pj GROUP BY 1),
+al3 AS (SELECT structure_id, atom_seq, element, round(s0*a0, 5)+0.0 AS x, round(s0*s2*a1, 5)+0.0 AS y, round(s2*a2, 5)+0.0 AS z FROM pj JOIN sg USING (structure_id))"""
+
+
+@query(ATOM_SQL + aligned_sql("a") + " SELECT structure_id, atom_seq, x, y, z FROM al3")
 def g07_oriented_atoms(spark, d):
     """Every atom's place along the signed principal axes of its structure."""
     return prep.align(_atoms(spark, d)).select(SID, "atom_seq", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
+@query(ATOM_SQL + ", cl AS (SELECT * FROM a WHERE res_name IN ('ALA','GLY') AND element <> 'H' AND model = (SELECT min(model) FROM a b WHERE b.structure_id = a.structure_id))" + aligned_sql("cl") + " SELECT structure_id, element, x, y, z FROM al3")
+def p01_prepared_points(spark, d):
+    """Cleaned and aligned atoms, as the points of the voxel grid."""
+    return prep.project_coords(prep.prepare(_atoms(spark, d), CFG)).select(SID, "element", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
+#: Radii of elements in the table, shells a voxel of 1 apart, and their numbers of points.
+SHELL_POINTS = """WITH RECURSIVE p AS (SELECT label::BIGINT AS structure_id, ['C','N','O','S'][vec_id % 4 + 1] AS element, embedding[3*k+1]::DOUBLE AS x, embedding[3*k+2]::DOUBLE AS y, embedding[3*k+3]::DOUBLE AS z FROM embeddings, range(21) t(k)),
+sr(element, r, k, full_r) AS (SELECT * FROM (VALUES ('C', 1.70::DOUBLE, 0, 1.70::DOUBLE), ('N', 1.55, 0, 1.55), ('O', 1.52, 0, 1.52), ('S', 1.80, 0, 1.80)) UNION ALL SELECT element, full_r - (k + 1), k + 1, full_r FROM sr WHERE r > 1),
+ns(element, r, n) AS (SELECT element, r, 20 FROM sr UNION ALL SELECT element, r, 2 * n FROM ns
+  WHERE r * sqrt(pow(sin(acos(1-1.0::DOUBLE/n)) - cos(pi()/((1+sqrt(5))/4))*sin(acos(1-3.0::DOUBLE/n)), 2) + pow(sin(pi()/((1+sqrt(5))/4))*sin(acos(1-3.0::DOUBLE/n)), 2) + pow(2.0::DOUBLE/n, 2)) > 1),
+sn AS (SELECT element, r, max(n) AS n FROM ns GROUP BY ALL),
+sp3 AS (SELECT element, cos(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5::DOUBLE)/n))*r AS dx, sin(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5::DOUBLE)/n))*r AS dy, (1-2*(i+0.5::DOUBLE)/n)*r AS dz FROM (SELECT *, unnest(range(n)) AS i FROM sn)),
+ev AS (SELECT structure_id, element, x, y, z FROM p UNION ALL SELECT structure_id, element, x+dx, y+dy, z+dz FROM p JOIN sp3 USING (element))"""
+
+
+@query(SHELL_POINTS + " SELECT structure_id, element, count(*) AS points, round(sum(x), 4) AS x, round(sum(y), 4) AS y, round(sum(z), 4) AS z, round(min(x), 6) AS low, round(max(z), 6) AS high FROM ev GROUP BY ALL")
+def j02_shell_points(spark, d):
+    """Points with those on the shells around them: their number, sums and ends."""
+    every = prep.expand_shells(views.v_points(spark, d), 1.0)
+    return every.groupBy(SID, "element").agg(F.count(F.lit(1)).alias("points"), *[F.round(F.sum(c), 4).alias(c) for c in "xyz"], F.round(F.min("x"), 6).alias("low"), F.round(F.max("z"), 6).alias("high"))
+
+
+@query(RANKED + """, su2 AS (SELECT structure_id, comp, mouth FROM fl JOIN fi USING (structure_id, comp) WHERE final_type = 'cavity' OR (type = 'pore' AND narrow AND (SELECT count(*) FROM fl f2 WHERE f2.structure_id=fl.structure_id AND f2.comp=fl.comp) >= 2)),
+sv AS (SELECT DISTINCT ef.structure_id, ef.comp, ef.flat FROM ef JOIN fi ON fi.structure_id=ef.structure_id AND fi.comp=ef.comp AND final_type <> 'occluded' ANTI JOIN su2 ON su2.structure_id=ef.structure_id AND su2.comp=ef.comp AND su2.mouth=ef.mouth)
+SELECT cv.structure_id, CASE type WHEN 'hub' THEN 'HUB' WHEN 'pore' THEN 'POR' WHEN 'pocket' THEN 'POK' ELSE 'CAV' END AS res_name, id AS res_id, CASE type WHEN 'hub' THEN 'A' WHEN 'pore' THEN 'B' WHEN 'pocket' THEN 'C' ELSE 'D' END AS chain_id,
+  CASE type WHEN 'hub' THEN 'F' WHEN 'pore' THEN 'O' WHEN 'pocket' THEN 'N' ELSE 'S' END AS element, cv.flat, round(lx+(cv.vx+0.5)*0.04::DOUBLE, 6) AS x, round(ly+(cv.vy+0.5)*0.04::DOUBLE, 6) AS y, round(lz+(cv.vz+0.5)*0.04::DOUBLE, 6) AS z, CASE WHEN sv.flat IS NOT NULL THEN 50 ELSE 0 END::DOUBLE AS b_factor
+FROM rk JOIN cv USING (structure_id, comp) JOIN gr ON gr.structure_id=cv.structure_id LEFT JOIN sv ON sv.structure_id=cv.structure_id AND sv.flat=cv.flat""")
+def x34_volume_records(spark, d):
+    """The records that stand for the voxels of volumes in written structures."""
+    points = views.v_points(spark, d)
+    found = annotate.pseudo_atoms(*annotate.annotate_volumes(points, CFG), voxels.grid_bounds(points, CFG.voxel_size))
+    return found.select(SID, "res_name", "res_id", "chain_id", "element", "flat", *[F.round(c, 6).alias(c) for c in "xyz"], "b_factor")
