@@ -108,8 +108,9 @@ def pseudo_atoms(annotations: DataFrame, component_voxels: DataFrame, grids: Dat
 
 
 def volumize_and_save(spark, paths: list[str], folder: str, cfg: VoidConfig = VoidConfig(), assembly: str = "auto") -> DataFrame:
-    """Reads structures, writes atoms with volumes as PDB lines and annotations as JSON
-    columns under ``folder``, and returns the annotations."""
+    """Reads structures, writes atoms with volumes as PDB lines and as mmCIF (which keeps
+    chain ids of several letters) and annotations as JSON columns under ``folder``, and
+    returns the annotations."""
     from ..sources import sinks
     from ..sources.structures import load_structures
 
@@ -120,6 +121,8 @@ def volumize_and_save(spark, paths: list[str], folder: str, cfg: VoidConfig = Vo
     extra = pseudo_atoms(annotations, shown, grids).withColumnRenamed("flat", "atom_seq").withColumn("part", F.lit(1))
     chains = prep.volume_chain_ids(atoms).withColumnsRenamed({"code": "res_name", "chain_id": "_chain"})
     extra = extra.join(chains, [SID, "res_name"]).withColumn("chain_id", F.col("_chain")).drop("_chain")
-    sinks.write_annotated_pdb(atoms.withColumn("part", F.lit(0)).unionByName(extra), f"{folder}/pdb")
+    whole = atoms.withColumn("part", F.lit(0)).unionByName(extra)
+    sinks.write_annotated_pdb(whole, f"{folder}/pdb")
+    sinks.write_annotated_cif(whole, f"{folder}/cif")
     sinks.write_annotation_columnar(annotations, f"{folder}/annotations")
     return annotations

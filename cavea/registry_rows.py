@@ -16,7 +16,7 @@ from .plans import annotate
 from .registry import AGG, CFG, CHAIN, EV, EVENTS, LINES, SID, STORE, STR, VOL, _chosen, _plan, _tables, query
 from .registry_more import ATOM_SQL, MOUTHS, _atoms
 from .sources import corpus, sinks
-from .sources.structures import scan_pdb
+from .sources.structures import scan_cif_atoms, scan_pdb
 from .streaming import events as streams
 
 # catalog
@@ -182,6 +182,19 @@ def s15_pdb_files(spark, d):
     return scan_pdb(spark, f"{at}/*").select("atom_name", "element", "res_name", "chain_id", "res_id", *[(F.col(c) + 0.0).alias(c) for c in "xyz"], "b_factor")
 
 
+@query(ATOM_SQL + """ SELECT 'HETATM' AS group_pdb, element, element || CASE atom_seq % 4 WHEN 0 THEN '1' || chr(39) WHEN 1 THEN ' b' WHEN 2 THEN '" ' || chr(39) || 'x' ELSE '' END AS atom_name, res_name, chain_id || 'aZ9' AS chain_id, res_id::INT AS res_id, CASE WHEN atom_seq % 3 = 0 THEN 'A' ELSE '' END AS ins_code, model,
+  round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z, (atom_seq % 7)::DOUBLE AS b_factor FROM a""")
+def s02_cif_files(spark, d):
+    """Atoms written as mmCIF, with blanks and quotes in names and chain ids of four
+    letters, and read back."""
+    at, k = f"{shared_dir(spark)}/cif-{uuid.uuid4().hex}", F.col("atom_seq")
+    name = F.concat("element", F.when(k % 4 == 0, "1'").when(k % 4 == 1, " b").when(k % 4 == 2, "\" 'x").otherwise(""))
+    extra = {"atom_name": name, "group_pdb": F.lit("HETATM"), "chain_id": F.concat("chain_id", F.lit("aZ9")), "ins_code": F.when(k % 3 == 0, "A").otherwise(""), "b_factor": (k % 7).cast("double"), "part": F.lit(0)}
+    sinks.write_annotated_cif(_atoms(spark, d).withColumns(extra), at)
+    found = scan_cif_atoms(spark, f"{at}/*")
+    return found.select("group_pdb", "element", "atom_name", "res_name", "chain_id", "res_id", "ins_code", "model", *[(F.col(c) + 0.0).alias(c) for c in "xyz"], "b_factor")
+
+
 @query(ATOM_SQL + """, m AS (SELECT structure_id, avg(x) mx, avg(y) my, avg(z) mz FROM a GROUP BY 1)
   SELECT structure_id, count(*) AS n, round(sum((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz)), 5) AS spread, true AS falling, true AS principal FROM a JOIN m USING (structure_id) GROUP BY 1""")
 def g07_aligned_spread(spark, d):

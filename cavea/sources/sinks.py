@@ -6,7 +6,7 @@ lists of one structure or run are gathered in order inside an aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import atom_line
 from .corpus import SECTIONS
@@ -61,18 +61,32 @@ def entity_types(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy(SID, "entity_id").agg(F.when(F.bool_or(~F.col("res_name").isin(list(CHAINS))), "polymer").otherwise("non-polymer").alias("type"))
 
 
-CIF_COLUMNS = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_entity_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv"]
+CIF_COLUMNS = ["group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_entity_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv", "pdbx_PDB_ins_code", "pdbx_PDB_model_num"]
+
+
+def cif_value(value: Column) -> Column:
+    """A value as a CIF word: bare, in quotes, or as a text field; ? for null and empty."""
+    v = value.cast("string")
+    bare = v.rlike(r"^[^\s_#$'\"\[\];]\S*$") & ~v.rlike("(?i)^(loop_|stop_|global_|data_|save_)") & ~v.isin("?", ".")
+    line = ~v.contains("\n")
+    return (
+        F.when(v.isNull() | (v == ""), "?").when(bare, v).when(line & ~v.rlike("'\\s"), F.concat(F.lit("'"), v, F.lit("'")))
+        .when(line & ~v.rlike('"\\s'), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(F.concat(F.lit("\n;"), v, F.lit("\n;")))
+    )
+
 
 
 def cif_lines(atoms: DataFrame) -> DataFrame:
-    """(structure_id, part, idx, value): data block, entity loop and atom_site loop."""
+    """(structure_id, part, idx, value): data block, entity loop and atom_site loop. Chain
+    ids keep all their letters. ``ins_code`` and ``model`` may be left out of ``atoms``."""
     # entities in the order of numbers, then of texts
     number_of = F.col("chain_id").try_cast("int")
     entity = F.dense_rank().over(W.partitionBy(SID).orderBy(number_of.isNull(), number_of, "chain_id"))
     rows = atoms.withColumns({"entity_id": entity, "idx": F.row_number().over(W.partitionBy(SID).orderBy("part", "atom_seq"))})
     number = lambda c: F.format_string("%.3f", c)
     values = ["group_pdb", "idx", "element", "atom_name", "res_name", "chain_id", "entity_id", "res_id"]
-    site = rows.select(SID, F.lit(3).alias("part"), "idx", F.concat_ws(" ", *[F.col(v).cast("string") for v in values], *[number(c) for c in "xyz"], F.format_string("%.2f", "b_factor")).alias("value"))
+    more = [cif_value(F.col(c)) if c in atoms.columns else F.lit(other) for c, other in (("ins_code", "?"), ("model", "1"))]
+    site = rows.select(SID, F.lit(3).alias("part"), "idx", F.concat_ws(" ", *[cif_value(F.col(v)) for v in values], *[number(c) for c in "xyz"], F.format_string("%.2f", "b_factor"), *more).alias("value"))
     kinds = entity_types(rows).select(SID, F.lit(1).alias("part"), (F.col("entity_id") + 10).alias("idx"), F.concat_ws(" ", F.col("entity_id").cast("string"), "type").alias("value"))
     heads = [(0, ["data_structure", "loop_", "_entity.id", "_entity.type"]), (2, ["loop_", *[f"_atom_site.{c}" for c in CIF_COLUMNS]])]
     fixed = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(i).alias("idx"), F.lit(v).alias("value")) for p, lines in heads for i, v in enumerate(lines)])

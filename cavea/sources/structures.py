@@ -83,9 +83,40 @@ def cif_table(rows: DataFrame, category: str, columns: list[str]) -> DataFrame:
     return rows.filter(F.col("category") == category).groupBy(SID, "row").pivot("col", columns).agg(F.first("value"))
 
 
+def scan_cif_table(spark: SparkSession, paths: str | list[str], category: str, columns: list[str]) -> DataFrame:
+    """(structure_id, row, columns) of one category, null where a file lacks a column. Rows
+    leave the parser whole and with the columns asked for alone, so there is no exchange."""
+    files = spark.read.text(paths, wholetext=True).select(_stem(F.col("_metadata.file_path")).alias(SID), "value")
+    place = {c: k for k, c in enumerate(columns)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for sid, text in zip(b[SID], b["value"]):
+                rows: list[list] = []
+                for _, row, col, value in cif_rows(text, {category}):
+                    if row == len(rows):
+                        rows.append([sid, row, *[None] * len(columns)])
+                    if (k := place.get(col)) is not None:
+                        rows[row][k + 2] = value
+                for lo in range(0, len(rows), 50_000):
+                    yield pd.DataFrame(rows[lo : lo + 50_000], columns=[SID, "row", *columns])
+
+    return files.mapInPandas(run, f"{SID} string, row long, " + ", ".join(f"`{c}` string" for c in columns))
+
+
+ATOM_SITE = ["group_PDB", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "auth_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv", "pdbx_PDB_model_num"]
+
+
+def scan_cif_atoms(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The atoms of mmCIF files, all models."""
+    return _named_atoms(scan_cif_table(spark, paths, "_atom_site", ATOM_SITE))
+
+
 def atoms_of_cif(rows: DataFrame) -> DataFrame:
-    names = ["group_PDB", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "auth_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv", "pdbx_PDB_model_num"]
-    t = cif_table(rows, "_atom_site", names)
+    return _named_atoms(cif_table(rows, "_atom_site", ATOM_SITE))
+
+
+def _named_atoms(t: DataFrame) -> DataFrame:
     some = lambda c: F.when(~F.col(c).isin("?", "."), F.col(c))
     return t.select(
         SID, F.coalesce(F.col("pdbx_PDB_model_num").try_cast("int"), F.lit(1)).alias("model"), F.col("row").alias("atom_seq"), F.col("group_PDB").alias("group_pdb"),
@@ -146,9 +177,9 @@ def load_structures(spark: SparkSession, paths: list[str], assembly: str = "auto
     pdb, cif = [p for p in paths if kind(p) in ("pdb", "ent")], [p for p in paths if kind(p) in ("cif", "mmcif")]
     parts = [scan_pdb(spark, pdb)] if pdb else []
     if cif:
-        rows = scan_mmcif(spark, cif, ["_atom_site", "_pdbx_struct_assembly_gen", "_pdbx_struct_oper_list"])
-        atoms = prep.select_models(atoms_of_cif(rows), keep_all=False)
+        atoms = prep.select_models(scan_cif_atoms(spark, cif), keep_all=False)
         if assembly != "asymmetric":
+            rows = scan_mmcif(spark, cif, ["_pdbx_struct_assembly_gen", "_pdbx_struct_oper_list"])
             gen, oper = assembly_tables(rows)
             plain = prep.identity_assembly(gen, oper, atoms).join(gen.select(SID).distinct().withColumn("_has", F.lit(True)), SID, "left").filter("identity or _has is null").select(SID)
             moved = prep.expand_assembly(atoms.join(plain, SID, "left_anti"), gen, oper)
