@@ -240,3 +240,14 @@ def test_status_records(spark, tmp_path):
         (tmp_path / name).write_text(body)
     rows = corpus.scan_status_records(spark, str(tmp_path)).collect()
     assert [(r.source, r.record.kind, r.record.actual_residues) for r in rows] == [("a", "terminal_skip", 7)]
+
+
+def test_cif_values_come_back(spark, tmp_path):
+    from cavea.sources.structures import scan_cif_atoms
+
+    odd = ["CA", "O5'", "a b", "it's x", '"q" \'r s', "_x", "loop_", "data_1", "#1", ";s", "[k]", "x;y", "two\nlines", "$d", "5'' z"]
+    rows = [("s", 0, i, "ATOM", n, "C", "ALA", i, "B" if i % 2 else "", "AbC9", 1.0, -2.5, 3.25, 0.0, 1 + i % 2) for i, n in enumerate(odd)]
+    atoms = spark.createDataFrame(rows, "structure_id string, part int, atom_seq long, group_pdb string, atom_name string, element string, res_name string, res_id int, ins_code string, chain_id string, x double, y double, z double, b_factor double, model int")
+    sinks.write_annotated_cif(atoms, str(tmp_path / "cif"))
+    back = scan_cif_atoms(spark, str(tmp_path / "cif/*")).orderBy("atom_seq").collect()
+    assert [(r.atom_name, r.res_id, r.ins_code, r.chain_id, r.model, r.x) for r in back] == [(n, i, "B" if i % 2 else "", "AbC9", 1 + i % 2, 1.0) for i, n in enumerate(odd)]
