@@ -140,11 +140,13 @@ def s14_annotation_payload(spark, d):
     return sinks.annotation_payload(annotate.annotate_volumes(views.v_points(spark, d), CFG)[0])
 
 
-@query("""SELECT vec_id, i::INT AS i, round(cos(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5)/8)),9) AS dx, round(sin(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5)/8)),9) AS dy, round(cos(acos(1-2*(i+0.5)/8)),9) AS dz
-  FROM embeddings, range(8) t(i)""")
+@query("""WITH v AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS r, vec_id % 5 + 4 AS n, unnest(range(vec_id % 5 + 4)) AS i FROM embeddings)
+  SELECT vec_id, i::INT AS i, round(cos(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5::DOUBLE)/n))*r,9)+0.0 AS dx, round(sin(pi()*i/((1+sqrt(5))/4))*sin(acos(1-2*(i+0.5::DOUBLE)/n))*r,9)+0.0 AS dy, round((1-2*(i+0.5::DOUBLE)/n)*r,9)+0.0 AS dz FROM v""")
 def x14_fib_sphere(spark, d):
-    points = views.table(spark, d, "embeddings").select("vec_id", F.posexplode(fib_sphere(F.lit(1.0), F.lit(8))).alias("i", "p"))
-    return points.select("vec_id", "i", *[F.round(f"p.{c}", 9).alias(c) for c in ("dx", "dy", "dz")])
+    """Points on a sphere about each vector, of its first component's radius."""
+    radius = F.abs(F.get("embedding", F.lit(0)).cast("double"))
+    points = views.table(spark, d, "embeddings").select("vec_id", F.posexplode(fib_sphere(radius, (F.col("vec_id") % 5 + 4).cast("int"))).alias("i", "p"))
+    return points.select("vec_id", "i", *[(F.round(f"p.{c}", 9) + 0.0).alias(c) for c in ("dx", "dy", "dz")])
 
 
 # catalog
