@@ -442,6 +442,17 @@ def t02_stream_progress(spark, d):
     return _ran(spark, streams.stream_progress(feed), "complete")
 
 
+@query("""WITH c AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS events, count(*) FILTER (WHERE event_type IN ('purchase', 'signup', 'error')) AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1)
+  SELECT start, events, completed, failed, round(completed / 21600.0::DOUBLE, 9) AS rate, round(failed / nullif(completed, 0)::DOUBLE, 9) AS failed_share FROM c""")
+def t02_interval_rates(spark, d):
+    import uuid
+
+    at = f"{shared_dir(spark)}/rates-{uuid.uuid4().hex}"
+    feed = streams.event_stream(spark, d, EVENTS, "parquet", "events.parquet").select("ts", F.col("event_type").alias("event"))
+    streams.stream_rates(feed, f"{at}/rates", f"{at}/log", ["purchase", "signup"], ["error"], "6 hours", "2 days").trigger(availableNow=True).start().awaitTermination()
+    return streams.rates(spark, f"{at}/rates").withColumns({c: F.round(c, 9) for c in ("rate", "failed_share")})
+
+
 def _ran(spark, stream: DataFrame, mode: str) -> DataFrame:
     """A stream run over all there is; its last output written to the shared folder."""
     import uuid

@@ -62,6 +62,30 @@ def s08_run_summary_file(spark, d):
     return corpus.scan_run_summary(spark, at).select("section", "ord", "source", "largest_volume")
 
 
+@query("""WITH e AS (SELECT ['results','errors','skipped','planned'][(l_orderkey + l_linenumber) % 4 + 1] AS section, 'o' || l_orderkey || '_' || l_linenumber AS source, l_orderkey AS actual_residues, l_extendedprice AS largest_volume FROM lineitem)
+  SELECT section, (row_number() OVER (PARTITION BY section ORDER BY actual_residues, largest_volume, source) - 1)::INT AS ord, source, actual_residues, largest_volume FROM e""")
+def s10_checkpoint_file(spark, d):
+    """A checkpoint of all line items, in several files, read back in its order."""
+    at = _folder(spark, "checkpoint")
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    section = F.element_at(F.array(*map(F.lit, corpus.SECTIONS)), ((k + n) % 4 + 1).cast("int"))
+    source = F.concat_ws("_", F.concat(F.lit("o"), k.cast("string")), n.cast("string"))
+    rows = views.table(spark, d, "lineitem").select(section.alias("section"), F.struct(k.alias("k"), F.col("l_extendedprice").alias("v"), source.alias("s")).alias("ord"), source.alias("source"), k.alias("actual_residues"), F.col("l_extendedprice").alias("largest_volume"))
+    sinks.write_run_summary(rows, at, {"resume": "true"})
+    return corpus.scan_checkpoint(spark, at).select("section", "ord", "source", "actual_residues", "largest_volume")
+
+
+@query("SELECT (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::INT AS line, l_orderkey || '_' || l_linenumber || ' ' || l_partkey || '_1' AS value FROM lineitem")
+def s04_cluster_lines(spark, d):
+    """A file of lines for each return flag, read back with the number of each line."""
+    at = _folder(spark, "lines")
+    number = lambda c: F.col(c).cast("string")
+    line = F.concat(number("l_orderkey"), F.lit("_"), number("l_linenumber"), F.lit(" "), number("l_partkey"), F.lit("_1"))
+    rows = views.table(spark, d, "lineitem").withColumn("value", line).repartition("l_returnflag").sortWithinPartitions("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    rows.select("l_returnflag", "value").write.partitionBy("l_returnflag").text(at)
+    return corpus.scan_cluster_lines(spark, f"{at}/*")
+
+
 @query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS ord, 's' || s_suppkey AS source, '/in/s' || s_suppkey || '.cif' AS input_path FROM supplier")
 def s09_manifest_file(spark, d):
     at = _folder(spark, "manifest")

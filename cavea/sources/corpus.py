@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.steps import running
+
 ENTRY = (
     "source string, pdb_id string, input_path string, structure_output string, annotation_output string, reason string, error string, error_type string, "
     "num_volumes long, largest_type string, largest_volume double, actual_residues long, max_residues long, assembly_policy string, cluster_member_pdb_ids array<string>"
@@ -23,9 +25,14 @@ def _whole(spark: SparkSession, paths) -> DataFrame:
 
 
 def scan_cluster_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) in file order."""
-    lines = _whole(spark, path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return lines.filter(F.trim("value") != "")
+    """(line, value) in file order; blank lines count but are left out. Lines are numbered
+    by ranges of (file, block), so a large file isn't one task's."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.rtrim("value", F.lit("\r")).alias("value")
+    )
+    numbered = running(lines, ["file", "block", "at"], F.lit(1), "n")
+    per = numbered.groupBy("file").agg((F.min("n")).alias("_from"))
+    return numbered.join(per, "file").filter(F.trim("value") != "").select((F.col("n") - F.col("_from")).cast("int").alias("line"), "value")
 
 
 def scan_metadata_store(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,8 +71,32 @@ def row_key_order(key: str = "key") -> list[Column]:
     return [number.isNull(), number, F.col(key)]
 
 
+def document_entries(spark: SparkSession, path: str, sections: list[str], entry: str) -> DataFrame | None:
+    """(section, ord, e, at) of a document that has each entry on a line, as the sinks
+    write it; None if it is laid out otherwise. Lines are numbered over the files by
+    ranges, so the document is never in one task; the driver sees a row a section."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    opens = F.regexp_extract("value", '^,?"([a-z_]+)":\\[$', 1)
+    if lines.filter(opens.isin(sections)).isEmpty():
+        return None
+    numbered = running(lines, ["file", "block", "line"], F.lit(1), "n")
+    starts = sorted((r.n, r.section) for r in numbered.select("n", opens.alias("section")).filter(F.col("section").isin(sections)).collect())
+    section, start = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for n, name in starts:  # the last that opens before a line
+        section, start = F.when(F.col("n") > n, name).otherwise(section), F.when(F.col("n") > n, n).otherwise(start)
+    listed = numbered.filter(F.col("value").startswith("{") | F.col("value").startswith(",{"))
+    rows = listed.select(section.alias("section"), (F.col("n") - start - 1).cast("int").alias("ord"), F.from_json(F.ltrim("value", F.lit(",")), entry).alias("e"), F.col("file").alias("at"))
+    return rows.filter("section is not null")
+
+
 def scan_run_summary(spark: SparkSession, path: str) -> DataFrame:
-    """(section, ord, entry columns) of a run summary or checkpoint."""
+    """(section, ord, entry columns) of a run summary or checkpoint: one that the sinks
+    wrote by its lines, any other as one JSON document."""
+    rows = document_entries(spark, path, SECTIONS, ENTRY)
+    if rows is not None:
+        return rows.select("section", "ord", "e.*")
     fields = ENTRY.replace("array<string>", "ARRAY").replace(", ", ",").replace(" ", ":").replace("ARRAY", "array<string>")
     shape = ", ".join(f"{s} array<struct<{fields}>>" for s in SECTIONS)
     read = spark.read.schema(shape).option("multiLine", True).json(path)
@@ -77,13 +108,18 @@ def scan_run_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 scan_checkpoint = scan_run_summary
+STRUCTURE = "source string, pdb_id string, input_path string, cluster_member_pdb_ids array<string>"
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Structures of a manifest; a row without source or path is an error, relative
-    paths start at the manifest's folder."""
-    shape = "structures array<struct<source:string,pdb_id:string,input_path:string,cluster_member_pdb_ids:array<string>>>"
-    read = spark.read.schema(shape).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("at"), F.posexplode("structures").alias("ord", "s"))
+    paths start at the manifest's folder. Read as ``scan_run_summary`` reads."""
+    read = document_entries(spark, path, ["structures", "rejections"], STRUCTURE)
+    if read is not None:
+        read = read.filter("section = 'structures'").select("at", "ord", F.col("e").alias("s"))
+    else:
+        shape = "structures array<struct<source:string,pdb_id:string,input_path:string,cluster_member_pdb_ids:array<string>>>"
+        read = spark.read.schema(shape).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("at"), F.posexplode("structures").alias("ord", "s"))
     there = F.coalesce("s.source", "s.input_path").isNotNull() & F.col("s.input_path").isNotNull()
     checked = F.when(there & (F.length("s.input_path") > 0), F.col("s.input_path")).otherwise(F.raise_error(F.lit("manifest structure without input_path")))
     folder = F.regexp_extract("at", r"^(?:file:)?(.*)/[^/]*$", 1)

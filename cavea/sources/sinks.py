@@ -1,14 +1,18 @@
 """Writing annotations, structures, catalogs, summaries and logs.
 
 Every sink partitions by structure, run or section and leaves file commits to Spark;
-lists of one structure or run are gathered in order inside an aggregation.
+lists of one structure are gathered in order inside an aggregation, those of a run are
+written a line an entry.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import atom_line
+from ..operators.steps import running
 from .corpus import SECTIONS
 
 SID = "structure_id"
@@ -111,39 +115,60 @@ def write_catalog(tables: dict[str, DataFrame], folder: str, run_id: str, replac
         marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
 
 
-def summary_payload(entries: DataFrame, config: dict[str, str]) -> DataFrame:
-    """One row: the run summary with its four sections as JSON. ``entries``: section,
-    ord and the entry's columns."""
-    fields = [c for c in entries.columns if c not in ("section", "ord", "seq")]
-    listed = [F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct("ord", F.struct(*fields).alias("e"))))), lambda x: x["e"]).alias(s) for s in SECTIONS]
-    rows = entries.agg(*listed)
-    counts = [F.size(s).alias(n) for s, n in zip(SECTIONS, ("num_processed", "num_failed", "num_skipped", "num_planned"))]
-    table = F.create_map(*[F.lit(x) for pair in config.items() for x in pair]) if config else F.create_map()
-    return rows.select(F.to_json(F.struct(table.alias("config"), *counts, *SECTIONS)).alias("value"))
+def write_document(path: str, head: dict, entries: DataFrame, sections: list[str]) -> None:
+    """One JSON object in a folder: the fields of ``head``, then each section as a list.
+    ``entries``: section, ord, value (JSON of one line). Every entry is a line, and the
+    lines are dealt to files by ranges, so the files in the order of their names are the
+    document (a short one is one file) and no task holds it. Entries equal in ``ord``
+    are ordered by value; sections without entries are empty lists, others are left out."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
+    entries = entries.select(rank.alias("rank"), "ord", "value").filter("rank > 0")
+    placed = running(entries, ["rank", "ord", "value"], F.lit(1), "n")
+    first = placed.groupBy("rank").agg(F.min("n").alias("start"))  # a row a section
+    lines = placed.join(F.broadcast(first), "rank").select("rank", "n", F.concat(F.when(F.col("n") > F.col("start"), ",").otherwise(""), "value").alias("value"))
+    opened = json.dumps(head, separators=(",", ":"))[:-1]
+    fixed = [(0, 0, opened)]
+    for k, s in enumerate(sections, 1):
+        fixed += [(k, 0, f'{"," if head or k > 1 else ""}"{s}":['), (k, None, "]")]
+    frame = entries.sparkSession.createDataFrame([*fixed, (len(sections) + 1, 0, "}")], "rank long, n long, value string")
+    whole = lines.select(F.col("rank").cast("long").alias("rank"), "n", "value").unionByName(frame)
+    order = [F.col("rank"), F.col("n").asc_nulls_last()]
+    whole.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def _sizes(entries: DataFrame, sections: list[str]) -> dict[str, int]:
+    """Entries of each section; the driver sees a row a section."""
+    return {r.section: r.n for r in entries.filter(F.col("section").isin(sections)).groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def write_run_summary(entries: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
-    summary_payload(entries, config or {}).coalesce(1).write.mode("overwrite").text(path)
+    """The run summary with its counts and four sections. ``entries``: section, ord and
+    the entry's columns."""
+    fields = [c for c in entries.columns if c not in ("section", "ord", "seq")]
+    sizes = _sizes(entries, SECTIONS)
+    counts = {n: sizes.get(s, 0) for s, n in zip(SECTIONS, ("num_processed", "num_failed", "num_skipped", "num_planned"))}
+    write_document(path, {"config": config or {}, **counts}, entries.select("section", "ord", F.to_json(F.struct(*fields)).alias("value")), SECTIONS)
 
 
-def manifest_payload(selected: DataFrame, rejected: DataFrame | None = None, command: str = "select") -> DataFrame:
-    """One row: a manifest of the structures (ord, source, pdb_id, input_path,
-    cluster_member_pdb_ids) and rejections as JSON."""
+def write_manifest(selected: DataFrame, path: str, rejected: DataFrame | None = None, command: str = "select") -> None:
+    """A manifest of the structures (ord, source, pdb_id, input_path,
+    cluster_member_pdb_ids) and rejections (rep_id, reason; by both)."""
     fields = ["source", "pdb_id", "input_path", "cluster_member_pdb_ids"]
-    rows = selected.agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("structures"))
+    entries = selected.select(F.lit("structures").alias("section"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*fields)).alias("value"))
+    head = {"manifest_format": "manifest-1", "source_command": command, "summary": {"num_structures": selected.count()}}
+    sections = ["structures"]
     if rejected is not None:
-        rows = rows.join(rejected.agg(F.sort_array(F.collect_list(F.struct("rep_id", "reason"))).alias("rejections")))
-    return rows.select(F.to_json(F.struct(F.lit("manifest-1").alias("manifest_format"), F.lit(command).alias("source_command"), F.struct(F.size("structures").alias("num_structures")).alias("summary"), "*")).alias("value"))
-
-
-def write_manifest(selected: DataFrame, path: str, rejected: DataFrame | None = None, command: str = "select") -> None:
-    manifest_payload(selected, rejected, command).coalesce(1).write.mode("overwrite").text(path)
+        sections.append("rejections")
+        entries = entries.unionByName(rejected.select(F.lit("rejections").alias("section"), F.lit(0).cast("long").alias("ord"), F.to_json(F.struct("rep_id", "reason")).alias("value")))
+    write_document(path, head, entries, sections)
 
 
 def write_failures_manifest(entries: DataFrame, path: str) -> None:
     from ..operators.runs import failures
 
-    rows = failures(entries).withColumn("cluster_member_pdb_ids", F.array().cast("array<string>")) if "cluster_member_pdb_ids" not in entries.columns else failures(entries)
+    rows = failures(entries)
+    if "cluster_member_pdb_ids" not in rows.columns:
+        rows = rows.withColumn("cluster_member_pdb_ids", F.array().cast("array<string>"))
     write_manifest(rows, path, command="failures")
 
 

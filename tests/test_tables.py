@@ -1,6 +1,9 @@
 """Catalog, selection, runs, reports, sinks and streams on small tables."""
 
 import json
+import os
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +223,116 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index")).count() == 2
 
 
+def write_lines(folder, batches, fields):
+    folder.mkdir(exist_ok=True)
+    for k, rows in enumerate(batches):
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(fields, r))) for r in rows))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + k,) * 2)  # a stream takes files by age
+    return str(folder)
+
+
+def test_run_state_in_deltas(spark, tmp_path):
+    schema, state = "source string, section string, seq long", str(tmp_path / "state")
+    batches = [[("a", "errors", 1), ("b", "planned", 9), ("c", "skipped", 1)], [("a", "results", 3), ("b", "skipped", 4)], [("c", "planned", 99)]]
+
+    def run():
+        feed = streams.event_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
+        streams.stream_run_state(feed, state, str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(tuple, streams.run_state(spark, state).collect()))
+
+    write_lines(tmp_path / "in", batches[:2], ("source", "section", "seq"))
+    assert run() == [("a", "results", 3), ("b", "skipped", 4), ("c", "skipped", 1)]
+    # the second batch has written its own sources alone
+    assert {r.source for r in spark.read.parquet(f"{state}/delta/batch=1").collect()} == {"a", "b"}
+    streams.folded(spark, state, streams.run_state)
+    assert not list((tmp_path / "state/delta").glob("batch=*")) and len(list((tmp_path / "state/base").glob("upto=*"))) == 1
+    (tmp_path / "in/2.json").write_text(json.dumps({"source": "c", "section": "planned", "seq": 99}))
+    assert run() == [("a", "results", 3), ("b", "skipped", 4), ("c", "skipped", 1)]
+    (tmp_path / "in/3.json").write_text(json.dumps({"source": "d", "section": "planned", "seq": 5}))
+    assert run()[-1] == ("d", "planned", 5)
+    shutil.rmtree(tmp_path / "state/delta/batch=2")
+    with pytest.raises(FileNotFoundError):
+        streams.run_state(spark, state)
+    with pytest.raises(FileNotFoundError):
+        streams.run_state(spark, str(tmp_path / "none"))
+
+
+def test_rates_of_intervals_and_late_rows(spark, tmp_path):
+    day = "2024-01-0{} {:02d}:00:00".format
+    batches = [[(day(1, h), "done" if h % 3 else "failed") for h in range(12)] + [(None, "done")], [(day(4, h), "done") for h in range(3)], [(day(4, h), "done") for h in range(3, 6)], [(day(1, 1), "done"), (day(4, 7), "failed"), (day(4, 8), "other")]]
+    folder = write_lines(tmp_path / "in", batches, ("ts", "event"))
+    feed = streams.event_stream(spark, folder, "ts timestamp, event string", files_per_trigger=1)
+    listener = streams.ProgressListener(total=40)
+    spark.streams.addListener(listener)
+    try:
+        streams.stream_rates(feed, str(tmp_path / "rates"), str(tmp_path / "log"), ["done"], ["failed"], "6 hours", "1 day").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if listener.rows == 21:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {str(r.start)[8:13]: (r.events, r.completed, r.failed, r.rate, r.failed_share) for r in streams.rates(spark, str(tmp_path / "rates")).collect()}
+    assert got == {"01 00": (6, 6, 2, 6 / 21600, 2 / 6), "01 06": (6, 6, 2, 6 / 21600, 2 / 6), "04 00": (6, 6, 0, 6 / 21600, 0.0), "04 06": (2, 1, 1, 1 / 21600, 1.0)}
+    # the row of the first day comes three days late
+    assert (listener.rows, listener.completed, listener.failed, listener.late(streams.rates(spark, str(tmp_path / "rates")))) == (21, 21, 5, 1)
+    row = listener.table(spark).first()
+    assert (row.completed, row.percent) == (21, 52.5) and row.eta == spark.range(1).select(text.eta_text(F.lit(listener.seconds_left))).first()[0]
+    table = spark.read.schema("ts timestamp, event string").json(folder)
+    assert streams.interval_rates(table, ["done"], ["failed"], "6 hours").agg(F.sum("events")).first()[0] == 21
+    assert streams.ProgressListener().seconds_left is None and streams.ProgressListener().rate == 0.0
+
+
+def test_index_in_buckets(spark, tmp_path):
+    batches = [[("a", 1), (None, 2), ("b", 3)], [("a", 4), (None, 5), ("c", 6)], [("c", 7), ("d", 8), ("d", 9)]]
+    folder, index = write_lines(tmp_path / "in", batches, ("source", "seq")), str(tmp_path / "index")
+    feed = streams.event_stream(spark, folder, "source string, seq long", files_per_trigger=1)
+    streams.stream_index(feed, index, str(tmp_path / "log"), lambda b: b, ["source"], buckets=4).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(index)
+    assert {(r.source, r.seq) for r in rows.collect()} == {("a", 1), (None, 2), ("b", 3), ("c", 6), ("d", 8), ("d", 9)}
+    assert rows.filter(F.col("bucket") != F.pmod(F.hash("source"), F.lit(4))).count() == 0
+
+
+def test_run_files_in_parts(spark, tmp_path):
+    n = 3000
+    entries = spark.range(n, numPartitions=7).select(
+        F.element_at(F.array(*map(F.lit, ["results", "planned", "skipped"])), (F.col("id") % 3 + 1).cast("int")).alias("section"), (-F.col("id")).alias("ord"),
+        F.when(F.col("id") % 5 != 0, F.concat(F.lit('s"\n],'), F.col("id").cast("string"))).alias("source"), F.lit("/x.cif").alias("input_path"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_run_summary(entries, str(tmp_path / "run"), {"a": "1"})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    parts = sorted((tmp_path / "run").glob("part-*"))
+    assert len(parts) > 1
+    whole = json.loads("".join(p.read_text() for p in parts))
+    assert whole["config"] == {"a": "1"} and (whole["num_processed"], whole["num_failed"], whole["errors"]) == (n // 3, 0, [])
+    want = {(s, k, e.get("source")) for s in ("results", "planned", "skipped") for k, e in enumerate(whole[s])}
+    assert len(want) == n and whole["results"][0]["source"] == 's"\n],2997'
+    assert {(r.section, r.ord, r.source) for r in corpus.scan_run_summary(spark, str(tmp_path / "run")).collect()} == want
+    # one document of any other layout gives the same rows
+    (tmp_path / "one.json").write_text(json.dumps(whole, indent=1))
+    assert {(r.section, r.ord, r.source) for r in corpus.scan_run_summary(spark, str(tmp_path / "one.json")).collect()} == want
+    none = entries.limit(0)
+    sinks.write_run_summary(none, str(tmp_path / "empty"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "empty").glob("part-*"))))["planned"] == []
+    assert corpus.scan_checkpoint(spark, str(tmp_path / "empty")).count() == 0
+    listed = entries.filter("source is not null").withColumns({"pdb_id": F.lit(None).cast("string"), "cluster_member_pdb_ids": F.array(F.lit("1ABC"))})
+    gone = spark.createDataFrame([("r2", "x"), ("r1", None)], "rep_id string, reason string")
+    sinks.write_manifest(listed, str(tmp_path / "manifest"), gone)
+    back = json.loads("".join(p.read_text() for p in sorted((tmp_path / "manifest").glob("part-*"))))
+    assert back["summary"]["num_structures"] == len(back["structures"]) == 2400 and [r["rep_id"] for r in back["rejections"]] == ["r1", "r2"]
+    assert corpus.scan_manifest(spark, str(tmp_path / "manifest")).count() == 2400
+
+
+def test_cluster_lines_keep_their_numbers(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x_1 y_2\r\n\r\n  \nz_1")
+    (tmp_path / "b.txt").write_bytes(b"\nlast_1\n")
+    assert sorted(map(tuple, corpus.scan_cluster_lines(spark, str(tmp_path)).collect())) == [(0, "x_1 y_2"), (1, "last_1"), (3, "z_1")]
+
+
 def test_bench_and_comparison(spark):
     b = spark.createDataFrame([("c", 1, 2.0, 2048, "pore", {"s": 1.0}), ("c", 2, 4.0, 1024, "hub", {"s": 1.0, "t": 2.0})], "case_name string, seq int, elapsed_seconds double, max_rss_kb long, largest_type string, stages map<string,double>")
     s = reports.bench_summary(b).first()
