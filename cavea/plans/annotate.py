@@ -81,18 +81,41 @@ def residue_limit_gate(atoms: DataFrame, most: int) -> tuple[DataFrame, DataFram
     return atoms.join(over.select(SID), SID, "left_anti"), skipped
 
 
-def annotate_batch(atoms: DataFrame, cfg: VoidConfig = VoidConfig(), max_residues: int | None = None, include_hubs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotations, results, skipped): structures over the residue limit are skipped,
-    those with too few atoms to align are errors in ``skipped`` too."""
-    skipped = atoms.sparkSession.createDataFrame([], f"{SID} string, reason string, actual_residues long, max_residues int")
+def bad_structures(atoms: DataFrame, kept: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(structure_id, error_type, error) of the structures that can't be annotated: with
+    coordinates that are missing or not finite, with fewer than 3 of ``atoms`` in ``kept``
+    (those that enter the calculation), or ``expected`` (structure_id) without any atom.
+    The first of these that holds is told."""
+    finite = F.lit(True)
+    for c in "xyz":
+        finite &= F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    known = atoms.select(SID).distinct().withColumn("_there", F.lit(True))
+    if expected is not None:
+        known = known.join(expected.select(SID).distinct(), SID, "full")
+    sizes = kept.groupBy(SID).agg(F.count(F.lit(1)).alias("_n"), F.count_if(~finite).alias("_odd"))
+    rows = known.join(sizes, SID, "left").fillna({"_there": False, "_n": 0, "_odd": 0})
+    kind = F.when(~F.col("_there"), "no_atoms").when(F.col("_odd") > 0, "bad_coordinates").when(F.col("_n") < 3, "too_few_atoms")
+    texts = F.when(~F.col("_there"), "no atoms were read").when(F.col("_odd") > 0, F.format_string("%d atoms without finite coordinates", "_odd")).otherwise(F.format_string("fewer than 3 atoms: %d", "_n"))
+    return rows.select(SID, kind.alias("error_type"), texts.alias("error")).filter("error_type is not null")
+
+
+def annotate_batch(
+    atoms: DataFrame, cfg: VoidConfig = VoidConfig(), max_residues: int | None = None, include_hubs: bool = False, expected: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(annotations, results, skipped, errors). Structures over the residue limit are
+    skipped; those of ``bad_structures`` are errors, and the others go on without them.
+    Each structure is in one of results, skipped and errors."""
+    skipped = atoms.sparkSession.createDataFrame([], atoms.select(SID).schema.add("reason", "string").add("actual_residues", "long").add("max_residues", "integer"))
     if max_residues is not None:
         atoms, skipped = residue_limit_gate(atoms, max_residues)
+        expected = expected.join(skipped.select(SID), SID, "left_anti") if expected is not None else None
     clean = prep.drop_hydrogens(atoms if cfg.keep_non_protein else prep.keep_amino_acids(atoms))
-    enough = clean.groupBy(SID).count().filter("count >= 3").select(SID)
-    failed = atoms.select(SID).distinct().join(enough, SID, "left_anti").select(SID, F.lit("fewer than 3 atoms").alias("reason"), F.lit(None).cast("long").alias("actual_residues"), F.lit(None).cast("int").alias("max_residues"))
-    annotations, _ = volumize(atoms.join(enough, SID, "left_semi"), cfg)
+    errors = settled(bad_structures(atoms, prep.select_models(clean, cfg.keep_all_models), expected))
+    good = atoms.join(errors.select(SID), SID, "left_anti")
+    annotations, _ = volumize(good, cfg)
     shown = drop_hubs(annotations, include_hubs)
-    return shown, largest_volume(shown), skipped.unionByName(failed)
+    found = good.select(SID).distinct().join(largest_volume(shown), SID, "left").fillna({"num_volumes": 0})
+    return shown, found, skipped, errors
 
 
 def pseudo_atoms(annotations: DataFrame, component_voxels: DataFrame, grids: DataFrame) -> DataFrame:

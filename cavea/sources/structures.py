@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.voxels import SID
 
@@ -128,8 +128,9 @@ def _named_atoms(t: DataFrame) -> DataFrame:
 
 def assembly_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gen, oper) as prep.expand_assembly takes them, gen with ``place`` in the file.
-    Operator lists such as 1,2 and (1-60) are read, and products of two lists such as
-    (1,2)(3): the right one moves first. Longer products are an error."""
+    Operator lists such as 1,2 and (1-60) are read, and products of lists such as
+    (1,2)(3)(4-6): the one on the right moves first. A product with an operator that
+    the file doesn't have moves nothing."""
     gen = cif_table(rows, "_pdbx_struct_assembly_gen", ["assembly_id", "oper_expression", "asym_id_list"])
     bare = F.regexp_replace("oper_expression", r"\s", "")
     factors = F.filter(F.split(bare, r"[()]+"), lambda f: ~f.isin("", ","))
@@ -143,10 +144,12 @@ def assembly_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def ids(factor):
         return F.flatten(F.transform(F.filter(F.split(factor, ","), lambda p: p != ""), listed))
 
-    left, right = ids(F.get(factors, F.lit(0))), ids(F.get(factors, F.lit(1)))
-    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.concat(a, F.lit("*"), b))))
-    wrong = F.raise_error(F.concat(F.lit("unsupported assembly operators: "), F.col("oper_expression")))
-    opers = F.when(~product, F.flatten(F.transform(factors, ids))).when(F.size(factors) == 2, pairs).otherwise(wrong)
+    def times(some, more):
+        return F.flatten(F.transform(some, lambda a: F.transform(more, lambda b: F.concat(a, F.lit("*"), b))))
+
+    lists = F.transform(factors, ids)
+    products = F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)), times)
+    opers = F.when(product, products).otherwise(F.flatten(lists))
     each = gen.select(SID, "assembly_id", "row", F.posexplode(opers).alias("nth", "oper_id"), "asym_id_list").withColumn("place", F.struct("row", "nth"))
     each = each.select(SID, "assembly_id", "oper_id", "place", F.explode(F.split(F.regexp_replace("asym_id_list", r"\s", ""), ",")).alias("chain_id"))
     cells = [f"matrix[{i}][{j}]" for i in (1, 2, 3) for j in (1, 2, 3)]
@@ -154,13 +157,20 @@ def assembly_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     oper = cif_table(rows, "_pdbx_struct_oper_list", ["id", *cells, *moves])
     number = lambda names: F.array(*[F.col(f"`{n}`").try_cast("double") for n in names])
     single = oper.select(SID, F.col("id").alias("oper_id"), number(cells).alias("matrix"), number(moves).alias("shift"))
-    both = each.filter(F.col("oper_id").contains("*")).select(SID, "oper_id").distinct().withColumn("p", F.split("oper_id", r"\*"))
-    side = lambda n: single.select(SID, F.col("oper_id").alias(f"_{n}"), F.col("matrix").alias(f"m{n}"), F.col("shift").alias(f"s{n}"))
-    both = both.withColumns({"_a": F.col("p")[0], "_b": F.col("p")[1]}).join(side("a"), [SID, "_a"]).join(side("b"), [SID, "_b"])
-    at = lambda c, i: F.get(c, F.lit(i))
-    matrix = F.array(*[sum((at("ma", 3 * i + k) * at("mb", 3 * k + j) for k in (1, 2)), at("ma", 3 * i) * at("mb", j)) for i in range(3) for j in range(3)])
-    shift = F.array(*[sum((at("ma", 3 * i + k) * at("sb", k) for k in range(3)), at("sa", i)) for i in range(3)])
-    return each, single.unionByName(both.select(SID, "oper_id", matrix.alias("matrix"), shift.alias("shift")))
+    both = each.filter(F.col("oper_id").contains("*")).select(SID, F.col("oper_id").alias("_all")).distinct()
+    steps = both.select(SID, "_all", F.posexplode(F.split("_all", r"\*")).alias("nth", "oper_id"), F.size(F.split("_all", r"\*")).alias("of")).join(single, [SID, "oper_id"])
+    turns = steps.groupBy(SID, "_all", "of").agg(F.sort_array(F.collect_list(F.struct("nth", "matrix", "shift"))).alias("t")).filter("size(t) = of")
+    start = F.struct(F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)]).alias("matrix"), F.array(*[F.lit(0.0)] * 3).alias("shift"))
+    both = turns.select(SID, F.col("_all").alias("oper_id"), F.aggregate("t", start, _then).alias("m")).select(SID, "oper_id", "m.matrix", "m.shift")
+    return each, single.unionByName(both)
+
+
+def _then(acc: Column, turn: Column) -> Column:
+    """The motion that moves by ``turn`` first and then by ``acc`` (matrix, shift)."""
+    three = lambda f: f(0) + f(1) + f(2)
+    matrix = [three(lambda k, i=i, j=j: F.get(acc["matrix"], F.lit(3 * i + k)) * F.get(turn["matrix"], F.lit(3 * k + j))) for i in range(3) for j in range(3)]
+    shift = [three(lambda k, i=i: F.get(acc["matrix"], F.lit(3 * i + k)) * F.get(turn["shift"], F.lit(k))) + F.get(acc["shift"], F.lit(i)) for i in range(3)]
+    return F.struct(F.array(*matrix).alias("matrix"), F.array(*shift).alias("shift"))
 
 
 def load_structures(spark: SparkSession, paths: list[str], assembly: str = "auto") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,8 +217,39 @@ def test_operator_lists_and_products(spark, tmp_path):
     assert residue_counts(again).first().residues == 2 * 2 and again.count() == 8
     kept, skipped = annotate.residue_limit_gate(again, 3)
     assert kept.count() == 0 and skipped.first().actual_residues == 4
-    with pytest.raises(Exception, match="unsupported assembly"):
-        structures.load_structures(spark, [assembly_file(tmp_path, "'(1)(2)(3)'", opers)]).collect()
+    three = structures.load_structures(spark, [assembly_file(tmp_path, "'(1,2)(3)(2-3)'", opers)]).collect()
+    # the shifts of a product add up: four copies
+    assert sorted({(r.x // 100, r.y) for r in three}) == [(0, 100), (1, 50), (1, 100), (2, 50)] and len(three) == 16
+    assert structures.load_structures(spark, [assembly_file(tmp_path, "'(1)(9)'", opers)]).count() == 0
+
+
+def test_products_turn_right_to_left(spark):
+    quarter, half = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [-1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 1.0]
+    turns = [(quarter, [1.0, 2.0, 3.0]), (half, [5.0, 0.0, 0.0]), (quarter, [0.0, 0.0, 7.0])]
+    want, shift = np.eye(3), np.zeros(3)
+    for m, v in reversed(turns):
+        m = np.array(m).reshape(3, 3)
+        want, shift = m @ want, m @ shift + np.array(v)
+    frame = spark.createDataFrame([(turns,)], "t array<struct<matrix:array<double>,shift:array<double>>>")
+    start = F.struct(F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)]).alias("matrix"), F.array(*[F.lit(0.0)] * 3).alias("shift"))
+    got = frame.select(F.aggregate("t", start, structures._then).alias("m")).first().m
+    assert got.matrix == want.ravel().tolist() and got.shift == shift.tolist()
+
+
+def test_batch_goes_on_past_bad_structures(spark, tmp_path):
+    good = structures.load_structures(spark, [pdb_file(tmp_path, "cavity", ball(SHAPES["cavity"]))])
+    few = good.limit(2).withColumn(SID, F.lit("few"))
+    holes = good.withColumns({SID: F.lit("holes"), "x": F.when(F.col("atom_seq") % 50 == 0, F.lit(None)).otherwise(F.col("x"))})
+    odd = good.withColumns({SID: F.lit("odd"), "z": F.when(F.col("atom_seq") == F.lit(3), float("nan")).otherwise(F.col("z"))})
+    expected = spark.createDataFrame([("cavity",), ("gone",)], f"{SID} string")
+    cfg = VoidConfig(voxel_size=2.0)
+    shown, results, skipped, errors = annotate.annotate_batch(good.unionByName(few).unionByName(holes).unionByName(odd), cfg, expected=expected)
+    assert {r[SID]: r.error_type for r in errors.collect()} == {"few": "too_few_atoms", "holes": "bad_coordinates", "odd": "bad_coordinates", "gone": "no_atoms"}
+    assert skipped.count() == 0 and [r[SID] for r in results.collect()] == ["cavity"]
+    alone = annotate.volumize(good, cfg)[0]
+    assert shown.drop("comp").exceptAll(annotate.drop_hubs(alone).drop("comp")).count() == 0 and shown.count() == results.first().num_volumes > 0
+    _, results, skipped, errors = annotate.annotate_batch(good.unionByName(few), cfg, max_residues=0, expected=expected)
+    assert {r[SID] for r in skipped.collect()} == {"cavity", "few"} and results.count() == 0 and [r[SID] for r in errors.collect()] == ["gone"]
 
 
 def test_mmcif_tokens():
