@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import shutil
 import time
 
@@ -133,6 +134,27 @@ def test_sequences(spark):
         assert one.select(sequences.unique_chain_count(F.col("c"))).first()[0] == n
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.7, 1.0])
+def test_unique_chains_by_blocks(spark, threshold):
+    """Mutated, shifted, cut and repeated chains: as the comparison of all pairs."""
+    deal = random.Random(7)
+    rows = []
+    for structure in range(12):
+        base = [deal.choice("ABCDEF" if structure % 3 else "A") for _ in range(deal.choice([1, 5, 19, 20, 40, 97]))]
+        for k in range(9):
+            chain = [deal.choice("ABCXYZ") if deal.random() < (0, 0.02, 0.05, 0.3)[k % 4] else c for c in base]
+            cut = deal.choice([0, 0, 1, 2, 5])
+            chain = (chain[cut:] if k % 2 else chain[: len(chain) - cut]) or chain
+            rows.append((structure, f"c{k}", chain + list("QR")[: deal.choice([0, 0, 1, 2])]))
+    chains = spark.createDataFrame(rows, "structure_id int, chain_id string, sequence array<string>")
+    got = dict(map(tuple, sequences.unique_chains(chains, threshold).collect()))
+    listed = chains.groupBy("structure_id").agg(F.sort_array(F.collect_list(F.struct("chain_id", "sequence"))).alias("c"))
+    want = dict(map(tuple, listed.select("structure_id", sequences.unique_chain_count(F.transform("c", lambda x: x["sequence"]), threshold)).collect()))
+    assert got == want and len(set(want.values())) > 2
+    with pytest.raises(ValueError):
+        sequences.unique_chains(chains, 0.0)
+
+
 def test_resume_replay_and_progress(spark):
     events = spark.createDataFrame([("a", "planned", 1), ("a", "errors", 2), ("a", "results", 3), ("b", "errors", 4), ("b", "planned", 5), ("c", "planned", 6)], "source string, section string, seq int").withColumn("input_path", F.col("source"))
     last, counts, failed = runs.summarize_run(events)
