@@ -13,7 +13,8 @@ The number of slices follows the rows, so that each holds ``SLICE_ROWS`` or so.
 
 Defined cases: a null source is a source of its own; a null text has no bytes and
 the checksum of nothing; rows of one key are ordered by all their columns, so that a
-task that runs again ranks alike; rows equal in every column are told apart by a
+task that runs again ranks alike; rows without an id get shuffle keys from all their
+columns and so go to all slices; rows equal in every column are told apart by a
 running number, so each keeps its own slot; texts of any length count by their bytes;
 an empty table gives no rows; other columns pass through, also those named as the new
 ones are (the new ones then have longer names). Equal texts need not share a shard
@@ -72,7 +73,10 @@ def interleaved(df: DataFrame, source: str = "source", key: str = "doc_id", seed
     in each shard), named with a further ``_`` where ``df`` has such a column. ``df`` should hold narrow columns only; wide ones are better
     joined afterwards."""
     named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    ready = df.select(whole_row(df), shuffle_key(seed, key).alias("_key"), named.alias("_source"), F.col(key).alias("_id"))
+    ready = df.select(whole_row(df), named.alias("_source"), F.col(key).alias("_id"))
+    # rows without an id are dealt by all their columns, so they don't meet in one slice
+    row_key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.xxhash64("_row"), F.hash("_row")))
+    ready = ready.withColumn("_key", F.when(F.col("_id").isNull(), row_key).otherwise(shuffle_key(seed, "_id")))
     rows = df.count()
     order = [F.col("_key"), F.col("_id"), F.xxhash64("_row"), F.hash("_row")]
     own = ranked(ready, ["_source"], key_slice(slices_for(rows, SLICES)), order, "_rank")

@@ -205,6 +205,20 @@ def test_lettered_documents_stay_without_labels(spark):
 # sharding and mixing
 
 
+def test_rows_without_an_id_go_to_all_slices(spark):
+    d = spark.range(20000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source")
+    )
+    cut = sharding.interleaved(d, n_shards=8)
+    assert cut.count() == 20000 and cut.select("text").distinct().count() == 20000
+    assert [r[1] for r in cut.groupBy("shard").count().orderBy("shard").collect()] == [2500] * 8
+    # the fractional ranks of one source are its places, so a spread key mixes both kinds
+    none = [r[1] for r in cut.filter("doc_id is null").groupBy("shard").count().collect()]
+    assert len(none) == 8 and all(1050 < n < 1450 for n in none)
+    again = sharding.interleaved(d.repartition(7), n_shards=8)
+    assert cut.exceptAll(again).count() == 0
+
+
 def test_shards_match_brute_force(spark):
     sources = ["big"] * 61 + ["b"] * 20 + [None] * 9 + ["big"] * 3
     texts = [None, "", "é"] + ["t"] * 87 + [(5, "dup"), (5, "dup"), (5, "dup")]
