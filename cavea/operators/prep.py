@@ -8,14 +8,21 @@ from .. import config
 from ..functions.geometry import along, fib_sphere, principal_axes, shell_table
 from .voxels import SID
 
-# Residue names of amino acids, the twenty and common modified forms.
+# Residue names of amino acids, the twenty and common modified forms. Other
+# forms are known by the components that a structure's own file lists.
 AMINO_ACIDS = (
     "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL ASX GLX SEC PYL MSE UNK SEP TPO PTR CSO HYP MLY M3L KCX CME OCS PCA CSD ALY FME"
 ).split()
 
 
-def keep_amino_acids(atoms: DataFrame) -> DataFrame:
-    return atoms.filter(F.upper(F.trim("res_name")).isin(AMINO_ACIDS))
+def keep_amino_acids(atoms: DataFrame, peptides: DataFrame | None = None) -> DataFrame:
+    """Atoms of amino acids: of the names above and, by structure, of those in
+    ``peptides`` (structure_id, res_name), see ``sources.structures.scan_peptides``."""
+    name = F.upper(F.trim("res_name"))
+    if peptides is None:
+        return atoms.filter(name.isin(AMINO_ACIDS))
+    own = peptides.select(SID, F.upper(F.trim("res_name")).alias("_name"), F.lit(True).alias("_own")).distinct()
+    return atoms.withColumn("_name", name).join(own, [SID, "_name"], "left").filter(F.col("_name").isin(AMINO_ACIDS) | F.col("_own").isNotNull()).select(*atoms.columns)
 
 
 def drop_hydrogens(atoms: DataFrame) -> DataFrame:
@@ -51,11 +58,12 @@ def align(atoms: DataFrame) -> DataFrame:
     return placed.withColumns({c: F.col(f"_{c}") for c in "xyz"}).select(*atoms.columns)
 
 
-def prepare(atoms: DataFrame, cfg: config.VoidConfig) -> DataFrame:
-    """Clean and align: models, residues, hydrogens, principal axes."""
+def prepare(atoms: DataFrame, cfg: config.VoidConfig, peptides: DataFrame | None = None) -> DataFrame:
+    """Clean and align: models, residues (``peptides`` as ``keep_amino_acids`` takes
+    them), hydrogens, principal axes."""
     atoms = select_models(atoms, cfg.keep_all_models)
     if not cfg.keep_non_protein:
-        atoms = keep_amino_acids(atoms)
+        atoms = keep_amino_acids(atoms, peptides)
     return align(drop_hydrogens(atoms))
 
 

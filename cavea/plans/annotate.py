@@ -56,9 +56,9 @@ def in_order(annotations: DataFrame) -> DataFrame:
     return annotations.orderBy(F.desc("volume"), "type", "id")
 
 
-def volumize(atoms: DataFrame, cfg: VoidConfig = VoidConfig()) -> tuple[DataFrame, DataFrame]:
-    """Prepared atoms to (annotations, component voxels)."""
-    return annotate_volumes(prep.project_coords(settled(prep.prepare(atoms, cfg))), cfg)
+def volumize(atoms: DataFrame, cfg: VoidConfig = VoidConfig(), peptides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Atoms to (annotations, component voxels)."""
+    return annotate_volumes(prep.project_coords(settled(prep.prepare(atoms, cfg, peptides))), cfg)
 
 
 def largest_volume(annotations: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def bad_structures(atoms: DataFrame, kept: DataFrame, expected: DataFrame | None
 
 
 def annotate_batch(
-    atoms: DataFrame, cfg: VoidConfig = VoidConfig(), max_residues: int | None = None, include_hubs: bool = False, expected: DataFrame | None = None
+    atoms: DataFrame, cfg: VoidConfig = VoidConfig(), max_residues: int | None = None, include_hubs: bool = False, expected: DataFrame | None = None, peptides: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(annotations, results, skipped, errors). Structures over the residue limit are
     skipped; those of ``bad_structures`` are errors, and the others go on without them.
@@ -109,10 +109,10 @@ def annotate_batch(
     if max_residues is not None:
         atoms, skipped = residue_limit_gate(atoms, max_residues)
         expected = expected.join(skipped.select(SID), SID, "left_anti") if expected is not None else None
-    clean = prep.drop_hydrogens(atoms if cfg.keep_non_protein else prep.keep_amino_acids(atoms))
+    clean = prep.drop_hydrogens(atoms if cfg.keep_non_protein else prep.keep_amino_acids(atoms, peptides))
     errors = settled(bad_structures(atoms, prep.select_models(clean, cfg.keep_all_models), expected))
     good = atoms.join(errors.select(SID), SID, "left_anti")
-    annotations, _ = volumize(good, cfg)
+    annotations, _ = volumize(good, cfg, peptides)
     shown = drop_hubs(annotations, include_hubs)
     found = good.select(SID).distinct().join(largest_volume(shown), SID, "left").fillna({"num_volumes": 0})
     return shown, found, skipped, errors
@@ -135,9 +135,9 @@ def volumize_and_save(spark, paths: list[str], folder: str, cfg: VoidConfig = Vo
     chain ids of several letters) and annotations as JSON columns under ``folder``, and
     returns the annotations."""
     from ..sources import sinks
-    from ..sources.structures import load_structures
+    from ..sources.structures import load_structures, scan_peptides
 
-    atoms = settled(prep.prepare(load_structures(spark, paths, assembly), cfg))
+    atoms = settled(prep.prepare(load_structures(spark, paths, assembly), cfg, scan_peptides(spark, paths)))
     points = prep.project_coords(atoms)
     annotations, shown = annotate_volumes(points, cfg)
     grids = voxels.grid_bounds(prep.expand_shells(points, cfg.voxel_size) if cfg.shells else points, cfg.voxel_size)

@@ -126,6 +126,18 @@ def _named_atoms(t: DataFrame) -> DataFrame:
     )
 
 
+def scan_peptides(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """(structure_id, res_name) of the components that the mmCIF files among ``paths``
+    list as linking in peptides; None where no file is mmCIF. Such files name every
+    residue's type, so modified amino acids need no list of names."""
+    cif = [p for p in paths if p.lower().endswith((".cif", ".mmcif"))]
+    if not cif:
+        return None
+    kind = F.lower("type")
+    listed = scan_cif_table(spark, cif, "_chem_comp", ["id", "type"])
+    return listed.filter(kind.contains("peptide") & ~kind.contains("peptide-like")).select(SID, F.col("id").alias("res_name")).distinct()
+
+
 def assembly_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gen, oper) as prep.expand_assembly takes them, gen with ``place`` in the file.
     Operator lists such as 1,2 and (1-60) are read, and products of lists such as

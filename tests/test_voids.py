@@ -236,6 +236,19 @@ def test_products_turn_right_to_left(spark):
     assert got.matrix == want.ravel().tolist() and got.shift == shift.tolist()
 
 
+def test_modified_residues_by_the_file_s_components(spark, tmp_path):
+    one, loop = tmp_path / "one.cif", tmp_path / "two.mmcif"
+    one.write_text("data_a\n_chem_comp.id XYZ\n_chem_comp.type 'D-peptide linking'\n")
+    loop.write_text("data_b\nloop_\n_chem_comp.id\n_chem_comp.type\nABA 'L-PEPTIDE LINKING'\nHOH NON-POLYMER\nXYZ 'peptide-like'\nQQQ .\n")
+    peptides = structures.scan_peptides(spark, [str(one), str(loop), "/none.pdb"])
+    assert {tuple(r) for r in peptides.collect()} == {("one", "XYZ"), ("two", "ABA")} and structures.scan_peptides(spark, ["/none.pdb"]) is None
+    rows = [(s, n) for s in ("one", "two", "three") for n in ("ALA", "xyz ", "ABA", "HOH")]
+    atoms = spark.createDataFrame([*rows, ("one", None), ("one", "XYZ")], f"{SID} string, res_name string")
+    kept = sorted(map(tuple, prep.keep_amino_acids(atoms, peptides).collect()))
+    assert kept == [("one", "ALA"), ("one", "XYZ"), ("one", "xyz "), ("three", "ALA"), ("two", "ABA"), ("two", "ALA")]
+    assert prep.keep_amino_acids(atoms).count() == 3
+
+
 def test_batch_goes_on_past_bad_structures(spark, tmp_path):
     good = structures.load_structures(spark, [pdb_file(tmp_path, "cavity", ball(SHAPES["cavity"]))])
     few = good.limit(2).withColumn(SID, F.lit("few"))
