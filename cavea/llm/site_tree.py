@@ -10,10 +10,13 @@ has both.
 
 The tree decides first. A node whose presentation and content repeat is cut. From the
 root, each page is followed into the one container that has both entropies and most
-of the text; containers beside it that lack one are cut. What a style names breaks
-ties: it decides where pages are too few to judge or all alike, where an article is
-marked as such, and for elements whose meaning is fixed (nav, footer, form). A class
-word that sets a node apart yields to entropy.
+of the text that isn't in containers that lack one; those beside the way are cut. Where
+the way goes below the body, no name of an article is asked. What a style names breaks
+ties: where a host's pages are too few to judge or all alike, where a page's layout is
+too rare or has several ways, where an article lies beside the way, and for elements
+whose meaning is fixed (nav, footer, form). A class word that sets a node apart yields
+to entropy. A host with pages enough of whose tree nothing is known keeps all but the
+fixed elements: names don't stand in for the tree.
 
 Node counts are summed over (host, path, digest) rows with partial sums, so a large
 host is no large task. Only paths that the tree judges go back to the pages. Reading a
@@ -48,8 +51,9 @@ PAGES = 4
 RICH = 0.8
 #: Judged paths up to this number travel to the tasks; beyond it pages are joined by host.
 BROADCAST_PATHS = 100_000
-#: What the tree says of a path: its name is overruled, its container is rich or poor.
-TURNED, IS_RICH, IS_POOR = 1, 2, 4
+#: What the tree says of a path: it is unimportant, or important against its name; its
+#: container is rich or poor. And of a host, at its root: its pages differ, in text too.
+LOW, IS_RICH, IS_POOR, HIGH, DIFFER, ALIKE = 1, 2, 4, 8, 16, 32
 
 # Elements and class words by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -276,18 +280,33 @@ class Page:
     def text(self, judged: dict[int, int]) -> str:
         """The blocks none of whose nodes is of low importance, one a line."""
         say = [judged.get(path, 0) for path in self.path]
-        low = [(lean <= APART_LEAN) != bool(said & TURNED) for lean, said in zip(self.lean, say)]
-        self._cut_beside(low, say)
-        main = any(root and inside and not cut for root, inside, cut in zip(self.root, self.inside, low))
+        silent = say[0] & DIFFER and not say[0] & ALIKE and len(judged) == 1
+        low = [lean == NEVER or bool(said & LOW) or (lean == APART_LEAN and not said & HIGH and not silent) for lean, said in zip(self.lean, say)]
+        way = self._cut_beside(low, say)
+        main = not silent and not self._settled(way, low) and any(root and inside and not cut for root, inside, cut in zip(self.root, self.inside, low))
         for node in range(1, len(low)):
             # an article stays in what is apart, unless the page has another
-            stays = self.root[node] and (self.inside[node] or not main)
+            stays = self.root[node] and (self.inside[node] or not main) and not silent
             low[node] = low[node] or (low[self.parent[node]] and not stays)
         return "\n".join(t for t, node in self.blocks if not low[node] and (self.inside[node] or not main))
 
-    def _cut_beside(self, low: list[bool], say: list[int]) -> None:
-        """From the root into the one rich container with most of the text, level by
-        level; poor containers beside a rich one are marked low."""
+    def _settled(self, way: int, low: list[bool]) -> bool:
+        """Whether the way goes below the body, with no article beside it."""
+        if self.tag[way] in WHOLE or way == 0:
+            return False
+        on = [False] * len(low)
+        node = way
+        while node > 0:
+            on[node] = True
+            node = self.parent[node]
+        for node in range(way + 1, len(low)):
+            on[node] = on[node] or (self.parent[node] >= way and on[self.parent[node]])
+        return not any(root and inside and not cut and not here for root, inside, cut, here in zip(self.root, self.inside, low, on))
+
+    def _cut_beside(self, low: list[bool], say: list[int]) -> int:
+        """From the root into the one rich container with most of the text that isn't in
+        poor ones, level by level; poor containers beside a rich one are marked low. The
+        node where the way ends."""
         size = [0] * len(low)
         for text, node in self.blocks:
             size[node] += len(text)
@@ -298,7 +317,8 @@ class Page:
                 below[self.parent[node]].append(node)
         node = 0
         while rich := [c for c in below[node] if say[c] & IS_RICH and not low[c]]:
-            if 2 * sum(size[c] for c in rich) < size[node]:
+            poor = sum(size[c] for c in below[node] if low[c] or (say[c] & IS_POOR and self.lean[c] != TEXT))
+            if 2 * sum(size[c] for c in rich) < size[node] - poor:
                 break
             for c in below[node]:
                 if say[c] & IS_POOR and self.lean[c] != TEXT:
@@ -306,6 +326,7 @@ class Page:
             if len(rich) > 1:
                 break
             node = rich[0]
+        return node
 
 
 def mixed(a: int, b: int) -> int:
@@ -347,8 +368,9 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
 
 
 def judged_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, said) of the nodes of which the merged trees say something: the
-    name is overruled, or a container is rich or poor."""
+    """(host, path, said) of the nodes of which the merged trees say something: they are
+    unimportant, or important against their name, or a container is rich or poor. Hosts
+    whose texts are all alike are told at their root."""
     node = stored(tree_nodes(pages), "style-tree")
     whole = node.filter("path = 0 and words > 1e-9").select("host", F.col("shape").alias("all_shape"), F.col("words").alias("all_words"))
     part = lambda own, all_: F.when(F.col(all_) > 1e-9, F.least(F.col(own) / F.col(all_), F.lit(1.0)))
@@ -356,16 +378,26 @@ def judged_paths(pages: DataFrame) -> DataFrame:
     # where all pages of the host have one shape, content alone tells
     both = (F.coalesce("rs", "rw") + F.col("rw")) / 2
     some = F.greatest("rs", "rw")
-    open_ = F.col("lean") > APART_LEAN
-    turned = F.when(open_, importance(F.col("lean"), some) < KEEP).otherwise(importance(F.col("lean"), both) >= KEEP)
+    open_, high = F.col("lean") > APART_LEAN, importance(F.col("lean"), both) >= KEEP
+    weight = F.when(open_, F.when(importance(F.col("lean"), some) < KEEP, LOW)).otherwise(F.when(high, HIGH).otherwise(LOW))
     rank = F.when(~F.col("container") | F.col("rs").isNull(), 0).when(both >= RICH, IS_RICH).otherwise(IS_POOR)
-    return ready.select("host", "path", (F.when(turned, TURNED).otherwise(0) + rank).cast("int").alias("said")).filter("said > 0")
+    alike = node.filter("path = 0 and words <= 1e-9").select("host", "path", F.lit(ALIKE).alias("said"))
+    return ready.select("host", "path", (F.coalesce(weight, F.lit(0)) + rank).cast("int").alias("said")).filter("said > 0").unionByName(alike)
+
+
+def _differing(pages: DataFrame) -> DataFrame:
+    """(host, path, said): the root of each host that has ``PAGES`` pages that aren't all
+    the same."""
+    mark = F.xxhash64("html")
+    hosts = _with_host(pages).groupBy("host").agg(F.count(F.lit(1)).alias("m"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    return hosts.filter((F.col("m") >= PAGES) & (F.col("low") != F.col("high"))).select("host", F.lit(0).cast("long").alias("path"), F.lit(DIFFER).alias("said"))
 
 
 def main_text(pages: DataFrame, limit: int = BROADCAST_PATHS, judged: DataFrame | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page. ``judged`` may hold what earlier
     pages of the hosts have told (see ``judged_paths``)."""
-    said = stored(judged_paths(pages), "judged-paths") if judged is None else judged
+    said = judged_paths(pages) if judged is None else judged
+    said = stored(said.unionByName(_differing(pages)).groupBy("host", "path").agg(F.bit_or("said").alias("said")), "judged-paths")
     ready = _with_host(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "host")
     rows = small_rows(said, limit)
     shared = None

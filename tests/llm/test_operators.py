@@ -474,6 +474,21 @@ def test_entropy_overrules_names(spark):
     assert site_texts(spark, "<article>The one page</article><footer>Us</footer>") == ["The one page"] * 12
 
 
+def test_names_break_ties_of_the_tree(spark):
+    story = "<p>Story {0} of {0}</p>"
+    rng = random.Random(4)
+    talk = ["".join(f"<p>Re {i} {k}</p>" for k in range(1 + rng.randint(0, 9))) for i in range(12)]
+    # two containers of both entropies, or an article of one shape beside talk: the article wins
+    for page in (f"<article>{story}@</article><section>@</section>", f"<article>{story}</article><div class='comments'>@</div>", f"<article>{story}</article><section>@</section>"):
+        df = spark.createDataFrame([(i, f"http://h.org/{i}", page.replace("@", talk[i]).format(i)) for i in range(12)], "page_id long, url string, html string")
+        assert all(r.text.startswith(f"Story {r.page_id} of {r.page_id}") and (len(r.text.split("\n")) == 1 or "@</article" in page) for r in site_tree.main_text(df).collect())
+    # a layout of one page goes by its names on a host that the tree knows
+    pages = [(i, f"http://h.org/{i}", f"<body><div>Story {i}{talk[i]}</div><section>Us</section></body>") for i in range(12)]
+    pages.append((12, "http://h.org/12", "<body><center>Menu<article>Odd one</article><b class='ad'>Buy</b></center></body>"))
+    got = rows(site_tree.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert got[12].text == "Odd one" and got[3].text.startswith("Story 3\n") and "Us" not in got[3].text
+
+
 def bare(page):
     """A page without the names that mark its parts."""
     return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page.replace(' class="ad"', ""))
@@ -487,6 +502,9 @@ def test_the_tree_tells_parts_without_names(spark, data):
     plain = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in df.collect()], "page_id long, url string, html string")
     got = rows(site_tree.main_text(plain), "page_id")
     assert len(got) > 50 and all(got[k].text == want[k].text for k in want)
+    # names don't stand in for the tree: with it emptied, pages with names change too
+    emptied = rows(site_tree.main_text(df, judged=site_tree.judged_paths(df).filter("false")), "page_id")
+    assert all(emptied[k].text != want[k].text for k in want)
     # without what the tree says, menus and footers stay
     silent = rows(site_tree.main_text(plain, judged=site_tree.judged_paths(plain).filter("false")), "page_id")
     assert all(silent[k].text != want[k].text for k in want)
