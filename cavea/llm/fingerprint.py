@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batch, mix64, parts_for
 
@@ -175,23 +176,41 @@ def _lots(texts: list, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
 def _neighbours(docs: DataFrame) -> DataFrame:
     """Rows (part, guest, doc_id, text), sorted: each part holds a range of ids, then
     as a guest the first row of the next part, so every document meets its next
-    within its part. The driver sees one id a part."""
+    within its part. An id of so many rows that several cuts fall on it is cut by its
+    texts' hashes. The driver sees one id and hash a part."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ready = ready.withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    ready = ready.withColumns({"at": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.xxhash64("text")})
     parts = parts_for(docs.sparkSession)
-    cuts = sorted({int(c) for c in ready.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("at"))) if cuts else F.lit(0)
-    ready = ready.withColumn("part", part.cast("int"))
-    firsts = sorted((r.part, r.first) for r in ready.groupBy("part").agg(F.min("at").alias("first")).collect())
-    lead = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))
-    if firsts:
-        before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
-        first = F.create_map(*[F.lit(x) for pair in firsts for x in pair])
-        ahead = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        guest = F.struct(F.element_at(ahead, F.col("part")).alias("part"), F.lit(1).alias("guest"))
-        lead = F.when(F.col("at") == F.element_at(first, F.col("part")), F.array_append(lead, guest)).otherwise(lead)
-    spread = ready.select(F.explode(lead).alias("to"), "at", "doc_id", "text").select("to.part", "to.guest", "at", "doc_id", "text")
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "guest", "at", F.xxhash64("text")).select("part", "guest", "doc_id", "text")
+    cuts = Counter(int(c) for c in ready.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else Counter()
+    part, parts = _part(cuts)
+    ready = ready.withColumn("part", part)
+    # one row a part, which is the guest of the part before
+    firsts = sorted((r.part, r.first.at, r.first.mark) for r in ready.groupBy("part").agg(F.min(F.struct("at", "mark")).alias("first")).collect())
+    ahead = [(firsts[i - 1][0], at, mark) for i, (_, at, mark) in enumerate(firsts)]
+    table = docs.sparkSession.createDataFrame(ahead, "part int, at long, mark long")
+    # rows of one id and text are alike: one of them is a guest
+    guests = ready.drop("part").join(F.broadcast(table), ["at", "mark"]).groupBy("part", "at", "mark", "doc_id").agg(F.first("text").alias("text"))
+    columns = ["part", "guest", "at", "mark", "doc_id", "text"]
+    spread = ready.withColumn("guest", F.lit(0)).select(*columns).unionByName(guests.withColumn("guest", F.lit(1)).select(*columns))
+    return spread.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "at", "mark").select("part", "guest", "doc_id", "text")
+
+
+def _part(cuts: Counter) -> tuple[Column, int]:
+    """Number of the range between cuts that holds (at, mark), and how many there are; of
+    a cut that comes r times, the rows at it are r ranges of the mark."""
+    if not cuts:
+        return F.lit(0), 1
+    known, starts, number = sorted(cuts), [], 1
+    for cut in known:
+        starts.append(number)
+        number += cuts[cut] + (1 if cuts[cut] > 1 else 0)
+    array = lambda numbers: F.array(*[F.lit(x) for x in numbers])
+    k = F.size(F.filter(array(known), lambda c: c <= F.col("at")))
+    own = lambda numbers: F.element_at(array(numbers), F.greatest(k, F.lit(1)))
+    times = own([cuts[c] for c in known])
+    share = F.floor((F.col("mark").cast("double") / 2.0**64 + 0.5) * times)
+    within = F.when(F.col("at") == own(known), F.least(share, times - 1)).when(times > 1, times).otherwise(0)
+    return F.when(k == 0, 0).otherwise(own(starts) + within).cast("int"), number
 
 
 REPORT = pa.schema([

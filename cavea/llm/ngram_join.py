@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import batch, fresh, hashed_words, lean, mix64, odd_weights, spread_join, stored, utf8, whole_row
+from .common import HOT_KEYS, batch, fresh, hashed_words, lean, mix64, odd_weights, spread_join, stored, utf8, whole_row
 from .graph import components
 
 WORDS = 3
@@ -49,6 +49,9 @@ BLOCKS, BLOCK_BYTES = 16, 16 << 20
 #: Cells by which candidates are held against the bound, and the widest bucket for that.
 CELLS = 128
 WIDE = 1024
+#: One text in so many tells which signatures are hot: those of so many sets among them.
+#: That only deals their rows to more tasks; every set is still in its bucket.
+SAMPLED, HOT_SETS = 64, 16
 
 U = np.uint64
 
@@ -235,14 +238,28 @@ def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
     return shared.select("sig", "salt", "salts", "member", "n_shingles", "cells").mapInArrow(lean(run), "a long, b long, sig long, x long, y long")
 
 
+def _hot_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, salts) of signatures that many sets of a sample share, with the tasks to deal
+    each to; the hottest ``HOT_KEYS``, beyond which each is a small share of all rows."""
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    met = _signed(some, words, percent).distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_SETS)
+    return met.orderBy(F.desc("n"), "sig").limit(HOT_KEYS).select("sig", F.greatest(F.lit(2), F.ceil(F.col("n") * SAMPLED / WIDE)).cast("int").alias("salts"))
+
+
 def families(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of classes joined by a shared signature and by cells that allow
     a link. ``kinds``: h1, n_shingles, cells."""
-    bucket = W.partitionBy("sig")
-    signed = _signed(docs, words, percent).withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket), "_n": F.count("member").over(bucket)})
-    shared = signed.filter("_low <> _high").select("sig", "member", F.ceil(F.col("_n") / WIDE).cast("int").alias("salts"))
+    hot = stored(_hot_signatures(docs, words, percent), "hot-signatures").withColumnRenamed("salts", "_dealt")
+    signed = _signed(docs, words, percent).join(F.broadcast(hot), "sig", "left")
+    dealt = lambda n: F.pmod(F.xxhash64("member"), n).cast("int")
+    # a hot signature has several sets for certain, so its rows needn't meet to be counted
+    bucket = W.partitionBy("sig", "_deal")
+    signed = signed.withColumn("_deal", F.coalesce(dealt(F.col("_dealt")), F.lit(0)))
+    signed = signed.withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket), "_n": F.count("member").over(bucket)})
+    salts = F.coalesce("_dealt", F.ceil(F.col("_n") / WIDE).cast("int")).alias("salts")
+    shared = signed.filter("_dealt is not null or _low <> _high").select("sig", "member", salts)
     held = shared.join(kinds.select(F.col("h1").alias("member"), "n_shingles", "cells"), "member")
-    held = held.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
+    held = held.withColumn("salt", dealt(F.col("salts")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stored(_bucket_edges(held.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member"), percent), "candidates")
     # bins of wide buckets: one class stands for each, and hangs on those of neighbours

@@ -93,6 +93,26 @@ def test_next_document_of_repeated_and_lone_ids(spark):
     assert same.count() == 4
 
 
+def test_an_id_of_many_rows_is_cut_by_its_texts(spark):
+    """Half of the rows have no id or one id: no part is much larger for it, and each
+    document meets its next."""
+    table = [(None if i % 4 == 0 else 7 if i % 4 == 1 else 10 + i, f"text {i} " * 3) for i in range(4000)] + [(7, "same")] * 50
+    d = corpus(spark, table)
+    got = fingerprint._neighbours(d).withColumn("task", F.spark_partition_id()).collect()
+    sizes = Counter(r.task for r in got)
+    assert max(sizes.values()) < 2 * len(table) / 4 and sum(r.guest for r in got) == len({r.part for r in got})
+    marks = {t: m for t, m in d.select("text", F.xxhash64("text")).distinct().collect()}
+    order = sorted(table, key=lambda r: (-(1 << 63) if r[0] is None else r[0], marks[r[1]]))
+    after = Counter(zip(order, order[1:] + order[:1]))
+    met, held = Counter(), {}
+    for r in got:
+        before = held.get(r.task)
+        if before is not None and before.part == r.part and not before.guest:
+            met[(before.doc_id, before.text), (r.doc_id, r.text)] += 1
+        held[r.task] = r
+    assert met == after
+
+
 # language
 
 
@@ -767,6 +787,22 @@ def test_wide_buckets_and_large_families(spark, monkeypatch):
         assert got == naive_classes(table, words, percent)
 
 
+def test_hot_signatures_are_dealt(spark, monkeypatch):
+    """Near copies that share a signature go to several tasks, in the count too, and the
+    result is the same."""
+    for name, value in (("WIDE", 6), ("SAMPLED", 1), ("HOT_SETS", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    base = [f"w{k}" for k in range(60)]
+    table = [(i, " ".join([*base[:40], f"e{i}", *base[41:]])) for i in range(60)] + [(100 + i, t) for i, t in near_table(7, 2, 8)]
+    d = corpus(spark, table)
+    hot = ngram_join._hot_signatures(d, 3, 80).collect()
+    # a signature misses the sets whose own words fall into its cells
+    assert hot and 5 <= max(r.salts for r in hot) <= 10
+    for words, percent in ((3, 90), (3, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.classes(d, words, percent).collect()}
+        assert got == naive_classes(table, words, percent)
+
+
 def test_one_of_each_group_stays(spark):
     table = near_table(8, 3)
     d = corpus(spark, table)
