@@ -177,19 +177,19 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     """Rows (part, guest, doc_id, text), sorted: each part holds a range of ids, then
     as a guest the first row of the next part, so every document meets its next
     within its part. An id of so many rows that several cuts fall on it is cut by its
-    texts' hashes. The driver sees one id and hash a part."""
+    texts' hashes. The driver sees one id a part."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ready = ready.withColumns({"at": F.coalesce("doc_id", F.lit(-(1 << 63))), "mark": F.xxhash64("text")})
     parts = parts_for(docs.sparkSession)
     cuts = Counter(int(c) for c in ready.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else Counter()
     part, parts = _part(cuts)
     ready = ready.withColumn("part", part)
-    # one row a part, which is the guest of the part before
-    firsts = sorted((r.part, r.first.at, r.first.mark) for r in ready.groupBy("part").agg(F.min(F.struct("at", "mark")).alias("first")).collect())
-    ahead = [(firsts[i - 1][0], at, mark) for i, (_, at, mark) in enumerate(firsts)]
-    table = docs.sparkSession.createDataFrame(ahead, "part int, at long, mark long")
-    # rows of one id and text are alike: one of them is a guest
-    guests = ready.drop("part").join(F.broadcast(table), ["at", "mark"]).groupBy("part", "at", "mark", "doc_id").agg(F.first("text").alias("text"))
+    # the first row of each part is the guest of the part before
+    firsts = sorted((r.part, r.at) for r in ready.groupBy("part").agg(F.min("at").alias("at")).collect())
+    table = docs.sparkSession.createDataFrame([(firsts[i - 1][0], part, at) for i, (part, at) in enumerate(firsts)], "before int, part int, at long")
+    lead = ready.join(F.broadcast(table), ["part", "at"]).groupBy("before")
+    first = lead.agg(F.min("at").alias("at"), F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.min_by("text", "mark").alias("text"))
+    guests = first.withColumnRenamed("before", "part")
     columns = ["part", "guest", "at", "mark", "doc_id", "text"]
     spread = ready.withColumn("guest", F.lit(0)).select(*columns).unionByName(guests.withColumn("guest", F.lit(1)).select(*columns))
     return spread.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", "at", "mark").select("part", "guest", "doc_id", "text")
