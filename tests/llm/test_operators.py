@@ -787,22 +787,6 @@ def test_wide_buckets_and_large_families(spark, monkeypatch):
         assert got == naive_classes(table, words, percent)
 
 
-def test_hot_signatures_are_dealt(spark, monkeypatch):
-    """Near copies that share a signature go to several tasks, in the count too, and the
-    result is the same."""
-    for name, value in (("WIDE", 6), ("SAMPLED", 1), ("HOT_SETS", 8)):
-        monkeypatch.setattr(ngram_join, name, value)
-    base = [f"w{k}" for k in range(60)]
-    table = [(i, " ".join([*base[:40], f"e{i}", *base[41:]])) for i in range(60)] + [(100 + i, t) for i, t in near_table(7, 2, 8)]
-    d = corpus(spark, table)
-    hot = ngram_join._hot_signatures(d, 3, 80).collect()
-    # a signature misses the sets whose own words fall into its cells
-    assert hot and 5 <= max(r.salts for r in hot) <= 10
-    for words, percent in ((3, 90), (3, 80)):
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.classes(d, words, percent).collect()}
-        assert got == naive_classes(table, words, percent)
-
-
 def test_one_of_each_group_stays(spark):
     table = near_table(8, 3)
     d = corpus(spark, table)
