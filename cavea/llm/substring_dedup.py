@@ -10,9 +10,11 @@ also starts in a document with a smaller id.
   reach, is a segment. Segments are dealt by anchor, so that a shard holds all there is
   to match its windows. A suffix automaton over a shard's distinct segments, whose states
   know the least document they end in, is the reference; the segments stream over it, and
-  the state of a window's length tells the first document that has it. A broadcast of all
-  automata to all documents would grow with the square of the corpus; here an automaton
-  meets just the segments that can match.
+  the state of a window's length tells the first document that has it. An automaton takes
+  whole anchors; one of more segments than an automaton grows by a word at a time, so that
+  its windows are told apart and equal ones still meet. A broadcast of all automata to all
+  documents would grow with the square of the corpus; here an automaton meets just the
+  segments that can match.
 * **Common passages.** Windows in at least one of ``COMMON`` documents of a bounded sample
   (``SAMPLE_DOCS``) are at most a few per cent of the sample's words. Their first documents
   are sums over the whole corpus and travel to all tasks, so that no shard holds them.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -377,27 +380,70 @@ class SuffixAutomaton:
         return out
 
 
+def _longer(held: dict, window: int) -> list[dict]:
+    """The segments of one anchor by anchors of a word more: the next word for windows that
+    have it, the one before for those that end with the anchor. Equal windows stay together."""
+    out: dict = {}
+    for string, (doc, lo, hi, uses) in held.items():
+        cut = max(0, hi - window + 1)  # the first window with the next word
+        pieces = []
+        if len(string) - cut >= window:
+            pieces.append(((string[lo : hi + 1], 1), string[cut:], lo - cut, hi + 1 - cut, cut))
+        if hi >= window:
+            at = hi - window
+            pieces.append(((string[lo - 1 : hi], 0), string[at:hi], lo - 1 - at, window, at))
+        for key, piece, first, stop, skip in pieces:
+            same = out.setdefault(key, {}).setdefault(piece, [doc, first, stop, []])
+            same[0] = min(same[0], doc)
+            same[3] += [(row, k + skip) for row, k in uses]
+    return list(out.values())
+
+
+def _fitting(held: dict, window: int) -> Iterator[dict]:
+    """``held`` if one automaton takes it, else by longer anchors, until each fits. An
+    anchor of a window's length has one segment."""
+    if len(held) <= SHARD_SEGMENTS or all(hi - lo == window for _, lo, hi, _ in held.values()):
+        yield held
+        return
+    for more in _longer(held, window):
+        yield from _fitting(more, window)
+
+
 def _first_documents(texts: list[bytes], docs: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For distinct segments (key, left, words) and their least documents, the first
-    document of each of their windows."""
+    document of each of their windows. No two automata share a window."""
     most = window - gram + 1
     out = np.full((len(texts), most), NEVER)
-    for lo in range(0, len(texts), SHARD_SEGMENTS):
-        shard, sizes = [], []
-        for text in texts[lo : lo + SHARD_SEGMENTS]:
-            left = text[8]
-            raw = np.frombuffer(text, np.uint8, offset=9).reshape(-1, WORD_BYTES)
+    shard: list = []
+
+    def search() -> None:
+        automaton = SuffixAutomaton([string for string, *_ in shard], [doc for _, doc, *_ in shard])
+        for string, _, n, uses in shard:
+            found = automaton.firsts(string, n)
+            for row, k in uses:
+                out[row, k : k + len(found)] = found
+        shard.clear()
+
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    for (key, lone), rows in groupby(order, key=lambda i: (texts[i][:8], texts[i][8] == 255)):
+        n, held = window if lone else most, {}  # symbols to [least document, anchor's start and stop, (row, window) of uses]
+        for row in rows:
+            left = texts[row][8]
+            raw = np.frombuffer(texts[row], np.uint8, offset=9).reshape(-1, WORD_BYTES)
             words = np.zeros((len(raw), 8), np.uint8)
             words[:, :WORD_BYTES] = raw
             string = words.view(np.uint64)[:, 0].tolist()
-            if left != 255:  # the anchor's words are one symbol
-                string.insert(left, -1 - int.from_bytes(text[:8], "little"))
-            shard.append(string)
-            sizes.append(window if left == 255 else most)
-        automaton = SuffixAutomaton(shard, docs[lo : lo + SHARD_SEGMENTS].tolist())
-        for k, (string, n) in enumerate(zip(shard, sizes)):
-            found = automaton.firsts(string, n)
-            out[lo + k, : len(found)] = found
+            if lone:
+                held[tuple(string)] = [int(docs[row]), 0, window, [(row, 0)]]
+            else:  # the anchor's words are one symbol
+                string.insert(left, -1 - int.from_bytes(key, "little"))
+                held[tuple(string)] = [int(docs[row]), left, left + 1, [(row, 0)]]
+        for part in _fitting(held, n):
+            if shard and len(shard) + len(part) > SHARD_SEGMENTS:
+                search()
+            shard += [(string, doc, n, uses) for string, (doc, _, _, uses) in part.items()]
+    if shard:
+        search()
     return out
 
 
@@ -425,16 +471,7 @@ def _cuts(rows: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
         held.clear()
         least = np.full(len(texts), NEVER)
         np.minimum.at(least, which, docs)
-        order = sorted(range(len(texts)), key=texts.__getitem__)  # one anchor's segments meet in one automaton
-        first = np.empty((len(texts), window - gram + 1), np.int64)
-        lo = 0
-        while lo < len(order):
-            hi = min(lo + SHARD_SEGMENTS, len(order))
-            while hi < len(order) and texts[order[hi]][:8] == texts[order[hi - 1]][:8]:
-                hi += 1
-            own = order[lo:hi]
-            first[own] = _first_documents([texts[i] for i in own], least[own], window, gram)
-            lo = hi
+        first = _first_documents(texts, least, window, gram)
         row, k = np.nonzero(first[which] < docs[:, None])
         cut = np.concatenate([*cut, _spans(docs[row], tags[row], starts[row] + k, window)])
         yield from _homeward(cut["doc"].copy(), cut[list(_OWN.names)].astype(_OWN), parts)

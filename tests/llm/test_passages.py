@@ -191,6 +191,74 @@ def test_automaton_knows_first_documents():
         assert automaton.firsts(asked, 4) == want
 
 
+def sharded_segments(rng, anchors, letters, rows):
+    """Segments (key, left, words) as an automaton's shard gets them, and their symbols."""
+    made = {}
+    while len(made) < rows:
+        if rng.random() < 0.1:  # a window that is its own key
+            words = [rng.randrange(letters) for _ in range(13)]
+            key, left, symbols = hash(tuple(words)) % 2**64, 255, words
+        else:
+            before, after = rng.randint(0, 8), rng.randint(0, 8)
+            if before + after < 8:
+                continue
+            words = [rng.randrange(letters) for _ in range(before + after)]
+            key, left = rng.randrange(anchors), before
+            symbols = [*words[:before], ("anchor", key), *words[before:]]
+        made[key.to_bytes(8, "little") + bytes([left]) + b"".join(w.to_bytes(6, "little") for w in words)] = symbols
+    return list(made), list(made.values())
+
+
+@pytest.mark.parametrize("anchors, letters, rows, limit", [(40, 3, 200, 7), (1, 2, 300, 5), (1, 1, 40, 1), (2, 2, 300, 1), (3, 500, 200, 16), (2, 2, 200, 10_000)])
+def test_no_shard_parts_equal_windows(monkeypatch, anchors, letters, rows, limit):
+    monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", limit)
+    rng = random.Random(anchors * letters + limit)
+    texts, strings = sharded_segments(rng, anchors, letters, rows)
+    docs = np.array([rng.randint(-9, 99) for _ in texts])
+    cuts = [[tuple(s[k : k + n]) for k in range(len(s) - n + 1)] for s, n in ((s, 13 if t[8] == 255 else 9) for t, s in zip(texts, strings))]
+    least = {}
+    for own, doc in zip(cuts, docs):
+        for w in own:
+            least[w] = min(least.get(w, doc), doc)
+    sizes = []
+    real = substring_dedup.SuffixAutomaton
+
+    def counted(strings, docs):
+        sizes.append(len(strings))
+        return real(strings, docs)
+
+    monkeypatch.setattr(substring_dedup, "SuffixAutomaton", counted)
+    got = substring_dedup._first_documents(texts, docs, 13, 5)
+    assert [[d for d in row if d != substring_dedup.NEVER] for row in got.tolist()] == [[least[w] for w in own] for own in cuts]
+    assert max(sizes) <= limit
+
+
+def test_anchor_of_more_segments_than_an_automaton_holds(spark):
+    def least_run():
+        names = [f"k{k}" for k in range(20_004)]
+        data = np.frombuffer(" ".join(names).encode(), np.uint8)
+        grams = substring_dedup.Windows(np.array([0, len(data)]), data, 13, 5).grams
+        return names[int(np.argmin(grams >> np.uint64(1))) :][:5]
+
+    rng, anchor = random.Random(12), least_run()  # nearly all windows over this run have it as their anchor
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    shared = [(fresh(k % 9), fresh(8 - k % 9)) for k in range(3000)]
+    text = lambda: " ".join(" ".join([*fresh(12 - len(a)), *a, *anchor, *b, *fresh(12 - len(b))]) for a, b in shared)
+    table = [(5, text()), (3, text())]
+    want = naive_spans(table)
+    assert {(i, n) for i, _, n, _ in want} == {(3, 0), (5, 3000 * 13)}
+    assert spans(corpus(spark, table)) == want
+
+
+def test_anchors_at_the_edge_of_an_automaton(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    shared = [fresh(13) for _ in range(16_000)]
+    text = lambda own: " ".join(" ".join([*fresh(4), *passage, *fresh(4)]) for passage in own)
+    table = [(i, text(shared[i % 80 :: 80])) for i in range(160)]
+    assert spans(corpus(spark, table)) == naive_spans(table)
+
+
 # resampling
 
 
