@@ -386,3 +386,20 @@ def test_cif_values_come_back(spark, tmp_path):
     sinks.write_annotated_cif(atoms, str(tmp_path / "cif"))
     back = scan_cif_atoms(spark, str(tmp_path / "cif/*")).orderBy("atom_seq").collect()
     assert [(r.atom_name, r.res_id, r.ins_code, r.chain_id, r.model, r.x) for r in back] == [(n, i, "B" if i % 2 else "", "AbC9", 1 + i % 2, 1.0) for i, n in enumerate(odd)]
+
+
+def test_a_structure_is_one_cif_file(spark, tmp_path):
+    from cavea.sources.structures import scan_cif_atoms
+
+    k = F.col("atom_seq")
+    atoms = spark.range(6000).withColumnRenamed("id", "atom_seq").select("atom_seq", (k % 3).alias("structure_id"), F.lit("ATOM").alias("group_pdb"), F.lit("CA").alias("atom_name"), F.lit("C").alias("element"), F.lit("ALA").alias("res_name"), (k % 90).alias("res_id"), F.lit("A").alias("chain_id"), *[(k / 8).alias(c) for c in "xyz"], F.lit(1.0).alias("b_factor"), F.lit(0).alias("part"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        sinks.write_annotated_cif(atoms, str(tmp_path / "cif"))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert [len(list(folder.glob("part-*"))) for folder in (tmp_path / "cif").glob("structure_id=*")] == [1, 1, 1]
+    assert scan_cif_atoms(spark, str(tmp_path / "cif/*")).count() == 6000
