@@ -44,7 +44,7 @@ def s07_annotation_columns(spark, d):
     c = views.table(spark, d, "customer")
     zero = F.lit(1.0)
     rows = c.select(F.col("c_nationkey").alias(SID), F.col("c_custkey").cast("int").alias("id"), F.lit("").alias("t"), F.col("c_mktsegment").alias("type"), F.col("c_acctbal").alias("volume"), *[zero.alias(k) for k in ("x", "y", "z", "circularity", "uniformity")])
-    sinks.write_annotation_columnar(rows.drop("t"), at)
+    sinks.write_annotation_columnar(rows.drop("t"), at, [F.desc("volume"), "id"])
     return corpus.scan_annotations_columnar(spark, f"{at}/*").select("key", "id", "type", "volume")
 
 

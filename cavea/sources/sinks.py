@@ -8,6 +8,7 @@ written a line an entry.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -30,17 +31,18 @@ def write_annotation_json(annotations: DataFrame, folder: str) -> None:
     annotation_payload(annotations).select(SID, F.col("payload").alias("value")).write.partitionBy(SID).mode("overwrite").text(folder)
 
 
-def annotation_columns(annotations: DataFrame) -> DataFrame:
-    """(structure_id, payload): a JSON object of columns, each a map from row to value."""
-    w = W.partitionBy(SID).orderBy(F.desc("volume"), "type", "id")
+def annotation_columns(annotations: DataFrame, order: Sequence[Column | str] | None = None) -> DataFrame:
+    """(structure_id, payload): a JSON object of columns, each a map from row to value.
+    Rows are numbered in ``order``, by default that of ``in_order``."""
+    w = W.partitionBy(SID).orderBy(*(order or (F.desc("volume"), "type", "id")))
     rows = annotations.withColumn("row", (F.row_number().over(w) - 1).cast("string")).withColumnsRenamed({"circularity": "cross_section_circularity", "uniformity": "cross_section_uniformity"})
     names = ["id", "type", "volume", "x", "y", "z", "cross_section_circularity", "cross_section_uniformity"]
     columns = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("row", F.col(c).alias("v"))))).alias(c) for c in names]
     return rows.groupBy(SID).agg(*columns).select(SID, F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def write_annotation_columnar(annotations: DataFrame, folder: str) -> None:
-    annotation_columns(annotations).select(SID, F.col("payload").alias("value")).write.partitionBy(SID).mode("overwrite").text(folder)
+def write_annotation_columnar(annotations: DataFrame, folder: str, order: Sequence[Column | str] | None = None) -> None:
+    annotation_columns(annotations, order).select(SID, F.col("payload").alias("value")).write.partitionBy(SID).mode("overwrite").text(folder)
 
 
 def pdb_lines(atoms: DataFrame, delimiter: str = "END") -> DataFrame:

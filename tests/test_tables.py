@@ -403,3 +403,21 @@ def test_a_structure_is_one_cif_file(spark, tmp_path):
             spark.conf.unset(key)
     assert [len(list(folder.glob("part-*"))) for folder in (tmp_path / "cif").glob("structure_id=*")] == [1, 1, 1]
     assert scan_cif_atoms(spark, str(tmp_path / "cif/*")).count() == 6000
+
+
+def held_against_sql(spark, name, folder, **tables):
+    """Rows of a query and of its SQL over ``tables`` (DuckDB SELECTs), sorted."""
+    import duckdb
+
+    with duckdb.connect() as db:
+        for table, select in tables.items():
+            db.execute(f"COPY ({select}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+            db.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet'")
+        want = db.execute(entry.oracle_sql()[name]).fetchall()
+    return sorted(map(tuple, entry.queries()[name](spark, str(folder)).collect())), sorted(want)
+
+
+def test_equal_volumes_of_columns_go_by_id(spark, tmp_path):
+    customer = "SELECT k::BIGINT AS c_custkey, 7 AS c_nationkey, ['b', 'a', 'c'][k % 3 + 1] AS c_mktsegment, (k // 4)::DOUBLE AS c_acctbal FROM range(40) t(k)"
+    found, want = held_against_sql(spark, "s07_annotation_columns", tmp_path, customer=customer)
+    assert found == want and len(found) == 40
