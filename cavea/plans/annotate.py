@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config
 from ..config import VoidConfig
@@ -61,9 +63,9 @@ def volumize(atoms: DataFrame, cfg: VoidConfig = VoidConfig(), peptides: DataFra
     return annotate_volumes(prep.project_coords(settled(prep.prepare(atoms, cfg, peptides))), cfg)
 
 
-def largest_volume(annotations: DataFrame) -> DataFrame:
-    """Per structure the type and volume of the largest; the first in order wins ties."""
-    best = F.min_by(F.struct("type", "volume"), F.struct(-F.col("volume"), F.col("type"), F.col("id")))
+def largest_volume(annotations: DataFrame, order: Sequence[Column | str] = ("type", "id")) -> DataFrame:
+    """Per structure the type and volume of the largest; the first in ``order`` wins ties."""
+    best = F.min_by(F.struct("type", "volume"), F.struct(-F.col("volume"), *order))
     return annotations.groupBy(SID).agg(F.count(F.lit(1)).alias("num_volumes"), best.alias("b")).select(SID, "num_volumes", F.col("b.type").alias("largest_type"), F.col("b.volume").alias("largest_volume"))
 
 

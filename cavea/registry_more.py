@@ -291,9 +291,9 @@ def j03_expand_assembly(spark, d):
 VOLS = "WITH v AS (SELECT l_orderkey AS structure_id, CASE l_returnflag WHEN 'N' THEN 'pore' WHEN 'R' THEN 'pocket' ELSE 'hub' END AS type, l_extendedprice AS volume, l_partkey AS comp, l_quantity AS q FROM lineitem)"
 
 
-def _volumes(spark, d):
+def _volumes(spark, d, *more):
     kind = F.when(F.col("l_returnflag") == "N", "pore").when(F.col("l_returnflag") == "R", "pocket").otherwise("hub")
-    return views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias(SID), kind.alias("type"), kind.alias("final_type"), F.col("l_extendedprice").alias("volume"), F.col("l_partkey").alias("comp"), F.col("l_quantity").alias("num_voxels"))
+    return views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias(SID), kind.alias("type"), kind.alias("final_type"), F.col("l_extendedprice").alias("volume"), F.col("l_partkey").alias("comp"), F.col("l_quantity").alias("num_voxels"), *more)
 
 
 @query(VOLS + " SELECT structure_id, type, comp, volume, (row_number() OVER (PARTITION BY structure_id, type ORDER BY volume DESC, comp) - 1)::INT AS id FROM v WHERE volume >= 20000 AND q >= 5")
@@ -303,7 +303,9 @@ def w01_rank_volumes(spark, d):
 
 @query(VOLS + " SELECT structure_id, count(*) AS num_volumes, arg_max(type, volume) AS largest_type, max(volume) AS largest_volume FROM v WHERE type <> 'hub' GROUP BY 1")
 def a15_largest_volume(spark, d):
-    return annotate.largest_volume(annotate.drop_hubs(_volumes(spark, d).withColumn("id", F.col("comp"))))
+    """Of equal volumes the first in the table wins, as arg_max takes them in order."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return annotate.largest_volume(annotate.drop_hubs(_volumes(spark, d, *place)), ["file", "row"])
 
 
 @query(VOLS + " SELECT type, round(sum(volume), 2) AS total, max(volume) AS largest, round(avg(volume), 6) AS mean FROM v GROUP BY 1")

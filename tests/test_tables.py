@@ -421,3 +421,9 @@ def test_equal_volumes_of_columns_go_by_id(spark, tmp_path):
     customer = "SELECT k::BIGINT AS c_custkey, 7 AS c_nationkey, ['b', 'a', 'c'][k % 3 + 1] AS c_mktsegment, (k // 4)::DOUBLE AS c_acctbal FROM range(40) t(k)"
     found, want = held_against_sql(spark, "s07_annotation_columns", tmp_path, customer=customer)
     assert found == want and len(found) == 40
+
+
+def test_first_of_equal_largest_volumes(spark, tmp_path):
+    lineitem = "SELECT (k % 20)::BIGINT AS l_orderkey, ['N', 'R', 'A'][(k * 7 % 20 + k // 20) % 3 + 1] AS l_returnflag, 5.0::DOUBLE AS l_extendedprice, (100 - k)::BIGINT AS l_partkey, 1.0::DOUBLE AS l_quantity FROM range(60) t(k)"
+    found, want = held_against_sql(spark, "a15_largest_volume", tmp_path, lineitem=lineitem)
+    assert found == want and {r[2] for r in found} == {"pore", "pocket"}
