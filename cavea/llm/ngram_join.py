@@ -33,9 +33,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import batch, fresh, hashed_words, lean, mix64, odd_weights, spread_join, stored, utf8, whole_row
+from .common import batch, fresh, hashed_words, lean, mix64, odd_weights, sifted, spread_join, stored, tidy, utf8, whole_row
 from .graph import components
 
 WORDS = 3
@@ -49,6 +49,8 @@ BLOCKS, BLOCK_BYTES = 16, 16 << 20
 #: Cells by which candidates are held against the bound, and the widest bucket for that.
 CELLS = 128
 WIDE = 1024
+#: Signatures that a task gathers before it sends them.
+PACKED = 1 << 20
 
 U = np.uint64
 
@@ -149,16 +151,44 @@ def described(docs: DataFrame, words: int) -> DataFrame:
     return ready.mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long, cells binary, bytes long, mark long")
 
 
-def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(signature, set) rows; a set met again in the same task isn't repeated."""
-    schema = pa.schema([("sig", pa.int64()), ("member", pa.int64())])
+def packed(sigs: np.ndarray, members: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, pack) of signatures and their sets. A pack has 40 bits of each signature,
+    rising, byte by byte, and 40 bits of each set's name, ten bytes a pair in all whatever
+    the number of partitions; the bucket has the signature's next bits."""
+    key = sigs & U((buckets << 40) - 1)
+    order = np.argsort(key)
+    key, low = key[order].astype("<u8"), members[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    bucket, bytes_ = (key >> U(40)).astype(np.int64), key.view(np.uint8).reshape(-1, 8)[:, :5]
+    ends = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+    for lo, hi in zip(ends, ends[1:]):
+        if lo < hi:
+            yield int(bucket[lo]), bytes_[lo:hi].T.tobytes() + low[lo:hi].tobytes()
+
+
+def unpacked(pack: bytes) -> np.ndarray:
+    """The 40 bits of signatures and of sets, in two rows."""
+    flat = np.frombuffer(pack, np.uint8)
+    n = len(flat) // 10
+    out = np.zeros((2, n, 8), np.uint8)
+    out[0, :, :5], out[1, :, :5] = flat[: 5 * n].reshape(5, n).T, flat[5 * n :].reshape(n, 5)
+    return out.view("<u8").reshape(2, n)
+
+
+def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, pack) rows; a set met again in the same task isn't repeated."""
+    schema = pa.schema([("bucket", pa.int32()), ("pack", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         table = bands(percent, 1000)
+        sigs, names, held = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            member = np.repeat(np.array(names, np.int64).view(U), [len(x) for x in sigs])
+            return batch(schema, *zip(*packed(np.concatenate(sigs), member, buckets)))
+
         for b in batches:
             for _, sets in _runs(b.column(0), words):
-                sigs, names = [], []
                 for s in sets:
                     if not len(s) or (name := digest(s)[0]) in seen:
                         continue
@@ -171,10 +201,47 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         if k := 2 * table[band][1] * (100 - percent) // (100 + percent):
                             sigs.append(signatures(s, band, k))
                             names.append(name)
-                if sigs:
-                    yield batch(schema, np.concatenate(sigs).view(np.int64), np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))
+                            held += len(sigs[-1])
+                if held > PACKED:
+                    yield sent()
+                    sigs, names, held = [], [], 0
+        if held:
+            yield sent()
+
+    return docs.select("text").mapInArrow(lean(run), "bucket int, pack binary")
+
+
+def _shared(packs: DataFrame) -> DataFrame:
+    """(sig, name, salts): signatures of several sets, with 40 bits of each set's name and
+    the number of tasks they are dealt to. ``packs``: sorted by bucket."""
+    schema = pa.schema([("sig", pa.int64()), ("name", pa.int64()), ("salts", pa.int32())])
+
+    def several(bucket: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, name = np.concatenate(parts, 1)
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
+        new = np.concatenate(([True], sig[1:] != sig[:-1]))
+        once = new | np.concatenate(([True], name[1:] != name[:-1]))
+        sig, name, new = sig[once], name[once], new[once]
+        count = np.diff(np.append(np.flatnonzero(new), len(sig)))
+        count = np.repeat(count, count)
+        sig, name, count = (x[count > 1] for x in (sig | U(bucket << 40), name, count))
+        for lo in range(0, len(sig), 1 << 16):
+            yield batch(schema, *(x[lo : lo + (1 << 16)] for x in (sig.view(np.int64), name.view(np.int64), -(-count // WIDE))))
 
-    return docs.select("text").mapInArrow(lean(run), "sig long, member long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for b in batches:
+            for own, pack in zip(b.column(0).to_pylist(), b.column(1)):
+                if own != bucket:
+                    if parts:
+                        yield from several(bucket, parts)
+                    bucket, parts = own, []
+                parts.append(unpacked(pack.as_buffer()))
+        if parts:
+            yield from several(bucket, parts)
+
+    return packs.mapInArrow(lean(run), "sig long, name long, salts int")
 
 
 def near(size: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -238,13 +305,15 @@ def _bucket_edges(shared: DataFrame, percent: int) -> DataFrame:
 def families(docs: DataFrame, kinds: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of classes joined by a shared signature and by cells that allow
     a link. ``kinds``: h1, n_shingles, cells."""
-    bucket = W.partitionBy("sig")
-    signed = _signed(docs, words, percent).withColumns({"_low": F.min("member").over(bucket), "_high": F.max("member").over(bucket), "_n": F.count("member").over(bucket)})
-    shared = signed.filter("_low <> _high").select("sig", "member", F.ceil(F.col("_n") / WIDE).cast("int").alias("salts"))
-    held = shared.join(kinds.select(F.col("h1").alias("member"), "n_shingles", "cells"), "member")
-    held = held.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(9, (8 * parts - 1).bit_length())
+    shared = _shared(_signed(docs, words, percent, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket"))
+    # classes of equal 40 bits come along; more candidates do no harm
+    named = kinds.select(F.col("h1").bitwiseAND(F.lit((1 << 40) - 1)).alias("name"), F.col("h1").alias("member"), "n_shingles", "cells")
+    held = shared.join(named, "name")
+    held = held.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
     found = stored(_bucket_edges(held.repartition(parts, "sig", "salt").sortWithinPartitions("sig", "salt", "member"), percent), "candidates")
+    tidy(docs.sparkSession)
     # bins of wide buckets: one class stands for each, and hangs on those of neighbours
     bins = stored(found.filter("b is null").groupBy("sig", "x", "y").agg(F.min("a").alias("least"), F.collect_set("a").alias("all")), "bins")
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
@@ -380,11 +449,14 @@ def _solved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     members = members.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("blocks")))
     tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_mark"), "text")
+    # most texts are alone: a sieve keeps them out of the exchange
+    texts, _ = sifted(texts, F.xxhash64("_doc", "_mark"), owned.select(F.xxhash64("doc_id", "mark").alias("h")))
     wide = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))).select("family", "h1", "copies", "block", F.explode(tasks).alias("task"), "text")
     wide = wide.select("family", "h1", "copies", "block", "task.x", "task.y", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["family", "x", "y", "h1"]
     found = stored(_compared(wide.repartition(parts, *order[:3]).sortWithinPartitions(*order), words, percent), "links")
+    tidy(docs.sparkSession)
     linked = components(found.filter("b is not null").select("a", "b"))
     degree = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     named = kinds.join(linked.withColumnRenamed("node", "h1"), "h1", "left").join(degree.withColumnRenamed("a", "h1"), "h1", "left")
@@ -422,8 +494,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     name = fresh(docs, "_id")
     several = stored(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)), "repeated-ids")
     own = F.col("doc_id").cast("long")
-    gone = marked.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).unionByName(several.filter(F.col(name).isNotNull())).distinct()
-    plain = docs.filter(own.isNotNull()).join(gone, own == F.col(name), "left_anti")
+    gone = stored(marked.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).unionByName(several.filter(F.col(name).isNotNull())).distinct(), "gone")
+    some, others = sifted(docs.filter(own.isNotNull()), F.xxhash64(own), gone.select(F.xxhash64(name).alias("h")))
+    plain = some.join(gone, own == F.col(name), "left_anti")
+    plain = plain if others is None else plain.unionByName(others)
     if several.isEmpty():
         return plain
     odd = docs.select(whole_row(docs), own.alias("_doc"), "text").join(several, F.col("_doc").eqNullSafe(F.col(name)), "left_semi")

@@ -817,3 +817,37 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(5, 5), (200, 199), (199, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{k: 100 for k in range(101, 140)}, 200: 199}
+
+
+def test_signatures_travel_in_ten_bytes_a_pair():
+    rng = np.random.default_rng(3)
+    sigs, members = (rng.integers(0, 1 << 64, 5000, np.uint64) for _ in range(2))
+    for buckets in (512, 1 << 14):
+        packs = list(ngram_join.packed(sigs, members, buckets))
+        assert sum(len(p) for _, p in packs) == 10 * len(sigs)
+        back = {(b << 40 | a, m) for b, p in packs for a, m in zip(*ngram_join.unpacked(p).tolist())}
+        assert back == set(zip((sigs & np.uint64((buckets << 40) - 1)).tolist(), (members & np.uint64((1 << 40) - 1)).tolist()))
+
+
+def test_shared_signatures_as_counted(spark):
+    rng = np.random.default_rng(4)
+    sigs, members = rng.integers(0, 900, 4000, np.uint64) << np.uint64(33), rng.integers(0, 50, 4000, np.uint64)
+    packs = [p for lo in range(0, 4000, 500) for p in ngram_join.packed(sigs[lo : lo + 500], members[lo : lo + 500], 512)]
+    rows = spark.createDataFrame(packs, "bucket int, pack binary").repartition(3, "bucket").sortWithinPartitions("bucket")
+    want = defaultdict(set)
+    for a, m in zip(sigs.tolist(), members.tolist()):
+        want[a].add(m)
+    found = ngram_join._shared(rows).collect()
+    assert len(found) == len({(r.sig, r.name) for r in found}) and {(r.sig, r.name, r.salts) for r in found} == {(a, m, 1) for a, ms in want.items() if len(ms) > 1 for m in ms}
+
+
+def test_sieve_parts_rows(spark):
+    from cavea.llm.common import sifted
+
+    rows = spark.range(20000).select("id", F.lit("x").alias("_page"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"))
+    keys = rows.filter("id % 50 = 1").select(F.xxhash64("k").alias("h"))
+    some, others = sifted(rows, F.xxhash64("k"), keys)
+    near, far = ({r.id for r in part.collect()} for part in (some, others))
+    assert some.columns == rows.columns and not near & far and near | far == set(range(20000))
+    assert set(range(1, 20000, 50)) <= near and len(near) < 5000
+    assert sifted(rows, F.xxhash64("k"), keys.limit(0))[0].count() == 0
