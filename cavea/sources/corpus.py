@@ -58,8 +58,14 @@ def scan_annotations_columnar(spark: SparkSession, paths) -> DataFrame:
     need, other = ["id", "type", "volume", "x", "y", "z"], ["cross_section_circularity", "cross_section_uniformity"]
     whole = _whole(spark, paths).select(stem(F.col("path")).alias("source"), F.from_json("value", "map<string,map<string,string>>").alias("m"))
     whole = whole.filter(F.size(F.array_intersect(F.map_keys("m"), F.array(*[F.lit(c) for c in need]))) == len(need))
-    keyed = whole.select("source", "m", F.explode(F.map_keys(F.element_at("m", "type"))).alias("key"))
-    cell = lambda c: F.try_element_at(F.try_element_at(F.col("m"), F.lit(c)), F.col("key"))
+    # the cells of a row side by side, by one look at each; the maps don't go along with rows
+    column = lambda c: F.try_element_at(F.col("m"), F.lit(c))
+    cells = F.transform_values(column("type"), lambda _, v: F.array(v))
+    names = ["type", *[c for c in need + other if c != "type"]]
+    for c in names[1:]:
+        cells = F.map_zip_with(cells, F.coalesce(column(c), F.create_map().cast("map<string,string>")), lambda _, row, v: F.concat(row, F.array(v)))
+    keyed = whole.select("source", F.explode(cells).alias("key", "row")).filter("row is not null")
+    cell = lambda c: F.get("row", F.lit(names.index(c)))
     return keyed.select(
         "source", "key", cell("id").try_cast("int").alias("id"), cell("type").alias("type"), *[cell(c).try_cast("double").alias(c) for c in ("volume", "x", "y", "z")],
         *[cell(c).try_cast("double").alias(c.removeprefix("cross_section_")) for c in other],

@@ -434,3 +434,17 @@ def test_rerendered_ids_name_one_structure(spark, tmp_path):
     lineitem = "SELECT 1::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey"
     found, want = held_against_sql(spark, "i05_rerender_targets", tmp_path, orders=orders, lineitem=lineitem)
     assert found == want and [r[0] for r in found if r[2] is None] == [1, 6, 7]
+
+
+def test_columns_of_many_rows(spark, tmp_path):
+    n = 20000
+    whole = {c: {str(i): i for i in range(n)} for c in ("id", "type", "volume", "x", "y", "z")}
+    odd = whole | {"x": {str(i): i for i in reversed(range(n)) if i % 2} | {"more": 1}, "y": None, "cross_section_uniformity": {"7": 0.5}}
+    for name, body in (("a", whole), ("b", odd), ("c", {k: v for k, v in whole.items() if k != "z"})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+    began = time.time()
+    rows = corpus.scan_annotations_columnar(spark, str(tmp_path)).collect()
+    assert time.time() - began < 60  # minutes where each row looks through the maps
+    assert sorted((r.source, int(r.key), r.id, r.type, r.volume, r.x, r.y, r.z, r.circularity, r.uniformity) for r in rows) == [
+        (s, i, i, str(i), i, i if s == "a" or i % 2 else None, i if s == "a" else None, i, None, 0.5 if s == "b" and i == 7 else None) for s in "ab" for i in range(n)
+    ]
