@@ -71,7 +71,7 @@ def s10_checkpoint_file(spark, d):
     section = F.element_at(F.array(*map(F.lit, corpus.SECTIONS)), ((k + n) % 4 + 1).cast("int"))
     source = F.concat_ws("_", F.concat(F.lit("o"), k.cast("string")), n.cast("string"))
     rows = views.table(spark, d, "lineitem").select(section.alias("section"), F.struct(k.alias("k"), F.col("l_extendedprice").alias("v"), source.alias("s")).alias("ord"), source.alias("source"), k.alias("actual_residues"), F.col("l_extendedprice").alias("largest_volume"))
-    sinks.write_run_summary(rows, at, {"resume": "true"})
+    sinks.write_run_summary(rows, at, {"resume": "true"}, "gzip")
     return corpus.scan_checkpoint(spark, at).select("section", "ord", "source", "actual_residues", "largest_volume")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Callable, Iterator
 
-from ..operators.steps import running
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from ..operators.steps import running, settled
 
 ENTRY = (
     "source string, pdb_id string, input_path string, structure_output string, annotation_output string, reason string, error string, error_type string, "
@@ -77,17 +81,41 @@ def row_key_order(key: str = "key") -> list[Column]:
     return [number.isNull(), number, F.col(key)]
 
 
+def _places(spark: SparkSession) -> Callable[..., Column]:
+    """The place of each row, from 0, among those of its (file, block) in the task."""
+
+    @F.pandas_udf("long")
+    def place(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last, n = None, 0
+        for file, block in pairs:
+            keys = np.stack([file.to_numpy(), block.to_numpy()], 1)
+            new = np.flatnonzero(np.concatenate(([tuple(keys[0]) != last], (keys[1:] != keys[:-1]).any(1)))) if len(keys) else np.zeros(0, int)
+            at = np.arange(n, n + len(keys))
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(keys)]):
+                at[lo:hi] = np.arange(hi - lo)
+            if len(keys):
+                last, n = tuple(keys[-1]), int(at[-1]) + 1
+            yield pd.Series(at)
+
+    # as if not deterministic: else filters would be taken before it
+    return place.asNondeterministic()
+
+
 def document_entries(spark: SparkSession, path: str, sections: list[str], entry: str) -> DataFrame | None:
     """(section, ord, e, at) of a document that has each entry on a line, as the sinks
-    write it; None if it is laid out otherwise. Lines are numbered over the files by
-    ranges, so the document is never in one task; the driver sees a row a section."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
-    )
+    write it; None if it is laid out otherwise. Rows of each block of a file are counted,
+    and lines numbered where they are read, so there is no exchange of lines and the
+    document is never in one task; the driver sees a row a section."""
+    read = spark.read.text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     opens = F.regexp_extract("value", '^,?"([a-z_]+)":\\[$', 1)
     if lines.filter(opens.isin(sections)).isEmpty():
         return None
-    numbered = running(lines, ["file", "block", "line"], F.lit(1), "n")
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = settled(sizes.select("file", "block", (F.sum("_rows").over(W.partitionBy(F.lit(0)).orderBy("file", "block")) - F.col("_rows")).alias("_before")))  # a row a block
+    placed = lines.withColumn("_place", _places(spark)(F.xxhash64("file"), "block"))
+    known = F.coalesce("_before", F.raise_error(F.concat(F.lit("the blocks of files changed while they were read: "), F.col("file"))).cast("long"))
+    numbered = placed.join(F.broadcast(before), ["file", "block"], "left").select("file", "value", (known + F.col("_place") + 1).alias("n"))
     starts = sorted((r.n, r.section) for r in numbered.select("n", opens.alias("section")).filter(F.col("section").isin(sections)).collect())
     section, start = F.lit(None).cast("string"), F.lit(None).cast("long")
     for n, name in starts:  # the last that opens before a line

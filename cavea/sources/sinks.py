@@ -11,9 +11,10 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import atom_line
-from ..operators.steps import running
+from ..operators.steps import settled
 from .corpus import SECTIONS
 
 SID = "structure_id"
@@ -120,25 +121,34 @@ def write_catalog(tables: dict[str, DataFrame], folder: str, run_id: str, replac
         marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{folder}/{name}")
 
 
-def write_document(path: str, head: dict, entries: DataFrame, sections: list[str]) -> None:
+def write_document(path: str, head: dict, entries: DataFrame, sections: list[str], compression: str | None = None) -> None:
     """One JSON object in a folder: the fields of ``head``, then each section as a list.
-    ``entries``: section, ord, value (JSON of one line). Every entry is a line, and the
-    lines are dealt to files by ranges, so the files in the order of their names are the
-    document (a short one is one file) and no task holds it. Entries equal in ``ord``
-    are ordered by value; sections without entries are empty lists, others are left out."""
+    ``entries``: section, ord, entry (a struct, or JSON of one line). Every entry is a line,
+    and the lines are dealt to files by ranges, so the files in the order of their names are
+    the document (a short one is one file) and no task holds it. Entries equal in ``ord``
+    are ordered by their JSON; sections without entries are empty lists, others are left
+    out. Entries take one exchange, and become JSON after it."""
     rank = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
-    entries = entries.select(rank.alias("rank"), "ord", "value").filter("rank > 0")
-    placed = running(entries, ["rank", "ord", "value"], F.lit(1), "n")
-    first = placed.groupBy("rank").agg(F.min("n").alias("start"))  # a row a section
-    lines = placed.join(F.broadcast(first), "rank").select("rank", "n", F.concat(F.when(F.col("n") > F.col("start"), ",").otherwise(""), "value").alias("value"))
-    opened = json.dumps(head, separators=(",", ":"))[:-1]
-    fixed = [(0, 0, opened)]
+    entries = entries.select(rank.cast("long").alias("rank"), "ord", "entry").filter("rank > 0")
+    kinds = {f.name: f.dataType for f in entries.schema}
+    value = F.to_json("entry") if isinstance(kinds["entry"], StructType) else F.col("entry")
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    first = settled(entries.groupBy("rank").agg(F.min(F.struct("ord", value.alias("value"))).alias("first")))  # a row a section
+    known = entries.join(F.broadcast(first), "rank")
+    leads = F.col("ord").eqNullSafe(F.col("first.ord")) & value.eqNullSafe(F.col("first.value"))
+    # the first entry stands without a comma, its equals with one
+    copies = known.filter(leads).groupBy("rank").agg(F.first("first.value").alias("value"), F.count(F.lit(1)).alias("n"))
+    copies = copies.select("rank", F.lit(1).alias("step"), none("ord"), none("entry"), F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.concat(F.when(k == 1, "").otherwise(","), F.col("value")))).alias("line"))
+    rest = known.filter(~leads).select("rank", F.lit(2).alias("step"), "ord", "entry", F.lit(None).cast("string").alias("line"))
+    fixed = [(0, 0, json.dumps(head, separators=(",", ":"))[:-1])]
     for k, s in enumerate(sections, 1):
-        fixed += [(k, 0, f'{"," if head or k > 1 else ""}"{s}":['), (k, None, "]")]
-    frame = entries.sparkSession.createDataFrame([*fixed, (len(sections) + 1, 0, "}")], "rank long, n long, value string")
-    whole = lines.select(F.col("rank").cast("long").alias("rank"), "n", "value").unionByName(frame)
-    order = [F.col("rank"), F.col("n").asc_nulls_last()]
-    whole.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+        fixed += [(k, 0, f'{"," if head or k > 1 else ""}"{s}":['), (k, 3, "]")]
+    frame = entries.sparkSession.createDataFrame([*fixed, (len(sections) + 1, 0, "}")], "rank long, step int, line string")
+    whole = rest.unionByName(copies).unionByName(frame.select("rank", "step", none("ord"), none("entry"), "line"))
+    line = F.coalesce("line", F.concat(F.lit(","), value))
+    dealt = whole.repartitionByRange("rank", "step", "ord", line).select("rank", "step", "ord", line.alias("value"))
+    out = dealt.sortWithinPartitions("rank", "step", "ord", "value").select("value").write.mode("overwrite")
+    (out.option("compression", compression) if compression else out).text(path)
 
 
 def _sizes(entries: DataFrame, sections: list[str]) -> dict[str, int]:
@@ -146,25 +156,25 @@ def _sizes(entries: DataFrame, sections: list[str]) -> dict[str, int]:
     return {r.section: r.n for r in entries.filter(F.col("section").isin(sections)).groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def write_run_summary(entries: DataFrame, path: str, config: dict[str, str] | None = None) -> None:
+def write_run_summary(entries: DataFrame, path: str, config: dict[str, str] | None = None, compression: str | None = None) -> None:
     """The run summary with its counts and four sections. ``entries``: section, ord and
-    the entry's columns."""
+    the entry's columns. ``compression``: of the files, such as gzip."""
     fields = [c for c in entries.columns if c not in ("section", "ord", "seq")]
     sizes = _sizes(entries, SECTIONS)
     counts = {n: sizes.get(s, 0) for s, n in zip(SECTIONS, ("num_processed", "num_failed", "num_skipped", "num_planned"))}
-    write_document(path, {"config": config or {}, **counts}, entries.select("section", "ord", F.to_json(F.struct(*fields)).alias("value")), SECTIONS)
+    write_document(path, {"config": config or {}, **counts}, entries.select("section", "ord", F.struct(*fields).alias("entry")), SECTIONS, compression)
 
 
 def write_manifest(selected: DataFrame, path: str, rejected: DataFrame | None = None, command: str = "select") -> None:
     """A manifest of the structures (ord, source, pdb_id, input_path,
     cluster_member_pdb_ids) and rejections (rep_id, reason; by both)."""
     fields = ["source", "pdb_id", "input_path", "cluster_member_pdb_ids"]
-    entries = selected.select(F.lit("structures").alias("section"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*fields)).alias("value"))
+    entries = selected.select(F.lit("structures").alias("section"), F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*fields)).alias("entry"))
     head = {"manifest_format": "manifest-1", "source_command": command, "summary": {"num_structures": selected.count()}}
     sections = ["structures"]
     if rejected is not None:
         sections.append("rejections")
-        entries = entries.unionByName(rejected.select(F.lit("rejections").alias("section"), F.lit(0).cast("long").alias("ord"), F.to_json(F.struct("rep_id", "reason")).alias("value")))
+        entries = entries.unionByName(rejected.select(F.lit("rejections").alias("section"), F.lit(0).cast("long").alias("ord"), F.to_json(F.struct("rep_id", "reason")).alias("entry")))
     write_document(path, head, entries, sections)
 
 

@@ -448,3 +448,19 @@ def test_columns_of_many_rows(spark, tmp_path):
     assert sorted((r.source, int(r.key), r.id, r.type, r.volume, r.x, r.y, r.z, r.circularity, r.uniformity) for r in rows) == [
         (s, i, i, str(i), i, i if s == "a" or i % 2 else None, i if s == "a" else None, i, None, 0.5 if s == "b" and i == 7 else None) for s in "ab" for i in range(n)
     ]
+
+
+def test_run_files_are_read_without_an_exchange(spark, tmp_path, capsys):
+    entries = spark.range(600, numPartitions=5).select(F.lit("results").alias("section"), F.floor(F.col("id") / 200).alias("ord"), F.when(F.col("id") > 3, F.floor(F.col("id") / 3)).cast("string").alias("source"))
+    for name, more in (("plain", {}), ("packed", {"compression": "gzip"})):
+        sinks.write_run_summary(entries, str(tmp_path / name), **more)
+        rows = corpus.scan_checkpoint(spark, str(tmp_path / name))
+        capsys.readouterr()
+        rows.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan and "Window" not in plan
+        back = sorted((r.ord, r.source) for r in rows.collect())
+        # the same entry several times at the start, and entries equal in ord by their JSON
+        want = sorted((i // 200, json.dumps({"source": str(i // 3)} if i > 3 else {}, separators=(",", ":"))) for i in range(600))
+        assert back == [(k, json.loads(e).get("source")) for k, (_, e) in enumerate(want)]
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "packed").glob("part-*"))
